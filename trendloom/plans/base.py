@@ -43,6 +43,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_extendedprice").alias("amount"),
+        (F.col("l_returnflag") == "R").alias("returned"),
     )
     return items.join(orders_at(spark, sf), "invoice")
 
@@ -60,7 +61,7 @@ def with_description(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
 
 
 LINES = f"""lines AS (SELECT l_orderkey AS invoice, l_linenumber::bigint AS line, l_partkey AS product,
-  l_suppkey AS supplier, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_extendedprice AS amount,
+  l_suppkey AS supplier, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_extendedprice AS amount, l_returnflag = 'R' AS returned,
   o_custkey AS customer, o_orderdate + to_seconds((o_orderkey * {CLOCK}) % 86400) AS ts,
   n_name AS country, p_name AS description
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -89,7 +89,7 @@ _BAD_BRANDS = ["Brand#3", "Brand#7", "Brand#11"]
 @query(
     "clean_lines",
     sql=f"""WITH {LINES} SELECT DISTINCT l.invoice, l.line, l.product, l.supplier, l.quantity,
-    round(l.price, 6) AS price, round(l.quantity * l.price, 4) AS total, l.ts FROM lines l JOIN part ON p_partkey = product
+    l.price, round(l.quantity * l.price, 4) AS total, l.ts FROM lines l JOIN part ON p_partkey = product
     WHERE l.quantity > 0 AND l.price > 0 AND l.customer IS NOT NULL AND l.ts < TIMESTAMP '2001-07-01'
     AND p_brand NOT IN ({", ".join(f"'{b}'" for b in _BAD_BRANDS)})""",
 )
@@ -99,7 +99,7 @@ def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
     kept = clean.positive(lines(spark, sf).na.drop(subset=["customer"]), ["quantity", "price"])
     kept = clean.before_month(kept, "ts", "2001-07-01").join(allowed, "product")
     return kept.select(
-        "invoice", "line", "product", "supplier", "quantity", F.round("price", 6).alias("price"),
+        "invoice", "line", "product", "supplier", "quantity", "price",
         F.round(F.col("quantity") * F.col("price"), 4).alias("total"), "ts",
     ).dropDuplicates()
 
