@@ -148,7 +148,7 @@ def _maximise(
         centres = theta + np.outer(lengths, heading)
         values, grads = measure(centres)
         pick = int(values.argmax())
-        if values[pick] <= best:
+        if values[pick] - best <= 1e-7 * max(1.0, abs(best)):
             break
         moved, change = centres[pick] - theta, grad - grads[pick]
         along = float(moved @ change)

@@ -33,18 +33,21 @@ def first_seen_ids(df: DataFrame, key: str, order: Sequence[str], name: str, sta
     return ordering.global_index(first, ["_first", key], name, start).drop("_first")
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> Column:
-    """Mean and population deviation per column over the selected rows, as one scalar subquery."""
+Scaler = dict[str, tuple[float, float]]
+
+
+def fit_scaler(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> Scaler:
+    """Mean and population deviation per column over the selected rows: one aggregation, two numbers per column."""
     rows = df if where is None else df.filter(where)
-    parts = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in cols]
-    return rows.agg(F.struct(*parts)).scalar()
+    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    return {c: (stats[f"m_{c}"], stats[f"s_{c}"]) for c in cols}
 
 
-def apply_scaler(df: DataFrame, scaler: Column, cols: Sequence[str], where: Column | None = None) -> DataFrame:
+def apply_scaler(df: DataFrame, scaler: Scaler, cols: Sequence[str], where: Column | None = None) -> DataFrame:
     """Standardise columns on the rows where ``where`` holds; a zero deviation scales by 1."""
     out = {}
     for c in cols:
-        std = scaler[c]["std"]
-        z = (F.col(c) - scaler[c]["mean"]) / F.when(std == 0, F.lit(1.0)).otherwise(std)
+        mean, std = scaler[c]
+        z = (F.col(c) - F.lit(mean)) / F.lit(std or 1.0)
         out[c] = z if where is None else F.when(where, z).otherwise(F.col(c))
     return df.withColumns(out)

@@ -1 +1,155 @@
-"""Registered queries."""
+"""Monthly snapshot tables of the customer-product graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.operators import snapshots
+from trendloom.plans.base import LINES, lines, with_country
+from trendloom.plans.customers import LINE_ORDER
+from trendloom.plans.registry import query
+
+# First and last snapshot month; the partial last month of the data is left out.
+FIRST, LAST = 1995 * 12 + 3, 2001 * 12 + 3
+STOP = "2001-08-01"
+TRAIN_UNTIL = "2001-01-01"
+
+_BASE = f"""{LINES}, l AS (SELECT *, year(ts) * 12 + month(ts) - 1 AS m FROM lines WHERE ts < TIMESTAMP '{STOP}'),
+  snap AS (SELECT m, make_date(m // 12, m % 12 + 1, 1) AS snapshot FROM (SELECT unnest(range({FIRST}, {LAST + 1})) AS m))"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines(spark, sf).filter(F.col("ts") < F.lit(STOP).cast("timestamp_ntz"))
+
+
+def customer_table(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.customer_nodes(with_country(_lines(spark, sf), spark, sf), LINE_ORDER, FIRST, LAST)
+
+
+_NODES = f"""{_BASE}, o AS (SELECT invoice, customer, m, min(ts) AS ts, min(ts)::date AS ds, sum(amount) AS amount,
+    count(DISTINCT product) AS np, CASE WHEN hour(min(ts)) < 12 THEN 'morning' WHEN hour(min(ts)) < 18 THEN 'afternoon'
+    ELSE 'evening' END AS part FROM l GROUP BY 1, 2, 3),
+  hist AS (SELECT s.m, customer, avg(np) AS unique_per_order, count(DISTINCT ds) AS frequency, min(ds) AS d0, max(ds) AS d1,
+    sum(amount) / count(DISTINCT ds) AS monetary_value, count_if(part = 'afternoon') AS a, count_if(part = 'evening') AS e,
+    count_if(part = 'morning') AS mo FROM snap s JOIN o ON o.m <= s.m GROUP BY 1, 2),
+  items AS (SELECT s.m, customer, count(*) AS n_unique_items FROM snap s
+    JOIN (SELECT customer, product, min(m) AS m FROM l GROUP BY 1, 2) f ON f.m <= s.m GROUP BY 1, 2),
+  rev AS (SELECT m, customer, sum(amount) AS revenue FROM l GROUP BY 1, 2),
+  grid AS (SELECT s.m, s.snapshot, c.customer FROM snap s, (SELECT DISTINCT customer FROM l) c),
+  fut AS (SELECT s.m, customer, sum(revenue) AS target FROM snap s JOIN rev r ON r.m > s.m AND r.m <= s.m + 3 GROUP BY 1, 2),
+  nodes AS (SELECT g.snapshot, g.customer, h.customer IS NOT NULL AS active,
+    CASE WHEN h.customer IS NULL THEN 0.0 ELSE coalesce(r1.revenue, 0.0) END AS lag1_revenue,
+    CASE WHEN h.customer IS NULL THEN 0.0 ELSE coalesce(r2.revenue, 0.0) END AS lag2_revenue,
+    CASE WHEN h.customer IS NULL THEN 0.0 ELSE coalesce(r3.revenue, 0.0) END AS lag3_revenue,
+    coalesce(unique_per_order, 0.0) AS unique_per_order, coalesce(n_unique_items, 0) AS n_unique_items,
+    coalesce(a >= e AND a >= mo, false)::bigint AS in_afternoon,
+    coalesce(e > a AND e >= mo, false)::bigint AS in_evening, coalesce(mo > a AND mo > e, false)::bigint AS in_morning,
+    coalesce(frequency, 0) AS frequency, coalesce(date_diff('day', d0, d1), 0) AS recency,
+    coalesce(date_diff('day', d0, last_day(g.snapshot)), 0) AS "T", coalesce(monetary_value, 0.0) AS monetary_value,
+    coalesce(date_diff('day', d0, d1) / frequency, 0.0) AS avg_time_between_orders,
+    coalesce(date_diff('day', d1, last_day(g.snapshot)), 0) AS days_since_last_order, coalesce(target, 0.0) AS target
+    FROM grid g LEFT JOIN hist h USING (m, customer) LEFT JOIN items i USING (m, customer)
+    LEFT JOIN rev r1 ON r1.m = g.m - 1 AND r1.customer = g.customer LEFT JOIN rev r2 ON r2.m = g.m - 2
+    AND r2.customer = g.customer LEFT JOIN rev r3 ON r3.m = g.m - 3 AND r3.customer = g.customer
+    LEFT JOIN fut USING (m, customer))"""
+_ROUND = {
+    "lag1_revenue": 2, "lag2_revenue": 2, "lag3_revenue": 2, "unique_per_order": 6, "monetary_value": 6,
+    "avg_time_between_orders": 6,
+}
+
+
+@query(
+    "snapshot_nodes",
+    sql=f"WITH {_NODES} SELECT * EXCLUDE (target) REPLACE ("
+    + ", ".join(f"round({c}, {n}) AS {c}" for c, n in _ROUND.items())
+    + ") FROM nodes",
+)
+def snapshot_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    out = customer_table(spark, sf).drop("target")
+    return out.withColumns({c: F.round(c, n) for c, n in _ROUND.items()})
+
+
+@query("snapshot_targets", sql=f"WITH {_NODES} SELECT snapshot, customer, active, round(target, 2) AS y FROM nodes")
+def snapshot_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.targets(customer_table(spark, sf)).withColumn("y", F.round("y", 2))
+
+
+@query(
+    "snapshot_self_loops",
+    sql=f"WITH {_NODES} SELECT snapshot, customer AS src, customer AS dst, 1.0::double AS weight FROM nodes WHERE active",
+)
+def snapshot_self_loops(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.self_loops(customer_table(spark, sf))
+
+
+@query(
+    "snapshot_products",
+    sql=f"""WITH {_BASE}, h AS (SELECT s.m, product, sum(quantity) AS quantity, sum(amount) AS revenue, avg(price) AS price,
+      count(DISTINCT customer) AS n_buyers FROM snap s JOIN l ON l.m <= s.m GROUP BY 1, 2)
+    SELECT snapshot, p.product, h.product IS NOT NULL AS active, coalesce(quantity, 0.0) AS quantity,
+      round(coalesce(revenue, 0.0), 2) AS revenue, round(coalesce(price, 0.0), 8) AS price, coalesce(n_buyers, 0) AS n_buyers
+    FROM snap s CROSS JOIN (SELECT DISTINCT product FROM l) p LEFT JOIN h ON h.m = s.m AND h.product = p.product""",
+)
+def snapshot_products(spark: SparkSession, sf: str) -> DataFrame:
+    out = snapshots.product_nodes(_lines(spark, sf), FIRST, LAST)
+    return out.withColumns({"revenue": F.round("revenue", 2), "price": F.round("price", 8)})
+
+
+_EDGES = f"""{_BASE}, k AS (SELECT customer, product, m, max(ts) AS late FROM l WHERE m <= {LAST} GROUP BY 1, 2, 3),
+  v AS (SELECT k.customer, k.product, k.m, coalesce(lead(k.m) OVER (PARTITION BY k.customer, k.product ORDER BY k.m) - 1,
+    {LAST}) AS u, k.late FROM k),
+  a AS (SELECT v.customer, v.product, v.m, v.u, v.late, avg(l.price) AS price, sum(l.quantity) AS quantity
+    FROM v JOIN l ON l.customer = v.customer AND l.product = v.product AND l.m <= v.m GROUP BY ALL),
+  versions AS (SELECT customer, product, make_date(m // 12, m % 12 + 1, 1) AS valid_from,
+    make_date(u // 12, u % 12 + 1, 1) AS valid_to, round(price, 8) AS price, quantity,
+    round(sin(2 * pi() * (isodow(late) - 1) / 7), 6) AS day_sin, round(cos(2 * pi() * (isodow(late) - 1) / 7), 6) AS day_cos
+    FROM a)"""
+
+
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    out = snapshots.edge_versions(_lines(spark, sf), LAST)
+    return out.withColumns({"price": F.round("price", 8), **{c: F.round(c, 6) for c in ("day_sin", "day_cos")}})
+
+
+@query("snapshot_edges", sql=f"WITH {_EDGES} SELECT * FROM versions")
+def snapshot_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _versions(spark, sf)
+
+
+@query(
+    "snapshot_edges_at",
+    sql=f"""WITH {_EDGES} SELECT * EXCLUDE (valid_from, valid_to) FROM versions
+    WHERE DATE '2000-06-01' BETWEEN valid_from AND valid_to""",
+)
+def snapshot_edges_at(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.edges_at(_versions(spark, sf), "2000-06-01")
+
+
+_NUM = snapshots.CUSTOMER_NUMERIC
+_STATS = ", ".join(f'avg("{c}") AS m_{c}, stddev_pop("{c}") AS s_{c}' for c in _NUM)
+_SCALED = ", ".join(
+    f'round(CASE WHEN active THEN ("{c}" - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END ELSE "{c}" END, 5) AS "{c}"'
+    for c in _NUM
+)
+
+
+@query(
+    "snapshot_scaled",
+    sql=f"""WITH {_NODES}, st AS (SELECT {_STATS} FROM nodes WHERE active AND snapshot <= DATE '{TRAIN_UNTIL}')
+    SELECT snapshot, customer, active, {_SCALED} FROM nodes, st""",
+)
+def snapshot_scaled(spark: SparkSession, sf: str) -> DataFrame:
+    scaled = snapshots.scale_customers(customer_table(spark, sf).drop("target"), TRAIN_UNTIL)
+    return scaled.withColumns({c: F.round(c, 5) for c in _NUM})
+
+
+@query(
+    "snapshot_split",
+    sql=f"""WITH {_NODES} SELECT CASE WHEN snapshot = DATE '2001-04-01' THEN 'test' WHEN snapshot >= DATE '2001-02-01'
+    THEN 'valid' ELSE 'train' END AS part, count(*) AS n, count_if(active)::bigint AS n_active FROM nodes GROUP BY 1""",
+)
+def snapshot_split(spark: SparkSession, sf: str) -> DataFrame:
+    months = [f"{m // 12}-{m % 12 + 1:02d}-01" for m in range(FIRST, LAST + 1)]
+    parts = snapshots.split(customer_table(spark, sf), months)
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("active")).alias("n_active"))
