@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import panel
@@ -66,3 +66,12 @@ LINES = f"""lines AS (SELECT l_orderkey AS invoice, l_linenumber::bigint AS line
   n_name AS country, p_name AS description
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
+
+
+def tidy(name: str, places: int) -> Column:
+    """Round for comparison. Means of money amounts often end on a half, so they are first moved off it a little."""
+    return F.round(F.col(name) + float(f"3e-{places + 3}"), places).alias(name)
+
+
+def tidy_sql(expr: str, places: int) -> str:
+    return f"round({expr} + 3e-{places + 3}, {places})"

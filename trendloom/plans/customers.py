@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import clv, metrics, panel, rfm, samples
-from trendloom.plans.base import LINES, lines, with_country, with_description
+from trendloom.plans.base import LINES, lines, tidy, tidy_sql, with_country, with_description
 from trendloom.plans.registry import query
 
 CUT, END = "2001-02-01", "2001-08-01"
@@ -72,12 +72,12 @@ def first_order(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rfm_summary",
     sql=f"""WITH {_ORDERS} SELECT customer, count(*) AS frequency, date_diff('day', min(ds), max(ds)) AS recency,
-    date_diff('day', min(ds), DATE '{END}') AS "T", round(sum(amount) / count(*), 6) AS monetary_value
+    date_diff('day', min(ds), DATE '{END}') AS "T", {tidy_sql('sum(amount) / count(*)', 4)} AS monetary_value
     FROM spend WHERE ds <= DATE '{END}' GROUP BY customer""",
 )
 def rfm_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = rfm.summary(_spend(spark, sf), END, include_first=True)
-    return out.withColumn("monetary_value", F.round("monetary_value", 6))
+    return out.withColumn("monetary_value", tidy("monetary_value", 4))
 
 
 _HOLD = f"""{_ORDERS}, cal AS (SELECT customer, count(*) - 1 AS frequency, date_diff('day', min(ds), max(ds)) AS recency,
@@ -91,22 +91,22 @@ _HOLD = f"""{_ORDERS}, cal AS (SELECT customer, count(*) - 1 AS frequency, date_
 
 @query(
     "rfm_holdout",
-    sql=f"""WITH {_HOLD} SELECT customer, frequency, recency, "T", round(monetary_value, 6) AS monetary_value,
-    hf AS holdout_frequency, round(hm, 6) AS holdout_monetary_value FROM both_t""",
+    sql=f"""WITH {_HOLD} SELECT customer, frequency, recency, "T", {tidy_sql('monetary_value', 4)} AS monetary_value,
+    hf AS holdout_frequency, {tidy_sql('hm', 4)} AS holdout_monetary_value FROM both_t""",
 )
 def rfm_holdout(spark: SparkSession, sf: str) -> DataFrame:
     out = rfm.calibration_holdout(_spend(spark, sf), CUT, END)
-    return out.withColumns({c: F.round(c, 6) for c in ("monetary_value", "holdout_monetary_value")})
+    return out.withColumns({c: tidy(c, 4) for c in ("monetary_value", "holdout_monetary_value")})
 
 
 @query(
     "rfm_train_test",
-    sql=f"""WITH {_HOLD} SELECT customer, frequency, recency, "T", round(monetary_value, 6) AS monetary_value,
-    hf AS test_frequency, round(hm, 6) AS test_monetary_value FROM both_t WHERE monetary_value <= 250000""",
+    sql=f"""WITH {_HOLD} SELECT customer, frequency, recency, "T", {tidy_sql('monetary_value', 4)} AS monetary_value,
+    hf AS test_frequency, {tidy_sql('hm', 4)} AS test_monetary_value FROM both_t WHERE monetary_value <= 250000""",
 )
 def rfm_train_test(spark: SparkSession, sf: str) -> DataFrame:
     out = rfm.train_test(_spend(spark, sf), CUT, END, spend_cap=250000.0)
-    return out.withColumns({c: F.round(c, 6) for c in ("monetary_value", "test_monetary_value")})
+    return out.withColumns({c: tidy(c, 4) for c in ("monetary_value", "test_monetary_value")})
 
 
 @query(
@@ -145,21 +145,21 @@ def spend_corr(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT customer, count(*) AS frequency, date_diff('day', min(ds), max(ds)) AS recency,
       date_diff('day', min(ds), DATE '{END}') AS "T", sum(amount) / count(*) AS m FROM spend GROUP BY customer)
     SELECT customer, round(unique_per_order, 6) AS unique_per_order, country, n_unique_items, frequency, recency, "T",
-      round(m, 6) AS monetary_value, (part = 'afternoon')::bigint AS in_afternoon, (part = 'evening')::bigint AS in_evening,
+      {tidy_sql('m', 4)} AS monetary_value, (part = 'afternoon')::bigint AS in_afternoon, (part = 'evening')::bigint AS in_evening,
       (part = 'morning')::bigint AS in_morning, round(recency / nullif(frequency, 0), 6) AS avg_time_between_orders,
       "T" - recency AS days_since_last_order, round(frequency * m, 2) AS total_spend
     FROM g JOIN p USING (customer) JOIN i USING (customer) LEFT JOIN s USING (customer)""",
 )
 def customer_features(spark: SparkSession, sf: str) -> DataFrame:
     out = rfm.customer_features(_named(spark, sf), LINE_ORDER, END)
-    places = {"unique_per_order": 6, "monetary_value": 6, "avg_time_between_orders": 6, "total_spend": 2}
-    return out.withColumns({c: F.round(c, n) for c, n in places.items()})
+    places = {"unique_per_order": 6, "avg_time_between_orders": 6, "total_spend": 2}
+    return out.withColumns({"monetary_value": tidy("monetary_value", 4), **{c: F.round(c, n) for c, n in places.items()}})
 
 
 @query(
     "period_rollup",
     sql=f"""WITH {LINES} SELECT last_day(ts::date) AS period_end, customer, product, count(*) AS n_lines,
-    round(avg(price), 8) AS price, sum(quantity) AS quantity, arg_min(country, {_PLACE}) AS country,
+    {tidy_sql('avg(price)', 4)} AS price, sum(quantity) AS quantity, arg_min(country, {_PLACE}) AS country,
     arg_min(description, {_PLACE}) AS description FROM lines GROUP BY 1, 2, 3 HAVING sum(quantity) > 0""",
 )
 def period_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +172,7 @@ def period_rollup(spark: SparkSession, sf: str) -> DataFrame:
             F.min_by("country", place).alias("country"), F.min_by("description", place).alias("description"),
         ],
     )
-    return out.filter("quantity > 0").withColumn("price", F.round("price", 8))
+    return out.filter("quantity > 0").withColumn("price", tidy("price", 4))
 
 
 START, STEP, CUTS, MONTHS = "1995-01-01", 56, 40, 3

@@ -1 +1,408 @@
-"""Registered queries."""
+"""Queries over the timestamped customer-product interactions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.functions import arrays
+from trendloom.functions.hashing import draw_sql
+from trendloom.operators import metrics, tgraph
+from trendloom.plans.base import LINES, lines, tidy_sql, with_country, with_description
+from trendloom.plans.registry import query
+from trendloom.sources.files import table
+from trendloom.sources.work import store
+
+ORDER = ["ts", "invoice", "line", "product", "supplier", "quantity", "price"]
+START = "1995-01-01"
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _r(values: str, places: int = 6):
+    return F.transform(values, lambda v: F.round(v, places)).alias(values)
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical interaction table (1-based ids, items after users), written once per application and read by every query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        base = with_description(with_country(lines(spark, sf), spark, sf), spark, sf)
+        keep = ["ts", "amount", "quantity", "price", "customer", "product", "country", "description"]
+        raw = tgraph.interactions(base, "customer", "product", "ts", ORDER, keep)
+        named = tgraph.reindex(raw.withColumnRenamed("ts", "moment")).withColumnRenamed("seconds", "ts")
+        _STORED[key] = store(named, "interactions")
+    return _STORED[key]
+
+
+_FIRST = "min({'a': ts, 'b': invoice, 'c': line})"
+EDGES = f"""{LINES}, cu AS (SELECT customer, row_number() OVER (ORDER BY f, customer) AS u FROM
+    (SELECT customer, {_FIRST} AS f FROM lines GROUP BY customer)),
+  pr AS (SELECT product, row_number() OVER (ORDER BY f, product) + (SELECT count(*) FROM cu) AS i FROM
+    (SELECT product, {_FIRST} AS f FROM lines GROUP BY product)),
+  edges AS (SELECT row_number() OVER (ORDER BY {", ".join(ORDER)}) AS edge_idx, u, i,
+    (epoch(ts) - epoch(min(ts) OVER ()))::bigint AS ts, ts AS moment, amount, quantity, price, customer, product, country,
+    description FROM lines JOIN cu USING (customer) JOIN pr USING (product))"""
+
+FEATS = tgraph.feature_columns("amount", "quantity")
+_FEAT = f"""{EDGES}, feats AS (SELECT edge_idx, u, i, ts, 1.0::double AS label,
+  (amount - avg(amount) OVER ()) / stddev_pop(amount) OVER () AS amount,
+  (quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER () AS quantity,
+  sin(2 * pi() * (isodow(moment) - 1) / 7) AS day_sin, cos(2 * pi() * (isodow(moment) - 1) / 7) AS day_cos,
+  {", ".join(f"(month(moment) = {m})::bigint AS month_{m}" for m in range(2, 13))} FROM edges)"""
+
+
+def _featured(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.event_features(edges(spark, sf), "moment", "amount", "quantity")
+
+
+@query(
+    "interactions",
+    sql=f"""WITH {_FEAT} SELECT edge_idx - 1 AS edge_idx, u - 1 AS u, i - 1 - (SELECT count(*) FROM cu) AS i, ts, label,
+    round(amount, 6) AS amount, round(quantity, 6) AS quantity, round(day_sin, 6) AS day_sin, round(day_cos, 6) AS day_cos,
+    {", ".join(f"month_{m}" for m in range(2, 13))} FROM feats""",
+)
+def interactions(spark: SparkSession, sf: str) -> DataFrame:
+    raw = tgraph.interactions(lines(spark, sf), "customer", "product", "ts", ORDER, ["ts", "amount", "quantity"])
+    out = tgraph.event_features(raw, "ts", "amount", "quantity").drop("ts").withColumnRenamed("seconds", "ts")
+    return out.withColumns({c: F.round(c, 6) for c in ("amount", "quantity", "day_sin", "day_cos")})
+
+
+@query("reindex_bipartite", sql=f"WITH {EDGES} SELECT edge_idx, u, i, ts FROM edges")
+def reindex_bipartite(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).select("edge_idx", "u", "i", "ts")
+
+
+@query("contiguous_ids", sql=f"""WITH {EDGES} SELECT 'u' AS side, max(u) - min(u) + 1 = count(DISTINCT u) AS contiguous FROM edges
+    UNION ALL SELECT 'i', max(i) - min(i) + 1 = count(DISTINCT i) FROM edges""")
+def contiguous_ids(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf)
+    sides = [tgraph.contiguous(e, s).select(F.lit(s).alias("side"), "contiguous") for s in ("u", "i")]
+    return sides[0].unionByName(sides[1])
+
+
+_FEAT_LIST = "list_transform([" + ", ".join(f"{c}::double" for c in FEATS) + "], lambda v: round(v, 6))"
+
+
+def _bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.event_bundle(_featured(spark, sf).withColumnRenamed("ts", "seconds"), FEATS)
+
+
+@query("event_bundle", sql=f"WITH {_FEAT} SELECT edge_idx, u, i, ts, label, {_FEAT_LIST} AS feat FROM feats")
+def event_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return _bundle(spark, sf).select("edge_idx", "u", "i", "ts", "label", _r("feat"))
+
+
+@query(
+    "feature_matrix",
+    sql=f"""WITH {_FEAT} SELECT edge_idx AS idx, {_FEAT_LIST} AS feat FROM feats
+    UNION ALL SELECT 0, list_transform(range(0, {len(FEATS)}), lambda v: 0.0::double)""",
+)
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.feature_matrix(_bundle(spark, sf), len(FEATS)).select("idx", _r("feat"))
+
+
+_ADJ = "adj AS (SELECT u AS node, i AS other, edge_idx, ts FROM edges UNION ALL SELECT i, u, edge_idx, ts FROM edges)"
+
+
+@query("adjacency", sql=f"WITH {EDGES}, {_ADJ} SELECT * FROM adj")
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.adjacency(edges(spark, sf))
+
+
+def _wait_sql(side: str) -> str:
+    return f"""SELECT '{side}' AS side, round(avg(d), 2) AS mean, round(stddev_pop(d), 2) AS std FROM (SELECT
+    ts - coalesce(lag(ts) OVER (PARTITION BY {side} ORDER BY ts, edge_idx), 0) AS d FROM edges)"""
+
+
+@query("time_stats", sql=f"WITH {EDGES} {_wait_sql('u')} UNION ALL {_wait_sql('i')}")
+def time_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = tgraph.time_stats(edges(spark, sf))
+    return out.select("side", F.round("mean", 2).alias("mean"), F.round("std", 2).alias("std"))
+
+
+def _encode_sql(x: str, dim: int) -> str:
+    step = 9.0 / max(dim - 1, 1)
+    return ", ".join(f"cos({x} * {10.0 ** (-step * j)!r}::double)" for j in range(dim))
+
+
+@query(
+    "time_encode",
+    sql=f"WITH {EDGES} SELECT edge_idx, list_transform([{_encode_sql('ts', 8)}], lambda v: round(v, 6)) AS code FROM edges",
+)
+def time_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).select("edge_idx", arrays.time_encode("ts", 8).alias("code")).select("edge_idx", _r("code"))
+
+
+N = 5
+_Q = "q AS (SELECT edge_idx AS qid, u AS node, ts AS cut FROM edges)"
+_LATEST = f"""{_Q}, {_ADJ}, found AS (SELECT q.qid, q.node, q.cut, a.other, a.edge_idx, a.ts FROM q JOIN adj a
+  ON a.node = q.node AND a.ts < q.cut
+  QUALIFY row_number() OVER (PARTITION BY q.qid ORDER BY a.ts DESC, a.edge_idx DESC, a.other DESC) <= {N})"""
+
+
+def _queries(e: DataFrame) -> DataFrame:
+    """Each edge asks for its source's past, strictly before the edge."""
+    return e.select(F.col("edge_idx").alias("qid"), F.col("u").alias("node"), F.col("ts").alias("cut"))
+
+
+def _pad_sql(col: str) -> str:
+    inner = f"list({col} ORDER BY f.ts, f.edge_idx, f.other) FILTER (WHERE f.qid IS NOT NULL)"
+    return f"list_concat(list_transform(range(0, {N} - count(f.qid)), lambda v: 0::bigint), coalesce({inner}, []::bigint[]))"
+
+
+_PADDED = f"""SELECT q.qid, q.node, q.cut, {_pad_sql("f.other")} AS neighbors, {_pad_sql("f.edge_idx")} AS edges,
+  {_pad_sql("f.ts")} AS times FROM q LEFT JOIN found f ON f.qid = q.qid GROUP BY q.qid, q.node, q.cut"""
+
+
+@query("temporal_neighbors", sql=f"WITH {EDGES}, {_LATEST} {_PADDED}")
+def temporal_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf)
+    found = tgraph.temporal_neighbors(tgraph.adjacency(e), _queries(e), N)
+    return tgraph.padded_neighbors(found, _queries(e), N)
+
+
+@query(
+    "neighbor_sample",
+    sql=f"""WITH {EDGES}, {_Q}, {_ADJ}, ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts, edge_idx, other)
+      AS place FROM adj), b AS (SELECT q.qid, q.node, q.cut, count(*) AS before FROM q JOIN adj a ON a.node = q.node
+      AND a.ts < q.cut GROUP BY 1, 2, 3),
+    d AS (SELECT *, unnest(range(0, {N})) AS draw FROM b)
+    SELECT d.qid, d.node, d.cut, d.draw, r.other, r.edge_idx, r.ts FROM d JOIN ranked r ON r.node = d.node
+    AND r.place = {draw_sql(f"d.qid * {N} + d.draw", 7)} % d.before + 1""",
+)
+def neighbor_sample(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf)
+    found = tgraph.temporal_neighbors(tgraph.adjacency(e), _queries(e), N, "uniform", 7)
+    return found.select("qid", "node", "cut", "draw", "other", "edge_idx", "ts")
+
+
+DIM = 4
+_HOOD = [f"sum({c}) AS s{j}" for j, c in enumerate(["x.amount / 1000", "x.quantity"])]
+_HOOD += [f"sum({c}) AS s{j + 2}" for j, c in enumerate(_encode_sql("(f.cut - f.ts)", DIM).split(", "))]
+_HOOD_LIST = ", ".join(f"coalesce(s{j}, 0.0)" for j in range(DIM + 2))
+
+
+@query(
+    "neighborhood_features",
+    sql=f"""WITH {EDGES}, {_LATEST}, s AS (SELECT f.qid, count(*) AS n, {", ".join(_HOOD)} FROM found f
+      JOIN edges x ON x.edge_idx = f.edge_idx GROUP BY f.qid)
+    SELECT q.qid, q.node, q.cut, coalesce(n, 0) AS n, list_transform([{_HOOD_LIST}], lambda v: round(v, 5)) AS vec
+    FROM q LEFT JOIN s USING (qid)""",
+)
+def neighborhood_features(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
+    found = tgraph.temporal_neighbors(tgraph.adjacency(e, ["kilo", "quantity"]), _queries(e), N)
+    out = tgraph.neighborhood_features(found, _queries(e), ["kilo", "quantity"], DIM)
+    return out.select("qid", "node", "cut", "n", _r("vec", 5))
+
+
+BATCH = 200
+_MSG = f"""adj AS (SELECT u AS node, i AS other, edge_idx, ts, amount / 1000 AS kilo, quantity,
+    (edge_idx - 1) // {BATCH} AS batch FROM edges UNION ALL SELECT i, u, edge_idx, ts, amount / 1000, quantity,
+    (edge_idx - 1) // {BATCH} FROM edges),
+  seen AS (SELECT node, batch, coalesce(lag(max(ts)) OVER (PARTITION BY node ORDER BY batch), 0) AS last_update FROM adj
+    GROUP BY node, batch),
+  msgs AS (SELECT a.batch, a.edge_idx, a.node, a.other, a.ts, a.ts - s.last_update AS dt,
+    [kilo, quantity, {_encode_sql("(a.ts - s.last_update)", DIM)}] AS msg FROM adj a JOIN seen s USING (node, batch))"""
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
+    return tgraph.messages(e, ["kilo", "quantity"], DIM, BATCH)
+
+
+_MSG6 = "list_transform(msg, lambda v: round(v, 6)) AS msg"
+
+
+@query("messages", sql=f"WITH {EDGES}, {_MSG} SELECT batch, edge_idx, node, other, ts, dt, {_MSG6} FROM msgs")
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    return _messages(spark, sf).select("batch", "edge_idx", "node", "other", "ts", "dt", _r("msg"))
+
+
+@query(
+    "message_last",
+    sql=f"""WITH {EDGES}, {_MSG} SELECT batch, node, {_MSG6}, ts FROM msgs
+    QUALIFY row_number() OVER (PARTITION BY batch, node ORDER BY edge_idx DESC) = 1""",
+)
+def message_last(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "last").select("batch", "node", _r("msg"), "ts")
+
+
+@query(
+    "message_mean",
+    sql=f"""WITH {EDGES}, {_MSG} SELECT batch, node, max(ts) AS ts, [{", ".join(f"{tidy_sql(f"avg(msg[{j + 1}])", 5)}"
+    for j in range(DIM + 2))}] AS msg FROM msgs GROUP BY batch, node""",
+)
+def message_mean(spark: SparkSession, sf: str) -> DataFrame:
+    means = tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "mean")
+    return means.select("batch", "node", "ts", F.transform("msg", lambda v: F.round(v + 3e-8, 5)).alias("msg"))
+
+
+_CUT = 150_000_000
+
+
+@query(
+    "node_state",
+    sql=f"""WITH {EDGES}, {_ADJ}, st AS (SELECT avg(d) AS m, stddev_pop(d) AS s FROM (SELECT
+      ts - coalesce(lag(ts) OVER (PARTITION BY u ORDER BY ts, edge_idx), 0) AS d FROM edges))
+    SELECT node, max(ts) AS last_update, round(({_CUT} - max(ts) - any_value(m)) / any_value(s), 6) AS waited
+    FROM adj, st WHERE ts <= {_CUT} GROUP BY node""",
+)
+def node_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Last update of each node at a cut, with the time since then in deviations of the usual wait of a source."""
+    e = edges(spark, sf)
+    stats = tgraph.time_stats(e).filter("side = 'u'").agg(F.max(F.struct("mean", "std"))).scalar()
+    state = tgraph.last_update(tgraph.adjacency(e), _CUT)
+    waited = (F.lit(_CUT) - F.col("last_update") - stats["mean"]) / stats["std"]
+    return state.select("node", "last_update", F.round(waited, 6).alias("waited"))
+
+
+@query(
+    "static_node_features",
+    sql=f"""WITH {EDGES} SELECT u AS node, 'customer' AS kind, arg_min(country, edge_idx) AS name,
+      arg_min(price, edge_idx) AS price FROM edges GROUP BY u
+    UNION ALL SELECT i, 'product', arg_min(description, edge_idx), arg_min(price, edge_idx) FROM edges GROUP BY i""",
+)
+def static_node_features(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf)
+    us = tgraph.static_node_features(e, "u", ["country", "price"], ["edge_idx"])
+    its = tgraph.static_node_features(e, "i", ["description", "price"], ["edge_idx"])
+    named = us.select("node", F.lit("customer").alias("kind"), F.col("country").alias("name"), "price")
+    return named.unionByName(its.select("node", F.lit("product").alias("kind"), F.col("description").alias("name"), "price"))
+
+
+_CUTS = f"""cut AS (SELECT (epoch(e - INTERVAL 6 MONTH) - epoch(s))::bigint AS val,
+  (epoch(e - INTERVAL 3 MONTH) - epoch(s))::bigint AS test FROM (SELECT TIMESTAMP '{START}' AS s,
+  TIMESTAMP '{START}' + to_seconds(max(ts)) AS e FROM edges))"""
+_PART = "CASE WHEN ts <= val THEN 'train' WHEN ts <= test THEN 'valid' ELSE 'test' END"
+
+
+@query("split_by_time", sql=f"WITH {EDGES}, {_CUTS} SELECT edge_idx, {_PART} AS part FROM edges, cut")
+def split_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.split_by_time(edges(spark, sf), START).select("edge_idx", "part")
+
+
+@query(
+    "split_by_quantile",
+    sql=f"""WITH {EDGES}, cut AS (SELECT quantile_cont(ts, 0.70) AS val, quantile_cont(ts, 0.85) AS test FROM edges)
+    SELECT edge_idx, {_PART} AS part FROM edges, cut""",
+)
+def split_by_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.split_by_quantile(edges(spark, sf)).select("edge_idx", "part")
+
+
+_HELD = f"""{_CUTS}, nodes AS (SELECT u AS node FROM edges UNION SELECT i FROM edges),
+  late AS (SELECT u AS node FROM edges, cut WHERE ts > val UNION SELECT i FROM edges, cut WHERE ts > val),
+  held AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY {draw_sql("node", 2020)}, node) AS b FROM late)
+    WHERE b <= (SELECT floor(0.1 * count(*)) FROM nodes))"""
+_SPLIT = f"""{_HELD}, marked AS (SELECT e.*, CASE WHEN ts <= val AND (u IN (SELECT node FROM held) OR i IN (SELECT node FROM held))
+    THEN 'dropped' ELSE {_PART} END AS part FROM edges e, cut),
+  known AS (SELECT u AS node FROM marked WHERE part = 'train' UNION SELECT i FROM marked WHERE part = 'train'),
+  parted AS (SELECT *, part IN ('valid', 'test') AND (u NOT IN (SELECT node FROM known) OR i NOT IN (SELECT node FROM known))
+    AS new_node FROM marked)"""
+
+
+def _inductive(spark: SparkSession, sf: str, halves: bool = False) -> DataFrame:
+    e = edges(spark, sf)
+    val, test = tgraph.time_cuts(e, START, 6, 3)
+    return tgraph.inductive_split(e, val, test, halves=halves)
+
+
+@query("inductive_split", sql=f"WITH {EDGES}, {_SPLIT} SELECT edge_idx, u, i, part, new_node FROM parted")
+def inductive_split(spark: SparkSession, sf: str) -> DataFrame:
+    return _inductive(spark, sf).select("edge_idx", "u", "i", "part", "new_node")
+
+
+@query(
+    "inductive_halves",
+    sql=f"""WITH {EDGES}, {_SPLIT}, half AS (SELECT node, {draw_sql("node", 2021)} % 2 AS h FROM held)
+    SELECT edge_idx, u, i, part, part IN ('valid', 'test') AND EXISTS (SELECT 1 FROM half WHERE (node = u OR node = i)
+      AND h = CASE WHEN part = 'valid' THEN 0 ELSE 1 END) AS new_node FROM marked""",
+)
+def inductive_halves(spark: SparkSession, sf: str) -> DataFrame:
+    return _inductive(spark, sf, halves=True).select("edge_idx", "u", "i", "part", "new_node")
+
+
+@query(
+    "split_counts",
+    sql=f"""WITH {EDGES}, {_SPLIT} SELECT part, count(*) AS n, count_if(new_node)::bigint AS n_new,
+    (SELECT count(DISTINCT node) FROM (SELECT u AS node FROM parted x WHERE x.part = p.part UNION ALL SELECT i FROM parted x
+    WHERE x.part = p.part)) AS n_nodes FROM parted p GROUP BY part""",
+)
+def split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.split_counts(_inductive(spark, sf))
+
+
+@query(
+    "unseen_nodes",
+    sql=f"""WITH {EDGES}, {_SPLIT} SELECT (SELECT count(*) FROM (SELECT node FROM nodes EXCEPT SELECT node FROM known)) AS unseen,
+    (SELECT count(*) FROM (SELECT node FROM held INTERSECT SELECT node FROM known)) AS shared""",
+)
+def unseen_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes less the training nodes, and the check that held-out nodes and training nodes do not meet."""
+    e = edges(spark, sf)
+    parted = _inductive(spark, sf)
+    known = tgraph.nodes(parted.filter("part = 'train'"))
+    val, _ = tgraph.time_cuts(e, START, 6, 3)
+    unseen = tgraph.nodes(e).join(known, "node", "left_anti").agg(F.count(F.lit(1)).alias("unseen"))
+    shared = tgraph.overlap(known, tgraph.held_out_nodes(e, val, 0.1, 2020)).agg(F.count(F.lit(1))).scalar()
+    return unseen.select("unseen", shared.alias("shared"))
+
+
+_NEG = f"""pool AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS slot FROM (SELECT DISTINCT i FROM edges)),
+  neg AS (SELECT e.edge_idx, e.u, p.i, e.ts FROM edges e JOIN pool p
+    ON p.slot = {draw_sql("e.edge_idx", 0)} % (SELECT count(*) FROM pool))"""
+
+
+@query("negative_edges", sql=f"WITH {EDGES}, {_NEG} SELECT * FROM neg")
+def negative_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.negative_edges(edges(spark, sf))
+
+
+@query(
+    "negative_edges_clean",
+    sql=f"WITH {EDGES}, {_NEG} SELECT * FROM neg n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = n.u AND e.i = n.i)",
+)
+def negative_edges_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return tgraph.negative_edges(edges(spark, sf), exclude=True).select("edge_idx", "u", "i", "ts")
+
+
+_SCORES = f"""{_NEG}, nd AS (SELECT DISTINCT u AS node FROM edges UNION SELECT DISTINCT i FROM edges),
+  vec AS (SELECT node, embedding AS v FROM nd JOIN embeddings ON vec_id = node % (SELECT count(*) FROM embeddings)),
+  pairs AS (SELECT edge_idx, u, i, 1::bigint AS label FROM edges UNION ALL SELECT edge_idx, u, i, 0 FROM neg),
+  scores AS (SELECT edge_idx, u, i, label, round(list_sum(list_transform(range(1, 65),
+    lambda k: a.v[k]::double * b.v[k]::double)), 9) AS score FROM pairs JOIN vec a ON a.node = u JOIN vec b ON b.node = i)"""
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge scores with an embedding row dealt to each node."""
+    e = edges(spark, sf)
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    dealt = tgraph.nodes(e).withColumn("vec_id", F.pmod("node", total)).join(rows, "vec_id").select("node", "vec")
+    return tgraph.link_scores(e, tgraph.negative_edges(e), dealt).withColumn("score", F.round("score", 9))
+
+
+@query("link_scores", sql=f"WITH {EDGES}, {_SCORES} SELECT * FROM scores")
+def link_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf)
+
+
+_CURVE = f"""{_SCORES}, c AS (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg_n FROM scores GROUP BY 1),
+  r AS (SELECT pos, neg_n, sum(pos) OVER w AS tp, sum(neg_n) OVER w AS fp FROM c WINDOW w AS (ORDER BY score DESC))"""
+
+
+@query("link_ap", sql=f"""WITH {EDGES}, {_CURVE} SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS ap,
+    round(sum(neg_n * (tp - pos / 2)) / (sum(pos) * sum(neg_n)), 6) AS auc FROM r""")
+def link_ap(spark: SparkSession, sf: str) -> DataFrame:
+    scored = store(_scores(spark, sf).select("label", "score"), "link-scores")
+    area = metrics.auc(scored, "label", "score").scalar()
+    ap = metrics.average_precision(scored, "label", "score")
+    return ap.select(F.round("ap", 6).alias("ap"), F.round(area, 6).alias("auc"))
+
+
+@query("link_loss", sql=f"""WITH {EDGES}, {_SCORES} SELECT label, count(*) AS n,
+    round(avg(greatest(score, 0) - score * label + ln(1 + exp(-abs(score)))), 6) AS loss FROM scores GROUP BY label""")
+def link_loss(spark: SparkSession, sf: str) -> DataFrame:
+    loss = F.avg(metrics.bce(F.col("label"), F.col("score")))
+    return _scores(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(loss, 6).alias("loss"))

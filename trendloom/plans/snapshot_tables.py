@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import snapshots
-from trendloom.plans.base import LINES, lines, with_country
+from trendloom.plans.base import LINES, lines, tidy, tidy_sql, with_country
 from trendloom.plans.customers import LINE_ORDER
 from trendloom.plans.registry import query
 
@@ -54,20 +54,19 @@ _NODES = f"""{_BASE}, o AS (SELECT invoice, customer, m, min(ts) AS ts, min(ts):
     AND r2.customer = g.customer LEFT JOIN rev r3 ON r3.m = g.m - 3 AND r3.customer = g.customer
     LEFT JOIN fut USING (m, customer))"""
 _ROUND = {
-    "lag1_revenue": 2, "lag2_revenue": 2, "lag3_revenue": 2, "unique_per_order": 6, "monetary_value": 6,
-    "avg_time_between_orders": 6,
+    "lag1_revenue": 2, "lag2_revenue": 2, "lag3_revenue": 2, "unique_per_order": 6, "monetary_value": 4, "avg_time_between_orders": 6,
 }
 
 
 @query(
     "snapshot_nodes",
     sql=f"WITH {_NODES} SELECT * EXCLUDE (target) REPLACE ("
-    + ", ".join(f"round({c}, {n}) AS {c}" for c, n in _ROUND.items())
+    + ", ".join(f"{tidy_sql(c, n)} AS {c}" for c, n in _ROUND.items())
     + ") FROM nodes",
 )
 def snapshot_nodes(spark: SparkSession, sf: str) -> DataFrame:
     out = customer_table(spark, sf).drop("target")
-    return out.withColumns({c: F.round(c, n) for c, n in _ROUND.items()})
+    return out.withColumns({c: tidy(c, n) for c, n in _ROUND.items()})
 
 
 @query("snapshot_targets", sql=f"WITH {_NODES} SELECT snapshot, customer, active, round(target, 2) AS y FROM nodes")
@@ -88,12 +87,12 @@ def snapshot_self_loops(spark: SparkSession, sf: str) -> DataFrame:
     sql=f"""WITH {_BASE}, h AS (SELECT s.m, product, sum(quantity) AS quantity, sum(amount) AS revenue, avg(price) AS price,
       count(DISTINCT customer) AS n_buyers FROM snap s JOIN l ON l.m <= s.m GROUP BY 1, 2)
     SELECT snapshot, p.product, h.product IS NOT NULL AS active, coalesce(quantity, 0.0) AS quantity,
-      round(coalesce(revenue, 0.0), 2) AS revenue, round(coalesce(price, 0.0), 8) AS price, coalesce(n_buyers, 0) AS n_buyers
+      round(coalesce(revenue, 0.0), 2) AS revenue, {tidy_sql('coalesce(price, 0.0)', 4)} AS price, coalesce(n_buyers, 0) AS n_buyers
     FROM snap s CROSS JOIN (SELECT DISTINCT product FROM l) p LEFT JOIN h ON h.m = s.m AND h.product = p.product""",
 )
 def snapshot_products(spark: SparkSession, sf: str) -> DataFrame:
     out = snapshots.product_nodes(_lines(spark, sf), FIRST, LAST)
-    return out.withColumns({"revenue": F.round("revenue", 2), "price": F.round("price", 8)})
+    return out.withColumns({"revenue": F.round("revenue", 2), "price": tidy("price", 4)})
 
 
 _EDGES = f"""{_BASE}, k AS (SELECT customer, product, m, max(ts) AS late FROM l WHERE m <= {LAST} GROUP BY 1, 2, 3),
@@ -102,14 +101,14 @@ _EDGES = f"""{_BASE}, k AS (SELECT customer, product, m, max(ts) AS late FROM l
   a AS (SELECT v.customer, v.product, v.m, v.u, v.late, avg(l.price) AS price, sum(l.quantity) AS quantity
     FROM v JOIN l ON l.customer = v.customer AND l.product = v.product AND l.m <= v.m GROUP BY ALL),
   versions AS (SELECT customer, product, make_date(m // 12, m % 12 + 1, 1) AS valid_from,
-    make_date(u // 12, u % 12 + 1, 1) AS valid_to, round(price, 8) AS price, quantity,
+    make_date(u // 12, u % 12 + 1, 1) AS valid_to, {tidy_sql('price', 4)} AS price, quantity,
     round(sin(2 * pi() * (isodow(late) - 1) / 7), 6) AS day_sin, round(cos(2 * pi() * (isodow(late) - 1) / 7), 6) AS day_cos
     FROM a)"""
 
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
     out = snapshots.edge_versions(_lines(spark, sf), LAST)
-    return out.withColumns({"price": F.round("price", 8), **{c: F.round(c, 6) for c in ("day_sin", "day_cos")}})
+    return out.withColumns({"price": tidy("price", 4), **{c: F.round(c, 6) for c in ("day_sin", "day_cos")}})
 
 
 @query("snapshot_edges", sql=f"WITH {_EDGES} SELECT * FROM versions")
