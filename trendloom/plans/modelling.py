@@ -1 +1,219 @@
-"""Registered queries."""
+"""Model queries: forecasts, clusters, vector neighbours, text and value models."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.operators import backtest, metrics, models, panel, sampling, vectors
+from trendloom.plans import customers, forecasting, interaction_graph
+from trendloom.plans.base import daily, lines
+from trendloom.plans.registry import query
+from trendloom.sources import files
+from trendloom.sources.files import table
+from trendloom.sources.work import store, work_path
+
+LAGS = forecasting.LAGS
+CATS = ["entity"]
+TREES = {"maxIter": 10, "maxDepth": 4}
+HORIZON = 50
+
+
+def _held(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
+    return store(panel.holdout_tail(daily(spark, sf), "entity", "ds", n), "held")
+
+
+def _fit(held: DataFrame, **params: object) -> models.PipelineModel:
+    frame = models.training_frame(held.filter("rel = 0"), "entity", "ds", "y", LAGS)
+    numeric = [*models.CALENDAR, *models.lag_names(LAGS)]
+    return models.fit_global(frame, "y", numeric, CATS, **{**TREES, **params})
+
+
+@query("global_gbt")
+def global_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """One-step predictions of the global model on the held-out tail, with lags from the actual history."""
+    held = _held(spark, sf)
+    model = _fit(held)
+    frame = models.training_frame(held, "entity", "ds", "y", LAGS).filter("is_test")
+    return models.score(model, frame, CATS).select("entity", "ds", "y", "yhat")
+
+
+@query("recursive_forecast")
+def recursive_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    held = _held(spark, sf)
+    buffer = panel.tail(held.filter("rel = 0"), "entity", "ds", 50)
+    return models.forecast(
+        buffer, held.filter("rel > 0"), ["entity"], "ds", "y", [_fit(held)], LAGS, HORIZON, CATS
+    )
+
+
+@query("recursive_backtest")
+def recursive_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling origins of the recursive forecast, all origins side by side."""
+    held = _held(spark, sf, 80)
+    model = _fit(held)
+
+    def run(past: DataFrame, ahead: DataFrame, keys: list[str]) -> DataFrame:
+        buffer = panel.tail(past, keys, "ds", 50)
+        return models.forecast(buffer, ahead, keys, "ds", "y", [model], LAGS, HORIZON, CATS)
+
+    return backtest.rolling(held, "entity", "y", HORIZON, backtest.origins(80, HORIZON, 5), run)
+
+
+@query("hybrid_forecast")
+def hybrid_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    held = _held(spark, sf)
+    family = models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, 3, CATS, **TREES)
+    buffer = panel.tail(held.filter("rel = 0"), "entity", "ds", 60)
+    return models.forecast(buffer, held.filter("rel > 0"), ["entity"], "ds", "y", family, LAGS, HORIZON, CATS)
+
+
+@query("model_family")
+def model_family(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct models saved, loaded again and scored on the held-out tail."""
+    held = _held(spark, sf)
+    path = work_path(spark, "family")
+    models.save_family(models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, 2, CATS, **TREES), path)
+    runs = []
+    for i, model in enumerate(models.load_family(path, 2)):
+        frame = models.training_frame(held, "entity", "ds", "y", [k + i for k in LAGS]).filter("is_test")
+        scored = models.score(model, frame, CATS)
+        runs.append(metrics.regression(scored, "y", "yhat").withColumn("model", F.lit(f"model_{i + 1}")))
+    return runs[0].unionByName(runs[1])
+
+
+@query("tuned_gbt")
+def tuned_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    held = _held(spark, sf)
+    frame = models.training_frame(held.filter("rel = 0"), "entity", "ds", "y", LAGS)
+    blocked = sampling.time_folds(frame, "ds", 2)
+    numeric = [*models.CALENDAR, *models.lag_names(LAGS)]
+    fit = lambda df, **p: models.fit_global(df, "y", numeric, CATS, **p)
+    grid = [{"maxIter": 5, "maxDepth": d} for d in (2, 4)]
+    return models.tune(blocked, "y", grid, 2, fit, partial(_score_with, cats=CATS))
+
+
+def _score_with(model: models.PipelineModel, df: DataFrame, cats: list[str]) -> DataFrame:
+    return models.score(model, df, cats)
+
+
+@query("importance")
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    return models.importances(_fit(_held(spark, sf)), spark)
+
+
+@query("permutation_importance")
+def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
+    held = _held(spark, sf)
+    model = _fit(held)
+    frame = models.training_frame(held, "entity", "ds", "y", LAGS).filter("is_test")
+    keyed = frame.withColumn("row_key", F.col("entity") * 100000 + F.date_diff("ds", F.lit("1970-01-01").cast("date")))
+    return models.permutation_importance(
+        keyed, "row_key", "y", ["lag_1", "lag_7", "day_of_week"], lambda df: models.score(model, df, CATS)
+    )
+
+
+@query("text_classifier")
+def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the held-out fifth of the labelled documents, trained on whole texts."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    rows = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    train, test = sampling.split(rows, "doc_id", 0.8, 42)
+    scored = models.score_text(models.fit_text_classifier(train, "text", "label"), test)
+    return scored.select("doc_id", "label", "score", metrics.threshold("score", 0.414).alias("pred"))
+
+
+@query("clv_regression")
+def clv_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Later spend from activity features: earlier cuts train, later ones test, predictions clipped at 0."""
+    data = store(customers.samples.clv_dataset(
+        lines(spark, sf), "customer", "ts", "amount", customers.START, customers.STEP, customers.CUTS, customers.MONTHS
+    ), "clv-samples")
+    numeric = ["n_events", "spend", "idle_seconds"]
+    model = models.fit_global(data.filter("prediction_date < DATE '2000-01-01'"), "target", numeric, **TREES)
+    scored = models.score(model, data.filter("prediction_date >= DATE '2000-01-01'"))
+    return metrics.regression(scored.withColumn("yhat", F.greatest("yhat", F.lit(0.0))), "target", "yhat")
+
+
+@query("kmeans_clusters")
+def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.assign(vectors.fit_kmeans(rows, "embedding", 3), rows, "embedding").select("vec_id", "cluster")
+
+
+@query("elbow")
+def elbow(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.elbow(table(spark, sf, "embeddings").select("embedding"), "embedding", range(1, 21))
+
+
+@query("pca_vectors")
+def pca_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.project(rows, "embedding", 2).select("vec_id", "projected")
+
+
+_CENTRES = "cen AS (SELECT label AS centre, [" + ", ".join(f"avg(embedding[{j + 1}]::double)" for j in range(64)) + """] AS c
+  FROM embeddings GROUP BY label)"""
+
+
+@query(
+    "nearest_to_centre",
+    sql=f"""WITH {_CENTRES}, d AS (SELECT centre, vec_id, sqrt(list_sum(list_transform(range(1, 65),
+      lambda k: (embedding[k]::double - c[k]) * (embedding[k]::double - c[k])))) AS distance FROM embeddings, cen)
+    SELECT centre, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY centre ORDER BY distance, vec_id)
+    AS rank FROM d QUALIFY rank <= 11""",
+)
+def nearest_to_centre(spark: SparkSession, sf: str) -> DataFrame:
+    """Representative (rank 1) and the ten next rows of each label's mean vector."""
+    rows = table(spark, sf, "embeddings")
+    centres = vectors.as_constants(vectors.centroids(rows, "embedding", "label", 64))
+    out = vectors.nearest(rows, "vec_id", "embedding", centres, 11)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+@query("node_attributes")
+def node_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Reduced text vectors of country or description with the first price appended, one row per node."""
+    nodes = interaction_graph.static_node_features(spark, sf)
+    return models.text_vectors(nodes, "name", 32, 4).select("node", "kind", F.concat("text_vec", F.array("price")).alias("feat"))
+
+
+@query(
+    "interaction_files",
+    sql=f"""WITH {interaction_graph.EDGES}, s AS (SELECT u - 1 AS u, i - 1 - (SELECT count(*) FROM cu) AS i, ts, amount, quantity
+      FROM edges) SELECT row_number() OVER (ORDER BY ts, u, i, amount, quantity) AS edge_idx, u + 1 AS u,
+      i + (SELECT max(u) + 1 FROM s) + 1 AS i, ts::double AS ts, 1.0::double AS label, [amount, quantity] AS feat FROM s""",
+)
+def interaction_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Interaction lines through CSV, typed, numbered and moved to the one id range."""
+    e = interaction_graph.edges(spark, sf)
+    users = e.agg(F.max("u")).scalar()
+    path = work_path(spark, "interactions-csv")
+    files.write_csv(
+        e.select(
+            (F.col("u") - 1).alias("u"), (F.col("i") - 1 - users).alias("i"), F.col("ts").cast("double").alias("ts"),
+            F.lit(1.0).alias("label"), F.col("amount").alias("f1"), F.col("quantity").alias("f2"),
+        ),
+        path,
+    )
+    read = interaction_graph.tgraph.read_interactions(spark, path, 2)
+    return interaction_graph.tgraph.reindex(read).select("edge_idx", "u", "i", "ts", "label", "feat")
+
+
+@query(
+    "metric_history",
+    sql="""SELECT 'r1' AS run, model, round(sqrt(avg((l_quantity * f - l_extendedprice) ** 2)), 4) AS rmse,
+    round(avg(abs(l_quantity * f - l_extendedprice)), 4) AS mae FROM lineitem,
+    (SELECT 'flat' AS model, 1500.0::double AS f UNION ALL SELECT 'high', 2500.0) GROUP BY model""",
+)
+def metric_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of two models appended to one table and read back for comparison."""
+    path = work_path(spark, "metrics")
+    items = table(spark, sf, "lineitem")
+    for name, factor in (("flat", 1500.0), ("high", 2500.0)):
+        pred = items.select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * factor).alias("yhat"))
+        files.append_metrics(metrics.regression(pred, "y", "yhat"), path, "r1", name)
+    kept = [F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae")]
+    return spark.read.parquet(path).select("run", "model", *kept)
