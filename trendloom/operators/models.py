@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, PCA, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,16 @@ def lag_features(values: Mapping[int, Column]) -> dict[str, Column]:
     return out
 
 
+def _lag_array(day: Column, lags: Sequence[int]) -> Column:
+    """The columns of ``lag_names`` as one array, looked up in a day -> value map."""
+
+    def pair(k: Column) -> Column:
+        found = F.try_element_at("_hist", day - k)
+        return F.array(F.coalesce(found, F.lit(MISSING)), found.isNull().cast("double"))
+
+    return F.flatten(F.transform(F.array(*[F.lit(k) for k in lags]), pair))
+
+
 def lag_names(lags: Sequence[int]) -> list[str]:
     return [name for k in lags for name in (f"lag_{k}", f"no_lag_{k}")]
 
@@ -119,6 +129,14 @@ def _history(buffer: DataFrame, keys: Sequence[str], ds: str, y: str) -> DataFra
     return buffer.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_hist"))
 
 
+def _indexed(model: PipelineModel, df: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """Category indexes of the keys, which no step changes."""
+    out = df.withColumns({f"{c}_kept": F.col(c) for c in categorical}) if categorical else df
+    for c, stage in zip(categorical, model.stages):
+        out = stage.transform(out.withColumn(c, F.col(c).cast("string"))).drop(c).withColumnRenamed(f"{c}_kept", c)
+    return out
+
+
 def forecast(
     buffer: DataFrame,
     test: DataFrame,
@@ -138,21 +156,32 @@ def forecast(
     buffer size and the horizon, so every step is narrow. The growing plan is cut by a checkpoint.
     """
     state = _future(test, keys, ds, y, horizon).join(_history(buffer, keys, ds, y), list(keys))
-    state = settle(state.withColumn("_preds", F.array().cast("array<double>")))
-    carried = [*keys, "_ahead", "_hist", "_preds"]
+    state = settle(_indexed(family[0], state.withColumn("_preds", F.array().cast("array<double>")), categorical))
+    carried = [c for c in state.columns if c not in ("_hist", "_preds")]
+    for shift, model in enumerate(family):
+        names = [*CALENDAR, *lag_names([k + shift for k in lags]), *[f"{c}_index" for c in categorical]]
+        if model.stages[-2].getInputCols() != names:
+            raise ValueError(f"model {shift + 1} was fitted on other inputs: {model.stages[-2].getInputCols()}")
     for h in range(1, horizon + 1):
         shift = (h - 1) % len(family)
-        today = F.get("_ahead", F.lit(h - 1))["ds"]
-        step = state.withColumn("_today", today)
-        day = dates.day_number("_today")
-        found = {k + shift: F.try_element_at("_hist", day - (k + shift)) for k in lags}
-        frame = panel.calendar(step, "_today").withColumns(lag_features(found))
         # A key with fewer future days than the horizon stays in the table; its surplus steps are dropped at the end.
-        frame = frame.na.fill(0, CALENDAR)
-        scored = score(family[shift], frame, categorical)
-        grown = F.map_concat("_hist", F.create_map(day, F.col("yhat")))
-        state = scored.withColumn("_hist", F.when(F.col("_today").isNotNull(), grown).otherwise(F.col("_hist")))
-        state = state.withColumn("_preds", F.concat("_preds", F.array("yhat"))).select(*carried)
+        today = F.coalesce(F.get("_ahead", F.lit(h - 1))["ds"], F.lit("1970-01-01").cast("date"))
+        day = dates.day_number(today)
+        features = array_to_vector(
+            F.concat(
+                F.array(*[c.cast("double") for c in panel.calendar_columns(today).values()]),
+                _lag_array(day, [k + shift for k in lags]),
+                F.array(*[F.col(f"{c}_index") for c in categorical]).cast("array<double>"),
+            )
+        )
+        ready = state.select(*carried, "_hist", "_preds", features.alias("features"))
+        state = family[shift].stages[-1].transform(ready).select(
+            *carried,
+            F.map_concat(
+                F.map_filter("_hist", lambda k, _: k != day), F.create_map(day, F.col("prediction"))
+            ).alias("_hist"),
+            F.concat("_preds", F.array("prediction")).alias("_preds"),
+        )
         if h % cut_every == 0 and h < horizon:
             state = settle(state)
     kept = F.slice("_preds", F.lit(1), F.size("_ahead"))

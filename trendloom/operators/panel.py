@@ -53,19 +53,21 @@ def drop_gappy(df: DataFrame, key: str, ds: str, max_days: int, max_gaps: int =
     return df.join(gappy.select(key), key, "left_anti")
 
 
-def calendar(df: DataFrame, ds: str, weekend_from: int = 5) -> DataFrame:
+def calendar_columns(ds: str | Column, weekend_from: int = 5) -> dict[str, Column]:
     """Calendar columns of a day; weekdays count from Monday = 0."""
     wd = F.weekday(ds)
-    return df.withColumns(
-        {
-            "day_of_week": wd.cast("long"),
-            "day_of_month": F.dayofmonth(ds).cast("long"),
-            "day_of_year": F.dayofyear(ds).cast("long"),
-            "week_of_year": F.weekofyear(ds).cast("long"),
-            "month": F.month(ds).cast("long"),
-            "is_weekend": (wd >= weekend_from).cast("long"),
-        }
-    )
+    return {
+        "day_of_week": wd.cast("long"),
+        "day_of_month": F.dayofmonth(ds).cast("long"),
+        "day_of_year": F.dayofyear(ds).cast("long"),
+        "week_of_year": F.weekofyear(ds).cast("long"),
+        "month": F.month(ds).cast("long"),
+        "is_weekend": (wd >= weekend_from).cast("long"),
+    }
+
+
+def calendar(df: DataFrame, ds: str, weekend_from: int = 5) -> DataFrame:
+    return df.withColumns(calendar_columns(ds, weekend_from))
 
 
 def opening_hours(df: DataFrame, opened: str, closed: str) -> DataFrame:
