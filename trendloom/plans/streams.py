@@ -1 +1,134 @@
-"""Registered queries."""
+"""Streaming queries over the events table; each runs its stream to the end of the input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.plans.registry import query
+from trendloom.sources.files import table
+from trendloom.sources.work import work_path
+from trendloom.streaming import jobs
+
+DELAY = "1 hour"
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.read(spark, f"{sf}/event*.parquet", table(spark, sf, "events").schema, "ts")
+
+
+_MARK = "mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events)"
+
+
+def _daily(stream: DataFrame, slide: str | None, size: str) -> DataFrame:
+    aggs = [("n", F.count(F.lit(1))), ("total", F.sum("value"))]
+    return jobs.tumbling(stream, "ts", DELAY, size, ["event_type"], aggs, slide)
+
+
+@query(
+    "stream_tumbling",
+    sql=f"""WITH {_MARK} SELECT date_trunc('day', ts)::timestamp AS window_start,
+    date_trunc('day', ts)::timestamp + INTERVAL 1 DAY AS window_end,
+    event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
+    HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT w FROM mark)""",
+)
+def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    out = jobs.run(_daily(events(spark, sf), None, "1 day"), "tumbling")
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query(
+    "stream_hopping",
+    sql=f"""WITH {_MARK}, x AS (SELECT date_trunc('day', ts)::timestamp - to_days(unnest(range(0, 7))::int) AS window_start,
+      event_type, value FROM events)
+    SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM x GROUP BY ALL HAVING window_start + INTERVAL 7 DAY <= (SELECT w FROM mark)""",
+)
+def stream_hopping(spark: SparkSession, sf: str) -> DataFrame:
+    out = jobs.run(_daily(events(spark, sf), "1 day", "7 days"), "hopping")
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query(
+    "stream_sessions",
+    sql=f"""WITH {_MARK}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+      <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+    s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, user_id, count(*) AS n FROM s
+    GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT w FROM mark)""",
+)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.run(jobs.sessions(events(spark, sf), "ts", DELAY, "12 hours", ["user_id"]), "sessions")
+
+
+@query("stream_dedupe", sql="SELECT event_id, user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event arrives twice and leaves once."""
+    twice = events(spark, sf).unionByName(events(spark, sf))
+    out = jobs.dedupe(twice, "ts", "40 days", ["event_id"])
+    return jobs.run(out.select("event_id", "user_id", "event_type"), "dedupe")
+
+
+@query(
+    "stream_node_state",
+    sql="""SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 6) AS waited,
+    row_number() OVER w AS n_seen, false AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+)
+def stream_node_state(spark: SparkSession, sf: str) -> DataFrame:
+    out = jobs.run(jobs.node_state(events(spark, sf), "user_id", "event_id", "ts"), "node-state")
+    return out.withColumn("waited", F.round("waited", 6))
+
+
+@query(
+    "stream_time_stats",
+    sql="""SELECT user_id, count(d) AS n, round(avg(d), 4) AS mean, round(stddev_pop(d), 4) AS std FROM (SELECT user_id,
+    (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS d FROM events) GROUP BY user_id""",
+)
+def stream_time_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = jobs.run(jobs.time_stats(events(spark, sf), "user_id", "ts"), "time-stats")
+    out = jobs.latest(rows, "user_id")
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+
+_PIECES = ["2024-01-16", "2024-01-08"]
+
+
+def _out_of_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in three pieces, newest piece first, one file per micro-batch."""
+    base = table(spark, sf, "events")
+    path = work_path(spark, "out-of-order")
+    late, early = (F.lit(d).cast("timestamp_ntz") for d in _PIECES)
+    ts = F.col("ts")
+    for name, piece in (("a", ts >= late), ("b", (ts < late) & (ts >= early)), ("c", ts < early)):
+        base.filter(piece).write.parquet(f"{path}/{name}")
+    return jobs.read(spark, f"{path}/*/", base.schema, "ts", files_per_trigger=1)
+
+
+@query(
+    "stream_late",
+    sql=f"""WITH p AS (SELECT user_id, ts, CASE WHEN ts >= TIMESTAMP '{_PIECES[0]}' THEN 0 WHEN ts >= TIMESTAMP '{_PIECES[1]}'
+      THEN 1 ELSE 2 END AS piece FROM events),
+    f AS (SELECT user_id, min(piece) AS seen_in FROM p GROUP BY user_id)
+    SELECT user_id, count(*) AS n, count_if(piece > seen_in)::bigint AS n_late FROM p JOIN f USING (user_id) GROUP BY user_id""",
+)
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Late events are counted and do not move a node's state back."""
+    marked = jobs.run(jobs.node_state(_out_of_order(spark, sf), "user_id", "event_id", "ts"), "late")
+    return marked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
+
+
+@query(
+    "stream_late_windows",
+    sql=f"""WITH {_MARK} SELECT date_trunc('day', ts)::timestamp AS window_start,
+    date_trunc('day', ts)::timestamp + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n,
+    round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '{_PIECES[1]}' GROUP BY ALL
+    HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT w FROM mark)""",
+)
+def stream_late_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows behind the watermark are dropped from windowed sums.
+
+    The test for lateness uses the watermark known when the previous micro-batch began, so the second piece still counts
+    and the third does not.
+    """
+    out = jobs.run(_daily(_out_of_order(spark, sf), None, "1 day"), "late-windows")
+    return out.withColumn("total", F.round("total", 4))
