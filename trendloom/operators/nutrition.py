@@ -17,8 +17,9 @@ BOUNDS = {
 
 
 def items(df: DataFrame, line: str) -> DataFrame:
-    """Add the parsed quantity and unit of an ingredient line."""
-    return df.withColumns({"quantity": text.parse_quantity(text.quantity_text(line)), "unit": text.unit(line)})
+    """Add the quantity text, the parsed quantity and the unit of an ingredient line."""
+    read = df.withColumns({"qtext": text.quantity_text(line), "unit": text.unit(line)})
+    return read.withColumn("quantity", text.parse_quantity("qtext"))
 
 
 def last_entry(df: DataFrame, title: str, item: str, order: Sequence[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def with_defaults(df: DataFrame) -> DataFrame:
 def to_grams(df: DataFrame) -> DataFrame:
     """Whole grams (half to even) for every unit but piece and package."""
     factor = F.create_map(*[F.lit(v) for pair in text.GRAMS.items() for v in pair])
-    grams = F.bround(F.col("quantity") * F.get(F.transform(F.array("unit"), lambda u: factor[u]), F.lit(0)), 0)
+    grams = F.bround(F.col("quantity") * F.try_element_at(factor, F.col("unit")), 0)
     counted = F.col("unit").isin("piece", "package")
     return df.withColumns(
         {

@@ -75,3 +75,13 @@ def tidy(name: str, places: int) -> Column:
 
 def tidy_sql(expr: str, places: int) -> str:
     return f"round({expr} + 3e-{places + 3}, {places})"
+
+
+def spread(df: DataFrame, col: str, n: int, places: int) -> DataFrame:
+    """A fixed-length vector as n rounded columns."""
+    rest = [c for c in df.columns if c != col]
+    return df.select(*rest, *[F.round(F.col(col)[j], places).alias(f"{col}_{j}") for j in range(n)])
+
+
+def spread_sql(col: str, n: int, places: int) -> str:
+    return ", ".join(f"round({col}[{j + 1}], {places}) AS {col}_{j}" for j in range(n))

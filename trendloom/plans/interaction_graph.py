@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import arrays
 from trendloom.functions.hashing import draw_sql
 from trendloom.operators import metrics, tgraph
-from trendloom.plans.base import LINES, lines, tidy_sql, with_country, with_description
+from trendloom.plans.base import LINES, lines, spread, spread_sql, tidy_sql, with_country, with_description
 from trendloom.plans.registry import query
 from trendloom.sources.files import table
 from trendloom.sources.work import store
@@ -18,10 +18,6 @@ START = "1995-01-01"
 _STORED: dict[tuple[str, str], DataFrame] = {}
 
 
-def _r(values: str, places: int = 6):
-    return F.transform(values, lambda v: F.round(v, places)).alias(values)
-
-
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical interaction table (1-based ids, items after users), written once per application and read by every query."""
     key = (spark.sparkContext.applicationId, sf)
@@ -80,25 +76,25 @@ def contiguous_ids(spark: SparkSession, sf: str) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-_FEAT_LIST = "list_transform([" + ", ".join(f"{c}::double" for c in FEATS) + "], lambda v: round(v, 6))"
+_FEAT_LIST = ", ".join(f"round({c}::double, 6) AS feat_{j}" for j, c in enumerate(FEATS))
 
 
 def _bundle(spark: SparkSession, sf: str) -> DataFrame:
     return tgraph.event_bundle(_featured(spark, sf).withColumnRenamed("ts", "seconds"), FEATS)
 
 
-@query("event_bundle", sql=f"WITH {_FEAT} SELECT edge_idx, u, i, ts, label, {_FEAT_LIST} AS feat FROM feats")
+@query("event_bundle", sql=f"WITH {_FEAT} SELECT edge_idx, u, i, ts, label, {_FEAT_LIST} FROM feats")
 def event_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return _bundle(spark, sf).select("edge_idx", "u", "i", "ts", "label", _r("feat"))
+    return spread(_bundle(spark, sf), "feat", len(FEATS), 6)
 
 
 @query(
     "feature_matrix",
-    sql=f"""WITH {_FEAT} SELECT edge_idx AS idx, {_FEAT_LIST} AS feat FROM feats
-    UNION ALL SELECT 0, list_transform(range(0, {len(FEATS)}), lambda v: 0.0::double)""",
+    sql=f"""WITH {_FEAT} SELECT edge_idx AS idx, {_FEAT_LIST} FROM feats
+    UNION ALL SELECT 0, {", ".join(["0.0::double"] * len(FEATS))}""",
 )
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return tgraph.feature_matrix(_bundle(spark, sf), len(FEATS)).select("idx", _r("feat"))
+    return spread(tgraph.feature_matrix(_bundle(spark, sf), len(FEATS)), "feat", len(FEATS), 6)
 
 
 _ADJ = "adj AS (SELECT u AS node, i AS other, edge_idx, ts FROM edges UNION ALL SELECT i, u, edge_idx, ts FROM edges)"
@@ -127,10 +123,11 @@ def _encode_sql(x: str, dim: int) -> str:
 
 @query(
     "time_encode",
-    sql=f"WITH {EDGES} SELECT edge_idx, list_transform([{_encode_sql('ts', 8)}], lambda v: round(v, 6)) AS code FROM edges",
+    sql=f"""WITH {EDGES}, c AS (SELECT edge_idx, [{_encode_sql("ts", 8)}] AS code FROM edges)
+    SELECT edge_idx, {spread_sql("code", 8, 6)} FROM c""",
 )
 def time_encode(spark: SparkSession, sf: str) -> DataFrame:
-    return edges(spark, sf).select("edge_idx", arrays.time_encode("ts", 8).alias("code")).select("edge_idx", _r("code"))
+    return spread(edges(spark, sf).select("edge_idx", arrays.time_encode("ts", 8).alias("code")), "code", 8, 6)
 
 
 N = 5
@@ -150,15 +147,16 @@ def _pad_sql(col: str) -> str:
     return f"list_concat(list_transform(range(0, {N} - count(f.qid)), lambda v: 0::bigint), coalesce({inner}, []::bigint[]))"
 
 
-_PADDED = f"""SELECT q.qid, q.node, q.cut, {_pad_sql("f.other")} AS neighbors, {_pad_sql("f.edge_idx")} AS edges,
-  {_pad_sql("f.ts")} AS times FROM q LEFT JOIN found f ON f.qid = q.qid GROUP BY q.qid, q.node, q.cut"""
+_PADDED = f"""SELECT q.qid, q.node, q.cut, array_to_string({_pad_sql("f.other")}, ',') AS neighbors,
+  array_to_string({_pad_sql("f.edge_idx")}, ',') AS edges, array_to_string({_pad_sql("f.ts")}, ',') AS times FROM q LEFT JOIN found f ON f.qid = q.qid GROUP BY q.qid, q.node, q.cut"""
 
 
 @query("temporal_neighbors", sql=f"WITH {EDGES}, {_LATEST} {_PADDED}")
 def temporal_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
     found = tgraph.temporal_neighbors(tgraph.adjacency(e), _queries(e), N)
-    return tgraph.padded_neighbors(found, _queries(e), N)
+    out = tgraph.padded_neighbors(found, _queries(e), N)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("neighbors", "edges", "times")})
 
 
 @query(
@@ -179,21 +177,20 @@ def neighbor_sample(spark: SparkSession, sf: str) -> DataFrame:
 DIM = 4
 _HOOD = [f"sum({c}) AS s{j}" for j, c in enumerate(["x.amount / 1000", "x.quantity"])]
 _HOOD += [f"sum({c}) AS s{j + 2}" for j, c in enumerate(_encode_sql("(f.cut - f.ts)", DIM).split(", "))]
-_HOOD_LIST = ", ".join(f"coalesce(s{j}, 0.0)" for j in range(DIM + 2))
+_HOOD_LIST = ", ".join(f"round(coalesce(s{j}, 0.0) + 3e-8, 5) AS vec_{j}" for j in range(DIM + 2))
 
 
 @query(
     "neighborhood_features",
     sql=f"""WITH {EDGES}, {_LATEST}, s AS (SELECT f.qid, count(*) AS n, {", ".join(_HOOD)} FROM found f
       JOIN edges x ON x.edge_idx = f.edge_idx GROUP BY f.qid)
-    SELECT q.qid, q.node, q.cut, coalesce(n, 0) AS n, list_transform([{_HOOD_LIST}], lambda v: round(v, 5)) AS vec
-    FROM q LEFT JOIN s USING (qid)""",
+    SELECT q.qid, q.node, q.cut, coalesce(n, 0) AS n, {_HOOD_LIST} FROM q LEFT JOIN s USING (qid)""",
 )
 def neighborhood_features(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
     found = tgraph.temporal_neighbors(tgraph.adjacency(e, ["kilo", "quantity"]), _queries(e), N)
     out = tgraph.neighborhood_features(found, _queries(e), ["kilo", "quantity"], DIM)
-    return out.select("qid", "node", "cut", "n", _r("vec", 5))
+    return spread(out.withColumn("vec", F.transform("vec", lambda v: v + 3e-8)), "vec", DIM + 2, 5)
 
 
 BATCH = 200
@@ -211,12 +208,12 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return tgraph.messages(e, ["kilo", "quantity"], DIM, BATCH)
 
 
-_MSG6 = "list_transform(msg, lambda v: round(v, 6)) AS msg"
+_MSG6 = spread_sql("msg", DIM + 2, 6)
 
 
 @query("messages", sql=f"WITH {EDGES}, {_MSG} SELECT batch, edge_idx, node, other, ts, dt, {_MSG6} FROM msgs")
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return _messages(spark, sf).select("batch", "edge_idx", "node", "other", "ts", "dt", _r("msg"))
+    return spread(_messages(spark, sf), "msg", DIM + 2, 6)
 
 
 @query(
@@ -225,17 +222,17 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY batch, node ORDER BY edge_idx DESC) = 1""",
 )
 def message_last(spark: SparkSession, sf: str) -> DataFrame:
-    return tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "last").select("batch", "node", _r("msg"), "ts")
+    return spread(tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "last"), "msg", DIM + 2, 6)
 
 
 @query(
     "message_mean",
-    sql=f"""WITH {EDGES}, {_MSG} SELECT batch, node, max(ts) AS ts, [{", ".join(f"{tidy_sql(f"avg(msg[{j + 1}])", 5)}"
-    for j in range(DIM + 2))}] AS msg FROM msgs GROUP BY batch, node""",
+    sql=f"""WITH {EDGES}, {_MSG} SELECT batch, node, max(ts) AS ts, {", ".join(tidy_sql(f"avg(msg[{j + 1}])", 5)
+    + f" AS msg_{j}" for j in range(DIM + 2))} FROM msgs GROUP BY batch, node""",
 )
 def message_mean(spark: SparkSession, sf: str) -> DataFrame:
     means = tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "mean")
-    return means.select("batch", "node", "ts", F.transform("msg", lambda v: F.round(v + 3e-8, 5)).alias("msg"))
+    return spread(means.withColumn("msg", F.transform("msg", lambda v: v + 3e-8)), "msg", DIM + 2, 5)
 
 
 _CUT = 150_000_000

@@ -175,16 +175,22 @@ def nearest_to_centre(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("node_attributes")
 def node_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    """Reduced text vectors of country or description with the first price appended, one row per node."""
+    """Reduced text vector of country or description, then the recency features of customers (0 for products)."""
     nodes = interaction_graph.static_node_features(spark, sf)
-    return models.text_vectors(nodes, "name", 32, 4).select("node", "kind", F.concat("text_vec", F.array("price")).alias("feat"))
+    vectors_ = models.text_vectors(nodes, "name", 32, 4).select("node", "kind", "text_vec")
+    cols = ["unique_per_order", "n_unique_items", "frequency", "recency", "T", "monetary_value"]
+    ids = interaction_graph.edges(spark, sf).groupBy("customer").agg(F.min("u").alias("node"))
+    features = customers.customer_features(spark, sf).select("customer", *cols).join(ids, "customer").drop("customer")
+    joined = vectors_.join(features, "node", "left")
+    extra = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    return joined.select("node", "kind", F.concat("text_vec", extra).alias("feat"))
 
 
 @query(
     "interaction_files",
     sql=f"""WITH {interaction_graph.EDGES}, s AS (SELECT u - 1 AS u, i - 1 - (SELECT count(*) FROM cu) AS i, ts, amount, quantity
       FROM edges) SELECT row_number() OVER (ORDER BY ts, u, i, amount, quantity) AS edge_idx, u + 1 AS u,
-      i + (SELECT max(u) + 1 FROM s) + 1 AS i, ts::double AS ts, 1.0::double AS label, [amount, quantity] AS feat FROM s""",
+      i + (SELECT max(u) + 1 FROM s) + 1 AS i, ts::double AS ts, 1.0::double AS label, amount AS f1, quantity AS f2 FROM s""",
 )
 def interaction_files(spark: SparkSession, sf: str) -> DataFrame:
     """Interaction lines through CSV, typed, numbered and moved to the one id range."""
@@ -199,7 +205,8 @@ def interaction_files(spark: SparkSession, sf: str) -> DataFrame:
         path,
     )
     read = interaction_graph.tgraph.read_interactions(spark, path, 2)
-    return interaction_graph.tgraph.reindex(read).select("edge_idx", "u", "i", "ts", "label", "feat")
+    feats = [F.col("feat")[j].alias(f"f{j + 1}") for j in range(2)]
+    return interaction_graph.tgraph.reindex(read).select("edge_idx", "u", "i", "ts", "label", *feats)
 
 
 @query(

@@ -19,3 +19,11 @@ def local_session(cores: int | str = 8, name: str = "trendloom") -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let adaptive execution split a hot join key even where that costs one more shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
