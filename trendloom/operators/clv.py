@@ -16,16 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hyp2f1(a: Column, b: Column, c: Column, z: Column, terms: int = 200) -> Column:
-    """Gauss series with a fixed number of terms, for 0 <= z < 1."""
+def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
+    """Gauss series for 0 <= z < 1; the number of terms grows with z until the rest is below double precision."""
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    decay = -F.ln(F.greatest(z, F.lit(1e-300)))
+    last = F.least(F.ceil(F.lit(40.0) / decay) + 30, F.lit(100000)).cast("int")
 
     def step(s: Column, k: Column) -> Column:
         term = s["term"] * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
         return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
-    ks = F.transform(F.sequence(F.lit(0), F.lit(terms - 1)), lambda k: k.cast("double"))
-    return F.aggregate(ks, start, step)["total"]
+    return F.aggregate(F.transform(F.sequence(F.lit(0), last), lambda k: k.cast("double")), start, step)["total"]
 
 
 def bgnbd_alive(x: Column, tx: Column, T: Column, p: dict[str, float]) -> Column:
@@ -36,26 +37,28 @@ def bgnbd_alive(x: Column, tx: Column, T: Column, p: dict[str, float]) -> Column
 
 
 def bgnbd_purchases(x: Column, tx: Column, T: Column, t: float, p: dict[str, float]) -> Column:
-    """Expected purchases in the next t days under BG/NBD."""
+    """Expected purchases in the next t days under BG/NBD.
+
+    The series is used after Euler's transformation: the power of x then cancels, so a busy customer cannot overflow it.
+    """
     r, alpha, a, b = (F.lit(float(p[k])) for k in ("r", "alpha", "a", "b"))
-    series = hyp2f1(r + x, b + x, a + b + x - 1, F.lit(float(t)) / (alpha + T + t))
-    grown = 1 - F.pow((alpha + T) / (alpha + T + t), r + x) * series
-    return (a + b + x - 1) / (a - 1) * grown * bgnbd_alive(x, tx, T, p)
+    z = F.lit(float(t)) / (alpha + T + t)
+    series = hyp2f1(a + b - 1 - r, a - 1, a + b + x - 1, z)
+    return (a + b + x - 1) / (a - 1) * (1 - F.pow(1 - z, a - 1) * series) * bgnbd_alive(x, tx, T, p)
 
 
 def pareto_alive(x: Column, tx: Column, T: Column, p: dict[str, float]) -> Column:
-    """P(alive) of the Pareto/NBD model."""
+    """P(alive) of the Pareto/NBD model, its two series in Euler's form."""
     r, alpha, s, beta = (float(p[k]) for k in ("r", "alpha", "s", "beta"))
-    big, gap = max(alpha, beta), abs(alpha - beta)
-    power = F.lit(r + s) + x
-    second = F.lit(s + 1.0) if alpha >= beta else F.lit(r) + x
+    power, gap, big = F.lit(r + s) + x, abs(alpha - beta), max(alpha, beta)
+    second = F.lit(r) + x if alpha >= beta else F.lit(s + 1.0)
 
     def part(u: Column) -> Column:
-        # Scaled by (big + T)^power, which keeps every factor at or above one and finite.
-        return hyp2f1(power, second, power + 1, F.lit(gap) / (big + u)) * F.pow((big + T) / (big + u), power)
+        lead = F.pow((alpha + T) / (alpha + u), F.lit(r) + x) * F.pow((beta + T) / (beta + u), F.lit(s))
+        edge = F.lit(1.0) if alpha >= beta else (alpha + u) / (beta + u)
+        return lead * edge * hyp2f1(F.lit(1.0), second, power + 1, F.lit(gap) / (big + u))
 
-    scale = F.pow((alpha + T) / (big + T), F.lit(r) + x) * F.pow((beta + T) / (big + T), F.lit(s))
-    return 1 / (1 + F.lit(s) / power * scale * (part(tx) - part(T)))
+    return 1 / (1 + F.lit(s) / power * (part(tx) - part(T)))
 
 
 def pareto_purchases(x: Column, tx: Column, T: Column, t: float, p: dict[str, float]) -> Column:

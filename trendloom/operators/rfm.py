@@ -15,35 +15,48 @@ from pyspark.sql import functions as F
 from trendloom.functions import dates
 
 
-def orders(lines: DataFrame, line_order: Sequence[str], amount: Column | str = "amount") -> DataFrame:
-    """One row per invoice: first customer and country in line order, total amount, first date; totals <= 0 are dropped."""
+def orders(
+    lines: DataFrame, line_order: Sequence[str], amount: Column | str = "amount", attributes: bool = False
+) -> DataFrame:
+    """One row per invoice: first customer and country in line order, total amount, first date; totals <= 0 are dropped.
+
+    ``attributes`` adds the columns of ``order_attributes`` in the same aggregation.
+    """
     place = F.struct(*line_order)
     total = F.col(amount) if isinstance(amount, str) else amount
-    return (
+    extra = [F.count_distinct("product").alias("n_products")] if attributes else []
+    per = (
         lines.groupBy("invoice")
         .agg(
             F.min_by("customer", place).alias("customer"),
             F.sum(total).alias("amount"),
-            F.to_date(F.min("ts")).alias("ds"),
+            F.min("ts").alias("ts"),
             F.min_by("country", place).alias("country"),
+            *extra,
         )
         .filter(F.col("amount") > 0)
+        .withColumn("ds", F.to_date("ts"))
     )
+    if attributes:
+        return per.withColumns(_time_columns())
+    return per.select("invoice", "customer", "amount", "ds", "country")
+
+
+def _time_columns() -> dict[str, Column]:
+    sine, cosine = dates.cycle(F.weekday("ts"), 7)
+    return {
+        "month": F.to_date(F.trunc("ts", "MM")),
+        "day_of_week": F.weekday("ts").cast("long"),
+        "day_sin": sine,
+        "day_cos": cosine,
+        "time_of_day": dates.day_part("ts"),
+    }
 
 
 def order_attributes(lines: DataFrame) -> DataFrame:
     """First time stamp of an invoice with its month, weekday and weekday cycle, and its number of distinct products."""
     base = lines.groupBy("invoice").agg(F.min("ts").alias("ts"), F.count_distinct("product").alias("n_products"))
-    sine, cosine = dates.cycle(F.weekday("ts"), 7)
-    return base.withColumns(
-        {
-            "month": F.to_date(F.trunc("ts", "MM")),
-            "day_of_week": F.weekday("ts").cast("long"),
-            "day_sin": sine,
-            "day_cos": cosine,
-            "time_of_day": dates.day_part("ts"),
-        }
-    )
+    return base.withColumns(_time_columns())
 
 
 def daily_spend(orders_df: DataFrame, customer: str = "customer", ds: str = "ds", amount: str = "amount") -> DataFrame:
@@ -126,9 +139,8 @@ def usual_day_part(attributes: DataFrame, customer: str = "customer") -> DataFra
 
 def customer_features(lines: DataFrame, line_order: Sequence[str], end: str) -> DataFrame:
     """Items per order, distinct items, usual part of the day as flags, first country, and the recency table."""
-    order_df = orders(lines, line_order)
-    attrs = order_attributes(lines).join(order_df.select("invoice", "customer", "country", "ds", "amount"), "invoice")
-    per_customer = attrs.groupBy("customer").agg(
+    order_df = orders(lines, line_order, attributes=True)
+    per_customer = order_df.groupBy("customer").agg(
         F.avg("n_products").alias("unique_per_order"),
         F.mode("time_of_day", True).alias("_part"),
         F.min_by("country", F.struct("ts", "invoice")).alias("country"),

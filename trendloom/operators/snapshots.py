@@ -41,15 +41,13 @@ def customer_nodes(lines: DataFrame, line_order: Sequence[str], first: int, last
     """
     lines = _monthly(lines)
     stop = last + target_months
-    order_df = rfm.orders(lines, line_order)
-    attrs = rfm.order_attributes(lines).join(order_df.select("invoice", "customer"), "invoice")
-    attrs = attrs.withColumn("m", dates.month_number("ts"))
+    order_df = rfm.orders(lines, line_order, attributes=True).withColumn("m", dates.month_number("ts"))
     spend = rfm.daily_spend(order_df).withColumn("m", dates.month_number("ds"))
     ids = lines.groupBy("customer").agg(F.min("m").alias("_first_m"))
     low = ids.agg(F.min("_first_m")).scalar()
     months = F.sequence(F.least(low, F.lit(first).cast("long")), F.lit(stop).cast("long"))
 
-    orders_m = attrs.groupBy("customer", "m").agg(
+    orders_m = order_df.groupBy("customer", "m").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.sum("n_products").alias("n_products"),
         *[F.count_if(F.col("time_of_day") == p).alias(p) for p in PARTS],
