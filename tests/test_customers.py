@@ -132,3 +132,35 @@ def test_scores_at_the_edges(spark):
     assert out[0]["p_alive"] == 1.0 and 0 < out[1]["p_alive"] < 1
     assert out[0]["expected_spend"] == pytest.approx(6 * 15 / 3)
     assert all(r["expected_purchases"] > 0 for r in out)
+
+
+def brute_pareto(x, tx, T, r, alpha, s, beta):
+    """P(alive) from the untransformed series."""
+    big, gap = max(alpha, beta), abs(alpha - beta)
+    A, B = r + s + x, (s + 1 if alpha >= beta else r + x)
+
+    def series(z):
+        term = total = 1.0
+        for k in range(5000):
+            term *= (A + k) * (B + k) / ((A + 1 + k) * (k + 1)) * z
+            total += term
+        return total
+
+    a0 = series(gap / (big + tx)) / (big + tx) ** A - series(gap / (big + T)) / (big + T) ** A
+    return 1 / (1 + s / A * (alpha + T) ** (r + x) * (beta + T) ** s * a0)
+
+
+@pytest.mark.parametrize("alpha,beta", [(70.0, 55.0), (40.0, 90.0), (50.0, 50.0)])
+def test_pareto_alive(spark, alpha, beta):
+    rows = [(0.0, 0.0, 200.0), (3.0, 90.0, 200.0), (12.0, 190.0, 200.0)]
+    df = spark.createDataFrame(rows, "x double, tx double, T double")
+    p = {"r": 0.9, "alpha": alpha, "s": 1.3, "beta": beta}
+    got = [r[0] for r in df.select(clv.pareto_alive(F.col("x"), F.col("tx"), F.col("T"), p)).collect()]
+    assert np.allclose(got, [brute_pareto(*row, **p) for row in rows])
+
+
+def test_busy_customer_does_not_overflow(spark):
+    df = spark.createDataFrame([(5000.0, 990.0, 1000.0)], "x double, tx double, T double")
+    p = {"r": 0.8, "alpha": 20.0, "a": 1.4, "b": 2.5}
+    got = df.select(clv.bgnbd_purchases(F.col("x"), F.col("tx"), F.col("T"), 100.0, p)).first()[0]
+    assert 0 < got < 1000

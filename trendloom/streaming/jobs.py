@@ -20,12 +20,19 @@ from trendloom.sources.work import work_path
 
 
 def read(
-    spark: SparkSession, pattern: str, schema: T.StructType, ts: str, files_per_trigger: int | None = None
+    spark: SparkSession,
+    pattern: str,
+    schema: T.StructType,
+    ts: str,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: str = "256m",
 ) -> DataFrame:
-    """Files as a stream, oldest first; ``files_per_trigger`` bounds a micro-batch."""
+    """Files as a stream, oldest first. A micro-batch is bounded by bytes, or by files where ``files_per_trigger`` is given."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(pattern).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
