@@ -46,7 +46,7 @@ def panel_gaps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "gap_entities",
     sql=f"""WITH {DAILY}, {_GAPS.format(n=14)}, per AS (SELECT entity, count(*) AS n FROM gaps GROUP BY entity)
-    SELECT count(*) AS with_gap, count_if(n > 1)::bigint AS with_several FROM per""",
+    SELECT count(*) AS with_gap, coalesce(count_if(n > 1), 0)::bigint AS with_several FROM per""",
 )
 def gap_entities(spark: SparkSession, sf: str) -> DataFrame:
     per = panel.gap_counts(daily(spark, sf), "entity", "ds", 14)

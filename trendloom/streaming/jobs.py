@@ -25,7 +25,7 @@ def read(
     schema: T.StructType,
     ts: str,
     files_per_trigger: int | None = None,
-    bytes_per_trigger: str = "256m",
+    bytes_per_trigger: int = 256 << 20,
 ) -> DataFrame:
     """Files as a stream, oldest first. A micro-batch is bounded by bytes, or by files where ``files_per_trigger`` is given."""
     reader = spark.readStream.schema(schema)
