@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trendloom.functions import dates
 from trendloom.sources.work import work_path
 
 
@@ -27,13 +28,24 @@ def read(
     files_per_trigger: int | None = None,
     bytes_per_trigger: int = 256 << 20,
 ) -> DataFrame:
-    """Files as a stream, oldest first. A micro-batch is bounded by bytes, or by files where ``files_per_trigger`` is given."""
+    """Files as a stream, oldest first. A micro-batch is bounded by bytes, or by files where ``files_per_trigger`` is given.
+
+    The wall clock of ``ts`` is read as UTC, so windows and outputs do not depend on the session zone.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:
         reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
-    return reader.parquet(pattern).withColumn(ts, F.col(ts).cast("timestamp"))
+    return reader.parquet(pattern).withColumn(ts, F.timestamp_micros(dates.epoch_micros(ts)))
+
+
+def _wall_clock(instant: str) -> Column:
+    """Back from an instant to the zone-less time ``read`` took it from."""
+    us, day = F.unix_micros(F.col(instant)), 86_400_000_000
+    days = F.floor(us / day).cast("int")
+    seconds = ((us - days.cast("long") * day) / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)
 
 
 def run(stream: DataFrame, label: str) -> DataFrame:
@@ -52,7 +64,7 @@ def run(stream: DataFrame, label: str) -> DataFrame:
 
 
 def _named(df: DataFrame, spot: str, names: tuple[str, str], rest: Sequence[str]) -> DataFrame:
-    start, end = (F.col(f"{spot}.{e}").cast("timestamp_ntz").alias(n) for e, n in zip(("start", "end"), names))
+    start, end = (_wall_clock(f"{spot}.{e}").alias(n) for e, n in zip(("start", "end"), names))
     return df.select(start, end, *rest)
 
 
