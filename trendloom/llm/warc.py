@@ -38,10 +38,11 @@ READ_SCHEMA = (
 
 def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """A dictionary from sample records; raw content where they are too few to train on, none where they are empty."""
+    room = min(DICTIONARY_BYTES, max(1 << 10, sum(map(len, samples)) // 16))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples)
+        return zstandard.train_dictionary(room, samples)
     except zstandard.ZstdError:
-        raw = b"".join(samples)[-DICTIONARY_BYTES:]
+        raw = b"".join(samples)[-room:]
         return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 8 else None
 
 
