@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import sharding, warc
+from trendloom.llm import extract, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -59,3 +59,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op6_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract_pages(table(spark, folder, "pages"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
