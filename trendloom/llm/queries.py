@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import extract, quality, sharding, warc
+from trendloom.llm import extract, packing, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -71,3 +71,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file; every worker has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 ids."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary(), 2048)
