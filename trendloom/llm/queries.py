@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import extract, packing, quality, sharding, warc
+from trendloom.llm import decontam, extract, packing, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -84,3 +84,33 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 ids."""
     return packing.pack(table(spark, folder, "documents"), vocabulary(), 2048)
+
+
+_SPLIT = (
+    "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+)
+
+
+@query(
+    "op5_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+    b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
+    v AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, w[p : p + least(len(w), 13) - 1] AS words
+          FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT m FROM v),
+    spots AS (SELECT doc_id, m, p, w[p : p + m - 1] AS words
+           FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m)),
+    hit AS (SELECT doc_id, p, spots.m, v.item_id FROM spots JOIN v ON spots.m = v.m AND spots.words = v.words),
+    cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS k FROM hit) GROUP BY doc_id),
+    ids AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS s FROM hit GROUP BY doc_id)
+    SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
