@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import decontam, extract, packing, quality, sharding, warc
+from trendloom.llm import decontam, extract, lmscore, packing, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -114,3 +114,9 @@ _SPLIT = (
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
+
+
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and model scores of all documents; one in ten is held out of the counts."""
+    return lmscore.score_documents(table(spark, folder, "documents"))
