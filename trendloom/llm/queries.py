@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import decontam, extract, lmscore, packing, quality, sharding, warc
+from trendloom.llm import decontam, extract, lmscore, ngramjoin, packing, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -120,3 +120,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Base and model scores of all documents; one in ten is held out of the counts."""
     return lmscore.score_documents(table(spark, folder, "documents"))
+
+
+@query("op7_ngram_join")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.75 or more on five-word shingles."""
+    found = ngramjoin.similar_texts(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
