@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import decontam, extract, lmscore, ngramjoin, packing, quality, sharding, warc
+from trendloom.llm import decontam, extract, lmscore, neardup, ngramjoin, packing, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -127,3 +127,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Documents linked by a Jaccard similarity of 0.75 or more on five-word shingles."""
     found = ngramjoin.similar_texts(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_near_duplicates")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings of one label linked by a cosine of 0.98 or more."""
+    return neardup.near_duplicates(table(spark, folder, "embeddings"), 0.98)
