@@ -6,8 +6,9 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trendloom.llm import decontam, extract, lmscore, neardup, ngramjoin, packing, quality, sharding, warc
+from trendloom.llm import decontam, extract, linededup, lmscore, neardup, ngramjoin, packing, quality, sharding, warc
 from trendloom.session import prepare
 from trendloom.sources.work import work_path
 
@@ -133,3 +134,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings of one label linked by a cosine of 0.98 or more."""
     return neardup.near_duplicates(table(spark, folder, "embeddings"), 0.98)
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of recurring templates dropped from all documents."""
+    cut = linededup.drop_recurring(table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.length("text").cast("long").alias("n_chars"),
+    )
