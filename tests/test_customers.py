@@ -164,3 +164,28 @@ def test_busy_customer_does_not_overflow(spark):
     p = {"r": 0.8, "alpha": 20.0, "a": 1.4, "b": 2.5}
     got = df.select(clv.bgnbd_purchases(F.col("x"), F.col("tx"), F.col("T"), 100.0, p)).first()[0]
     assert 0 < got < 1000
+
+
+def test_hypergeometric_function_agrees_with_closed_forms(spark):
+    import math
+
+    cases = []
+    for z in (0.0, 0.3, 0.9, 0.95, 1 - 1e-4, 1 - 1e-6, 1 - 1e-8, 1 - 1e-10):
+        w = 1 - z  # as a double has it
+        cases.append((1.0, 1.0, 2.0, z, -math.log(w) / z if z else 1.0))
+        cases.append((0.5, 1.0, 1.5, z, math.atanh(math.sqrt(z)) / math.sqrt(z) if z else 1.0))
+        cases.append((2.5, 3.0, 3.0, z, w**-2.5))
+        cases.append((-0.7, 1.3, 1.3, z, w**0.7))
+    df = spark.createDataFrame(cases, "a double, b double, c double, z double, want double")
+    for r in df.withColumn("got", clv.hyp2f1(F.col("a"), F.col("b"), F.col("c"), F.col("z"))).collect():
+        assert abs(r["got"] - r["want"]) <= 1e-9 * max(1.0, abs(r["want"])), r
+
+
+def test_fits_say_whether_they_converged(spark):
+    rows = [(float(x), float(tx), 50.0) for x, tx in [(0, 0), (1, 10), (2, 30), (5, 45), (0, 0), (3, 20), (1, 40)] * 5]
+    table = spark.createDataFrame(rows, "frequency double, recency double, T double")
+    done = clv.convergence(clv.fit_bgnbd(table, penalty=0.001))
+    assert done["converged"] == 1 and done["gradient"] < 0.1
+    assert clv.convergence(clv.fit_bgnbd(table, rounds=1, penalty=0.001))["converged"] == 0
+    with pytest.raises(RuntimeError):
+        clv.fit_bgnbd(table, rounds=1, penalty=0.001, strict=True)

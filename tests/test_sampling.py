@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,9 +8,22 @@ from trendloom.operators import sampling
 
 
 def py_draw(key, seed=0):
-    m = hashing.MODULUS
-    once = ((key % m) * hashing.FIRST + seed) % m
-    return (once * hashing.SECOND + hashing.SHIFT) % m
+    return int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:15], 16)
+
+
+def test_draws_behave_like_random_numbers(spark):
+    """Repeats, strides and seeds: 20,000 queries of five draws from ten places."""
+    frame = spark.range(20_000).select(
+        "id", *[(hashing.draw(F.col("id") * 5 + k, 7) % 10).alias(f"d{k}") for k in range(5)],
+        (hashing.draw("id", 1) % 2).alias("a"), (hashing.draw("id", 2) % 2).alias("b"),
+    )
+    rows = frame.collect()
+    repeats = sum(len({r[f"d{k}"] for k in range(5)}) < 5 for r in rows) / len(rows)
+    assert abs(repeats - (1 - 10 * 9 * 8 * 7 * 6 / 10**5)) < 0.02
+    steps = {tuple((r[f"d{k + 1}"] - r[f"d{k}"]) % 10 for k in range(4)) for r in rows}
+    assert len(steps) > 8000
+    agree = sum(r["a"] == r["b"] for r in rows) / len(rows)
+    assert abs(agree - 0.5) < 0.02
 
 
 @pytest.mark.parametrize("n", [0, 1, 250, 999, 1000, 5000])

@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
-    """Gauss series for 0 <= z < 1; the number of terms grows with z until the rest is below double precision."""
+NEAR, TERMS = 0.9, 60
+
+
+def _gauss_series(a: Column, b: Column, c: Column, z: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    decay = -F.ln(F.greatest(z, F.lit(1e-300)))
-    last = F.least(F.ceil(F.lit(40.0) / decay) + 30, F.lit(100000)).cast("int")
+    last = (F.ceil(F.lit(40.0) / -F.ln(F.greatest(z, F.lit(1e-300)))) + 30).cast("int")
 
     def step(s: Column, k: Column) -> Column:
         term = s["term"] * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
@@ -29,6 +30,47 @@ def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), last), lambda k: k.cast("double")), start, step)["total"]
 
 
+def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
+    """Gauss hypergeometric function for 0 <= z < 1.
+
+    Up to 0.9 its own series is summed. Beyond, the function and its derivative are carried towards 1 by Taylor steps
+    of its differential equation, each half the distance that is left, so the work grows with the logarithm of 1 / (1 - z).
+    """
+    a, b, c, z = (x.cast("double") for x in (a, b, c, z))
+    far = z > NEAR
+    base = F.when(far, F.lit(NEAR)).otherwise(z)
+    near = _gauss_series(a, b, c, base)
+    slope = a * b / c * _gauss_series(a + 1, b + 1, c + 1, base)
+    # Taylor numbers of places from NEAR on: 1 - z halves with each, and the last one is z itself.
+    halvings = F.floor(F.log2(F.lit(1 - NEAR) / (1 - z))).cast("int")
+    places = F.concat(
+        F.transform(F.sequence(F.lit(0), F.greatest(halvings, F.lit(0))), lambda k: 1 - F.lit(1 - NEAR) * F.pow(F.lit(2.0), -k)),
+        F.array(z),
+    )
+    hops = F.transform(F.sequence(F.lit(1), F.size(places) - 1), lambda k: F.struct(
+        F.get(places, k - 1).alias("at"), F.get(places, k).alias("to")))
+    counted = F.array(*[F.lit(float(n)) for n in range(TERMS)])
+
+    def hop(s: Column, h: Column) -> Column:
+        # Coefficients are kept times the step's powers, since alone they leave the range of doubles near 1.
+        at, step = h["at"], h["to"] - h["at"]
+        start = F.struct(s["f"].alias("u"), (s["g"] * step).alias("v"), F.lit(0.0).alias("f"), F.lit(0.0).alias("g"))
+
+        def term(t: Column, n: Column) -> Column:
+            bend = (1 - 2 * at) * n + c - (a + b + 1) * at
+            after = step * ((n + a) * (n + b) * t["u"] * step - (n + 1) * bend * t["v"])
+            after = after / (at * (1 - at) * (n + 1) * (n + 2))
+            return F.struct(
+                t["v"].alias("u"), after.alias("v"), (t["f"] + t["u"]).alias("f"), (t["g"] + (n + 1) * t["v"]).alias("g")
+            )
+
+        done = F.aggregate(counted, start, term)
+        return F.struct(done["f"].alias("f"), F.when(step > 0, done["g"] / step).otherwise(s["g"]).alias("g"))
+
+    carried = F.aggregate(hops, F.struct(near.alias("f"), slope.alias("g")), hop)["f"]
+    return F.when(far, carried).otherwise(near)
+
+
 def bgnbd_alive(x: Column, tx: Column, T: Column, p: dict[str, float]) -> Column:
     """P(alive) of the BG/NBD model."""
     ratio = F.pow((F.lit(p["alpha"]) + T) / (F.lit(p["alpha"]) + tx), F.lit(p["r"]) + x)
@@ -126,12 +168,12 @@ def _batch(df: DataFrame, loglik: Callable, points: np.ndarray) -> np.ndarray:
 
 def _maximise(
     df: DataFrame, loglik: Callable, start: Sequence[float], rounds: int, tol: float, penalty: float
-) -> np.ndarray:
+) -> tuple[np.ndarray, bool, float]:
     """Quasi-Newton ascent in the logarithms of the parameters, less ``penalty`` times their sum of squares.
 
     One pass per round measures value and gradient at every step length tried.
     """
-    theta, d, eps = np.array(start, float), len(start), 1e-4
+    theta, d, eps = np.array(start, float), len(start), 1e-4  # gradient below tol, or no rise left: converged
     around = np.concatenate([[np.zeros(d)], eps * np.eye(d), -eps * np.eye(d)])
     lengths = 4.0 ** -np.arange(0, 6)
 
@@ -143,8 +185,10 @@ def _maximise(
 
     value, grads = measure(theta[None, :])
     best, grad, inverse = value[0], grads[0], np.eye(d)
+    converged = False
     for _ in range(rounds):
         if np.abs(grad).max() < tol:
+            converged = True
             break
         heading = inverse @ grad
         heading *= min(1.0, 2.0 / np.abs(heading).max())
@@ -152,6 +196,7 @@ def _maximise(
         values, grads = measure(centres)
         pick = int(values.argmax())
         if values[pick] - best <= 1e-7 * max(1.0, abs(best)):
+            converged = True
             break
         moved, change = centres[pick] - theta, grad - grads[pick]
         along = float(moved @ change)
@@ -159,37 +204,53 @@ def _maximise(
             side = np.eye(d) - np.outer(moved, change) / along
             inverse = side @ inverse @ side.T + np.outer(moved, moved) / along
         theta, best, grad = centres[pick], values[pick], grads[pick]
-    return theta
+    return theta, converged, float(np.abs(grad).max())
 
 
-def _as_table(df: DataFrame, names: Sequence[str], values: Sequence[float]) -> DataFrame:
-    rows = [(n, float(v)) for n, v in zip(names, values)]
+def _as_table(df: DataFrame, names: Sequence[str], values: Sequence[float], converged: bool, gradient: float, strict: bool) -> DataFrame:
+    """Parameters, then ``converged`` (1 or 0) and the largest part of the last ``gradient``."""
+    if strict and not converged:
+        raise RuntimeError(f"the fit has not converged: a gradient of {gradient} is left")
+    rows = [(n, float(v)) for n, v in zip([*names, "converged", "gradient"], [*values, converged, gradient])]
     return df.sparkSession.createDataFrame(rows, "parameter string, value double")
 
 
-def fit_bgnbd(rfm: DataFrame, rounds: int = 40, tol: float = 1e-5, penalty: float = 0.0) -> DataFrame:
-    """Maximum-likelihood BG/NBD parameters as a (parameter, value) table."""
+def fit_bgnbd(rfm: DataFrame, rounds: int = 40, tol: float = 1e-5, penalty: float = 0.0, strict: bool = False) -> DataFrame:
+    """BG/NBD parameters as a (parameter, value) table: of most likelihood, or of the penalised one if a penalty is given.
+
+    ``rounds`` bounds the passes; the table says if they were enough, and ``strict`` raises if not.
+    """
     counts = rfm.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("n")).persist()
     scale = 10.0 / (counts.agg(F.max("T")).first()[0] or 1)
     scaled = counts.withColumns({"recency": F.col("recency") * scale, "T": F.col("T") * scale})
-    theta = np.exp(_maximise(scaled, _bgnbd_loglik, [0.0, 0.0, 0.0, 0.0], rounds, tol, penalty))
+    theta, converged, gradient = _maximise(scaled, _bgnbd_loglik, [0.0, 0.0, 0.0, 0.0], rounds, tol, penalty)
+    theta = np.exp(theta)
     counts.unpersist()
     theta[1] /= scale
-    return _as_table(rfm, ["r", "alpha", "a", "b"], theta)
+    return _as_table(rfm, ["r", "alpha", "a", "b"], theta, converged, gradient, strict)
 
 
-def fit_gamma_gamma(rfm: DataFrame, rounds: int = 40, tol: float = 1e-5, penalty: float = 0.0) -> DataFrame:
-    """Maximum-likelihood Gamma-Gamma parameters of the repeat buyers as a (parameter, value) table."""
+def fit_gamma_gamma(rfm: DataFrame, rounds: int = 40, tol: float = 1e-5, penalty: float = 0.0, strict: bool = False) -> DataFrame:
+    """Gamma-Gamma parameters of the repeat buyers, fitted and reported as by ``fit_bgnbd``."""
     buyers = rfm.filter("frequency > 0 AND monetary_value > 0")
     counts = buyers.groupBy("frequency", "monetary_value").agg(F.count(F.lit(1)).alias("n")).persist()
     mean = counts.agg(F.sum(F.col("monetary_value") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     scaled = counts.withColumn("monetary_value", F.col("monetary_value") / mean)
-    theta = np.exp(_maximise(scaled, _spend_loglik, [1.0, 1.0, 1.0], rounds, tol, penalty))
+    theta, converged, gradient = _maximise(scaled, _spend_loglik, [1.0, 1.0, 1.0], rounds, tol, penalty)
+    theta = np.exp(theta)
     counts.unpersist()
     theta[2] *= mean
-    return _as_table(rfm, ["p", "q", "v"], theta)
+    return _as_table(rfm, ["p", "q", "v"], theta, converged, gradient, strict)
+
+
+_REPORT = ("converged", "gradient")
 
 
 def parameters(fitted: DataFrame) -> dict[str, float]:
     """The handful of fitted numbers as plain values."""
-    return {row["parameter"]: row["value"] for row in fitted.collect()}
+    return {row["parameter"]: row["value"] for row in fitted.collect() if row["parameter"] not in _REPORT}
+
+
+def convergence(fitted: DataFrame) -> dict[str, float]:
+    """Whether a fit converged, and the gradient it left."""
+    return {row["parameter"]: row["value"] for row in fitted.collect() if row["parameter"] in _REPORT}

@@ -21,7 +21,7 @@ def _smallest(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str]) ->
     """
     h = hashing.draw(key, seed)
     drawn = df.withColumn("_h", h).withColumn(
-        "_bucket", F.floor(F.col("_h") * _BUCKETS / hashing.MODULUS).cast("int")
+        "_bucket", F.call_function("div", F.col("_h"), F.lit(hashing.MODULUS // _BUCKETS)).cast("int")
     )
     sizes = drawn.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -58,9 +58,8 @@ def interactions(
     lines: DataFrame, source: str, destination: str, ts: str, order: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
     """Lines as edges: 0-based first-seen ids, 0-based edge number in the given total order, seconds since the first."""
-    seen = [c for c in order if c not in (source, destination)][:3]
-    us = features.first_seen_ids(lines, source, seen, "u")
-    its = features.first_seen_ids(lines, destination, seen, "i")
+    us = features.first_seen_ids(lines, source, list(order), "u")
+    its = features.first_seen_ids(lines, destination, list(order), "i")
     start = lines.agg(F.min(dates.epoch_seconds(ts))).scalar()
     numbered = ordering.global_index(lines, order, "edge_idx")
     return (

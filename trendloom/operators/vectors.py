@@ -22,23 +22,21 @@ def centroids(df: DataFrame, vec: str, by: str, dim: int) -> DataFrame:
 def nearest(df: DataFrame, key: str, vec: str, centres: Sequence[tuple[object, Sequence[float]]], k: int) -> DataFrame:
     """The k nearest rows to each centre with their rank; rank 1 represents the centre.
 
-    The centres are a short list of constants. Each task keeps its own k best per centre before the shuffle.
+    The centres are a parameter, as a model's are. A row's distances to them are one array, and only numbers are multiplied by
+    the centres; each task keeps its own k best per centre before the shuffle.
     """
-    wanted = F.array(
-        *[F.struct(F.lit(c).alias("id"), F.array(*[F.lit(float(x)) for x in v]).alias("vec")) for c, v in centres]
+    far = F.array(
+        *[F.struct(F.lit(c).alias("centre"), arrays.euclidean(vec, F.array(*[F.lit(float(x)) for x in v])).alias("distance"))
+          for c, v in centres]
     )
-    each = df.select(key, vec, F.explode(wanted).alias("c"))
-    measured = each.select(F.col("c.id").alias("centre"), key, arrays.euclidean(vec, "c.vec").alias("distance"))
+    measured = df.select(key, F.explode(far).alias("c")).select("c.centre", key, "c.distance")
     w = Window.partitionBy("centre").orderBy("distance", key)
     return measured.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def as_constants(centres: DataFrame, limit: int = 1000) -> list[tuple[object, list[float]]]:
-    """A short centre table as constants; refuses more than ``limit`` rows."""
-    rows = centres.orderBy(centres.columns[0]).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} centres")
-    return [(r[0], list(r[1])) for r in rows]
+def as_constants(centres: DataFrame) -> list[tuple[object, list[float]]]:
+    """The centres of a model, (id, vector) each, as plain values."""
+    return [(r[0], list(r[1])) for r in centres.orderBy(centres.columns[0]).collect()]
 
 
 def _prepared(df: DataFrame, vec: str) -> DataFrame:

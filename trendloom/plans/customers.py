@@ -175,16 +175,25 @@ def period_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter("quantity > 0").withColumn("price", tidy("price", 4))
 
 
-START, STEP, CUTS, MONTHS = "1995-01-01", 56, 40, 3
+START, STEP, MONTHS = "1995-01-01", 56, 3
 _CUTS = f"""cuts AS (SELECT k AS cut_no, TIMESTAMP '{START}' + to_days(((k + 1) * {STEP})::int) - INTERVAL 1 SECOND AS cut
-  FROM (SELECT unnest(range(0, {CUTS})) AS k))"""
+  FROM (SELECT unnest(range(0, (SELECT date_diff('day', TIMESTAMP '{START}', max(ts)) FROM lines) // {STEP} + 1)) AS k)
+  WHERE TIMESTAMP '{START}' + to_days(((k + 1) * {STEP})::int) - INTERVAL 1 SECOND + INTERVAL {MONTHS} MONTH
+    <= (SELECT max(ts) FROM lines))"""
+
+
+def cuts(spark: SparkSession, sf: str) -> int:
+    """Cuts whose target is whole, from the data."""
+    return samples.whole_cuts(lines(spark, sf), "ts", START, STEP, MONTHS)
+
+
 _FUTURE = f"""fut AS (SELECT cut_no, customer, sum(amount) AS target FROM lines JOIN cuts
   ON ts > cut AND ts < cut + INTERVAL {MONTHS} MONTH GROUP BY 1, 2)"""
 
 
 @query("future_value", sql=f"WITH {LINES}, {_CUTS}, {_FUTURE} SELECT cut_no, customer, round(target, 2) AS target FROM fut")
 def future_value(spark: SparkSession, sf: str) -> DataFrame:
-    out = samples.future_value(lines(spark, sf), "customer", "ts", "amount", START, STEP, CUTS, MONTHS)
+    out = samples.future_value(lines(spark, sf), "customer", "ts", "amount", START, STEP, cuts(spark, sf), MONTHS)
     return out.withColumn("target", F.round("target", 2))
 
 
@@ -197,7 +206,7 @@ def future_value(spark: SparkSession, sf: str) -> DataFrame:
     FROM act LEFT JOIN fut USING (cut_no, customer)""",
 )
 def clv_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    out = samples.clv_dataset(lines(spark, sf), "customer", "ts", "amount", START, STEP, CUTS, MONTHS)
+    out = samples.clv_dataset(lines(spark, sf), "customer", "ts", "amount", START, STEP, cuts(spark, sf), MONTHS)
     return out.withColumns({c: F.round(c, 2) for c in ("spend", "target")})
 
 
@@ -210,7 +219,7 @@ def clv_dataset(spark: SparkSession, sf: str) -> DataFrame:
 )
 def clv_split(spark: SparkSession, sf: str) -> DataFrame:
     """Train and test by prediction date."""
-    seen = samples.activity(lines(spark, sf), "customer", "ts", "amount", START, STEP, CUTS)
+    seen = samples.activity(lines(spark, sf), "customer", "ts", "amount", START, STEP, cuts(spark, sf))
     dated = seen.withColumn("prediction_date", F.to_date(samples.cut_time(F.col("cut_no"), START, STEP)))
     flag = (F.col("prediction_date") >= F.lit("2000-01-01").cast("date")).cast("long").alias("is_test")
     return dated.groupBy(flag).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("customer").alias("customers"))

@@ -129,7 +129,8 @@ def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def clv_regression(spark: SparkSession, sf: str) -> DataFrame:
     """Later spend from activity features: earlier cuts train, later ones test, predictions clipped at 0."""
     data = store(customers.samples.clv_dataset(
-        lines(spark, sf), "customer", "ts", "amount", customers.START, customers.STEP, customers.CUTS, customers.MONTHS
+        lines(spark, sf), "customer", "ts", "amount", customers.START, customers.STEP, customers.cuts(spark, sf),
+        customers.MONTHS
     ), "clv-samples")
     numeric = ["n_events", "spend", "idle_seconds"]
     model = models.fit_global(data.filter("prediction_date < DATE '2000-01-01'"), "target", numeric, **TREES)
