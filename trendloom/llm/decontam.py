@@ -86,17 +86,22 @@ def _hits(words: Column, n: Column, at: Column, entries: Column) -> Column:
     return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["size"].alias("size"), h["items"].alias("items")))
 
 
-def _tokens(words: Column, n: Column, sizes: list[int]) -> Column:
-    """All shingles of a document with their places; a document shorter than the smallest size has none."""
-    none = F.array().cast("array<struct<at:int,k:int,token:bigint>>")
+def _spots(base: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row per place of a document, with the hash of the shingle of each size there, or null where it does not fit.
 
-    def of_size(k: int) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
-        token = F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), _shingle(words, i, k).alias("token")))
-        return F.when(n >= k, token).otherwise(none)
-
-    made = [of_size(k) for k in sizes]
-    return F.concat(*made) if len(made) > 1 else made[0]
+    Shifted copies of the words are zipped and exploded, so the hashes are computed in generated code. A document
+    without words keeps one row whose place is null; ``first`` marks one row per document.
+    """
+    shifted = [F.slice("w", j + 1, F.greatest(F.col("n") - j, F.lit(0))).alias(f"w{j}") for j in range(max(sizes))]
+    placed = base.select("*", F.posexplode_outer(F.arrays_zip(*shifted)).alias("at", "_near"))
+    near = [F.col(f"_near.w{j}") for j in range(max(sizes))]
+    tokens = [F.when(near[k - 1].isNotNull(), F.xxhash64(F.lit(k), *near[:k])) for k in sizes]
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    if len(tokens) == 1:
+        return placed.select(*base.columns, "at", tokens[0].alias("token"), first.alias("first"))
+    return placed.select(*base.columns, "at", first.alias("_zero"), F.posexplode(F.array(*tokens)).alias("_size", "token")).select(
+        *base.columns, "at", "token", (F.col("_zero") & (F.col("_size") == 0)).alias("first")
+    )
 
 
 def covered(hits: Column) -> Column:
@@ -119,7 +124,7 @@ def contamination(
     """Per document: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` and the hit ``spans``.
 
     A document word inside any occurrence of a window is hit; a document is contaminated if some word is hit and the hits
-    are at least a twentieth of its words. Null and empty texts have no words. Documents are told apart by id (null
+    are at least a twentieth of its words; ``text_key`` is the hash64 of its text. Null and empty texts have no words. Documents are told apart by id (null
     is one too) and text; repeated rows give repeated rows. Without items nothing is hit. Other columns are ignored.
     """
     index = store(window_index(items, window, shingle), "benchmark-index")
@@ -132,10 +137,8 @@ def contamination(
     shape = "array<struct<start:int,size:int,items:array<%s>>>" % dict(items.dtypes)["item_id"]
     if (row["bytes"] or 0) <= broadcast_bytes:
         # One pass: the words stay beside the shingles of their row, and rows without a match never leave the join.
-        spots = base.select("doc_id", "_key", "w", "n", F.explode_outer(_tokens(F.col("w"), F.col("n"), sizes)).alias("t"))
-        first = F.coalesce((F.col("t.at") == 0) & (F.col("t.k") == sizes[0]), F.lit(True))
         found = (
-            spots.select("doc_id", "_key", "w", "n", F.col("t.at").alias("at"), F.col("t.token").alias("token"), first.alias("first"))
+            _spots(base, sizes)
             .join(F.broadcast(index), "token", "left")
             .filter(F.col("first") | F.col("entries").isNotNull())
             .select(
@@ -144,9 +147,9 @@ def contamination(
             )
         )
     else:
-        spots = base.select("doc_id", "_key", F.explode(_tokens(F.col("w"), F.col("n"), sizes)).alias("t"))
+        spots = _spots(base, sizes).select("doc_id", "_key", "at", "token").filter("token IS NOT NULL")
         near = (
-            spots.select("doc_id", "_key", "t.at", "t.token").distinct().join(index, "token")
+            spots.distinct().join(index, "token")
             .groupBy("doc_id", "_key").agg(F.collect_list(F.struct("at", "entries")).alias("near"))
             .withColumnRenamed("doc_id", "_doc").withColumnRenamed("_key", "_text")
         )
@@ -162,13 +165,13 @@ def contamination(
         .agg(F.max("n").cast("long").alias("n_words"), F.sum("copies").alias("_copies"), F.collect_list(
             F.when(F.size("hits") > 0, F.col("hits"))).alias("_hits"))
         .withColumn("hits", hits)
-        .select("doc_id", "n_words", "_copies", covered(F.col("hits")).alias("n_hit"), ids.alias("_ids"),
+        .select("doc_id", F.col("_key").alias("text_key"), "n_words", "_copies", covered(F.col("hits")).alias("n_hit"), ids.alias("_ids"),
                 F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["size"].alias("size"))))).alias("spans"))
         .select(
             "doc_id", "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"),
             F.sha2(F.array_join("_ids", ",").cast("binary"), 256).alias("items_sha256"),
             ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-            "spans", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one"),
+            "spans", "text_key", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one"),
         )
         .drop("_one")
     )
