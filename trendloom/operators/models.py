@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, PCA, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, PCA, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import dates, hashing
 from trendloom.operators import ordering, panel, sampling
-from trendloom.sources.work import settle
+from trendloom.sources.work import settle, store
 
 CALENDAR = ["day_of_week", "day_of_month", "day_of_year", "week_of_year", "month", "is_weekend"]
 MISSING = -1.0
@@ -50,33 +51,81 @@ def training_frame(df: DataFrame, key: str, ds: str, y: str, lags: Sequence[int]
     return made.drop(*[f"_raw_{k}" for k in lags])
 
 
+def code_names(categorical: Sequence[str]) -> list[str]:
+    return [f"{c}_{part}" for c in categorical for part in ("mean", "rows")]
+
+
+@dataclass(frozen=True)
+class PanelModel:
+    """A regressor over all entities with the numbers that stand for its categories.
+
+    A value is encoded by its training mean and row count, a table joined on the value: the same for a panel of any
+    number of keys, and never gathered on the driver. An unseen or null value has the overall mean and no rows.
+    """
+
+    pipeline: PipelineModel
+    codes: DataFrame | None
+    overall: float
+
+    @property
+    def inputs(self) -> list[str]:
+        return self.pipeline.stages[0].getInputCols()
+
+    @property
+    def trees(self):
+        return self.pipeline.stages[-1]
+
+    def encode(self, df: DataFrame, categorical: Sequence[str]) -> DataFrame:
+        for c in categorical:
+            mine = self.codes.filter(F.col("category") == c).select(
+                F.col("value").alias("_value"), F.col("mean").alias("_mean"), F.col("n").alias("_n")
+            )
+            met = df.join(mine, F.col(c).cast("string") == F.col("_value"), "left")
+            df = met.withColumns(
+                {f"{c}_mean": F.coalesce("_mean", F.lit(self.overall)), f"{c}_rows": F.coalesce("_n", F.lit(0.0))}
+            ).drop("_value", "_mean", "_n")
+        return df
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/trees")
+        if self.codes is not None:
+            whole = self.codes.withColumn("overall", F.lit(self.overall))
+            whole.write.mode("overwrite").parquet(f"{path}/codes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, categorical: bool = True) -> PanelModel:
+        codes = spark.read.parquet(f"{path}/codes") if categorical else None
+        overall = codes.first()["overall"] if categorical else 0.0
+        return cls(PipelineModel.load(f"{path}/trees"), codes, overall)
+
+
 def fit_global(
     frame: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str] = (), seed: int = 91, **params: object
-) -> PipelineModel:
-    """One boosted-tree regressor over all entities."""
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-        for c in categorical
-    ]
-    inputs = [*numeric, *[f"{c}_index" for c in categorical]]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+) -> PanelModel:
+    """One boosted-tree regressor over all entities; categories enter by their training mean and row count."""
+    codes, overall = None, 0.0
+    for c in categorical:
+        each = frame.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(
+            F.avg(y).alias("mean"), F.count(F.lit(1)).cast("double").alias("n")
+        ).select(F.lit(c).alias("category"), "value", "mean", "n")
+        codes = each if codes is None else codes.unionByName(each)
+    if codes is not None:
+        codes = store(codes, "codes")
+        overall = float(frame.agg(F.avg(y)).first()[0] or 0.0)
+    assembler = VectorAssembler(inputCols=[*numeric, *code_names(categorical)], outputCol="features")
     trees = GBTRegressor(featuresCol="features", labelCol=y, predictionCol="prediction", seed=seed, **params)
-    text_keys = frame.withColumns({c: F.col(c).cast("string") for c in categorical}) if categorical else frame
-    return Pipeline(stages=[*indexers, assembler, trees]).fit(text_keys)
+    coded = PanelModel(None, codes, overall).encode(frame, categorical)
+    return PanelModel(Pipeline(stages=[assembler, trees]).fit(coded), codes, overall)
 
 
-def score(model: PipelineModel, frame: DataFrame, categorical: Sequence[str] = (), name: str = "yhat") -> DataFrame:
-    text_keys = frame.withColumns({f"{c}_kept": F.col(c) for c in categorical})
-    text_keys = text_keys.withColumns({c: F.col(c).cast("string") for c in categorical}) if categorical else text_keys
-    scored = model.transform(text_keys).withColumnRenamed("prediction", name)
-    for c in categorical:
-        scored = scored.drop(c, f"{c}_index").withColumnRenamed(f"{c}_kept", c)
-    return scored.drop("features")
+def score(model: PanelModel, frame: DataFrame, categorical: Sequence[str] = (), name: str = "yhat") -> DataFrame:
+    scored = model.pipeline.transform(model.encode(frame, categorical)).withColumnRenamed("prediction", name)
+    return scored.drop("features", *code_names(categorical))
 
 
 def tune(
-    blocked: DataFrame, y: str, grid: Sequence[Mapping[str, object]], folds: int, fit: Callable[..., PipelineModel],
-    predict: Callable[[PipelineModel, DataFrame], DataFrame],
+    blocked: DataFrame, y: str, grid: Sequence[Mapping[str, object]], folds: int, fit: Callable[..., PanelModel],
+    predict: Callable[[PanelModel, DataFrame], DataFrame],
 ) -> DataFrame:
     """Mean validation MSE of each setting over expanding time folds; ``blocked`` carries ``block``."""
     frame = blocked.persist()
@@ -92,11 +141,10 @@ def tune(
     return blocked.sparkSession.createDataFrame(rows, "setting long, params string, mse double")
 
 
-def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
+def importances(model: PanelModel, spark: SparkSession) -> DataFrame:
     """Share of the split gain per input column."""
-    names = model.stages[-2].getInputCols()
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
+    values = model.trees.featureImportances.toArray()
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(model.inputs, values)], "feature string, importance double")
 
 
 def permuted(df: DataFrame, key: str, col: str, seed: int = 0) -> DataFrame:
@@ -129,21 +177,13 @@ def _history(buffer: DataFrame, keys: Sequence[str], ds: str, y: str) -> DataFra
     return buffer.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_hist"))
 
 
-def _indexed(model: PipelineModel, df: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    """Category indexes of the keys, which no step changes."""
-    out = df.withColumns({f"{c}_kept": F.col(c) for c in categorical}) if categorical else df
-    for c, stage in zip(categorical, model.stages):
-        out = stage.transform(out.withColumn(c, F.col(c).cast("string"))).drop(c).withColumnRenamed(f"{c}_kept", c)
-    return out
-
-
 def forecast(
     buffer: DataFrame,
     test: DataFrame,
     keys: Sequence[str],
     ds: str,
     y: str,
-    family: Sequence[PipelineModel],
+    family: Sequence[PanelModel],
     lags: Sequence[int],
     horizon: int = 50,
     categorical: Sequence[str] = (),
@@ -155,13 +195,19 @@ def forecast(
     forecast, several the hybrid one. A key is one row holding its buffered values and its future days, both bounded by the
     buffer size and the horizon, so every step is narrow. The growing plan is cut by a checkpoint.
     """
-    state = _future(test, keys, ds, y, horizon).join(_history(buffer, keys, ds, y), list(keys))
-    state = settle(_indexed(family[0], state.withColumn("_preds", F.array().cast("array<double>")), categorical))
+    state = _future(test, keys, ds, y, horizon).join(_history(buffer, keys, ds, y), list(keys), "left")
+    state = state.withColumns(
+        {
+            "_hist": F.coalesce("_hist", F.create_map().cast("map<bigint,double>")),
+            "_preds": F.array().cast("array<double>"),
+        }
+    )
+    state = settle(family[0].encode(state, categorical))
     carried = [c for c in state.columns if c not in ("_hist", "_preds")]
     for shift, model in enumerate(family):
-        names = [*CALENDAR, *lag_names([k + shift for k in lags]), *[f"{c}_index" for c in categorical]]
-        if model.stages[-2].getInputCols() != names:
-            raise ValueError(f"model {shift + 1} was fitted on other inputs: {model.stages[-2].getInputCols()}")
+        names = [*CALENDAR, *lag_names([k + shift for k in lags]), *code_names(categorical)]
+        if model.inputs != names:
+            raise ValueError(f"model {shift + 1} was fitted on other inputs: {model.inputs}")
     for h in range(1, horizon + 1):
         shift = (h - 1) % len(family)
         # A key with fewer future days than the horizon stays in the table; its surplus steps are dropped at the end.
@@ -171,11 +217,11 @@ def forecast(
             F.concat(
                 F.array(*[c.cast("double") for c in panel.calendar_columns(today).values()]),
                 _lag_array(day, [k + shift for k in lags]),
-                F.array(*[F.col(f"{c}_index") for c in categorical]).cast("array<double>"),
+                F.array(*[F.col(c) for c in code_names(categorical)]).cast("array<double>"),
             )
         )
         ready = state.select(*carried, "_hist", "_preds", features.alias("features"))
-        state = family[shift].stages[-1].transform(ready).select(
+        state = family[shift].trees.transform(ready).select(
             *carried,
             F.map_concat(
                 F.map_filter("_hist", lambda k, _: k != day), F.create_map(day, F.col("prediction"))
@@ -194,7 +240,7 @@ def forecast(
 
 def fit_direct(
     df: DataFrame, key: str, ds: str, y: str, lags: Sequence[int], n: int, categorical: Sequence[str], **params: object
-) -> list[PipelineModel]:
+) -> list[PanelModel]:
     """Model i learns from lags shifted by i - 1 days, i = 1..n."""
     family = []
     for shift in range(n):
@@ -204,13 +250,13 @@ def fit_direct(
     return family
 
 
-def save_family(family: Sequence[PipelineModel], path: str) -> None:
+def save_family(family: Sequence[PanelModel], path: str) -> None:
     for i, model in enumerate(family, start=1):
-        model.write().overwrite().save(f"{path}/model_{i}")
+        model.save(f"{path}/model_{i}")
 
 
-def load_family(path: str, n: int) -> list[PipelineModel]:
-    return [PipelineModel.load(f"{path}/model_{i}") for i in range(1, n + 1)]
+def load_family(spark: SparkSession, path: str, n: int, categorical: bool = True) -> list[PanelModel]:
+    return [PanelModel.load(spark, f"{path}/model_{i}", categorical) for i in range(1, n + 1)]
 
 
 def fit_text_classifier(df: DataFrame, text: str, label: str, features: int = 1 << 14) -> PipelineModel:

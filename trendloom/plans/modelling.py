@@ -25,7 +25,7 @@ def _held(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
     return store(panel.holdout_tail(daily(spark, sf), "entity", "ds", n), "held")
 
 
-def _fit(held: DataFrame, **params: object) -> models.PipelineModel:
+def _fit(held: DataFrame, **params: object) -> models.PanelModel:
     frame = models.training_frame(held.filter("rel = 0"), "entity", "ds", "y", LAGS)
     numeric = [*models.CALENDAR, *models.lag_names(LAGS)]
     return models.fit_global(frame, "y", numeric, CATS, **{**TREES, **params})
@@ -77,7 +77,7 @@ def model_family(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "family")
     models.save_family(models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, 2, CATS, **TREES), path)
     runs = []
-    for i, model in enumerate(models.load_family(path, 2)):
+    for i, model in enumerate(models.load_family(spark, path, 2)):
         frame = models.training_frame(held, "entity", "ds", "y", [k + i for k in LAGS]).filter("is_test")
         scored = models.score(model, frame, CATS)
         runs.append(metrics.regression(scored, "y", "yhat").withColumn("model", F.lit(f"model_{i + 1}")))
@@ -95,7 +95,7 @@ def tuned_gbt(spark: SparkSession, sf: str) -> DataFrame:
     return models.tune(blocked, "y", grid, 2, fit, partial(_score_with, cats=CATS))
 
 
-def _score_with(model: models.PipelineModel, df: DataFrame, cats: list[str]) -> DataFrame:
+def _score_with(model: models.PanelModel, df: DataFrame, cats: list[str]) -> DataFrame:
     return models.score(model, df, cats)
 
 
