@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from trendloom.streaming import jobs
@@ -7,31 +8,25 @@ from trendloom.streaming import jobs
 SCHEMA = "user_id long, event_id long, ts timestamp_ntz"
 
 
-def write(spark, path, rows):
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
+def pieces(spark, *rows):
+    return [spark.createDataFrame(r, SCHEMA) for r in rows]
 
 
 def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour)
 
 
-def stream(spark, path):
-    return jobs.read(spark, str(path), spark.createDataFrame([], SCHEMA).schema, "ts", files_per_trigger=1)
-
-
-def test_state_survives_batches_and_marks_late_rows(spark, tmp_path):
-    write(spark, tmp_path / "in", [(1, 1, at(1)), (1, 2, at(2)), (2, 3, at(2))])
-    write(spark, tmp_path / "in", [(1, 4, at(1, 5)), (1, 5, at(3))])
-    out = jobs.run(jobs.node_state(stream(spark, tmp_path / "in"), "user_id", "event_id", "ts"), "t-state")
+def test_state_survives_batches_and_marks_late_rows(spark):
+    parts = pieces(spark, [(1, 1, at(1)), (1, 2, at(2)), (2, 3, at(2))], [(1, 4, at(1, 5)), (1, 5, at(3))])
+    out = jobs.replay(parts, "ts", lambda s: jobs.node_state(s, "user_id", "event_id", "ts"), "t-state")
     got = {r["event_id"]: (r["waited"], r["n_seen"], r["late"]) for r in out.collect()}
     day = 86400.0
     assert got == {1: (None, 1, False), 2: (day, 2, False), 3: (None, 1, False), 4: (None, 2, True), 5: (day, 3, False)}
 
 
-def test_running_statistics_merge_batches(spark, tmp_path):
-    write(spark, tmp_path / "in", [(1, 1, at(1)), (1, 2, at(2)), (1, 3, at(4))])
-    write(spark, tmp_path / "in", [(1, 4, at(8))])
-    rows = jobs.run(jobs.time_stats(stream(spark, tmp_path / "in"), "user_id", "ts"), "t-stats")
+def test_running_statistics_merge_batches(spark):
+    parts = pieces(spark, [(1, 1, at(1)), (1, 2, at(2)), (1, 3, at(4))], [(1, 4, at(8))])
+    rows = jobs.replay(parts, "ts", lambda s: jobs.time_stats(s, "user_id", "ts"), "t-stats")
     r = jobs.latest(rows, "user_id").first()
     day = 86400.0
     mean = 7 * day / 3
@@ -39,8 +34,36 @@ def test_running_statistics_merge_batches(spark, tmp_path):
     assert r["n"] == 3 and abs(r["mean"] - mean) < 1e-6 and abs(r["std"] - std) < 1e-6
 
 
-def test_pause_of_exactly_the_gap_stays_in_the_session(spark, tmp_path):
-    write(spark, tmp_path / "in", [(1, 1, at(1)), (1, 2, at(3)), (1, 3, at(5, 1)), (2, 4, at(30))])
-    out = jobs.run(jobs.sessions(stream(spark, tmp_path / "in"), "ts", "1 hour", "2 days", ["user_id"]), "t-sessions")
+def test_pause_of_exactly_the_gap_stays_in_the_session(spark):
+    parts = pieces(spark, [(1, 1, at(1)), (1, 2, at(3)), (1, 3, at(5, 1)), (2, 4, at(30))])
+    out = jobs.replay(parts, "ts", lambda s: jobs.sessions(s, "ts", "1 hour", "2 days", ["user_id"]), "t-sessions")
     got = sorted((r["session_start"], r["n"]) for r in out.filter(F.col("user_id") == 1).collect())
     assert got == [(at(1), 2), (at(5, 1), 1)]
+
+
+def test_results_do_not_depend_on_files_or_slices(spark, tmp_path):
+    rows = [(k * 7919 % 40, k, at(1 + k * 7919 % 28, k * 31 % 24) + dt.timedelta(seconds=k % 3600)) for k in range(1500)]
+    one = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    spark.createDataFrame(rows, SCHEMA).repartition(6, "event_id").write.parquet(str(tmp_path / "six"))
+    six = spark.read.parquet(str(tmp_path / "six"))
+    builds = [
+        lambda s: jobs.tumbling(s, "ts", "1 hour", "1 day", ["user_id"], [("n", F.count(F.lit(1)))]),
+        lambda s: jobs.sessions(s, "ts", "1 hour", "12 hours", ["user_id"]),
+        lambda s: jobs.node_state(s, "user_id", "event_id", "ts"),
+    ]
+    for k, build in enumerate(builds):
+        got = [
+            sorted(map(str, jobs.replay(jobs.slices(df, "ts", n=n), "ts", build, f"t-{k}").collect()))
+            for df, n in ((one, 1), (six, 5))
+        ]
+        assert got[0] == got[1] and got[0]
+        assert k < 2 or not any("late=True" in r for r in got[0])
+    assert sum(p.count() for p in jobs.slices(six, "ts", n=7)) == len(rows)
+
+
+def test_dropped_rows_are_an_error_unless_they_are_the_feature(spark):
+    parts = pieces(spark, [(1, 1, at(20))], [(1, 2, at(23))], [(1, 3, at(1))])
+    build = lambda s: jobs.tumbling(s, "ts", "1 hour", "1 day", ["user_id"], [("n", F.count(F.lit(1)))])
+    with pytest.raises(RuntimeError):
+        jobs.replay(parts, "ts", build, "t-drop")
+    assert jobs.replay(parts, "ts", build, "t-dropped", may_drop=True).count() >= 1

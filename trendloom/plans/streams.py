@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from trendloom.plans.registry import query
 from trendloom.sources.files import table
-from trendloom.sources.work import work_path
 from trendloom.streaming import jobs
 
 DELAY = "1 hour"
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.read(spark, f"{sf}/event*.parquet", table(spark, sf, "events").schema, "ts")
+def events(spark: SparkSession, sf: str, n: int | None = None) -> list[DataFrame]:
+    """The events in slices of time, oldest first."""
+    return jobs.slices(table(spark, sf, "events"), "ts", n=n)
 
 
 _MARK = "mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events)"
@@ -33,7 +33,7 @@ def _daily(stream: DataFrame, slide: str | None, size: str) -> DataFrame:
     HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT w FROM mark)""",
 )
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    out = jobs.run(_daily(events(spark, sf), None, "1 day"), "tumbling")
+    out = jobs.replay(events(spark, sf), "ts", lambda s: _daily(s, None, "1 day"), "tumbling")
     return out.withColumn("total", F.round("total", 4))
 
 
@@ -45,7 +45,7 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     FROM x GROUP BY ALL HAVING window_start + INTERVAL 7 DAY <= (SELECT w FROM mark)""",
 )
 def stream_hopping(spark: SparkSession, sf: str) -> DataFrame:
-    out = jobs.run(_daily(events(spark, sf), "1 day", "7 days"), "hopping")
+    out = jobs.replay(events(spark, sf), "ts", lambda s: _daily(s, "1 day", "7 days"), "hopping")
     return out.withColumn("total", F.round("total", 4))
 
 
@@ -58,15 +58,14 @@ def stream_hopping(spark: SparkSession, sf: str) -> DataFrame:
     GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT w FROM mark)""",
 )
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run(jobs.sessions(events(spark, sf), "ts", DELAY, "12 hours", ["user_id"]), "sessions")
+    return jobs.replay(events(spark, sf), "ts", lambda s: jobs.sessions(s, "ts", DELAY, "12 hours", ["user_id"]), "sessions")
 
 
 @query("stream_dedupe", sql="SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every event arrives twice and leaves once."""
-    twice = events(spark, sf).unionByName(events(spark, sf))
-    out = jobs.dedupe(twice, "ts", "40 days", ["event_id"])
-    return jobs.run(out.select("event_id", "user_id", "event_type"), "dedupe")
+    once = lambda s: jobs.dedupe(s.unionByName(s), "ts", DELAY, ["event_id"]).select("event_id", "user_id", "event_type")
+    return jobs.replay(events(spark, sf), "ts", once, "dedupe")
 
 
 @query(
@@ -75,7 +74,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     row_number() OVER w AS n_seen, false AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def stream_node_state(spark: SparkSession, sf: str) -> DataFrame:
-    out = jobs.run(jobs.node_state(events(spark, sf), "user_id", "event_id", "ts"), "node-state")
+    out = jobs.replay(events(spark, sf), "ts", lambda s: jobs.node_state(s, "user_id", "event_id", "ts"), "node-state")
     return out.withColumn("waited", F.round("waited", 6))
 
 
@@ -85,7 +84,7 @@ def stream_node_state(spark: SparkSession, sf: str) -> DataFrame:
     (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS d FROM events) GROUP BY user_id""",
 )
 def stream_time_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = jobs.run(jobs.time_stats(events(spark, sf), "user_id", "ts"), "time-stats")
+    rows = jobs.replay(events(spark, sf), "ts", lambda s: jobs.time_stats(s, "user_id", "ts"), "time-stats")
     out = jobs.latest(rows, "user_id")
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
@@ -93,15 +92,11 @@ def stream_time_stats(spark: SparkSession, sf: str) -> DataFrame:
 _PIECES = ["2024-01-16", "2024-01-08"]
 
 
-def _out_of_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The events in three pieces, newest piece first, one file per micro-batch."""
-    base = table(spark, sf, "events")
-    path = work_path(spark, "out-of-order")
+def _out_of_order(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The events in three pieces, newest piece first."""
+    base, ts = table(spark, sf, "events"), F.col("ts")
     late, early = (F.lit(d).cast("timestamp_ntz") for d in _PIECES)
-    ts = F.col("ts")
-    for name, piece in (("a", ts >= late), ("b", (ts < late) & (ts >= early)), ("c", ts < early)):
-        base.filter(piece).write.parquet(f"{path}/{name}")
-    return jobs.read(spark, f"{path}/*/", base.schema, "ts", files_per_trigger=1)
+    return [base.filter(p) for p in (ts >= late, (ts < late) & (ts >= early), ts < early)]
 
 
 @query(
@@ -113,7 +108,7 @@ def _out_of_order(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     """Late events are counted and do not move a node's state back."""
-    marked = jobs.run(jobs.node_state(_out_of_order(spark, sf), "user_id", "event_id", "ts"), "late")
+    marked = jobs.replay(_out_of_order(spark, sf), "ts", lambda s: jobs.node_state(s, "user_id", "event_id", "ts"), "late")
     return marked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
 
 
@@ -121,14 +116,13 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     "stream_late_windows",
     sql=f"""WITH {_MARK} SELECT date_trunc('day', ts)::timestamp AS window_start,
     date_trunc('day', ts)::timestamp + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n,
-    round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '{_PIECES[1]}' GROUP BY ALL
+    round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '{_PIECES[0]}' GROUP BY ALL
     HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT w FROM mark)""",
 )
 def stream_late_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows behind the watermark are dropped from windowed sums.
 
-    The test for lateness uses the watermark known when the previous micro-batch began, so the second piece still counts
-    and the third does not.
+    A piece ends with the watermark at its last time less the delay, so the two older pieces come too late as a whole.
     """
-    out = jobs.run(_daily(_out_of_order(spark, sf), None, "1 day"), "late-windows")
+    out = jobs.replay(_out_of_order(spark, sf), "ts", lambda s: _daily(s, None, "1 day"), "late-windows", may_drop=True)
     return out.withColumn("total", F.round("total", 4))

@@ -7,7 +7,7 @@ it wrote. Event time is a zoned timestamp, because a watermark does not accept a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,24 +20,39 @@ from trendloom.functions import dates
 from trendloom.sources.work import work_path
 
 
-def read(
-    spark: SparkSession,
-    pattern: str,
-    schema: T.StructType,
-    ts: str,
-    files_per_trigger: int | None = None,
-    bytes_per_trigger: int = 256 << 20,
-) -> DataFrame:
-    """Files as a stream, oldest first. A micro-batch is bounded by bytes, or by files where ``files_per_trigger`` is given.
+#: Rows of one slice of a replay.
+SLICE_ROWS = 5_000_000
+
+
+def read(spark: SparkSession, pattern: str, schema: T.StructType, ts: str) -> DataFrame:
+    """Files as a stream; all that are there when a run starts make one micro-batch.
 
     The wall clock of ``ts`` is read as UTC, so windows and outputs do not depend on the session zone.
     """
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    else:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
-    return reader.parquet(pattern).withColumn(ts, F.timestamp_micros(dates.epoch_micros(ts)))
+    stream = spark.readStream.schema(schema).parquet(pattern)
+    return stream.withColumn(ts, F.timestamp_micros(dates.epoch_micros(ts)))
+
+
+def slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, n: int | None = None) -> list[DataFrame]:
+    """The rows cut by time into slices of about ``rows`` rows, oldest first; equal times stay together, null times come first.
+
+    Cuts come from the data, whatever its files are, so a replay of the slices has no late rows at any size.
+    """
+    n = n or max(1, -(-df.count() // rows))
+    if n == 1:
+        return [df]
+    us = dates.epoch_micros(ts)
+    cuts = sorted(set(df.agg(F.percentile_approx(us, [k / n for k in range(1, n)], 10_000)).first()[0] or []))
+    edges = [None, *cuts, None]
+    out = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = df
+        if low is not None:
+            part = part.filter(us >= low)
+        if high is not None:
+            part = part.filter((us < high) | us.isNull() if low is None else us < high)
+        out.append(part)
+    return out
 
 
 def _wall_clock(instant: str) -> Column:
@@ -48,10 +63,16 @@ def _wall_clock(instant: str) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)
 
 
-def run(stream: DataFrame, label: str) -> DataFrame:
+def run(stream: DataFrame, label: str, may_drop: bool = False) -> DataFrame:
     """Process all available input in append mode into a parquet table of the shared folder and read that table."""
     spark = stream.sparkSession
     out, progress = work_path(spark, label), work_path(spark, f"{label}-progress")
+    _advance(stream, out, progress, may_drop)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _advance(stream: DataFrame, out: str, progress: str, may_drop: bool) -> None:
+    """One run to the end of the input there is; rows dropped behind the watermark are an error unless they are the feature."""
     job = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -60,6 +81,25 @@ def run(stream: DataFrame, label: str) -> DataFrame:
         .start(out)
     )
     job.awaitTermination()
+    dropped = sum(op.numRowsDroppedByWatermark for p in job.recentProgress for op in p.stateOperators)
+    if dropped and not may_drop:
+        raise RuntimeError(f"{dropped} rows came later than the watermark allows")
+
+
+def replay(
+    pieces: Sequence[DataFrame], ts: str, build: Callable[[DataFrame], DataFrame], label: str, may_drop: bool = False
+) -> DataFrame:
+    """Stream pieces of a table one after the other, each as one micro-batch of the same query.
+
+    A piece is written to the shared folder whole, in as many files as it needs, and the query goes on from its checkpoint:
+    the batches are the pieces, whatever the number and times of files.
+    """
+    spark, schema = pieces[0].sparkSession, pieces[0].schema
+    source, out, progress = (work_path(spark, f"{label}{x}") for x in ("-input", "", "-progress"))
+    for k, piece in enumerate(pieces):
+        piece.write.parquet(f"{source}/piece-{k:06d}")
+        stream = build(read(spark, f"{source}/*/", schema, ts))
+        _advance(stream, out, progress, may_drop)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -72,7 +112,10 @@ def tumbling(
     stream: DataFrame, ts: str, delay: str, size: str, keys: Sequence[str], aggs: Sequence[tuple[str, Column]],
     slide: str | None = None,
 ) -> DataFrame:
-    """Aggregates per window and key; a window is emitted once the watermark passes its end and later rows are dropped."""
+    """Aggregates per window and key; a window is emitted once the watermark passes its end and later rows are dropped.
+
+    Windows that end after the last watermark stay open and do not come out, also at the end of a finished input.
+    """
     span = F.window(ts, size, slide).alias("w") if slide else F.window(ts, size).alias("w")
     grouped = stream.withWatermark(ts, delay).groupBy(span, *keys).agg(*[c.alias(n) for n, c in aggs])
     return _named(grouped, "w", ("window_start", "window_end"), [*keys, *[n for n, _ in aggs]])
@@ -101,7 +144,7 @@ def node_state(stream: DataFrame, node: str, event: str, ts: str) -> DataFrame:
     """Keyed state of each node: for every event the seconds since the node's previous one and the running count.
 
     An event older than the node's last one is late: it is marked, counted, and leaves the state as it is. Within a
-    micro-batch a node's events are put in time order; the batch size bounds how many that can be.
+    micro-batch a node's events are put in time order, so a replay in time order has no late ones.
     """
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
