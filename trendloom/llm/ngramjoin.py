@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word shingles that skips by relations between sets.
 
-Texts with one shingle set form a class. Classes with the same smallest hashes meet one of them, their leader; those verified
-to be similar to it form its cluster. The inverted index over rarity-ordered prefixes then holds one entry per token and
+Texts with one shingle set form a class. Classes with the same smallest hashes, in any of a few orders, meet one of them;
+those verified to be similar to it are linked, and what is linked forms a cluster around its smallest class, the leader. The inverted index over rarity-ordered prefixes then holds one entry per token and
 cluster (smallest place, range of sizes), so a group of near copies costs as much as one text. Lists are passed in blocks
 whose sizes and places allow a skip of whole block pairs. Candidate clusters are verified leader against leader; what
 other members can add follows from their known overlap with the leader, so few are compared in full.
@@ -24,7 +24,9 @@ from trendloom.sources.work import store, work_path
 
 #: Counters of the frequency sketch that orders shingles; any fixed number gives right results.
 SKETCH_BITS, SLICES = 22, 16
-GATHER, PART_BYTES, BLOCK = 2_000_000, 32 << 20, 64
+GATHER, PART_BYTES, BLOCK = 1_000_000, 32 << 20, 64
+#: Orders whose two smallest hashes bring classes together before the exact join; more of them only save work.
+ORDERS = 3
 #: Entries of one token beyond the sketch's noise that share a cell of its comparison grid.
 CELL = 50_000
 #: Ids up to this number are broadcast to pick texts out; more meet the texts in a shuffled join.
@@ -51,12 +53,16 @@ def _batch(columns: list, names: list[str], kinds: list[pa.DataType]) -> pa.Reco
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document (set size, set digest, smallest hashes), and per task the slices of its frequency sketch."""
+    """A row per document (set size, set digest, smallest hashes of each order), and per task the slices of its frequency sketch."""
+
+    def smallest(s: np.ndarray) -> list[int] | None:
+        low = [np.sort(np.partition(x, 1)[:2] if len(x) > 2 else x) for x in (mix(s + np.uint64(7 + k)) for k in range(ORDERS))]
+        return [xxhash.xxh3_64_intdigest(x.tobytes(), k) >> 1 for k, x in enumerate(low)] if len(s) else None
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-        names = ["kind", "doc_id", "n", "digest", "bucket"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        names = ["kind", "doc_id", "n", "digest", "buckets"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
         def pour() -> None:
             if held:
@@ -70,13 +76,11 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 s = shingles(text, n)
                 held.append(s)
                 size += len(s)
-                low = np.sort(mix(s + np.uint64(7)))[:2] if len(s) else s
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None,
-                            xxhash.xxh3_64_intdigest(low.tobytes()) >> 1 if len(s) else None))
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, smallest(s)))
             if size > GATHER:
                 pour()
                 size = 0
-            sizes, digests, buckets = zip(*out)
+            sizes, digests, buckets = map(list, zip(*out))
             yield _batch([["doc"] * len(out), batch.column("doc_id"), sizes, digests, buckets], names, kinds)
         pour()
         if counts.any():
@@ -84,7 +88,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
             yield _batch([["sketch"] * SLICES, [None] * SLICES, range(SLICES), parts, [None] * SLICES], names, kinds)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "kind string, doc_id long, n long, digest binary, bucket long"
+        run, "kind string, doc_id long, n long, digest binary, buckets array<long>"
     )
 
 
@@ -316,26 +320,24 @@ def similar_texts(
         parts = max(6, -(-size // PART_BYTES))
     path = work_path(spark, "shingle-sets")
     describe(docs, n).write.partitionBy("kind").parquet(path)
-    described = spark.read.schema("kind string, doc_id long, n long, digest binary, bucket long").parquet(path)
+    described = spark.read.schema("kind string, doc_id long, n long, digest binary, buckets array<long>").parquet(path)
     spread = spark.sparkContext.broadcast(frequencies(described))
     rows = described.filter("kind = 'doc'").drop("kind")
     classes = store(
         rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bucket").alias("bucket")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets")),
         "classes",
     )
-    leads = classes.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    near = classes.join(leads, "bucket").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    sizes = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"))
-    joined = (
-        overlaps(docs, near, n)
-        .join(classes.select(F.col("rep").alias("a"), "n"), "a")
-        .join(sizes, "b")
-        .filter(_enough(F.col("shared"), F.col("n") + F.col("m"), num, den))
-    )
-    members = store(joined.select("a", "b", "shared"), "members")
+    spots = classes.select("rep", F.explode("buckets").alias("bucket"))
+    leads = spots.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    near = spots.join(leads, "bucket").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    size_of = lambda c, name: classes.select(F.col("rep").alias(c), F.col("n").alias(name))
+    met = overlaps(docs, near, n).join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
+    members = store(met.filter(_enough(F.col("shared"), F.col("na") + F.col("nb"), num, den)).select("a", "b"), "members")
+    grown = components(members).filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    led = overlaps(docs, grown, n).select(F.col("a").alias("rep"), F.col("b").alias("lead"), "shared")
     clusters = store(
-        classes.join(members.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "shared"), "rep", "left").select(
+        classes.join(led, "rep", "left").select(
             "rep", "n", F.coalesce("lead", "rep").alias("cluster"), (F.col("n") - F.coalesce("shared", "n")).alias("own")
         ),
         "clusters",
@@ -350,20 +352,41 @@ def similar_texts(
     held = store(found.join(side("a"), "a").join(side("b"), "b"), "candidates")
     checked = store(held.join(overlaps(docs, held.select("a", "b"), n), ["a", "b"]), "checked")
     linked = _enough(F.col("shared"), F.col("n_a") + F.col("n_b"), num, den)
-    # What members add to the leaders' overlap is at most what they do not share with their leader.
-    open_pairs = checked.filter(~linked & (F.col("own_a") + F.col("own_b") > 0)).filter(
-        _enough(F.col("shared") + F.col("own_a") + F.col("own_b"), F.col("low_a") + F.col("low_b"), num, den)
+    # What members add to the leaders' overlap is at most what they do not share with their leader; a smaller member needs less. Cluster pairs that other
+    # links join already need no more; in the rest, members are first compared with the other leader, and only pairs still
+    # open after that compare members with members, by the overlaps found.
+    reach = _enough(F.col("shared") + F.col("own_a") + F.col("own_b"), F.col("low_a") + F.col("low_b"), num, den)
+    open_pairs = checked.filter(~linked & reach).select("a", "b", "shared", "n_a", "n_b")
+    joined = components(checked.filter(linked).select("a", "b"))
+    side_of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = ~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))
+    still = store(open_pairs.join(side_of("a"), "a", "left").join(side_of("b"), "b", "left").filter(apart).drop("_a", "_b"), "open")
+    inner = clusters.filter("rep <> cluster")
+    one = inner.select(F.col("cluster").alias("a"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
+    two = inner.select(F.col("cluster").alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"))
+    left = still.join(one, "a").filter(_enough(F.col("shared") + F.col("ox"), F.col("nx") + F.col("n_b"), num, den))
+    right = still.join(two, "b").filter(_enough(F.col("shared") + F.col("oy"), F.col("ny") + F.col("n_a"), num, den))
+    half = left.select("a", "b", "x", F.col("b").alias("y"), (F.col("nx") + F.col("n_b")).alias("total")).unionAll(
+        right.select("a", "b", F.col("a").alias("x"), "y", (F.col("ny") + F.col("n_a")).alias("total"))
+    )
+    half = store(half, "half-pairs")
+    seen = store(
+        half.join(overlaps(docs, half.select(F.col("x").alias("a"), F.col("y").alias("b")), n)
+                  .select(F.col("a").alias("x"), F.col("b").alias("y"), "shared"), ["x", "y"]), "half-seen"
     )
-    one = clusters.select(F.col("cluster").alias("a"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
-    two = clusters.select(F.col("cluster").alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"))
+    half_links = seen.filter(_enough(F.col("shared"), F.col("total"), num, den))
+    left_open = still.join(half_links.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    known = seen.filter(F.col("y") == F.col("b")).select("a", "b", "x", F.col("shared").alias("_with_lead"))
     total = F.col("nx") + F.col("ny")
-    wide = one.join(open_pairs.select("a", "b", "shared"), "a").join(two, "b").filter(
-        _enough(F.col("shared") + F.col("ox") + F.col("oy"), total, num, den)
-        & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & (F.col("ox") + F.col("oy") > 0)
+    wide = left_open.join(one, "a").join(known, ["a", "b", "x"], "left").join(two, "b").filter(
+        _enough(F.coalesce("_with_lead", F.col("shared") + F.col("ox")) + F.col("oy"), total, num, den)
+        & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
     )
     tested = store(wide.select(F.col("x").alias("a"), F.col("y").alias("b"), total.alias("total")), "member-pairs")
     more = tested.join(overlaps(docs, tested.select("a", "b"), n), ["a", "b"]).filter(_enough(F.col("shared"), F.col("total"), num, den))
-    links = members.select("a", "b").unionAll(checked.filter(linked).select("a", "b")).unionAll(more.select("a", "b"))
+    more = more.select("a", "b").unionAll(half_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    star = clusters.filter("rep <> cluster").select(F.col("rep").alias("a"), F.col("cluster").alias("b"))
+    links = star.unionAll(checked.filter(linked).select("a", "b")).unionAll(more.select("a", "b"))
     groups = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(groups, "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, "digest", "left").select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import decontam, extract, linededup, lmscore, neardup, ngramjoin, packing, quality, sharding, warc
-from trendloom.session import prepare
+from trendloom.llm.textkit import ready
 from trendloom.sources.work import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(prepare(spark), folder)
+            return fn(ready(spark), folder)
 
         QUERIES[name] = run
         if sql is not None:
@@ -114,7 +114,7 @@ _SPLIT = (
 )
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
-    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
+    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans", "text_key")
 
 
 @query("op4_lm_scoring")

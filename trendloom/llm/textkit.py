@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
+
+from trendloom.session import prepare
 
 #: Entries a per-process memo may hold before it is emptied; it bounds memory and never changes a result.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 
 class Memo(dict):
@@ -58,6 +61,12 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Prepare a session for tables of long texts: few rows to an Arrow batch, which lies in memory on both sides."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return spark
+
+
 def batches(found: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut batches to at most ``rows`` rows, so that long texts do not pile up in Python."""
     for batch in found:
