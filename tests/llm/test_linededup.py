@@ -50,19 +50,8 @@ def test_exact_and_variable_lines(spark):
     assert by_id[300][0]["n_dropped"] == 0
 
 
-def test_agrees_with_a_plain_version(spark):
-    """The whole definition on a small corpus: masks, leaves, segments, first-fit templates, keepers."""
-    rng = random.Random(4)
-    pool = [[rng.choice("red green blue cyan pink".split()) for _ in range(rng.randrange(1, 30))] for _ in range(25)]
-    rows = []
-    for i in range(80):
-        lines = []
-        for _ in range(rng.randrange(0, 6)):
-            line = list(rng.choice(pool))
-            for _ in range(rng.choice([0, 0, 1, 2])):
-                line[rng.randrange(len(line))] = rng.choice(["odd", "even", "7", "x9"])
-            lines.append(" ".join(line))
-        rows.append((i * 3 % 83, "\n".join(lines), None, "", ""))
+def plain(rows):
+    """The whole definition, line by line: masks, leaves, segments, first-fit templates, keepers."""
     texts = defaultdict(list)
     for d, t, *_ in rows:
         texts[t].append(d)
@@ -107,6 +96,22 @@ def test_agrees_with_a_plain_version(spark):
     for d, t, *_ in rows:
         kept = [x for x in t.split("\n") if len(x.split()) < 4 or keeper.get(template[_mask(x)], t) == t]
         want.append((d, "\n".join(kept)))
+    return want
+
+
+def test_agrees_with_a_plain_version(spark):
+    rng = random.Random(4)
+    pool = [[rng.choice("red green blue cyan pink".split()) for _ in range(rng.randrange(1, 30))] for _ in range(25)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randrange(0, 6)):
+            line = list(rng.choice(pool))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice(["odd", "even", "7", "x9"])
+            lines.append(" ".join(line))
+        rows.append((i * 3 % 83, "\n".join(lines), None, "", ""))
+    want = plain(rows)
     got = sorted((r["doc_id"], r["text"]) for r in _run(spark, rows))
     assert got == sorted(want) and got != sorted((d, t) for d, t, *_ in rows)
 
