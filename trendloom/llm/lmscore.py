@@ -26,7 +26,7 @@ from trendloom.sources.work import store, work_path
 #: Tokens after which a chunk is closed, and bytes of text per part of the hash space.
 CHUNK_TOKENS, PART_BYTES = 3_000_000, 32 << 20
 #: Bound of the filter; a block that cannot hold its pairs keeps the most frequent ones, the rest back off to words.
-FILTER_BYTES, BITS_PER_MEMBER, BITS_SET = 96 << 20, 10, 4
+FILTER_BYTES, BITS_PER_MEMBER, BITS_SET = 96 << 20, 8, 4
 BASE, ADDED = 1.5, 0.1
 PAIR_WEIGHT = 0.2
 END = b""
@@ -178,11 +178,13 @@ def build_block(keys: np.ndarray, counts: np.ndarray, words_most: int) -> np.nda
 class Filter:
     """All blocks end to end; ``levels`` probes for one level after the other until a member is missing."""
 
-    def __init__(self, blocks: list[np.ndarray]):
-        self.words = np.concatenate(blocks) if blocks else np.zeros(1, np.uint64)
-        sizes = [len(b) for b in blocks] or [1]
+    def __init__(self, sizes: list[int], blocks: Iterator[tuple[int, np.ndarray]]):
+        """``sizes`` in words of all parts; ``blocks`` come one at a time, so that they never lie in memory twice."""
         self.sizes = np.array(sizes, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.words = np.zeros(sum(sizes), np.uint64)
+        for part, block in blocks:
+            self.words[self.starts[part] : self.starts[part] + len(block)] = block
 
     def levels(self, h: np.ndarray, pair: bool) -> np.ndarray:
         out = np.zeros(len(h), np.int8)
@@ -250,11 +252,12 @@ def score_documents(
     chunked(docs, parts, folds, chunk_tokens).write.partitionBy("kind").parquet(path)
     rows = spark.read.schema(SCHEMA.format(kind=kind)).parquet(path)
     counted = store(count_parts(rows, parts, filter_bytes), "lm-counts")
-    blocks = counted.filter("kind = 'filter'").select("part", "chunk", "n", "a").collect()  # at most ``filter_bytes``
-    held = {r["part"]: np.frombuffer(r["a"], np.uint64) for r in blocks}
-    total, distinct = sum(r["chunk"] for r in blocks), sum(r["n"] for r in blocks)
-    shared = spark.sparkContext.broadcast(Filter([held.get(p, np.zeros(1, np.uint64)) for p in range(parts)]))
-    del blocks, held
+    blocks = counted.filter("kind = 'filter'")
+    heads = blocks.select("part", "chunk", "n", (F.octet_length("a") / 8).cast("int").alias("words")).collect()  # one per part
+    total, distinct, words = sum(r["chunk"] for r in heads), sum(r["n"] for r in heads), {r["part"]: r["words"] for r in heads}
+    # At most ``filter_bytes`` in all, fetched a partition at a time.
+    found = ((r["part"], np.frombuffer(r["a"], np.uint64)) for r in blocks.select("part", "a").toLocalIterator())
+    shared = spark.sparkContext.broadcast(Filter([words.get(p, 1) for p in range(parts)], found))
     divisor = total + ADDED * (distinct + 1)
     values = level_values()
 
