@@ -9,6 +9,7 @@ from trendloom.operators import snapshots
 from trendloom.plans.base import LINES, lines, tidy, tidy_sql, with_country
 from trendloom.plans.customers import LINE_ORDER
 from trendloom.plans.registry import query
+from trendloom.sources.work import store
 
 # First and last snapshot month; the partial last month of the data is left out.
 FIRST, LAST = 1995 * 12 + 3, 2001 * 12 + 3
@@ -135,14 +136,35 @@ _SCALED = ", ".join(
 
 @query(
     "snapshot_scaled",
-    sql=f"""WITH {_NODES}, st AS (SELECT {_STATS} FROM nodes WHERE active AND snapshot <= DATE '{TRAIN_UNTIL}')
+    sql=f"""WITH {_NODES.replace("  nodes AS (", "  nodes AS MATERIALIZED (")}, st AS (SELECT {_STATS} FROM nodes WHERE active AND snapshot <= DATE '{TRAIN_UNTIL}')
     SELECT snapshot, customer, active, {_SCALED} FROM nodes, st""",
 )
 def snapshot_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    scaled = snapshots.scale_customers(customer_table(spark, sf).drop("target"), TRAIN_UNTIL)
+    nodes = store(customer_table(spark, sf).drop("target"), "customer-nodes")
+    scaled = snapshots.scale_customers(nodes, TRAIN_UNTIL)
     return scaled.withColumns({c: F.round(c, 5) for c in _NUM})
 
 
+_PNUM = snapshots.PRODUCT_NUMERIC
+_PSTATS = ", ".join(f'avg("{c}") AS m_{c}, stddev_pop("{c}") AS s_{c}' for c in _PNUM)
+_PSCALED = ", ".join(f'round(("{c}" - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 5) AS "{c}"' for c in _PNUM)
+
+
+@query(
+    "snapshot_scaled_products",
+    sql=f"""WITH {_BASE}, h AS (SELECT s.m, product, sum(quantity) AS quantity, sum(amount) AS revenue, avg(price) AS price,
+      count(DISTINCT customer) AS n_buyers FROM snap s JOIN l ON l.m <= s.m GROUP BY 1, 2),
+    nodes AS MATERIALIZED (SELECT snapshot, p.product, h.product IS NOT NULL AS active, coalesce(quantity, 0.0) AS quantity,
+      coalesce(revenue, 0.0) AS revenue, coalesce(price, 0.0) AS price, coalesce(n_buyers, 0) AS n_buyers
+      FROM snap s CROSS JOIN (SELECT DISTINCT product FROM l) p LEFT JOIN h ON h.m = s.m AND h.product = p.product),
+    st AS (SELECT {_PSTATS} FROM nodes WHERE snapshot <= DATE '{TRAIN_UNTIL}')
+    SELECT snapshot, product, active, {_PSCALED} FROM nodes, st""",
+)
+def snapshot_scaled_products(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = store(snapshots.product_nodes(_lines(spark, sf), FIRST, LAST), "product-nodes")
+    return snapshots.scale_products(nodes, TRAIN_UNTIL).withColumns({c: F.round(c, 5) for c in _PNUM})
+
+
 @query(
     "snapshot_split",
     sql=f"""WITH {_NODES} SELECT CASE WHEN snapshot = DATE '2001-04-01' THEN 'test' WHEN snapshot >= DATE '2001-02-01'
