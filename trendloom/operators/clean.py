@@ -7,12 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Stock codes that are not products.
-NON_PRODUCT_CODES = [
-    "POST", "D", "M", "C2", "BANK CHARGES", "AMAZONFEE", "DCGSSBOY", "DCGSSGIRL", "DOT", "PADS", "TEST001", "TEST002",
-    "ADJUST", "ADJUST2", "SP1002",
-]
-
 
 def positive(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:

@@ -292,12 +292,12 @@ def acf(spark: SparkSession, sf: str) -> DataFrame:
         SELECT dl.lag + 1 AS k, phi,
           (r.c[dl.lag + 2] - coalesce(list_sum(list_transform(phi, lambda p, j: p * r.c[dl.lag + 2 - j])), 0))
           / (1 - coalesce(list_sum(list_transform(phi, lambda p, j: p * r.c[j + 1])), 0)) AS new
-        FROM dl, r WHERE dl.lag < 40))
+        FROM dl, r WHERE dl.lag < 100))
     SELECT lag, round(pacf, 5) AS pacf FROM dl""",
 )
 def pacf(spark: SparkSession, sf: str) -> DataFrame:
     series = panel.mean_series(daily(spark, sf), "ds", "y")
-    return panel.pacf(series, "ds", "y", 40).select("lag", F.round("pacf", 5).alias("pacf"))
+    return panel.pacf(series, "ds", "y", 100).select("lag", F.round("pacf", 5).alias("pacf"))
 
 
 def _weeks_sql(m: int) -> str:
