@@ -304,6 +304,57 @@ def _enough(shared, total, num: int, den: int):
     return shared * (den + num) >= total * num
 
 
+def member_links(docs: DataFrame, still: DataFrame, clusters: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of open cluster pairs, one at least per pair that has any.
+
+    The larger cluster of a pair lies in blocks of members, the members of all its smaller partners in blocks beside it; a tile
+    is a block of each, so a set is sent once per block, not once per pair. Inside, the overlap that leaders share
+    bounds every pair, and only pairs within the bound are compared.
+    """
+    flip = F.col("k_a") < F.col("k_b")
+    pairs = store(
+        still.select(F.when(flip, F.col("b")).otherwise(F.col("a")).alias("c"),
+                     F.when(flip, F.col("a")).otherwise(F.col("b")).alias("partner"), "shared"), "open-pairs"
+    )
+    both = pairs.select(F.explode(F.array("c", "partner")).alias("cluster")).distinct()
+    members = store(clusters.join(both, "cluster"), "open-members")
+    sets = store(_sets(docs, store(members.select(F.col("rep").alias("doc_id")), "open-ids"), n).dropDuplicates(["doc_id"]), "open-sets")
+    full = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    x = full.select(F.col("cluster").alias("c"), "rep", "n", "own", "grams").join(pairs.select("c").distinct(), "c")
+    y = pairs.join(full.select(F.col("cluster").alias("partner"), "rep", "n", "own", "grams"), "partner")
+
+    def blocks(df: DataFrame, fields: list[str], name: str) -> DataFrame:
+        counts = df.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+        spot = F.pmod(F.xxhash64("rep"), F.col("_blocks"))
+        return df.join(counts, "c").groupBy("c", spot.alias("_spot")).agg(F.collect_list(F.struct(*fields)).alias(name)).drop("_spot")
+
+    tiled = blocks(x, ["rep", "n", "own", "grams"], "xs").join(blocks(y, ["partner", "shared", "rep", "n", "own", "grams"], "ys"), "c")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found, 1):
+            c, out, done = batch.column("c")[0].as_py(), [], set()
+            xs = [(r["rep"], r["n"], r["own"], np.frombuffer(r["grams"], np.uint64)) for r in batch.column("xs")[0].as_py()]
+            size, own = np.array([r[1] for r in xs]), np.array([r[2] for r in xs])
+            for r in batch.column("ys")[0].as_py():
+                if r["partner"] in done:
+                    continue
+                grams, total = np.frombuffer(r["grams"], np.uint64), size + r["n"]
+                near = (r["shared"] + own + r["own"]) * (den + num) >= total * num
+                near &= np.minimum(size, r["n"]) * den >= np.maximum(size, r["n"]) * num
+                for k in np.flatnonzero(near):
+                    if xs[k][0] == c and r["rep"] == r["partner"]:
+                        continue
+                    at = np.searchsorted(grams, xs[k][3])
+                    shared = int((grams[np.minimum(at, len(grams) - 1)] == xs[k][3]).sum())
+                    if shared * (den + num) >= total[k] * num:
+                        out.append((xs[k][0], r["rep"]))
+                        done.add(r["partner"])
+                        break
+            yield _batch(list(zip(*out)) or [[], []], ["a", "b"], [pa.int64()] * 2)
+
+    return tiled.mapInArrow(run, "a long, b long")
+
+
 def similar_texts(
     docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, parts: int | None = None, room: int = CELL, gather: int = GATHER
 ) -> DataFrame:
@@ -346,45 +397,21 @@ def similar_texts(
     found = _candidates(_postings(prefixes.select("prefix", "cluster", "n"), spread, parts, room, gather), num, den)
     ranges = clusters.groupBy("cluster").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("own").alias("own"),
-        F.max(F.when(F.col("rep") == F.col("cluster"), F.col("n"))).alias("n"),
+        F.max(F.when(F.col("rep") == F.col("cluster"), F.col("n"))).alias("n"), F.count(F.lit(1)).alias("k"),
     )
-    side = lambda c: ranges.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("low", "high", "own", "n")])
+    side = lambda c: ranges.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("low", "high", "own", "n", "k")])
     held = store(found.join(side("a"), "a").join(side("b"), "b"), "candidates")
     checked = store(held.join(overlaps(docs, held.select("a", "b"), n), ["a", "b"]), "checked")
     linked = _enough(F.col("shared"), F.col("n_a") + F.col("n_b"), num, den)
-    # What members add to the leaders' overlap is at most what they do not share with their leader; a smaller member needs less. Cluster pairs that other
-    # links join already need no more; in the rest, members are first compared with the other leader, and only pairs still
-    # open after that compare members with members, by the overlaps found.
+    # What members add to the leaders' overlap is at most what they do not share with their leader; a smaller member needs
+    # less. Cluster pairs that other links join already need no more; in the rest, members meet members in tiles.
     reach = _enough(F.col("shared") + F.col("own_a") + F.col("own_b"), F.col("low_a") + F.col("low_b"), num, den)
-    open_pairs = checked.filter(~linked & reach).select("a", "b", "shared", "n_a", "n_b")
+    open_pairs = checked.filter(~linked & reach).select("a", "b", "shared", "k_a", "k_b")
     joined = components(checked.filter(linked).select("a", "b"))
     side_of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     apart = ~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))
     still = store(open_pairs.join(side_of("a"), "a", "left").join(side_of("b"), "b", "left").filter(apart).drop("_a", "_b"), "open")
-    inner = clusters.filter("rep <> cluster")
-    one = inner.select(F.col("cluster").alias("a"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
-    two = inner.select(F.col("cluster").alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"))
-    left = still.join(one, "a").filter(_enough(F.col("shared") + F.col("ox"), F.col("nx") + F.col("n_b"), num, den))
-    right = still.join(two, "b").filter(_enough(F.col("shared") + F.col("oy"), F.col("ny") + F.col("n_a"), num, den))
-    half = left.select("a", "b", "x", F.col("b").alias("y"), (F.col("nx") + F.col("n_b")).alias("total")).unionAll(
-        right.select("a", "b", F.col("a").alias("x"), "y", (F.col("ny") + F.col("n_a")).alias("total"))
-    )
-    half = store(half, "half-pairs")
-    seen = store(
-        half.join(overlaps(docs, half.select(F.col("x").alias("a"), F.col("y").alias("b")), n)
-                  .select(F.col("a").alias("x"), F.col("b").alias("y"), "shared"), ["x", "y"]), "half-seen"
-    )
-    half_links = seen.filter(_enough(F.col("shared"), F.col("total"), num, den))
-    left_open = still.join(half_links.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    known = seen.filter(F.col("y") == F.col("b")).select("a", "b", "x", F.col("shared").alias("_with_lead"))
-    total = F.col("nx") + F.col("ny")
-    wide = left_open.join(one, "a").join(known, ["a", "b", "x"], "left").join(two, "b").filter(
-        _enough(F.coalesce("_with_lead", F.col("shared") + F.col("ox")) + F.col("oy"), total, num, den)
-        & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    )
-    tested = store(wide.select(F.col("x").alias("a"), F.col("y").alias("b"), total.alias("total")), "member-pairs")
-    more = tested.join(overlaps(docs, tested.select("a", "b"), n), ["a", "b"]).filter(_enough(F.col("shared"), F.col("total"), num, den))
-    more = more.select("a", "b").unionAll(half_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    more = member_links(docs, still, clusters, n, num, den)
     star = clusters.filter("rep <> cluster").select(F.col("rep").alias("a"), F.col("cluster").alias("b"))
     links = star.unionAll(checked.filter(linked).select("a", "b")).unionAll(more.select("a", "b"))
     groups = components(links).select(F.col("node").alias("rep"), "component")
