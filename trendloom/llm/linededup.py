@@ -26,6 +26,8 @@ LEADING, SEGMENTS = 3, 8
 AGREE = 6
 #: Lines of a tree node beyond this number go by more segments, so that a leaf fits a task.
 NODE_LINES, PART_LINES = 2000, 200_000
+#: The lists of lines to cut are broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 _DIGIT = re.compile(rb"[0-9]")
 _FIELD = xxhash.xxh3_64_digest(b"<*>")
 MASKED = Memo(lambda w: _FIELD if _DIGIT.search(w) else xxhash.xxh3_64_digest(w))
@@ -86,7 +88,7 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
             )
 
     return docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "digest", "text").mapInArrow(
-        run, "doc_id long, digest string, line binary, leaf long, segs binary, n_segs int"
+        run, "doc_id long, digest binary, line binary, leaf long, segs binary, n_segs int"
     )
 
 
@@ -150,10 +152,10 @@ def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4,
     column, follows the text.
     """
     spark = docs.sparkSession
-    marked = docs.withColumn("_digest", F.md5("text"))
+    marked = docs.withColumn("_digest", F.unhex(F.md5("text")))
     path = work_path(spark, "lines")
-    _lines(docs.select("doc_id", "text", F.md5("text").alias("digest")), least_words).write.parquet(path)
-    rows = spark.read.schema("doc_id long, digest string, line binary, leaf long, segs binary, n_segs int").parquet(path)
+    _lines(docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest")), least_words).write.parquet(path)
+    rows = spark.read.schema("doc_id long, digest binary, line binary, leaf long, segs binary, n_segs int").parquet(path)
     last = F.lit((1 << 63) - 1)
     held = store(
         rows.groupBy("line", "leaf", "segs", "n_segs", "digest").agg(F.min(F.coalesce("doc_id", last)).alias("first")), "text-lines"
@@ -172,6 +174,9 @@ def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4,
         known.join(counted, "template").filter("digest <> keeper")
         .groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("line").alias("_cut"))
     )
+    cut = store(cut, "cut-lines")
+    size = cut.agg(F.sum(F.lit(32) + 24 * F.size("_cut"))).first()[0] or 0
+    cut = F.broadcast(cut) if size <= BROADCAST_BYTES else cut  # beyond, texts are shuffled to their lines
     fields = [f for f in docs.schema.fields]
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     fields = [f for f in fields if f.name not in ("n_lines", "n_dropped")]
