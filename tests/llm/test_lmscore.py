@@ -71,3 +71,35 @@ def test_numbers_round_trip_and_empty_table(spark):
     x = np.array([0, 1, 255, 256, 2**32 - 1], np.uint32)
     assert (lmscore.expand(lmscore.squeeze(x)) == x).all()
     assert lmscore.score_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_pairs_are_kept_whatever_the_number_of_parts(spark):
+    text = " ".join(f"word{'x' * (k % 40)}" for k in range(40_000))
+    docs = spark.createDataFrame([(i, text, "", "") for i in (1, 2, 3)], SCHEMA)
+    for parts in (6, 6_000_000):
+        got = lmscore.score_documents(docs, parts=parts).collect()
+        assert len(got) == 3 and all(r["score"] > r["base_score"] / 2 for r in got)
+
+
+def test_scores_agree_with_a_plain_model(spark):
+    docs = _docs()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    words, pairs = Counter(), Counter()
+    for d, t, *_ in docs:
+        if not held(d):
+            w = _words(t)
+            words.update(w)
+            pairs.update(zip([None, *w], w))
+    n, v, values = sum(words.values()), len(words), lmscore.level_values()
+
+    def chance(a, b):
+        single, k = (words[b] + 0.1) / (n + 0.1 * (v + 1)), pairs[a, b]
+        seen = values[lmscore.level_of(np.array([k]))[0]] if k else 0
+        return math.log10(0.8 * single + 0.2 * min(seen / words[a], 1) if words[a] else single)
+
+    want = sorted((str(d), sum(chance(a, b) for a, b in zip([None, *_words(t)], _words(t)))) for d, t, *_ in docs)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.score_documents(spark.createDataFrame(docs, SCHEMA), parts=4, chunk_tokens=700).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    # The filter may overstate a few pairs and never understates one.
+    assert all(x >= y - 1e-6 for (_, x), (_, y) in zip(got, want))
+    assert abs(sum(x for _, x in got) / sum(y for _, y in want) - 1) < 0.02

@@ -2,10 +2,10 @@
 
 1. One pass cuts the corpus into chunks of whole documents, numbers each chunk's words, and writes the documents as numbers,
    the chunk's words, and its word pairs, the last two parted by hash.
-2. Each part sums its counts over all chunks. It answers every chunk with the exact counts of its words, and builds its
-   block of the filter: an n-gram whose count has level q is stored as the q members (n-gram, 1) to (n-gram, q).
-3. The filter, whose size has a fixed bound, is broadcast. Each chunk finds levels by probing until a member is missing, and
-   interpolates the pair's relative frequency with the smoothed word frequency.
+2. Each part sums its counts over all chunks and builds its block of the filter: a pair whose count has level q is stored as
+   the q members (pair, 1) to (pair, q). It answers every chunk with the exact counts of its words and the levels of its
+   pairs, found by probing until a member is missing. A block is as large as its members need and never leaves its part.
+3. Each chunk interpolates the pair's relative frequency with the smoothed word frequency.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from trendloom.sources.work import store, work_path
 
 #: Tokens after which a chunk is closed, and bytes of text per part of the hash space.
 CHUNK_TOKENS, PART_BYTES = 3_000_000, 32 << 20
-#: Bound of the filter; a block that cannot hold its pairs keeps the most frequent ones, the rest back off to words.
-FILTER_BYTES, BITS_PER_MEMBER, BITS_SET = 96 << 20, 8, 4
+BITS_PER_MEMBER, BITS_SET = 8, 4
 BASE, ADDED = 1.5, 0.1
 PAIR_WEIGHT = 0.2
 END = b""
@@ -54,6 +53,12 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + second + np.uint64(2))
 
 
+def pair_spots(hashes: np.ndarray, before: np.ndarray, codes: np.ndarray, parts: int) -> np.ndarray:
+    """Part and 32 bits of the hash of word pairs, given as places in ``hashes``: all that a pair is known by."""
+    h = pair_hash(hashes[before], hashes[codes])
+    return (part_of(h, parts) << np.uint64(32)) | low32(h)
+
+
 def low32(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -92,28 +97,31 @@ def _close(chunk: int, docs: list, numbers: _Numbers, parts: int, kind: pa.DataT
         rows.append((chunk, "doc", 0, doc_id, held, len(codes), squeeze(codes), None))
         if not held:
             counts += np.bincount(codes, minlength=len(order))
-            pairs.append(np.concatenate([[end], codes[:-1]]) * len(order) + codes)
+        spots = pair_spots(hashes, np.concatenate([[end], codes[:-1]]), codes, parts)
+        pairs.append(spots << np.uint64(1) | np.uint64(bool(held)))
         if len(rows) >= 512:
             yield _rows(rows, kind)
             rows = []
-    edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1, dtype=np.uint64))
-    pairs, times = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    joined = pair_hash(hashes[pairs // len(order)], hashes[pairs % len(order)])
-    where = part_of(joined, parts)
-    order = np.lexsort((low32(joined), where))
-    low, times = low32(joined)[order], times[order]
-    cuts = np.searchsorted(where[order], np.arange(parts + 1, dtype=np.uint64))
-    for p in range(parts):
-        a, b = edges[p], edges[p + 1]
-        if b > a:
-            rows.append((chunk, "uni", p, None, None, b - a, hashes[a:b].tobytes(), squeeze(counts[a:b])))
-        a, b = cuts[p], cuts[p + 1]
-        if b > a:
-            steps = np.diff(low[a:b], prepend=np.uint32(0))
-            rows.append((chunk, "bi", p, None, None, b - a, squeeze(steps), squeeze(times[a:b])))
+    # Pairs of held-out documents alone have the count 0: they need an answer, too.
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+    starts = np.flatnonzero(np.diff(pairs >> np.uint64(1), prepend=~np.uint64(0)))
+    times = np.add.reduceat(np.where(pairs & np.uint64(1), 0, times), starts)
+    pairs = pairs[starts] >> np.uint64(1)
+    for p, a, b in _runs(part_of(hashes, parts)):
+        rows.append((chunk, "uni", p, None, None, b - a, hashes[a:b].tobytes(), squeeze(counts[a:b])))
+    low = low32(pairs)
+    for p, a, b in _runs(pairs >> np.uint64(32)):
+        steps = np.diff(low[a:b], prepend=np.uint32(0))
+        rows.append((chunk, "bi", p, None, None, b - a, squeeze(steps), squeeze(times[a:b])))
     yield _rows(rows, kind)
 
 
+def _runs(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Part, start and end of the runs of a sorted array."""
+    edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
+    return ((int(parts[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]))
+
+
 def _rows(rows: list, kind: pa.DataType) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.int32(), kind, pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
     columns = list(zip(*rows)) or [()] * 8
@@ -158,10 +166,13 @@ def key_of(h: np.ndarray, pair: bool) -> np.ndarray:
     return low32(h).astype(np.uint64) + np.uint64(1 << 32) if pair else h | np.uint64(1 << 63)
 
 
-def build_block(keys: np.ndarray, counts: np.ndarray, words_most: int) -> np.ndarray:
-    """Filter words of one part. If the members do not fit, the least frequent n-grams are left out, whole counts at a time."""
+def build_block(keys: np.ndarray, counts: np.ndarray, words_most: int | None = None) -> np.ndarray:
+    """Filter words of one part, as many as its members need.
+
+    Under a bound (scoring has none), the least frequent n-grams are left out if the members do not fit, whole counts at a time.
+    """
     levels = level_of(counts)
-    room = words_most * 64 // BITS_PER_MEMBER
+    room = levels.sum() if words_most is None else words_most * 64 // BITS_PER_MEMBER
     if levels.sum() > room:
         by_level = np.bincount(levels, weights=levels)
         kept = np.cumsum(by_level[::-1])[::-1] <= room
@@ -201,8 +212,8 @@ class Filter:
         return out
 
 
-def count_parts(rows: DataFrame, parts: int, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """Per part: its filter block, token and word totals, and for each chunk the exact counts of its words."""
+def count_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """Per part: token and word totals, and for each chunk the exact counts of its words and the levels of its pairs."""
 
     def run(key: tuple[pa.Scalar, ...], found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, pair = [], []
@@ -211,31 +222,35 @@ def count_parts(rows: DataFrame, parts: int, filter_bytes: int = FILTER_BYTES) -
                 if kind == "uni":
                     uni.append((chunk, np.frombuffer(a, np.uint64), expand(b)))
                 else:
-                    pair.append((np.cumsum(expand(a), dtype=np.uint32), expand(b)))
+                    pair.append((chunk, np.cumsum(expand(a), dtype=np.uint32), expand(b)))
         out, part = [], key[0].as_py()
-        words, inverse = np.unique(np.concatenate([u[1] for u in uni] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate([u[2] for u in uni] or [np.zeros(0)]), len(words)).astype(np.int64)
-        at = 0
-        for chunk, hashes, _ in uni:
-            out.append((chunk, "count", part, None, None, len(hashes), squeeze(sums[inverse[at : at + len(hashes)]]), None))
-            at += len(hashes)
-        keys, inverse = np.unique(np.concatenate([p[0] for p in pair] or [np.zeros(0, np.uint32)]), return_inverse=True)
-        times = np.bincount(inverse, np.concatenate([p[1] for p in pair] or [np.zeros(0)]), len(keys)).astype(np.int64)
-        known = sums > 0
-        block = build_block(
-            np.concatenate([key_of(words[known], False), key_of(keys.astype(np.uint64), True)]),
-            np.concatenate([sums[known], times]), filter_bytes // 8 // parts,
-        )
-        out.append((int(sums.sum()), "filter", part, None, None, int(known.sum()), block.tobytes(), None))
-        yield _rows(out, pa.int64())
+        words, inverse, sums = _summed(uni, np.uint64)
+        for (chunk, hashes, _), at in zip(uni, inverse):
+            out.append((chunk, "count", part, None, None, len(hashes), squeeze(sums[at]), None))
+        out.append((int(sums.sum()), "total", part, None, None, int((sums > 0).sum()), None, None))
+        keys, inverse, times = _summed(pair, np.uint32)
+        keys, known = keys.astype(np.uint64), times > 0
+        block = build_block(key_of(keys[known], True), times[known])
+        levels = Filter([len(block)], [(0, block)]).levels(keys, True).astype(np.uint8)
+        press = zstandard.ZstdCompressor(level=1)
+        for (chunk, spots, _), at in zip(pair, inverse):
+            out.append((chunk, "level", part, None, None, len(spots), press.compress(levels[at].tobytes()), None))
+        for at in range(0, len(out), 512):
+            yield _rows(out[at : at + 512], pa.int64())
 
     by_part = rows.filter("kind IN ('uni', 'bi')").select("part", "kind", "chunk", "a", "b")
     return by_part.groupBy("part").applyInArrow(run, SCHEMA.format(kind="bigint"))
 
 
+def _summed(found: list, kind: type) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct keys of (chunk, keys, counts), the places of each chunk's keys among them, and their total counts."""
+    keys, inverse = np.unique(np.concatenate([x[1] for x in found] or [np.zeros(0, kind)]), return_inverse=True)
+    sums = np.bincount(inverse, np.concatenate([x[2] for x in found] or [np.zeros(0)]), len(keys)).astype(np.int64)
+    return keys, np.split(inverse, np.cumsum([len(x[1]) for x in found])[:-1]), sums
+
+
 def score_documents(
-    docs: DataFrame, folds: int = 10, weight: float = PAIR_WEIGHT, parts: int | None = None,
-    chunk_tokens: int = CHUNK_TOKENS, filter_bytes: int = FILTER_BYTES,
+    docs: DataFrame, folds: int = 10, weight: float = PAIR_WEIGHT, parts: int | None = None, chunk_tokens: int = CHUNK_TOKENS,
 ) -> DataFrame:
     """Exact unigram base score and model score (log10 probabilities) of every whole text.
 
@@ -251,43 +266,52 @@ def score_documents(
     path = work_path(spark, "lm-chunks")
     chunked(docs, parts, folds, chunk_tokens).write.partitionBy("kind").parquet(path)
     rows = spark.read.schema(SCHEMA.format(kind=kind)).parquet(path)
-    counted = store(count_parts(rows, parts, filter_bytes), "lm-counts")
-    blocks = counted.filter("kind = 'filter'")
-    heads = blocks.select("part", "chunk", "n", (F.octet_length("a") / 8).cast("int").alias("words")).collect()  # one per part
-    total, distinct, words = sum(r["chunk"] for r in heads), sum(r["n"] for r in heads), {r["part"]: r["words"] for r in heads}
-    # At most ``filter_bytes`` in all, fetched a partition at a time.
-    found = ((r["part"], np.frombuffer(r["a"], np.uint64)) for r in blocks.select("part", "a").toLocalIterator())
-    shared = spark.sparkContext.broadcast(Filter([words.get(p, 1) for p in range(parts)], found))
+    counted = store(count_parts(rows, parts), "lm-counts")
+    heads = counted.filter("kind = 'total'").select("chunk", "n").collect()  # one per part
+    total, distinct = sum(r["chunk"] for r in heads), sum(r["n"] for r in heads)
     divisor = total + ADDED * (distinct + 1)
     values = level_values()
 
     def run(key: tuple[pa.Scalar, ...], found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, words, counts = [], {}, {}
+        texts, words, counts, levels = [], {}, {}, {}
         for batch in found:
             for what, part, *rest in zip(*[batch.column(c).to_pylist() for c in ("kind", "part", "doc_id", "held_out", "a")]):
                 if what == "doc":
                     texts.append(rest)
                 elif what == "uni":
                     words[part] = np.frombuffer(rest[2], np.uint64)
-                else:
+                elif what == "count":
                     counts[part] = expand(rest[2])
+                else:
+                    levels[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(rest[2]), np.uint8)
         hashes = np.concatenate([words[p] for p in sorted(words)])
         exact = np.concatenate([counts[p] for p in sorted(words)]).astype(np.float64)
-        book = shared.value
+        levels = np.concatenate([levels[p] for p in sorted(levels)])
         logs = np.log10((exact + ADDED) / divisor)
-        near = values[book.levels(hashes, pair=False)]
-        single = (near + ADDED) / divisor
+        single = (exact + ADDED) / divisor
         end = int(np.flatnonzero(hashes == END_HASH)[0])
-        for at in range(0, len(texts), 256):
-            group = texts[at : at + 256]
-            coded = [expand(t[2]).astype(np.int64) for t in group]
-            flat = np.concatenate(coded)
-            lengths = np.array([len(c) for c in coded])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+        def spots(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             before = np.concatenate([[end], flat[:-1]])
             before[starts] = end
-            seen = values[book.levels(pair_hash(hashes[before], hashes[flat]), pair=True)]
-            context = near[before]
+            return before, pair_spots(hashes, before, flat, parts)
+
+        def coded(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            codes = [expand(t[2]).astype(np.int64) for t in texts[at : at + 256]]
+            lengths = np.array([len(c) for c in codes])
+            return np.concatenate(codes), lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+        known = []  # a chunk's pairs in the order of parts and 32 bits, as they were sent and answered
+        for at in range(0, len(texts), 256):
+            flat, _, starts = coded(at)
+            known.append(np.unique(spots(flat, starts)[1]))
+        known = np.unique(np.concatenate(known))
+        for at in range(0, len(texts), 256):
+            group = texts[at : at + 256]
+            flat, lengths, starts = coded(at)
+            before, pairs = spots(flat, starts)
+            seen = values[levels[np.searchsorted(known, pairs)]]
+            context = exact[before]
             share = np.where(context > 0, np.minimum(seen / np.maximum(context, 1), 1.0), 0.0)
             chance = np.where(context > 0, (1 - weight) * single[flat] + weight * share, single[flat])
             columns = [
@@ -301,7 +325,7 @@ def score_documents(
             )
 
     keep = ["chunk", "kind", "part", "doc_id", "held_out", "a"]
-    answers = counted.filter("kind = 'count'").withColumn("doc_id", F.lit(None).cast(kind)).select(keep)
+    answers = counted.filter("kind IN ('count', 'level')").withColumn("doc_id", F.lit(None).cast(kind)).select(keep)
     return rows.filter("kind IN ('doc', 'uni')").select(keep).unionByName(answers).groupBy("chunk").applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
