@@ -125,6 +125,19 @@ def test_full_nodes_go_deeper_and_stay_right(spark):
     assert got[1001]["text"] == "and more of it over here"
 
 
+def test_full_leaves_agree_with_a_plain_version(spark):
+    rng = random.Random(9)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"Posted in category {name(i)} by the staff of this site with care and love", None, "", "") for i in range(150)]
+    for i in range(200, 400):
+        body = [rng.choice("red green blue".split()) if rng.random() < 0.9 else name(rng.randrange(5000)) for _ in range(8)]
+        rows.append((i, "we saw the " + " ".join(body) + f"\nOne short text {' '.join(body[:rng.choice([4, 5, 7])])}", None, "", ""))
+    want = plain(rows)
+    got = _run(spark, rows, node_lines=10)
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want)
+    assert all(r["n_dropped"] == 1 for r in got if 0 < r["doc_id"] < 150)
+
+
 def test_segments_generalise():
     lines = [b"a b c d1x e f g h i j k l".split(), b"a b c OTHER e f g h i j k l".split(), b"a b c q r s t u v w x y".split()]
     counts, prints, leaf, segs = line_keys(lines)

@@ -2,7 +2,8 @@
 
 A line goes down a tree of fixed depth: its token count, then its leading tokens, where tokens with digits count as one variable
 field. Under a leaf, the other tokens form up to eight segments; a line joins the first template that agrees in enough of
-them, and the segments that differ become variable. Templates that several texts hold are dropped everywhere but in the
+them, and the segments that differ become variable. A leaf of many lines is dealt out by the components of its lines that
+agree in enough segments: a line only ever joins a template of its component, so that changes no result. Templates that several texts hold are dropped everywhere but in the
 text that comes first.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendloom.llm.components import components
 from trendloom.llm.textkit import Memo, batches, mix
 from trendloom.sources.work import store, work_path
 
 LEADING, SEGMENTS = 3, 8
 #: A line joins a template if at least this many of its segments agree, in eighths of their number.
 AGREE = 6
-#: Lines of a tree node beyond this number go by more segments, so that a leaf fits a task.
+#: Lines of fewer segments are templates of their own.
+LEAST_SEGMENTS = 4
+#: A leaf with more lines than this is dealt out by components; lines to a partition.
 NODE_LINES, PART_LINES = 2000, 200_000
 #: The lists of lines to cut are broadcast up to this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -68,6 +73,12 @@ def line_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return counts, prints, leaf, segs
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of an array."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     """A row per text and distinct line of at least ``least_words`` tokens."""
 
@@ -77,12 +88,13 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
             owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
             counts, prints, leaf, segs = line_keys([x for s in split for x in s])
             keep = np.flatnonzero(counts >= least_words)
-            _, first = np.unique(np.column_stack([owner[keep].astype(np.uint64), prints[keep]]), axis=0, return_index=True)
-            keep = keep[np.sort(first)]
+            order = keep[np.lexsort((prints[keep, 1], prints[keep, 0], owner[keep]))]
+            fresh = (np.diff(owner[order]) != 0) | (np.diff(prints[order], axis=0) != 0).any(axis=1)
+            keep = np.sort(order[np.concatenate([[True], fresh])[: len(order)]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(owner[keep])), batch.column("digest").take(pa.array(owner[keep])),
-                 pa.array([p.tobytes() for p in prints[keep]], pa.binary()), pa.array(leaf[keep].view(np.int64)),
-                 pa.array([s.tobytes() for s in segs[keep]], pa.binary()),
+                 _binary(prints[keep]), pa.array(leaf[keep].view(np.int64)),
+                 _binary(segs[keep]),
                  pa.array(np.clip(counts[keep] - LEADING, 0, SEGMENTS), pa.int32())],
                 ["doc_id", "digest", "line", "leaf", "segs", "n_segs"],
             )
@@ -92,54 +104,117 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     )
 
 
+def needed(size: int) -> int:
+    """Segments of ``size`` that must agree."""
+    return -(-AGREE * size // SEGMENTS)
+
+
+def subset_keys(segs: np.ndarray, size: int) -> np.ndarray:
+    """A row per line of hashes, one for each set of just enough segments: lines agree in enough if they share one."""
+    spots = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    cells = mix(mix(segs[:, :size].astype(np.uint64) + np.uint64(1)) + spots)
+    total = cells.sum(axis=1, dtype=np.uint64)
+    left_out = list(combinations(range(size), size - needed(size)))
+    keys = [total - cells[:, out].sum(axis=1, dtype=np.uint64) + np.uint64(k) for k, out in enumerate(map(list, left_out))]
+    return mix(np.column_stack(keys))
+
+
+class Templates:
+    """Templates of a node in the order they were made, found by the segment sets of their first lines.
+
+    A set of segments has one template at most that still has all of them fixed: another line with the same set would have
+    joined it. So the last template made under a key is the only one to look at, and a line costs the same in any node.
+    """
+
+    def __init__(self):
+        self.index, self.shapes, self.names = {}, [], []
+
+    def join(self, segs: list[int], keys: list[int], name):
+        """Name of the first template that agrees in enough segments; a new template has the line's name."""
+        for t in sorted({t for t in map(self.index.get, keys) if t is not None}):
+            shape = self.shapes[t]
+            same = [a == b for a, b in zip(shape, segs)]
+            if sum(same) >= needed(len(segs)):
+                self.shapes[t] = [a if s else None for a, s in zip(shape, same)]
+                return self.names[t]
+        self.index.update(dict.fromkeys(keys, len(self.names)))
+        self.shapes.append(segs)
+        self.names.append(name)
+        return name
+
+
+def _listed(segs: np.ndarray, sizes: np.ndarray) -> tuple[list, list]:
+    """Segments and subset keys of lines as lists; no keys for lines of too few segments."""
+    keys = [[] for _ in sizes]
+    for size in np.unique(sizes[sizes >= LEAST_SEGMENTS]):
+        rows = np.flatnonzero(sizes == size)
+        for k, found in zip(rows, subset_keys(segs[rows], int(size)).tolist()):
+            keys[k] = found
+    return [x[:n] for x, n in zip(segs.tolist(), sizes)], keys
+
+
 def join_templates(segs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Template (index of its first line) of each line of a leaf, in order: the first template agreeing in enough segments."""
-    out = np.arange(len(segs))
-    shapes, fixed, names = np.zeros_like(segs), np.zeros(segs.shape, bool), np.zeros(len(segs), np.int64)
-    made = 0
-    for k in range(len(segs)):
-        same = ((shapes[:made] == segs[k]) & fixed[:made]).sum(axis=1)
-        fit = np.flatnonzero(same * SEGMENTS >= AGREE * sizes[k]) if sizes[k] >= 4 else np.zeros(0, int)
-        if len(fit):
-            fixed[fit[0]] &= shapes[fit[0]] == segs[k]
-            out[k] = names[fit[0]]
-        else:
-            shapes[made], names[made] = segs[k], k
-            fixed[made, : sizes[k]] = True
-            made += 1
-    return out
+    node = Templates()
+    return np.array([node.join(x, keys, k) for k, (x, keys) in enumerate(zip(*_listed(segs, sizes)))], np.int64)
+
+
+def _segments(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    segs = np.frombuffer(b"".join(batch.column("segs").to_pylist()), np.uint32).reshape(-1, SEGMENTS)
+    return segs, batch.column("n_segs").to_numpy()
+
+
+def _dealt(full: DataFrame) -> DataFrame:
+    """Lines of full leaves with the component of lines that agree in enough segments as ``node``; lines alone are left out."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found):
+            segs, sizes = _segments(batch)
+            leaf, ids = batch.column("leaf").to_numpy().view(np.uint64), batch.column("id").to_numpy()
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                keys = mix(subset_keys(segs[rows], int(size)) + leaf[rows, None])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[rows], keys.shape[1]))], ["key", "id"]
+                )
+
+    named = full.withColumn("id", F.xxhash64("line"))
+    keys = named.select("leaf", "id", "segs", "n_segs").mapInArrow(run, "key long, id long")
+    leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    links = keys.join(leads, "key").filter("id <> lead").select("id", "lead").distinct()
+    groups = components(links, "id", "lead").select(F.col("node").alias("id"), F.col("component").alias("node"))
+    return named.join(groups, "id").select("node", "line", "segs", "n_segs", "texts")
 
 
 def templates(lines: DataFrame, node_lines: int) -> DataFrame:
     """``line`` and ``template`` (its first line) of the lines that join another line's template."""
-    nodes = lines.withColumn("node", F.col("leaf"))
-    for depth in (2, 4, SEGMENTS):
-        full = nodes.groupBy("node").count().filter(F.col("count") > node_lines).select("node", F.lit(True).alias("_full"))
-        deeper = F.xxhash64("node", F.substring("segs", 1, 4 * depth))
-        nodes = store(nodes.join(full, "node", "left").withColumn("node", F.when(F.col("_full"), deeper).otherwise(F.col("node"))).drop("_full"), "nodes")
-    several = nodes.groupBy("node").count().filter("count > 1").select("node")
-    kept = store(nodes.join(several, "node"), "full-nodes")
-    parts = max(1, -(-kept.count() // PART_LINES))
-
-    def run(key: tuple[pa.Scalar, ...], found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(list(found))
-        node, texts = part.column("node").to_numpy(), part.column("texts").to_numpy()
-        names = part.column("line").to_pylist()
-        segs = np.frombuffer(b"".join(part.column("segs").to_pylist()), np.uint32).reshape(-1, SEGMENTS)
-        sizes = part.column("n_segs").to_numpy()
-        order = np.array(sorted(range(len(node)), key=lambda k: (node[k], -texts[k], names[k])))
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(node[order]) != 0, [True]]))
-        mine, theirs = [], []
-        for a, b in zip(edges[:-1], edges[1:]):
-            rows = order[a:b]
-            first = join_templates(segs[rows], sizes[rows])
-            for k in np.flatnonzero(first != np.arange(len(rows))):
-                mine.append(names[rows[k]])
-                theirs.append(names[rows[first[k]]])
-        yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array(theirs, pa.binary())], ["line", "template"])
-
-    spread = kept.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-    return spread.groupBy("part").applyInArrow(run, "line binary, template binary")
+    able = lines.filter(F.col("n_segs") >= LEAST_SEGMENTS)
+    leaves = store(able.groupBy("leaf").count().filter("count > 1"), "leaves")
+    full = F.col("count") > node_lines
+    nodes = able.join(leaves.filter(~full), "leaf").select(F.col("leaf").alias("node"), "line", "segs", "n_segs", "texts")
+    few, many = leaves.agg(F.sum(F.when(~full, F.col("count"))), F.sum(F.when(full, F.col("count")))).first()
+    if many:
+        nodes = nodes.unionByName(_dealt(able.join(leaves.filter(full), "leaf").drop("count")))
+    parts = max(1, -(-((few or 0) + (many or 0)) // PART_LINES))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes come one after the other, each in its order; of a node only its templates are held."""
+        last, made = None, None
+        for batch in batches(found):
+            mine, theirs = [], []
+            names = batch.column("line").to_pylist()
+            for node, name, segs, keys in zip(batch.column("node").to_pylist(), names, *_listed(*_segments(batch))):
+                if made is None or node != last:
+                    last, made = node, Templates()
+                first = made.join(segs, keys, name)
+                if first != name:
+                    mine.append(name)
+                    theirs.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array(theirs, pa.binary())], ["line", "template"])
+
+    order = ["node", F.desc("texts"), "line"]
+    spread = nodes.repartition(parts, "node").sortWithinPartitions(*order).select("node", "line", "segs", "n_segs")
+    return spread.mapInArrow(run, "line binary, template binary")
 
 
 def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4, node_lines: int = NODE_LINES) -> DataFrame:
@@ -185,14 +260,17 @@ def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4,
     def apply(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
             texts, sizes, dropped = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_cut").to_pylist()):
-                parts = text.split("\n") if text is not None else []
+            cuts = batch.column("_cut").to_pylist()
+            split = [text.split("\n") if text is not None else [] for text in batch.column("text").to_pylist()]
+            counts, prints, _, _ = line_keys([p.encode().split() for parts, gone in zip(split, cuts) if gone for p in parts])
+            names, counts, at = _binary(prints).to_pylist(), counts.tolist(), 0
+            for text, parts, gone in zip(batch.column("text").to_pylist(), split, cuts):
                 filled = sum(1 for p in parts if p.strip())
                 n = 0
                 if gone:
-                    gone = set(gone)
-                    counts, prints, _, _ = line_keys([p.encode().split() for p in parts])
-                    kept = [p for p, c, k in zip(parts, counts, prints) if c < least_words or k.tobytes() not in gone]
+                    gone, end = set(gone), at + len(parts)
+                    kept = [p for p, c, k in zip(parts, counts[at:end], names[at:end]) if c < least_words or k not in gone]
+                    at = end
                     n = len(parts) - len(kept)
                     text = "\n".join(kept)
                 texts.append(text)
