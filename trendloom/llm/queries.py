@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontam, extract, linededup, lmscore, neardup, ngramjoin, packing, quality, sharding, warc
+from trendloom.llm import convtrie, dac, decontam, extract, lexical, linededup, lmscore, neardup, ngramjoin, packing, quality, sharding, warc
 from trendloom.llm.textkit import ready
 from trendloom.sources.work import work_path
 
@@ -144,3 +144,75 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
         F.length("text").cast("long").alias("n_chars"),
     )
+
+
+_TERMS = (
+    "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), [])"
+)
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+    WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(tf)::bigint AS n FROM tf GROUP BY doc_id),
+    whole AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS total FROM sizes),
+    q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint AS w
+          FROM tf, whole WHERE term IN (SELECT term FROM q) GROUP BY term),
+    m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // total) AS m FROM sizes, whole),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::int AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 50
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 50)
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents in files of directly addressable codes, read back."""
+    path = work_path(spark, "tokens")
+    dac.write_tokens(table(spark, folder, "documents"), path, vocabulary())
+    return dac.read_documents(spark, path)
+
+
+@query(
+    "op13_prefix_trie",
+    """
+    WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+    t AS (SELECT conv_id AS c, strlen(coalesce(text, ''))::bigint AS size,
+                 md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) AS content,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) - 1 AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, c - c % 5 AS b, count(*) AS n FROM t GROUP BY c),
+    h AS (SELECT own.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+                   lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h FROM own, crc),
+    k AS (SELECT h.c, h.b, h.h, h.n, least(h.h, coalesce(base.n, 0)) AS taken FROM h LEFT JOIN own AS base ON base.c = h.b),
+    r AS (SELECT k.c, pos AS p, content, size FROM k JOIN t ON t.c = k.b AND pos < h
+          UNION ALL SELECT k.c, taken + pos - h, content, size FROM k JOIN t ON t.c = k.c WHERE pos >= h),
+    m AS (SELECT c, p + 1 AS d, size, md5(list(content) OVER (PARTITION BY c ORDER BY p)::varchar) AS key FROM r
+          UNION ALL SELECT c, 0, 0, '' FROM k),
+    ends AS (SELECT c, taken + greatest(n - h, 0) AS len FROM k),
+    owned AS (SELECT *, min(c) OVER (PARTITION BY d, key) AS owner FROM m),
+    nodes AS (SELECT owner AS conv, d, count(*) AS n_convs, max(size) AS size,
+                sha256(coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (WHERE len = d), '')) AS ends_sha256
+              FROM owned JOIN ends USING (c) GROUP BY owner, d),
+    up AS (SELECT n.conv, n.d, o.owner AS parent FROM nodes AS n LEFT JOIN owned AS o ON o.c = n.conv AND o.d = n.d - 1),
+    kids AS (SELECT parent AS conv, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+    full_nodes AS (SELECT n.*, up.parent, coalesce(n_children, 0) AS n_children
+                   FROM nodes AS n JOIN up USING (conv, d) LEFT JOIN kids USING (conv, d)),
+    sums AS (SELECT o.owner AS conv, o.d, sum((f.n_children = 0)::int)::bigint AS n_leaves, sum((f.n_convs - 1) * f.size)::bigint AS saved_tokens
+             FROM full_nodes AS f JOIN owned AS o ON o.c = f.conv AND o.d <= f.d GROUP BY ALL)
+    SELECT conv AS conv_id, d::bigint AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+    FROM full_nodes JOIN sums USING (conv, d)
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt so that they share their first turns."""
+    return convtrie.prefix_trie(table(spark, folder, "conversations"))
