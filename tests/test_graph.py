@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import arrays
-from trendloom.operators import snapshots, tgraph
+from trendloom.operators import ordering, snapshots, tgraph
 
 
 @pytest.fixture()
@@ -67,8 +67,8 @@ def test_messages_see_the_state_before_their_batch(spark, hot):
     for r in msgs.collect():
         earlier = [t for e, u, i, t, _ in rows if r["node"] in (u, i) and (e - 1) // 10 < r["batch"]]
         assert r["dt"] == r["ts"] - max(earlier, default=0)
-    last = {(r["batch"], r["node"]): r for r in tgraph.aggregate_messages(msgs, 4, "last").collect()}
-    mean = {(r["batch"], r["node"]): r for r in tgraph.aggregate_messages(msgs, 4, "mean").collect()}
+    last = {(r["batch"], r["node"]): r for r in tgraph.aggregate_messages(msgs, tgraph.message_size(["w"], 3), "last").collect()}
+    mean = {(r["batch"], r["node"]): r for r in tgraph.aggregate_messages(msgs, tgraph.message_size(["w"], 3), "mean").collect()}
     for key, r in last.items():
         own = sorted((m["edge_idx"], m["msg"]) for m in msgs.collect() if (m["batch"], m["node"]) == key)
         assert r["msg"] == own[-1][1]
@@ -144,3 +144,85 @@ def test_snapshot_targets_lie_after_the_snapshot(spark):
     versions = snapshots.edge_versions(lines, last)
     per_month = [snapshots.edges_at(versions, f"2020-{m:02d}-01").count() for m in range(1, 8)]
     assert per_month == sorted(per_month) and per_month[-1] == 4
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_as_of_matches_brute_force(spark, strict):
+    rnd = random.Random(8)
+    versions = sorted({(1 if rnd.random() < 0.4 else rnd.randint(2, 5), rnd.randint(0, 60)) for _ in range(90)})
+    rows = [(k, t, n, None if n % 7 == 0 else f"v{n}") for n, (k, t) in enumerate(versions)]
+    asked = [(rnd.randint(1, 6), rnd.randint(-2, 65)) for _ in range(200)]
+    left, right = spark.createDataFrame(asked, "k long, t long"), spark.createDataFrame(rows, "k long, t long, n long, s string")
+    got = ordering.as_of(left, right, ["k"], "t", ["n", "s"], F.floor(F.col("t") / 4), strict).collect()
+    assert len(got) == len(set(asked))
+    for r in got:
+        known = [v for v in rows if v[0] == r["k"] and (v[1] < r["t"] or (v[1] == r["t"] and not strict))]
+        want = known[-1][2:] if known else (None, None)
+        assert (r["n"], r["s"]) == want
+
+
+def _walk(rows, size):
+    """State of every node at the start of each batch, and the messages, one edge after the other."""
+    state, out = {}, {}
+    for at in range(0, len(rows), size):
+        batch = rows[at : at + size]
+        for e, u, i, t, w in batch:
+            for a, b in ((u, i), (i, u)):
+                own, other = state.get(a, (0, 0.0, 0)), state.get(b, (0, 0.0, 0))
+                out[e, a] = (*own[:2], *other[:2], w, t - own[2])
+        for e, u, i, t, w in batch:
+            for a in (u, i):
+                n, total, _ = state.get(a, (0, 0.0, 0))
+                state[a] = (n + 1, total + w, t)
+    return out
+
+
+def test_messages_carry_both_states_of_the_batch_start(spark, hot):
+    rows, edges = hot
+    want = _walk(rows, 7)
+    got = tgraph.messages(edges, ["w"], 2, 7).collect()
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        n, total, n_other, total_other, w, dt = want[r["edge_idx"], r["node"]]
+        code = [math.cos(dt), math.cos(dt * 1e-9)]
+        assert r["msg"] == pytest.approx([n, total, n_other, total_other, w, *code]) and r["dt"] == dt
+
+
+def test_versions_hold_from_one_batch_to_the_next(spark, hot):
+    rows, edges = hot
+    versions = tgraph.state_versions(edges, ["w"], 7).collect()
+    by = {}
+    for r in versions:
+        by.setdefault(r["node"], []).append(r)
+    for node, found in by.items():
+        found.sort(key=lambda r: r["batch"])
+        assert [r["valid_to"] for r in found] == [r["batch"] for r in found[1:]] + [None]
+        for r in found:
+            mine = [x for x in rows if node in (x[1], x[2]) and (x[0] - 1) // 7 <= r["batch"]]
+            assert (r["valid_from"], r["n"], r["sum_w"], r["last_update"]) == (r["batch"] + 1, len(mine), sum(x[4] for x in mine), mine[-1][3])
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_state_at_any_cut(spark, hot, strict):
+    rows, edges = hot
+    asked = [(q, node, cut, "keep") for q, (node, cut) in enumerate((n, c) for n in range(0, 13) for c in (-1, 0, 7, 8, 40, 99))]
+    got = tgraph.state_at(edges, spark.createDataFrame(asked, "qid long, node long, cut long, note string"), ["w"], strict).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        mine = [x for x in rows if r["node"] in (x[1], x[2]) and (x[3] < r["cut"] or (x[3] == r["cut"] and not strict))]
+        assert (r["n"], r["sum_w"]) == (len(mine), sum(x[4] for x in mine))
+        assert r["last_update"] == (mine[-1][3] if mine else 0) and r["note"] == "keep"
+
+
+@pytest.mark.parametrize("n", [1, 4, None])
+def test_sums_from_running_sums_equal_summed_neighbourhoods(spark, hot, n):
+    rows, edges = hot
+    adj = tgraph.adjacency(edges, ["w"])
+    asked = spark.createDataFrame([(q, node, cut) for q, (node, cut) in enumerate((a, c) for a in range(1, 14) for c in (0, 9, 33, 50))],
+                                  "qid long, node long, cut long")
+    found = tgraph.temporal_neighbors(adj, asked, n or 1000)
+    want = {r["qid"]: r for r in tgraph.neighborhood_features(found, asked, ["w"], 3).collect()}
+    got = tgraph.neighborhood_sums(adj, asked, ["w"], 3, n).collect()
+    assert {r["qid"] for r in got} == set(want)
+    for r in got:
+        assert r["n"] == want[r["qid"]]["n"] and r["vec"] == pytest.approx(want[r["qid"]]["vec"], abs=1e-9)

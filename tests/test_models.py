@@ -47,3 +47,56 @@ def test_families_survive_saving(spark, tmp_path):
 def test_gap_free_panel_keeps_its_tail(spark):
     held = panel.holdout_tail(_panel(spark, 3), "entity", "ds", 5)
     assert held.filter("rel > 0").count() == 15
+
+
+def _plain_forecast(past, ahead, rules, horizon):
+    """Rule by rule, day by day."""
+    out = {}
+    for key, days in ahead.items():
+        known = dict(past.get(key, {}))
+        for h, day in enumerate(sorted(days)[:horizon]):
+            lags, weights, shift = rules[h % len(rules)]
+            pairs = [(known.get(day - dt.timedelta(days=k + shift)), w) for k, w in zip(lags, weights)]
+            pairs = [(v, w) for v, w in pairs if v is not None]
+            known[day] = sum(v * w for v, w in pairs) / sum(w for _, w in pairs) if pairs else 5.0
+            out[key, day] = (known[day], h + 1)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_forecasts_by_rules_equal_the_walk(spark, n):
+    day0 = dt.date(2024, 2, 20)
+    past = {k: {day0 - dt.timedelta(days=d): float((d * k) % 11) for d in range(1, 15) if (d + k) % 4} for k in range(1, 5)}
+    ahead = {k: [day0 + dt.timedelta(days=d) for d in range(12) if (d * k) % 5 != 3] for k in range(0, 5)}  # key 0 has no past
+    rules = [([1, 2, 7], [1.0, 2.0, 3.0], i) for i in range(n)]
+    family = [models.shifted(models.lag_mean(a, w, 5.0), i) for a, w, i in rules]
+    buffer = spark.createDataFrame([(k, d, v) for k, x in past.items() for d, v in x.items()], "k long, ds date, y double")
+    test = spark.createDataFrame([(k, d, 1.0) for k, x in ahead.items() for d in x], "k long, ds date, y double")
+    got = models.forecast_with(buffer, test, ["k"], "ds", "y", family, 8).collect()
+    want = _plain_forecast(past, ahead, rules, 8)
+    assert {(r["k"], r["ds"]): (pytest.approx(r["yhat"]), r["relative_horizon"]) for r in got} == want
+
+
+def test_least_squares_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = x @ [1.5, -2.0, 0.25] + 4 + rng.normal(scale=0.1, size=200)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double")
+    model = models.fit_linear(df, "y", ["a", "b", "c"])
+    want = np.linalg.lstsq(np.column_stack([x, np.ones(200)]), y, rcond=None)[0]
+    assert np.allclose([*model.coefficients, model.intercept], want)
+    scored = models.score_linear(model, df, ["a", "b", "c"]).collect()
+    assert np.allclose([r["yhat"] for r in scored], np.column_stack([x, np.ones(200)]) @ want)
+
+
+def test_pruning_training_rows_changes_no_forecast(spark):
+    from trendloom.operators import backtest
+
+    held = panel.holdout_tail(_panel(spark, 3, 40), "entity", "ds", 12)
+    rule = models.lag_mean([1, 7], [1.0, 1.0])
+    run = lambda past, ahead, keys: models.forecast_with(panel.tail(past, keys, "ds", 9), ahead, keys, "ds", "y", [rule], 6)
+    whole = backtest.rolling_forecast(held, "entity", 6, [0, 3], run)
+    cut = backtest.rolling_forecast(held, "entity", 6, [0, 3], run, lambda t: panel.tail(t, "entity", "ds", 9))
+    assert sorted(whole.collect()) == sorted(cut.collect())

@@ -39,11 +39,16 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def code_rates(dim: int) -> list[float]:
+    """10^(-9 j / (dim - 1)), j = 0 .. dim-1: the rates of the cosine time code."""
+    step = 9.0 / max(dim - 1, 1)
+    return [10.0 ** (-step * j) for j in range(dim)]
+
+
 def time_encode(t: str | Column, dim: int) -> Column:
-    """cos(t * 10^(-9 j / (dim - 1))), j = 0 .. dim-1: the weight-free cosine encoding of a time span."""
+    """The cosine of a time span at each rate of the weight-free time code."""
     x = _c(t).cast("double")
-    step = 9.0 / max(dim - 1, 1)
-    return F.array(*[F.cos(x * F.lit(10.0 ** (-step * j))) for j in range(dim)])
+    return F.array(*[F.cos(x * F.lit(w)) for w in code_rates(dim)])
 
 
 def element_means(column: str, size: int) -> list[Column]:

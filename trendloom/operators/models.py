@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, PCA, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +118,18 @@ def fit_global(
     return PanelModel(Pipeline(stages=[assembler, trees]).fit(coded), codes, overall)
 
 
+def fit_linear(frame: DataFrame, y: str, cols: Sequence[str]) -> LinearRegressionModel:
+    """Least squares by the normal equations: one pass over the rows, a solve of one row and column per input."""
+    ready = VectorAssembler(inputCols=list(cols), outputCol="_inputs").transform(frame).select("_inputs", F.col(y).cast("double").alias("_y"))
+    return LinearRegression(featuresCol="_inputs", labelCol="_y", solver="normal", regParam=0.0).fit(ready)
+
+
+def score_linear(model: LinearRegressionModel, frame: DataFrame, cols: Sequence[str], name: str = "yhat") -> DataFrame:
+    """The fitted plane as a column expression."""
+    terms = [F.col(c).cast("double") * F.lit(float(w)) for c, w in zip(cols, model.coefficients)]
+    return frame.withColumn(name, sum(terms, F.lit(float(model.intercept))))
+
+
 def score(model: PanelModel, frame: DataFrame, categorical: Sequence[str] = (), name: str = "yhat") -> DataFrame:
     scored = model.pipeline.transform(model.encode(frame, categorical)).withColumnRenamed("prediction", name)
     return scored.drop("features", *code_names(categorical))
@@ -238,6 +250,60 @@ def forecast(
     )
 
 
+Lag = Callable[[int], Column]
+Predictor = Callable[[Lag, Column], Column]
+
+
+def lag_mean(lags: Sequence[int], weights: Sequence[float], empty: float = 0.0) -> Predictor:
+    """Weighted mean of the lags that are known, ``empty`` where none is."""
+
+    def predict(lag: Lag, day: Column) -> Column:
+        values = F.array(*[lag(k).cast("double") for k in lags])
+        sized = F.array(*[F.lit(float(w)) for w in weights])
+        both = F.filter(F.arrays_zip(values.alias("v"), sized.alias("w")), lambda x: x["v"].isNotNull())
+        add = lambda s, x: F.struct((s["v"] + x["v"] * x["w"]).alias("v"), (s["w"] + x["w"]).alias("w"))
+        zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+        return F.aggregate(both, zero, add, lambda s: F.coalesce(F.try_divide(s["v"], s["w"]), F.lit(float(empty))))
+
+    return predict
+
+
+def shifted(predictor: Predictor, days: int) -> Predictor:
+    """The same rule on lags that many days further back, as a direct model has them."""
+    return lambda lag, day: predictor(lambda k: lag(k + days), day)
+
+
+def forecast_with(
+    buffer: DataFrame, test: DataFrame, keys: Sequence[str], ds: str, y: str, family: Sequence[Predictor], horizon: int = 50
+) -> DataFrame:
+    """The step-by-step forecast of ``forecast`` for predictors that are column expressions.
+
+    A predictor maps a function from a number of days to the value that long ago (null if unknown), and the number of the day,
+    to a prediction. Step h uses predictor (h - 1) mod n. A key is one row of its buffered values and future days, both bounded,
+    and all steps are one fold over it: two groupings and one join, whatever the horizon.
+    """
+    state = _future(test, keys, ds, y, horizon).join(_history(buffer, keys, ds, y), list(keys), "left")
+    known = F.coalesce("_hist", F.create_map().cast("map<bigint,double>"))
+    start = F.struct(known.alias("hist"), F.array().cast("array<double>").alias("preds"))
+
+    def step(s: Column, e: Column) -> Column:
+        day = dates.day_number(e["ds"])
+        turn = F.pmod(e["_h"] - 1, F.lit(len(family)))
+        look = lambda k: F.try_element_at(s["hist"], day - k)
+        made = family[-1](look, day)
+        for i in range(len(family) - 2, -1, -1):
+            made = F.when(turn == i, family[i](look, day)).otherwise(made)
+        later = F.map_concat(F.map_filter(s["hist"], lambda k, _: k != day), F.create_map(day, made))
+        return F.struct(later.alias("hist"), F.concat(s["preds"], F.array(made)).alias("preds"))
+
+    folded = state.select(*keys, "_ahead", F.aggregate("_ahead", start, step, lambda s: s["preds"]).alias("_preds"))
+    rows = folded.select(*keys, F.explode(F.arrays_zip(F.col("_ahead").alias("a"), F.col("_preds").alias("p"))).alias("r"))
+    return rows.select(
+        *keys, F.col("r.a.ds").alias(ds), F.col("r.a.y").alias(y), F.col("r.p").alias("yhat"),
+        F.col("r.a._h").cast("long").alias("relative_horizon"),
+    )
+
+
 def fit_direct(
     df: DataFrame, key: str, ds: str, y: str, lags: Sequence[int], n: int, categorical: Sequence[str], **params: object
 ) -> list[PanelModel]:

@@ -114,6 +114,34 @@ def previous_in_key(df: DataFrame, keys: Sequence[str], tick: str, block: Column
     )
 
 
+def as_of(
+    asked: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], block: Column, strict: bool = False
+) -> DataFrame:
+    """Each distinct (keys, at) of ``asked`` with the values of the key's newest version at or before it (``strict``: before it).
+
+    ``versions`` has one row per (keys, at). Times asked for and versions share one running last value, so no time is paired with
+    the versions before it; a hot key is cut into blocks, and what a block inherits is one row of the block before. Without an
+    earlier version the values are null.
+    """
+    known = versions.select(*keys, at, F.struct(*values).alias("_v"), F.lit(1 if strict else 0).alias("_turn"))
+    wanted = asked.select(*keys, at).distinct().select(
+        *keys, at, F.lit(None).cast(known.schema["_v"].dataType).alias("_v"), F.lit(0 if strict else 1).alias("_turn")
+    )
+    both = known.unionByName(wanted).withColumn("_block", block)
+    spot = [*keys, "_block"]
+    before = Window.partitionBy(*spot).orderBy(at, "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_near", F.last("_v", ignorenulls=True).over(before)).filter(F.col("_turn") == (0 if strict else 1))
+    newest = known.withColumn("_block", block).groupBy(*spot).agg(F.max(at).alias(at))
+    ends = newest.join(known, [*keys, at]).select(*spot, F.col("_v").alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.select(*spot).distinct().join(ends, spot, "left").select(
+        *spot, F.last("_end", ignorenulls=True).over(earlier).alias("_far")
+    )
+    return found.join(carried, spot).withColumn("_v", F.coalesce("_near", "_far")).select(
+        *keys, at, *[F.col("_v")[c].alias(c) for c in values]
+    )
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles as one row; no task ever holds all distinct values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))

@@ -133,7 +133,7 @@ def holdout_tail(df: DataFrame, key: str, ds: str, n: int) -> DataFrame:
     )
 
 
-def tail(df: DataFrame, key: str, ds: str, n: int) -> DataFrame:
+def tail(df: DataFrame, key: str | Sequence[str], ds: str, n: int) -> DataFrame:
     """Last n rows of each key."""
     w = Window.partitionBy(key).orderBy(F.col(ds).desc())
     return df.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= n).drop("_back")

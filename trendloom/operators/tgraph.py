@@ -7,7 +7,7 @@ of all events is handled in many bounded pieces.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -139,32 +139,73 @@ def _block(edge_idx: str = "edge_idx") -> Column:
     return F.floor(F.col(edge_idx) / BLOCK_ROWS).cast("long")
 
 
-def _ranked(adj: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _ranked(
+    adj: DataFrame, marks: DataFrame | None = None, sums: Mapping[str, Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Adjacency rows with their 1-based place among the node's events, and the event count before each mark.
 
     Counts per (node, second, block) and marks (block -1, so before the events of their own second) share one running
-    total.
+    total. ``sums`` adds running sums of columns up to and with each event.
     """
-    placed = adj.withColumn("_eb", _block())
-    cells = placed.groupBy("node", "ts", "_eb").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums or {}
+    placed = adj.withColumn("_eb", _block()).withColumns({f"_x_{k}": v for k, v in sums.items()})
+    cells = placed.groupBy("node", "ts", "_eb").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_x_{k}").alias(f"_s_{k}") for k in sums]
+    )
     if marks is not None:
         flat = marks.select("node", F.col("cut").alias("ts")).distinct()
-        cells = cells.unionByName(flat.withColumns({"_eb": F.lit(-1).cast("long"), "_n": F.lit(0).cast("long")}))
+        nothing = {"_eb": F.lit(-1).cast("long"), "_n": F.lit(0).cast("long"), **{f"_s_{k}": F.lit(0.0) for k in sums}}
+        cells = cells.unionByName(flat.withColumns(nothing))
     block = F.floor(F.col("ts") / BLOCK_SECONDS)
-    totals = ordering.keyed_running_totals(cells, ["node"], ["ts", "_eb"], block, {"_upto": "_n"})
+    totals = ordering.keyed_running_totals(
+        cells, ["node"], ["ts", "_eb"], block, {"_upto": "_n", **{f"_t_{k}": f"_s_{k}" for k in sums}}
+    )
     spot = ["node", "ts", "_eb"]
-    starts = totals.filter("_eb >= 0").select(*spot, (F.col("_upto") - F.col("_n")).alias("_start"))
+    starts = totals.filter("_eb >= 0").select(
+        *spot, (F.col("_upto") - F.col("_n")).alias("_start"), *[(F.col(f"_t_{k}") - F.col(f"_s_{k}")).alias(f"_b_{k}") for k in sums]
+    )
     inside = Window.partitionBy(*spot).orderBy("edge_idx", "other")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        placed.withColumn("_in", F.row_number().over(inside))
+        placed.withColumns({"_in": F.row_number().over(inside), **{f"_r_{k}": F.sum(f"_x_{k}").over(run) for k in sums}})
         .join(starts, spot)
-        .withColumn("place", F.col("_start") + F.col("_in"))
-        .drop("_in", "_start", "_eb")
+        .withColumns({"place": F.col("_start") + F.col("_in"), **{k: F.col(f"_b_{k}") + F.col(f"_r_{k}") for k in sums}})
+        .drop("_in", "_start", "_eb", *[f"_{x}_{k}" for k in sums for x in "xbr"])
     )
     before = totals.filter("_eb = -1").select("node", F.col("ts").alias("cut"), F.col("_upto").alias("before"))
     return ranked, before
 
 
+def neighborhood_sums(adj: DataFrame, queries: DataFrame, cols: Sequence[str], dim: int, n: int | None = None) -> DataFrame:
+    """What ``neighborhood_features`` sums over the last ``n`` events (null: all) before a cut, from running sums per node.
+
+    The events of a node carry the running sums of their features and of the cosine and sine of each time code, so a sum over any
+    run of events is the difference of two rows, and the codes of the time to the cut follow from those of the times. Work per
+    query does not depend on ``n``.
+    """
+    rates = arrays.code_rates(dim)
+    angle = lambda x, w: x.cast("double") * F.lit(w)
+    sums = {f"f{j}": F.col(c).cast("double") for j, c in enumerate(cols)}
+    sums |= {f"c{j}": F.cos(angle(F.col("ts"), w)) for j, w in enumerate(rates)}
+    sums |= {f"s{j}": F.sin(angle(F.col("ts"), w)) for j, w in enumerate(rates)}
+    ranked, before = _ranked(adj, queries, sums)
+    index = ranked.select("node", "place", F.struct(*sums).alias("run"))
+    asked = queries.join(before, ["node", "cut"])
+    low = F.lit(0).cast("long") if n is None else F.greatest(F.col("before") - n, F.lit(0).cast("long"))
+    asked = asked.withColumn("after", low)
+    ends = F.array(*[F.struct(F.col(c).alias("place"), F.lit(sign).alias("sign")) for c, sign in (("before", 1.0), ("after", -1.0))])
+    marks = asked.select("qid", "node", F.explode(ends).alias("e")).select("qid", "node", "e.*").filter("place > 0")
+    parts = marks.join(index, ["node", "place"]).groupBy("qid").agg(
+        *[F.sum(F.col("sign") * F.col("run")[k]).alias(k) for k in sums]
+    )
+    cut = lambda fn, w: fn(angle(F.col("cut"), w))
+    codes = [cut(F.cos, w) * F.col(f"c{j}") + cut(F.sin, w) * F.col(f"s{j}") for j, w in enumerate(rates)]
+    vec = F.array(*[F.coalesce(c, F.lit(0.0)) for c in [*[F.col(f"f{j}") for j in range(len(cols))], *codes]])
+    return asked.join(parts, "qid", "left").select(
+        *queries.columns, (F.col("before") - F.col("after")).alias("n"), vec.alias("vec")
+    )
+
+
 def temporal_neighbors(
     adj: DataFrame, queries: DataFrame, n: int, mode: str = "latest", seed: int = 0
 ) -> DataFrame:
@@ -224,23 +265,88 @@ def neighborhood_features(found: DataFrame, queries: DataFrame, cols: Sequence[s
     )
 
 
+def _sums(cols: Sequence[str]) -> list[str]:
+    return [f"sum_{c}" for c in cols]
+
+
+def batch_of(batch_rows: int, edge_idx: str = "edge_idx") -> Column:
+    return F.floor((F.col(edge_idx) - 1) / batch_rows).cast("long")
+
+
+def state_versions(edges: DataFrame, cols: Sequence[str], batch_rows: int = 200) -> DataFrame:
+    """Node states as versions: one row per node and batch in which it has events.
+
+    A state is the number of events so far, the sums of their features and the last one's time. The version of ``batch`` holds
+    from the start of batch ``valid_from`` to the end of batch ``valid_to`` (null: still valid): what happens in a batch is seen from the next on.
+    """
+    both = adjacency(edges, cols).withColumn("batch", batch_of(batch_rows))
+    per = both.groupBy("node", "batch").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("ts").alias("last_update"), *[F.sum(c).alias(f"_{c}") for c in cols]
+    )
+    block = F.floor(F.col("batch") / BLOCK_ROWS)
+    totals = {"n": "_n", **{out: f"_{c}" for c, out in zip(cols, _sums(cols))}}
+    summed = ordering.keyed_running_totals(per, ["node"], ["batch"], block, totals).withColumn("_back", -F.col("batch"))
+    ended = ordering.previous_in_key(summed, ["node"], "_back", F.floor(F.col("_back") / BLOCK_ROWS), "_next")
+    return ended.select(
+        "node", "batch", (F.col("batch") + 1).alias("valid_from"), (-F.col("_next")).alias("valid_to"), "n", *_sums(cols), "last_update"
+    )
+
+
+def state_ticks(edges: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Node states after each second with events: number of events, sums of features; ``ts`` is the last update."""
+    per = adjacency(edges, cols).groupBy("node", "ts").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in cols]
+    )
+    totals = {"n": "_n", **{out: f"_{c}" for c, out in zip(cols, _sums(cols))}}
+    block = F.floor(F.col("ts") / BLOCK_SECONDS)
+    return ordering.keyed_running_totals(per, ["node"], ["ts"], block, totals).select("node", "ts", "n", *_sums(cols))
+
+
+def state_at(edges: DataFrame, asked: DataFrame, cols: Sequence[str], strict: bool = True) -> DataFrame:
+    """``asked`` (node, cut, ...) with the node's state before the cut (``strict=False``: up to it): n, sums, last_update.
+
+    A node without earlier events has no events, sums of 0 and the last update 0.
+    """
+    ticks = state_ticks(edges, cols).withColumn("last_update", F.col("ts"))
+    times = asked.select("node", F.col("cut").alias("ts"))
+    values = ["n", *_sums(cols), "last_update"]
+    block = F.floor(F.col("ts") / BLOCK_SECONDS)
+    found = ordering.as_of(times, ticks, ["node"], "ts", values, block, strict).withColumnRenamed("ts", "cut")
+    return asked.join(found.fillna(0, values), ["node", "cut"])
+
+
+def both_ends(edges: DataFrame, negatives: DataFrame) -> DataFrame:
+    """What a batch asks for: each edge's source, destination and drawn destination at the edge's time (qid, side, node, cut)."""
+    part = lambda df, end, side: df.select(
+        F.col("edge_idx").alias("qid"), F.lit(side).alias("side"), F.col(end).alias("node"), F.col("ts").alias("cut")
+    )
+    return part(edges, "u", "source").unionByName(part(edges, "i", "destination")).unionByName(part(negatives, "i", "negative"))
+
+
 def messages(edges: DataFrame, cols: Sequence[str], dim: int, batch_rows: int = 200) -> DataFrame:
-    """Two directed messages per edge: edge features and the encoded time since the node's last earlier batch.
+    """Two directed messages per edge: own state, other end's state, edge features, encoded time since the own last update.
 
-    The state a message sees is the one at the start of its batch of ``batch_rows`` edges, so the last update is the
-    node's latest time in an earlier batch (0 before the first).
+    Both states are those at the start of the edge's batch of ``batch_rows`` edges (events, then sums of features); before a
+    node's first batch they are 0, and so is its last update.
     """
-    batch = F.floor((F.col("edge_idx") - 1) / batch_rows).cast("long")
-    both = adjacency(edges, cols).withColumn("batch", batch)
-    seen = both.groupBy("node", "batch").agg(F.max("ts").alias("_late"))
-    ticks = seen.select("node", "batch", F.struct("batch", "_late").alias("_tick"))
-    prior = ordering.previous_in_key(ticks, ["node"], "_tick", F.floor(F.col("batch") / BLOCK_ROWS), "_prev")
-    updates = prior.select("node", "batch", F.coalesce(F.col("_prev._late"), F.lit(0)).alias("last_update"))
-    timed = both.join(updates, ["node", "batch"]).withColumn("dt", F.col("ts") - F.col("last_update"))
-    vector = F.concat(F.array(*[F.col(c).cast("double") for c in cols]), arrays.time_encode("dt", dim))
+    versions = state_versions(edges, cols, batch_rows)
+    values = ["n", *_sums(cols), "last_update"]
+    block = F.floor(F.col("batch") / BLOCK_ROWS)
+    start = ordering.as_of(versions, versions, ["node"], "batch", values, block, strict=True).fillna(0, values)
+    state = F.array(*[F.col(c).cast("double") for c in values[:-1]])
+    known = start.select("node", "batch", state.alias("own"), "last_update")
+    others = start.select(F.col("node").alias("other"), "batch", state.alias("others"))
+    both = adjacency(edges, cols).withColumn("batch", batch_of(batch_rows))
+    timed = both.join(known, ["node", "batch"]).join(others, ["other", "batch"])
+    timed = timed.withColumn("dt", F.col("ts") - F.col("last_update"))
+    vector = F.concat("own", "others", F.array(*[F.col(c).cast("double") for c in cols]), arrays.time_encode("dt", dim))
     return timed.select("batch", "edge_idx", "node", "other", "ts", "dt", vector.alias("msg"))
 
 
+def message_size(cols: Sequence[str], dim: int) -> int:
+    return 2 * (1 + len(cols)) + len(cols) + dim
+
+
 def aggregate_messages(msgs: DataFrame, size: int, how: str = "last") -> DataFrame:
     """One message per (batch, node): the last one, or the element mean with the last time."""
     late = F.max("ts").alias("ts")
@@ -250,11 +356,6 @@ def aggregate_messages(msgs: DataFrame, size: int, how: str = "last") -> DataFra
     return per.select("batch", "node", arrays.gather("msg", size).alias("msg"), "ts")
 
 
-def last_update(adj: DataFrame, cut: int) -> DataFrame:
-    """Each node's last event time at or before the cut."""
-    return adj.filter(F.col("ts") <= cut).groupBy("node").agg(F.max("ts").alias("last_update"))
-
-
 def negative_edges(edges: DataFrame, seed: int = 0, exclude: bool = False) -> DataFrame:
     """One random destination per edge, drawn evenly from the distinct destinations; ``exclude`` drops true edges."""
     pool = ordering.global_index(edges.select(F.col("i").alias("neg")).distinct(), ["neg"], "_at")

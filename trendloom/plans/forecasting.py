@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import dates
-from trendloom.operators import backtest, baseline, metrics, panel
+from trendloom.operators import backtest, baseline, metrics, models, panel
 from trendloom.plans.base import DAILY, daily
 from trendloom.plans.registry import query
 from trendloom.sources.files import table
 
 HOLIDAYS = ["01-01", "04-27", "05-05", "12-05", "12-25", "12-26"]
 _HOLIDAY_SQL = "strftime(ds, '%m-%d') IN (" + ", ".join(f"'{d}'" for d in HOLIDAYS) + ")"
+# Fixed value: the days back that forecasts look at.
 LAGS = [1, 2, 3, 4, 5, 6, 7, 8, 14, 21, 28, 35, 42, 49]
 
 
@@ -261,6 +262,12 @@ def _rolling_naive(past: DataFrame, ahead: DataFrame, keys: list[str]) -> DataFr
     return baseline.naive_weighted(past, ahead, keys, "ds", "y", 30, "last_year", 0.3, 50)
 
 
+def _last_weeks(train: DataFrame) -> DataFrame:
+    """The last 30 rows of each weekday: all that the baseline looks at."""
+    w = Window.partitionBy("entity", F.weekday("ds")).orderBy(F.desc("ds"))
+    return train.withColumn("_back", F.row_number().over(w)).filter("_back <= 30")
+
+
 @query(
     "rolling_backtest",
     sql=f"""WITH RECURSIVE {_fold_sql(80, 30, 50, [0, 5, 10, 15, 20, 25])}, by_h AS ({_BY_H.format(by="origin,")})
@@ -269,7 +276,78 @@ def _rolling_naive(past: DataFrame, ahead: DataFrame, keys: list[str]) -> DataFr
 )
 def rolling_backtest(spark: SparkSession, sf: str) -> DataFrame:
     starts = backtest.origins(80, 50, 5)
-    out = backtest.rolling(_held(spark, sf, 80), "entity", "y", 50, starts, _rolling_naive)
+    out = backtest.rolling(_held(spark, sf, 80), "entity", "y", 50, starts, _rolling_naive, _last_weeks)
+    return out.select("origin", *[r6(c) for c in ("rmse", "mae", "mape", "smape")])
+
+
+#: A fixed linear rule: whole weeks back count three times as much as other days.
+WEIGHTS = [3.0 if k % 7 == 0 else 1.0 for k in LAGS]
+RULE = models.lag_mean(LAGS, WEIGHTS)
+FAMILY = 10
+
+
+def _linear_sql(n: int, buffer: int, starts: list[int], models_: int) -> str:
+    """Recursive twin: one step per future row of an (origin, entity)."""
+    return f"""{DAILY}, {_HELD.format(n=n)}, o AS (SELECT unnest([{", ".join(map(str, starts))}])::bigint AS origin),
+    past AS (SELECT origin, entity, list(date_diff('day', DATE '1970-01-01', ds) ORDER BY ds) AS days, list(y::double ORDER BY ds) AS vals
+      FROM (SELECT o.origin, h.*, row_number() OVER (PARTITION BY o.origin, h.entity ORDER BY h.ds DESC) AS b
+        FROM held h JOIN o ON h.rel <= o.origin) WHERE b <= {buffer} GROUP BY ALL),
+    fut AS (SELECT o.origin, h.entity, h.ds, h.y, h.rel - o.origin AS h, date_diff('day', DATE '1970-01-01', h.ds) AS d
+      FROM held h JOIN o ON h.rel > o.origin AND h.rel <= o.origin + 50),
+    rec AS (SELECT f.origin, f.entity, 0::bigint AS h, coalesce(days, []::bigint[]) AS days, coalesce(vals, []::double[]) AS vals, 0.0::double AS yhat
+        FROM (SELECT DISTINCT origin, entity FROM fut) f LEFT JOIN past USING (origin, entity)
+      UNION ALL SELECT origin, entity, h, list_append(days, d), list_append(vals, p), p FROM (SELECT *,
+        coalesce(list_sum(list_transform(l, lambda v, i: coalesce(v * ({WEIGHTS})[i], 0.0)))
+          / nullif(list_sum(list_transform(l, lambda v, i: CASE WHEN v IS NULL THEN 0.0 ELSE ({WEIGHTS})[i] END)), 0), 0.0) AS p
+        FROM (SELECT f.origin, f.entity, f.h, f.d, r.days, r.vals,
+          list_transform({LAGS}, lambda k: r.vals[list_position(r.days, f.d - k - (f.h - 1) % {models_})]) AS l
+          FROM rec r JOIN fut f ON f.origin = r.origin AND f.entity = r.entity AND f.h = r.h + 1))),
+    scored AS (SELECT f.origin, f.entity, f.ds, f.y, r.yhat, f.h AS relative_horizon FROM rec r JOIN fut f USING (origin, entity, h))"""
+
+
+def _linear(family: list[models.Predictor], buffer: int) -> backtest.Forecaster:
+    def run(past: DataFrame, ahead: DataFrame, keys: list[str]) -> DataFrame:
+        return models.forecast_with(panel.tail(past, keys, "ds", buffer), ahead, keys, "ds", "y", family, 50)
+
+    return run
+
+
+@query(
+    "linear_recursive",
+    sql=f"""WITH RECURSIVE {_linear_sql(50, 50, [0], 1)}
+    SELECT entity, ds, y::double AS y, round(yhat, 6) AS yhat, relative_horizon FROM scored""",
+)
+def linear_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    """Step-by-step forecast by a fixed rule over the lags, own predictions fed back."""
+    held = panel.holdout_tail(daily(spark, sf), "entity", "ds", 50)
+    out = _linear([RULE], 50)(held.filter("rel = 0"), held.filter("rel > 0"), ["entity"])
+    return out.withColumn("yhat", r6("yhat"))
+
+
+@query(
+    "linear_hybrid",
+    sql=f"""WITH RECURSIVE {_linear_sql(50, 60, [0], FAMILY)}
+    SELECT entity, ds, y::double AS y, round(yhat, 6) AS yhat, relative_horizon FROM scored""",
+)
+def linear_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten direct rules in turn, each on lags of its own distance."""
+    held = panel.holdout_tail(daily(spark, sf), "entity", "ds", 50)
+    family = [models.shifted(RULE, i) for i in range(FAMILY)]
+    out = _linear(family, 60)(held.filter("rel = 0"), held.filter("rel > 0"), ["entity"])
+    return out.withColumn("yhat", r6("yhat"))
+
+
+@query(
+    "linear_rolling",
+    sql=f"""WITH RECURSIVE {_linear_sql(80, 50, [0, 5, 10, 15, 20, 25], 1)}, by_h AS ({_BY_H.format(by="origin,")})
+    SELECT origin, round(avg(rmse), 6) AS rmse, round(avg(mae), 6) AS mae, round(avg(mape), 6) AS mape,
+    round(avg(smape), 6) AS smape FROM by_h GROUP BY origin""",
+)
+def linear_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling origins of the recursive rule; only the rows that an origin can reach are multiplied."""
+    held = panel.holdout_tail(daily(spark, sf), "entity", "ds", 80)
+    prune = lambda train: panel.tail(train, "entity", "ds", 50)
+    out = backtest.rolling(held, "entity", "y", 50, backtest.origins(80, 50, 5), _linear([RULE], 50), prune)
     return out.select("origin", *[r6(c) for c in ("rmse", "mae", "mape", "smape")])
 
 

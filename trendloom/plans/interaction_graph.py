@@ -193,14 +193,71 @@ def neighborhood_features(spark: SparkSession, sf: str) -> DataFrame:
     return spread(out.withColumn("vec", F.transform("vec", lambda v: v + 3e-8)), "vec", DIM + 2, 5)
 
 
+_NEG = f"""pool AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS slot FROM (SELECT DISTINCT i FROM edges)),
+  neg AS (SELECT e.edge_idx, e.u, p.i, e.ts FROM edges e JOIN pool p
+    ON p.slot = {draw_sql("e.edge_idx", 0)} % (SELECT count(*) FROM pool))"""
+_ENDS = f"""qe AS (SELECT edge_idx AS qid, 'source' AS side, u AS node, ts AS cut FROM edges
+  UNION ALL SELECT edge_idx, 'destination', i, ts FROM edges UNION ALL SELECT edge_idx, 'negative', i, ts FROM neg)"""
+
+
+def _ends(e: DataFrame) -> DataFrame:
+    return tgraph.both_ends(e, tgraph.negative_edges(e))
+
+
+def _by_side(e: DataFrame) -> DataFrame:
+    """Destinations and drawn destinations with a number of their own."""
+    place = F.when(F.col("side") == "destination", 0).otherwise(1)
+    asked = _ends(e).filter("side <> 'source'")
+    return asked.withColumn("qid", F.col("qid") * 2 + place).drop("side")
+
+
+_Q_ENDS = f"""q AS (SELECT qid * 2 + CASE WHEN side = 'destination' THEN 0 ELSE 1 END AS qid, node, cut FROM qe
+  WHERE side <> 'source')"""
+
+
+_SUMS_LIST = ", ".join(f"round(coalesce(s{j}, 0.0), 5) AS vec_{j}" for j in range(DIM + 2))
+
+
+def _late(q: str) -> str:
+    return _LATEST.replace(_Q, q)
+
+
+@query("temporal_neighbors_ends", sql=f"WITH {EDGES}, {_NEG}, {_ENDS}, {_late(_Q_ENDS)} {_PADDED}")
+def temporal_neighbors_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of every edge's destination and of its drawn destination before the edge."""
+    e = edges(spark, sf)
+    asked = store(_by_side(e), "ends")
+    found = tgraph.temporal_neighbors(tgraph.adjacency(e), asked, N)
+    out = tgraph.padded_neighbors(found, asked, N)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("neighbors", "edges", "times")})
+
+
+@query(
+    "neighborhood_sums",
+    sql=f"""WITH {EDGES}, {_NEG}, {_ENDS}, {_late(_Q_ENDS)}, s AS (SELECT f.qid, count(*) AS n, {", ".join(_HOOD)} FROM found f
+      JOIN edges x ON x.edge_idx = f.edge_idx GROUP BY f.qid)
+    SELECT q.qid, q.node, q.cut, coalesce(n, 0) AS n, {_SUMS_LIST} FROM q LEFT JOIN s USING (qid)""",
+)
+def neighborhood_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums over the neighbourhoods of destinations and drawn destinations, from running sums per node."""
+    e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
+    asked = store(_by_side(e), "ends")
+    out = tgraph.neighborhood_sums(tgraph.adjacency(e, ["kilo", "quantity"]), asked, ["kilo", "quantity"], DIM, N)
+    return spread(out, "vec", DIM + 2, 5)
+
+
 BATCH = 200
+_BEFORE = "OVER (PARTITION BY node ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _MSG = f"""adj AS (SELECT u AS node, i AS other, edge_idx, ts, amount / 1000 AS kilo, quantity,
     (edge_idx - 1) // {BATCH} AS batch FROM edges UNION ALL SELECT i, u, edge_idx, ts, amount / 1000, quantity,
     (edge_idx - 1) // {BATCH} FROM edges),
-  seen AS (SELECT node, batch, coalesce(lag(max(ts)) OVER (PARTITION BY node ORDER BY batch), 0) AS last_update FROM adj
-    GROUP BY node, batch),
+  seen AS (SELECT node, batch, coalesce(lag(max(ts)) OVER (PARTITION BY node ORDER BY batch), 0) AS last_update,
+    [coalesce(sum(count(*)) {_BEFORE}, 0)::double, coalesce(sum(sum(kilo)) {_BEFORE}, 0.0), coalesce(sum(sum(quantity)) {_BEFORE}, 0.0)]
+    AS state FROM adj GROUP BY node, batch),
   msgs AS (SELECT a.batch, a.edge_idx, a.node, a.other, a.ts, a.ts - s.last_update AS dt,
-    [kilo, quantity, {_encode_sql("(a.ts - s.last_update)", DIM)}] AS msg FROM adj a JOIN seen s USING (node, batch))"""
+    list_concat(list_concat(s.state, o.state), [kilo, quantity, {_encode_sql("(a.ts - s.last_update)", DIM)}]) AS msg
+    FROM adj a JOIN seen s USING (node, batch) JOIN seen o ON o.node = a.other AND o.batch = a.batch)"""
+MSG_SIZE = tgraph.message_size(["kilo", "quantity"], DIM)
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,12 +265,13 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return tgraph.messages(e, ["kilo", "quantity"], DIM, BATCH)
 
 
-_MSG6 = spread_sql("msg", DIM + 2, 6)
+_MSG6 = spread_sql("msg", MSG_SIZE, 6)
 
 
 @query("messages", sql=f"WITH {EDGES}, {_MSG} SELECT batch, edge_idx, node, other, ts, dt, {_MSG6} FROM msgs")
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(_messages(spark, sf), "msg", DIM + 2, 6)
+    """Own and other state at the start of the batch, edge features and the encoded time since the last update."""
+    return spread(_messages(spark, sf), "msg", MSG_SIZE, 6)
 
 
 @query(
@@ -222,36 +280,63 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY batch, node ORDER BY edge_idx DESC) = 1""",
 )
 def message_last(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "last"), "msg", DIM + 2, 6)
+    return spread(tgraph.aggregate_messages(_messages(spark, sf), MSG_SIZE, "last"), "msg", MSG_SIZE, 6)
 
 
 @query(
     "message_mean",
     sql=f"""WITH {EDGES}, {_MSG} SELECT batch, node, max(ts) AS ts, {", ".join(tidy_sql(f"avg(msg[{j + 1}])", 5)
-    + f" AS msg_{j}" for j in range(DIM + 2))} FROM msgs GROUP BY batch, node""",
+    + f" AS msg_{j}" for j in range(MSG_SIZE))} FROM msgs GROUP BY batch, node""",
 )
 def message_mean(spark: SparkSession, sf: str) -> DataFrame:
-    means = tgraph.aggregate_messages(_messages(spark, sf), DIM + 2, "mean")
-    return spread(means.withColumn("msg", F.transform("msg", lambda v: v + 3e-8)), "msg", DIM + 2, 5)
+    means = tgraph.aggregate_messages(_messages(spark, sf), MSG_SIZE, "mean")
+    return spread(means.withColumn("msg", F.transform("msg", lambda v: v + 3e-8)), "msg", MSG_SIZE, 5)
+
 
+@query(
+    "state_versions",
+    sql=f"""WITH {EDGES}, {_MSG}, p AS (SELECT node, batch, count(*) AS k, max(ts) AS last_update, sum(kilo) AS a, sum(quantity) AS b
+      FROM adj GROUP BY 1, 2)
+    SELECT node, batch, batch + 1 AS valid_from, lead(batch) OVER w AS valid_to, (sum(k) OVER w)::bigint AS n,
+      round(sum(a) OVER w, 5) AS sum_kilo, sum(b) OVER w AS sum_quantity, last_update
+    FROM p WINDOW w AS (PARTITION BY node ORDER BY batch)""",
+)
+def state_versions(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
+    out = tgraph.state_versions(e, ["kilo", "quantity"], BATCH)
+    return out.withColumn("sum_kilo", F.round("sum_kilo", 5))
 
-_CUT = 150_000_000
+
+_USUAL = f"""st AS (SELECT side, avg(d) AS m, stddev_pop(d) AS s FROM (SELECT 'u' AS side, ts - coalesce(lag(ts) OVER (PARTITION BY u
+    ORDER BY ts, edge_idx), 0) AS d FROM edges UNION ALL SELECT 'i', ts - coalesce(lag(ts) OVER (PARTITION BY i
+    ORDER BY ts, edge_idx), 0) FROM edges) GROUP BY side)"""
 
 
 @query(
     "node_state",
-    sql=f"""WITH {EDGES}, {_ADJ}, st AS (SELECT avg(d) AS m, stddev_pop(d) AS s FROM (SELECT
-      ts - coalesce(lag(ts) OVER (PARTITION BY u ORDER BY ts, edge_idx), 0) AS d FROM edges))
-    SELECT node, max(ts) AS last_update, round(({_CUT} - max(ts) - any_value(m)) / any_value(s), 6) AS waited
-    FROM adj, st WHERE ts <= {_CUT} GROUP BY node""",
+    sql=f"""WITH {EDGES}, {_MSG.split("  seen AS")[0]} {_NEG}, {_ENDS}, {_USUAL},
+    tick AS (SELECT node, ts, (sum(count(*)) OVER w)::bigint AS n, sum(sum(kilo)) OVER w AS k, sum(sum(quantity)) OVER w AS q
+      FROM adj GROUP BY node, ts WINDOW w AS (PARTITION BY node ORDER BY ts)),
+    found AS (SELECT qe.*, n, k, q, coalesce(tick.ts, 0) AS last_update, CASE WHEN side = 'source' THEN 'u' ELSE 'i' END AS part
+      FROM qe ASOF LEFT JOIN tick ON tick.node = qe.node AND qe.cut > tick.ts)
+    SELECT qid, f.side, node, cut, coalesce(n, 0) AS n, round(coalesce(k, 0.0), 5) AS sum_kilo, coalesce(q, 0.0) AS sum_quantity,
+      last_update, round((cut - last_update - m) / s, 6) AS waited FROM found f JOIN st ON st.side = f.part""",
 )
 def node_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Last update of each node at a cut, with the time since then in deviations of the usual wait of a source."""
-    e = edges(spark, sf)
-    stats = tgraph.time_stats(e).filter("side = 'u'").agg(F.max(F.struct("mean", "std"))).scalar()
-    state = tgraph.last_update(tgraph.adjacency(e), _CUT)
-    waited = (F.lit(_CUT) - F.col("last_update") - stats["mean"]) / stats["std"]
-    return state.select("node", "last_update", F.round(waited, 6).alias("waited"))
+    """State of each edge's source, destination and drawn destination before the edge.
+
+    ``waited`` is the time since the last update in deviations of the usual wait of that side.
+    """
+    e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
+    stats = tgraph.time_stats(e).select(F.col("side").alias("end"), "mean", "std")
+    asked = store(_ends(e), "ends")
+    out = tgraph.state_at(e, asked, ["kilo", "quantity"])
+    end = F.when(F.col("side") == "source", "u").otherwise("i")
+    waited = (F.col("cut") - F.col("last_update") - F.col("mean")) / F.col("std")
+    return out.withColumn("end", end).join(F.broadcast(stats), "end").select(
+        "qid", "side", "node", "cut", "n", F.round("sum_kilo", 5).alias("sum_kilo"), "sum_quantity", "last_update",
+        F.round(waited, 6).alias("waited"),
+    )
 
 
 @query(
@@ -346,11 +431,6 @@ def unseen_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return unseen.select("unseen", shared.alias("shared"))
 
 
-_NEG = f"""pool AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS slot FROM (SELECT DISTINCT i FROM edges)),
-  neg AS (SELECT e.edge_idx, e.u, p.i, e.ts FROM edges e JOIN pool p
-    ON p.slot = {draw_sql("e.edge_idx", 0)} % (SELECT count(*) FROM pool))"""
-
-
 @query("negative_edges", sql=f"WITH {EDGES}, {_NEG} SELECT * FROM neg")
 def negative_edges(spark: SparkSession, sf: str) -> DataFrame:
     return tgraph.negative_edges(edges(spark, sf))

@@ -125,19 +125,84 @@ def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "label", "score", metrics.threshold("score", 0.414).alias("pred"))
 
 
+VECTOR = ["kilo", "quantity"]
+LAST_EVENTS = 20
+_VEC = [f"sum({c})" for c in ("x.amount / 1000", "x.quantity")]
+_VEC += [f"sum({c})" for c in interaction_graph._encode_sql("(q.at - x.ts)", interaction_graph.DIM).split(", ")]
+VEC_NAMES = [f"vec_{j}" for j in range(len(_VEC))]
+_SAMPLES = f"""{interaction_graph.EDGES}, {customers._CUTS}, {customers._FUTURE},
+  act AS (SELECT customer, cut_no, any_value(cut) AS cut, count(*) AS n_events, sum(amount) AS spend, max(ts) AS last
+    FROM lines JOIN cuts ON ts <= cut GROUP BY 1, 2),
+  q AS (SELECT act.*, u AS node, epoch(cut)::bigint - (SELECT epoch(min(ts))::bigint FROM lines) + 1 AS at FROM act JOIN cu USING (customer)),
+  x AS (SELECT q.customer, q.cut_no, q.at, e.ts, e.amount, e.quantity FROM q JOIN edges e ON e.u = q.node AND e.ts < q.at
+    QUALIFY row_number() OVER (PARTITION BY q.customer, q.cut_no ORDER BY e.ts DESC, e.edge_idx DESC) <= {LAST_EVENTS}),
+  v AS (SELECT customer, cut_no, {", ".join(f"{e.replace('q.at', 'x.at')} AS {n}" for e, n in zip(_VEC, VEC_NAMES))} FROM x GROUP BY 1, 2),
+  data AS (SELECT customer, cut_no, n_events, spend, date_diff('second', last, cut) AS idle_seconds, coalesce(target, 0.0) AS target,
+    cut::date AS prediction_date, {", ".join(VEC_NAMES)}
+    FROM act LEFT JOIN fut USING (cut_no, customer) JOIN v USING (customer, cut_no))"""
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of every cut with the vector of the customer's last events, its places as columns."""
+    where = (customers.START, customers.STEP, customers.cuts(spark, sf))
+    data = customers.samples.clv_dataset(lines(spark, sf), "customer", "ts", "amount", *where, customers.MONTHS)
+    e = interaction_graph.edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
+    out = customers.samples.with_vectors(data, e, *where, VECTOR, interaction_graph.DIM, LAST_EVENTS)
+    return out.withColumns({n: F.col("vec")[j] for j, n in enumerate(VEC_NAMES)}).drop("vec")
+
+
+@query(
+    "clv_vectors",
+    sql=f"""WITH {_SAMPLES} SELECT customer, cut_no, n_events, round(spend, 2) AS spend, idle_seconds, round(target, 2) AS target,
+    prediction_date, {", ".join(f"round({n}, 5) AS {n}" for n in VEC_NAMES)} FROM data""",
+)
+def clv_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    places = {"spend": 2, "target": 2, **dict.fromkeys(VEC_NAMES, 5)}
+    return _samples(spark, sf).withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 @query("clv_regression")
 def clv_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """Later spend from activity features: earlier cuts train, later ones test, predictions clipped at 0."""
-    data = store(customers.samples.clv_dataset(
-        lines(spark, sf), "customer", "ts", "amount", customers.START, customers.STEP, customers.cuts(spark, sf),
-        customers.MONTHS
-    ), "clv-samples")
-    numeric = ["n_events", "spend", "idle_seconds"]
+    """Later spend from activity and vectors: earlier cuts train, later ones test, predictions clipped at 0."""
+    data = store(_samples(spark, sf), "clv-samples")
+    numeric = ["n_events", "spend", "idle_seconds", *VEC_NAMES]
     model = models.fit_global(data.filter("prediction_date < DATE '2000-01-01'"), "target", numeric, **TREES)
     scored = models.score(model, data.filter("prediction_date >= DATE '2000-01-01'"))
     return metrics.regression(scored.withColumn("yhat", F.greatest("yhat", F.lit(0.0))), "target", "yhat")
 
 
+_INPUTS = {
+    "events": "n_events / 100.0", "mean_spend": "spend / n_events / 10000", "idle": "idle_seconds / 8640000.0", "sum_kilo": "vec_0 / 100",
+    "sum_quantity": "vec_1 / 100", "code_1": "vec_3", "code_2": "vec_4 / 10",
+}
+_WIDE = len(_INPUTS) + 2
+
+
+@query(
+    "clv_linear",
+    sql=f"""WITH RECURSIVE {_SAMPLES}, r AS (SELECT prediction_date < DATE '2000-01-01' AS train, target,
+      [1.0::double, {", ".join(_INPUTS.values())}, target / 10000] AS z FROM data),
+    g AS (SELECT list(s ORDER BY j) AS s, i FROM (SELECT i, j, sum(z[i] * z[j]) AS s FROM r, (SELECT unnest(range(1, {_WIDE})) AS i),
+      (SELECT unnest(range(1, {_WIDE + 1})) AS j) WHERE train GROUP BY i, j) GROUP BY i),
+    solve AS (SELECT 1 AS k, (SELECT list(s ORDER BY i) FROM g) AS m
+      UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda x: x / row[k])
+        ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END) FROM solve WHERE k < {_WIDE}),
+    beta AS (SELECT list_transform(m, lambda row: row[{_WIDE}]) AS b FROM solve WHERE k = {_WIDE}),
+    p AS (SELECT target AS y, greatest(10000 * list_dot_product(z[:{_WIDE - 1}], b), 0) AS yhat FROM r, beta WHERE NOT train)
+    SELECT count(*) AS n, round(sqrt(avg((yhat - y) ** 2)), 3) AS rmse, round(avg(abs(yhat - y)), 3) AS mae,
+    round(1 - sum((yhat - y) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM p""",
+)
+def clv_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Later spend by least squares on activity and vectors, same split and clip as ``clv_regression``."""
+    data = store(_samples(spark, sf), "clv-samples").withColumns({n: F.expr(e) for n, e in _INPUTS.items()})
+    data = data.withColumn("scaled", F.col("target") / 10000)
+    early = F.col("prediction_date") < F.lit("2000-01-01").cast("date")
+    model = models.fit_linear(data.filter(early), "scaled", list(_INPUTS))
+    scored = models.score_linear(model, data.filter(~early), list(_INPUTS))
+    out = metrics.regression(scored.withColumn("yhat", F.greatest(F.col("yhat") * 10000, F.lit(0.0))), "target", "yhat")
+    return out.select("n", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), F.round("r2", 6).alias("r2"))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
