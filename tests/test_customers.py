@@ -189,3 +189,43 @@ def test_fits_say_whether_they_converged(spark):
     assert clv.convergence(clv.fit_bgnbd(table, rounds=1, penalty=0.001))["converged"] == 0
     with pytest.raises(RuntimeError):
         clv.fit_bgnbd(table, rounds=1, penalty=0.001, strict=True)
+
+
+@pytest.mark.parametrize("model", ["bgnbd", "gamma_gamma"])
+def test_gradients_equal_differences(spark, model):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(int(f), int(f * 3), int(f * 3 + t), float(m)) for f, t, m in zip(rng.integers(0, 6, 60), rng.integers(0, 90, 60), rng.uniform(5, 90, 60))]
+    df = spark.createDataFrame(rows, "frequency long, recency long, T long, monetary_value double")
+    base = np.array([0.8, 20.0, 1.3, 2.0][: 4 if model == "bgnbd" else 3])
+    eps = 1e-5
+    points = [base, *[base * np.exp(s * eps * np.eye(len(base))[k]) for k in range(len(base)) for s in (1, -1)]]
+    got = clv.likelihood(df, model, [p.tolist() for p in points]).orderBy("point").collect()
+    slopes = [(got[1 + 2 * k]["loglik"] - got[2 + 2 * k]["loglik"]) / (2 * eps) for k in range(len(base))]
+    assert np.allclose([got[0][c] for c in got[0].__fields__[2:]], slopes, atol=1e-6)
+
+
+def test_fits_without_penalty_reach_a_flat_place(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 4000
+    rate, leave = rng.gamma(0.9, 1 / 12.0, n), rng.beta(1.2, 3.0, n)
+    rows = []
+    for lam, p in zip(rate, leave):
+        t, last, x, end = 0.0, 0.0, 0, float(rng.integers(60, 200))
+        while True:
+            t += rng.exponential(1 / max(lam, 1e-9))
+            if t > end:
+                break
+            x, last = x + 1, t
+            if rng.random() < p:
+                break
+        rows.append((x, last, end))
+    df = spark.createDataFrame(rows, "frequency long, recency double, T double")
+    fit = clv.fit_bgnbd(df, strict=True)
+    p = clv.parameters(fit)
+    assert p["r"] == pytest.approx(0.9, rel=0.3) and p["alpha"] == pytest.approx(12, rel=0.4)
+    at = clv.likelihood(df, "bgnbd", [[p[k] for k in ("r", "alpha", "a", "b")]]).first()
+    assert max(abs(at[c]) for c in ("d_r", "d_alpha", "d_a", "d_b")) < 1e-3

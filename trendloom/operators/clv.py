@@ -131,39 +131,73 @@ def _lgamma(values: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in seen])[place].reshape(values.shape)
 
 
-def _bgnbd_loglik(pdf: pd.DataFrame, theta: np.ndarray) -> np.ndarray:
+def _digamma(values: np.ndarray) -> np.ndarray:
+    """Derivative of the log-gamma function: eight steps up, then its series."""
+    values = np.asarray(values, float)
+    low = sum(1 / (values + k) for k in range(8))
+    z = values + 8
+    q = 1 / (z * z)
+    return np.log(z) - 0.5 / z - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132)))) - low
+
+
+# A likelihood maps rows and parameters to the value per row and its derivatives by the logarithms of the parameters.
+
+
+def _bgnbd_loglik(pdf: pd.DataFrame, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     r, alpha, a, b = np.exp(theta)
     x, tx, T = (pdf[c].to_numpy(float) for c in ("frequency", "recency", "T"))
     head = _lgamma(r + x) - math.lgamma(r) + r * math.log(alpha)
     mix = math.lgamma(a + b) + _lgamma(b + x) - math.lgamma(b) - _lgamma(a + b + x)
     alive = -(r + x) * np.log(alpha + T)
     gone = math.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + tx)
-    return head + mix + np.where(x > 0, np.logaddexp(alive, gone), alive)
-
-
-def _spend_loglik(pdf: pd.DataFrame, theta: np.ndarray) -> np.ndarray:
+    tail = np.where(x > 0, np.logaddexp(alive, gone), alive)
+    left = np.where(x > 0, np.exp(gone - tail), 0.0)  # share of the second way
+    stay = 1 - left
+    ends = _digamma(a + b) - _digamma(a + b + x)
+    grad = [
+        r * (_digamma(r + x) - _digamma(r) + math.log(alpha) - stay * np.log(alpha + T) - left * np.log(alpha + tx)),
+        r - alpha * (r + x) * (stay / (alpha + T) + left / (alpha + tx)),
+        a * ends + left,
+        b * (ends + _digamma(b + x) - _digamma(b) - left / (b + np.maximum(x, 1) - 1)),
+    ]
+    return head + mix + tail, np.array(grad)
+
+
+def _spend_loglik(pdf: pd.DataFrame, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p, q, v = np.exp(theta)
     x, m = pdf["frequency"].to_numpy(float), pdf["monetary_value"].to_numpy(float)
     shape = _lgamma(p * x + q) - _lgamma(p * x) - math.lgamma(q) + q * math.log(v)
-    return shape + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
+    far = np.log(x * m + v)
+    grad = [
+        p * x * (_digamma(p * x + q) - _digamma(p * x) + np.log(m) + np.log(x) - far),
+        q * (_digamma(p * x + q) - _digamma(q) + math.log(v) - far),
+        q - v * (p * x + q) / (x * m + v),
+    ]
+    return shape + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * far, np.array(grad)
 
 
-def _batch(df: DataFrame, loglik: Callable, points: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood of every candidate row of ``points`` in one pass."""
+def _batch(df: DataFrame, loglik: Callable, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-likelihood and its gradient at every row of ``points``, in one pass."""
+    d = points.shape[1]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             w = pdf["n"].to_numpy(float)
-            sums = [float((w * loglik(pdf, theta)).sum()) for theta in points]
-            yield pd.DataFrame({"i": range(len(points)), "ll": sums, "w": w.sum()})
-
-    parts = df.mapInPandas(partial, "i long, ll double, w double")
-    rows = parts.groupBy("i").agg((F.sum("ll") / F.sum("w")).alias("ll")).collect()
-    out = np.full(len(points), -np.inf)
-    for row in rows:
+            out = []
+            for i, theta in enumerate(points):
+                value, grad = loglik(pdf, theta)
+                out.append((i, float((w * value).sum()), *(grad @ w).tolist(), w.sum()))
+            yield pd.DataFrame(out, columns=["i", "ll", *[f"g{k}" for k in range(d)], "w"])
+
+    shape = ", ".join(["i long", "ll double", *[f"g{k} double" for k in range(d)], "w double"])
+    parts = df.mapInPandas(partial, shape)
+    means = [(F.sum(c) / F.sum("w")).alias(c) for c in ["ll", *[f"g{k}" for k in range(d)]]]
+    values, grads = np.full(len(points), -np.inf), np.zeros((len(points), d))
+    for row in parts.groupBy("i").agg(*means).collect():
         if row["ll"] is not None and math.isfinite(row["ll"]):
-            out[row["i"]] = row["ll"]
-    return out
+            values[row["i"]] = row["ll"]
+            grads[row["i"]] = [row[f"g{k}"] for k in range(d)]
+    return values, grads
 
 
 def _maximise(
@@ -173,15 +207,13 @@ def _maximise(
 
     One pass per round measures value and gradient at every step length tried.
     """
-    theta, d, eps = np.array(start, float), len(start), 1e-4  # gradient below tol, or no rise left: converged
-    around = np.concatenate([[np.zeros(d)], eps * np.eye(d), -eps * np.eye(d)])
+    theta, d = np.array(start, float), len(start)  # gradient below tol, or no rise left: converged
     lengths = 4.0 ** -np.arange(0, 6)
 
     def measure(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        points = (centres[:, None, :] + around[None, :, :]).reshape(-1, d)
-        held_back = penalty * (np.exp(points) ** 2).sum(axis=1)
-        values = (_batch(df, loglik, points) - held_back).reshape(len(centres), -1)
-        return values[:, 0], (values[:, 1 : d + 1] - values[:, d + 1 :]) / (2 * eps)
+        values, grads = _batch(df, loglik, centres)
+        squares = np.exp(centres) ** 2
+        return values - penalty * squares.sum(axis=1), grads - 2 * penalty * squares
 
     value, grads = measure(theta[None, :])
     best, grad, inverse = value[0], grads[0], np.eye(d)
@@ -195,7 +227,7 @@ def _maximise(
         centres = theta + np.outer(lengths, heading)
         values, grads = measure(centres)
         pick = int(values.argmax())
-        if values[pick] - best <= 1e-7 * max(1.0, abs(best)):
+        if values[pick] - best <= 1e-12 * max(1.0, abs(best)):
             converged = True
             break
         moved, change = centres[pick] - theta, grad - grads[pick]
@@ -207,6 +239,23 @@ def _maximise(
     return theta, converged, float(np.abs(grad).max())
 
 
+def _counted(rfm: DataFrame, model: str) -> tuple[DataFrame, Callable, list[str]]:
+    if model == "bgnbd":
+        keys, loglik, names = ["frequency", "recency", "T"], _bgnbd_loglik, ["r", "alpha", "a", "b"]
+    else:
+        keys, loglik, names = ["frequency", "monetary_value"], _spend_loglik, ["p", "q", "v"]
+        rfm = rfm.filter("frequency > 0 AND monetary_value > 0")
+    return rfm.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), loglik, names
+
+
+def likelihood(rfm: DataFrame, model: str, points: Sequence[Sequence[float]]) -> DataFrame:
+    """Mean log-likelihood of ``bgnbd`` or ``gamma_gamma`` at given parameters, with its derivatives by their logarithms."""
+    counts, loglik, names = _counted(rfm, model)
+    values, grads = _batch(counts, loglik, np.log(np.array(points, float)))
+    rows = [(i, float(v), *map(float, g)) for i, (v, g) in enumerate(zip(values, grads))]
+    return rfm.sparkSession.createDataFrame(rows, "point long, loglik double, " + ", ".join(f"d_{n} double" for n in names))
+
+
 def _as_table(df: DataFrame, names: Sequence[str], values: Sequence[float], converged: bool, gradient: float, strict: bool) -> DataFrame:
     """Parameters, then ``converged`` (1 or 0) and the largest part of the last ``gradient``."""
     if strict and not converged:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions import arrays
+from trendloom.functions import arrays, hashing
+from trendloom.operators import sampling
 
 
 def centroids(df: DataFrame, vec: str, by: str, dim: int) -> DataFrame:
@@ -69,9 +72,103 @@ def elbow(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 91) -> DataFra
     return df.sparkSession.createDataFrame(costs, "k long, cost double")
 
 
+Centres = Mapping[int, np.ndarray]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _squares(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, as sums of squares of differences, some rows at a time."""
+    out = np.empty((len(rows), len(centres)))
+    for at in range(0, len(rows), 256):
+        gap = rows[at : at + 256, None, :] - centres[None, :, :]
+        out[at : at + 256] = (gap * gap).sum(axis=2)
+    return out
+
+
+def start_centres(df: DataFrame, key: str, vec: str, ks: Sequence[int], seed: int = 91) -> Centres:
+    """For each k the first k rows in the hash order of a unique whole-number key; fewer where there are fewer rows."""
+    first = sampling.exact(df.select(key, vec), key, max(ks), seed).withColumn("_h", hashing.draw(key, seed))
+    rows = np.array([r[0] for r in first.orderBy("_h", key).select(vec).collect()], np.float64)
+    return {k: rows[:k] for k in ks}
+
+
+def lloyd(df: DataFrame, key: str, vec: str, ks: Sequence[int], rounds: int = 10, seed: int = 91) -> Centres:
+    """Centres after ``rounds`` rounds of Lloyd's algorithm, for all numbers of clusters in the same passes.
+
+    Every pass sums rows per (k, nearest centre) inside tasks and then in Spark; the driver sees one vector per centre, a number that the
+    parameters set. A row belongs to the first of equally near centres, and a centre without rows stays where it is. Null
+    vectors are left out.
+    """
+    rows = df.filter(F.col(vec).isNotNull()).select(key, vec)
+    centres = dict(start_centres(rows, key, vec, ks, seed))
+    dim = next(iter(centres.values())).shape[-1]
+    for _ in range(rounds):
+        sums = _summed(rows, vec, centres, dim)
+        moved = {k: c.copy() for k, c in centres.items()}
+        for r in sums:
+            moved[r["k"]][r["cluster"]] = np.array(r["total"]) / r["n"]
+        if all((moved[k] == centres[k]).all() for k in ks):
+            break
+        centres = moved
+    return centres
+
+
+def _summed(rows: DataFrame, vec: str, centres: Centres, dim: int) -> list:
+    shared = rows.sparkSession.sparkContext.broadcast(dict(centres))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        totals = {k: np.zeros((len(c), dim + 1)) for k, c in known.items()}
+        for batch in found:
+            here = _matrix(batch.column(0))
+            if len(here):
+                wide = np.column_stack([here, np.ones(len(here))])
+                for k, c in known.items():
+                    np.add.at(totals[k], _squares(here, c).argmin(axis=1), wide)
+        out = [(k, j, t[j, :dim].tolist(), int(t[j, dim])) for k, t in totals.items() for j in range(len(t)) if t[j, dim]]
+        columns = list(zip(*out)) or [(), (), (), ()]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k", "cluster", "total", "n"])
+
+    parts = rows.select(vec).mapInArrow(run, "k long, cluster long, total array<double>, n long")
+    per = parts.groupBy("k", "cluster").agg(F.sum("n").alias("n"), *arrays.element_sums("total", dim))
+    return per.select("k", "cluster", "n", arrays.gather("total", dim).alias("total")).collect()
+
+
+def assign_nearest(df: DataFrame, key: str, vec: str, centres: Centres) -> DataFrame:
+    """``k``, key, ``cluster`` and squared ``distance`` of every row for every set of centres; null vectors are left out."""
+    shared = df.sparkSession.sparkContext.broadcast(dict(centres))
+    kind = dict(df.dtypes)[key]
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            rows = _matrix(batch.column(1))
+            for k, c in shared.value.items():
+                far = _squares(rows, c) if len(rows) else np.zeros((0, len(c)))
+                best = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(best), k, np.int64)), batch.column(0), pa.array(best.astype(np.int64)),
+                     pa.array(far[np.arange(len(best)), best])],
+                    ["k", key, "cluster", "distance"],
+                )
+
+    return df.filter(F.col(vec).isNotNull()).select(key, vec).mapInArrow(run, f"k long, {key} {kind}, cluster long, distance double")
+
+
+def costs(assigned: DataFrame) -> DataFrame:
+    """Within-cluster cost for each number of clusters."""
+    return assigned.groupBy("k").agg(F.sum("distance").alias("cost"))
+
+
 def project(df: DataFrame, vec: str, dim: int) -> DataFrame:
-    """Principal-component scores as an array column ``projected``."""
+    """Principal-component scores as an array column ``projected``; a component's largest weight is positive."""
     ready = _prepared(df, vec)
     model = PCA(k=dim, inputCol="_features", outputCol="_projected").fit(ready)
+    weights = model.pc.toArray()
+    signs = np.sign(weights[np.abs(weights).argmax(axis=0), np.arange(dim)])
     out = model.transform(ready)
-    return out.withColumn("projected", vector_to_array("_projected")).drop("_features", "_projected")
+    signed = F.zip_with(vector_to_array("_projected"), F.array(*[F.lit(float(s)) for s in signs]), lambda x, s: x * s)
+    return out.withColumn("projected", signed).drop("_features", "_projected")

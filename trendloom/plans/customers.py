@@ -300,11 +300,67 @@ def clv_product(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.regression(pairs, "y", "yhat").select("n", r("rmse"), r("mae"), r("r2", 6))
 
 
+def _psi(x: str) -> str:
+    """Derivative of the log-gamma function as SQL text."""
+    z, low = f"(({x}) + 8)", " + ".join(f"1 / (({x}) + {k})" for k in range(8))
+    q = f"(1 / ({z} * {z}))"
+    return f"(ln({z}) - 0.5 / {z} - {q} * (1/12 - {q} * (1/120 - {q} * (1/252 - {q} * (1/240 - {q} / 132)))) - ({low}))"
+
+
+#: Parameters at which likelihoods are reported: the scoring ones, and others around them.
+BG_POINTS = [list(BG.values()), [1.0, 50.0, 1.0, 1.0], [2.0, 90.0, 0.5, 4.0]]
+GG_POINTS = [list(GG.values()), [2.0, 3.0, 20000.0], [10.0, 2.0, 9000.0]]
+
+
+def _points_sql(points: list[list[float]], names: str) -> str:
+    rows = ", ".join(f"({i}, {', '.join(f'{v!r}::double' for v in p)})" for i, p in enumerate(points))
+    return f"(VALUES {rows}) AS t(point, {names})"
+
+
+@query(
+    "bgnbd_likelihood",
+    sql=f"""WITH {_HOLD}, f AS (SELECT frequency::double AS x, recency::double AS tx, "T"::double AS t FROM both_t),
+    w AS (SELECT *, -(r + x) * ln(alpha + t) AS alive, CASE WHEN x > 0 THEN ln(a) - ln(b + x - 1) - (r + x) * ln(alpha + tx) END AS gone
+      FROM f, {_points_sql(BG_POINTS, "r, alpha, a, b")}),
+    s AS (SELECT *, CASE WHEN gone IS NULL THEN alive ELSE greatest(alive, gone) + ln(1 + exp(-abs(alive - gone))) END AS tail FROM w),
+    e AS (SELECT *, CASE WHEN gone IS NULL THEN 0.0 ELSE exp(gone - tail) END AS q FROM s)
+    SELECT point::bigint AS point, round(avg(lgamma(r + x) - lgamma(r) + r * ln(alpha) + lgamma(a + b) + lgamma(b + x) - lgamma(b)
+        - lgamma(a + b + x) + tail), 6) AS loglik,
+      round(avg(r * ({_psi("r + x")} - {_psi("r")} + ln(alpha) - (1 - q) * ln(alpha + t) - q * ln(alpha + tx))), 6) AS d_r,
+      round(avg(r - alpha * (r + x) * ((1 - q) / (alpha + t) + q / (alpha + tx))), 6) AS d_alpha,
+      round(avg(a * ({_psi("a + b")} - {_psi("a + b + x")}) + q), 6) AS d_a,
+      round(avg(b * ({_psi("a + b")} - {_psi("a + b + x")} + {_psi("b + x")} - {_psi("b")}
+        - CASE WHEN x > 0 THEN q / (b + x - 1) ELSE 0.0 END)), 6) AS d_b FROM e GROUP BY point""",
+)
+def bgnbd_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean log-likelihood and gradient of the purchase model at given parameters: what its fit climbs."""
+    out = clv.likelihood(rfm.calibration_holdout(_spend(spark, sf), CUT, END), "bgnbd", BG_POINTS)
+    return out.select("point", *[r(c, 6) for c in out.columns[1:]])
+
+
+@query(
+    "gamma_gamma_likelihood",
+    sql=f"""WITH {_HOLD}, f AS (SELECT frequency::double AS x, monetary_value AS m FROM both_t WHERE frequency > 0 AND monetary_value > 0),
+    w AS (SELECT *, ln(x * m + v) AS far FROM f, {_points_sql(GG_POINTS, "p, q, v")})
+    SELECT point::bigint AS point, round(avg(lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * ln(v) + (p * x - 1) * ln(m)
+        + p * x * ln(x) - (p * x + q) * far), 6) AS loglik,
+      round(avg(p * x * ({_psi("p * x + q")} - {_psi("p * x")} + ln(m) + ln(x) - far)), 6) AS d_p,
+      round(avg(q * ({_psi("p * x + q")} - {_psi("q")} + ln(v) - far)), 6) AS d_q,
+      round(avg(q - v * (p * x + q) / (x * m + v)), 6) AS d_v FROM w GROUP BY point""",
+)
+def gamma_gamma_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean log-likelihood and gradient of the spend model at given parameters."""
+    out = clv.likelihood(rfm.calibration_holdout(_spend(spark, sf), CUT, END), "gamma_gamma", GG_POINTS)
+    return out.select("point", *[r(c, 6) for c in out.columns[1:]])
+
+
 @query("bgnbd_fit")
 def bgnbd_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return clv.fit_bgnbd(rfm.calibration_holdout(_spend(spark, sf), CUT, END), penalty=0.001)
+    """Parameters of most likelihood, without a penalty."""
+    return clv.fit_bgnbd(rfm.calibration_holdout(_spend(spark, sf), CUT, END))
 
 
 @query("gamma_gamma_fit")
 def gamma_gamma_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return clv.fit_gamma_gamma(rfm.calibration_holdout(_spend(spark, sf), CUT, END), penalty=0.001)
+    """Parameters of most likelihood, without a penalty."""
+    return clv.fit_gamma_gamma(rfm.calibration_holdout(_spend(spark, sf), CUT, END))

@@ -7,9 +7,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.functions.hashing import draw_sql
 from trendloom.operators import backtest, metrics, models, panel, sampling, vectors
 from trendloom.plans import customers, forecasting, interaction_graph
-from trendloom.plans.base import daily, lines
+from trendloom.plans.base import daily, lines, spread
 from trendloom.plans.registry import query
 from trendloom.sources import files
 from trendloom.sources.files import table
@@ -203,21 +204,68 @@ def clv_linear(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("n", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
-@query("kmeans_clusters")
-def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
+ROUNDS, MOST = 10, 20
+
+
+def _lloyd_sql(ks: str) -> str:
+    """Recursive twin: a round assigns every row for every number of clusters and moves the centres."""
+    means = ", ".join(f"avg(v[{j + 1}])" for j in range(64))
+    return f"""pts AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    first AS (SELECT v, row_number() OVER (ORDER BY {draw_sql("vec_id", 91)}, vec_id) - 1 AS j FROM pts),
+    cen AS (SELECT 0 AS r, k, j, v AS c FROM first, (SELECT unnest({ks}) AS k) WHERE j < k
+      UNION ALL SELECT o.r + 1, o.k, o.j, coalesce(n.c, o.c) FROM cen o LEFT JOIN (
+        SELECT k, j, [{means}] AS c FROM (SELECT k, vec_id, any_value(v) AS v, arg_min(j, d) AS j FROM (
+            SELECT k, j, vec_id, v, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) ** 2)) AS d FROM cen, pts)
+          GROUP BY k, vec_id) GROUP BY k, j) n ON n.k = o.k AND n.j = o.j WHERE o.r < {ROUNDS}),
+    near AS (SELECT k, vec_id, arg_min(j, d) AS cluster, min(d) AS d FROM (SELECT k, j, vec_id,
+        list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) ** 2)) AS d FROM cen, pts WHERE r = {ROUNDS}) GROUP BY k, vec_id)"""
+
+
+def _assigned(spark: SparkSession, sf: str, ks: list[int]) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return vectors.assign(vectors.fit_kmeans(rows, "embedding", 3), rows, "embedding").select("vec_id", "cluster")
+    return vectors.assign_nearest(rows, "vec_id", "embedding", vectors.lloyd(rows, "vec_id", "embedding", ks, ROUNDS))
+
+
+@query("kmeans_clusters", sql=f"WITH RECURSIVE {_lloyd_sql('[3]')} SELECT vec_id, cluster FROM near")
+def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf, [3]).select("vec_id", "cluster")
 
 
-@query("elbow")
+@query("elbow", sql=f"WITH RECURSIVE {_lloyd_sql(f'range(1, {MOST + 1})')} SELECT k, round(sum(d), 6) AS cost FROM near GROUP BY k")
 def elbow(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.elbow(table(spark, sf, "embeddings").select("embedding"), "embedding", range(1, 21))
+    """Cost for 1 to 20 clusters, all numbers in the same passes."""
+    out = vectors.costs(_assigned(spark, sf, list(range(1, MOST + 1))))
+    return out.withColumn("cost", F.round("cost", 6))
+
 
+def _component_sql(name: str, covariance: str) -> str:
+    """Largest principal direction: a covariance matrix squared until only that direction is left."""
+    return f"""{name}_p AS (SELECT 0 AS r, a FROM {covariance}
+      UNION ALL SELECT r + 1, list_transform(a, lambda x: list_transform(x, lambda z: z / t)) FROM (SELECT r, a,
+        list_sum(list_transform(range(1, 65), lambda i: a[i][i])) AS t FROM (SELECT r, list_transform(a, lambda x: list_transform(a,
+          lambda z: list_dot_product(x, z))) AS a FROM {name}_p WHERE r < 24))),
+    {name} AS (SELECT list_transform(w, lambda x: x / norm * CASE WHEN list_max(w) >= -list_min(w) THEN 1 ELSE -1 END) AS w
+      FROM (SELECT w, sqrt(list_dot_product(w, w)) AS norm FROM (SELECT a[list_position(g, list_max(g))] AS w FROM (
+        SELECT a, list_transform(range(1, 65), lambda i: a[i][i]) AS g FROM {name}_p WHERE r = 24))))"""
 
-@query("pca_vectors")
+
+@query(
+    "pca_vectors",
+    sql=f"""WITH RECURSIVE pts AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
+    cov AS (SELECT list(s ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS s FROM (
+      SELECT i, j, covar_samp(v[i], v[j]) AS s FROM pts, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j)
+      GROUP BY i, j) GROUP BY i)),
+    {_component_sql("one", "cov")},
+    rest AS (SELECT list_transform(a, lambda x, i: list_transform(x, lambda z, j: z - l * w[i] * w[j])) AS a FROM (SELECT a, w,
+      list_dot_product(list_transform(a, lambda x: list_dot_product(x, w)), w) AS l FROM cov, one)),
+    {_component_sql("two", "rest")}
+    SELECT vec_id, round(list_dot_product(v, one.w), 6) AS projected_0, round(list_dot_product(v, two.w), 6) AS projected_1
+    FROM pts, one, two""",
+)
 def pca_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores on the two directions of largest variance."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return vectors.project(rows, "embedding", 2).select("vec_id", "projected")
+    return spread(vectors.project(rows, "embedding", 2).select("vec_id", "projected"), "projected", 2, 6)
 
 
 _CENTRES = "cen AS (SELECT label AS centre, [" + ", ".join(f"avg(embedding[{j + 1}]::double)" for j in range(64)) + """] AS c
