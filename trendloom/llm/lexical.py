@@ -36,7 +36,7 @@ TERM_BYTES = bytes(
 #: Bytes of item texts that are searched for in one run; more items make more runs.
 GROUP_BYTES = 128 << 10
 #: Bounds of a shard: documents, postings, and cells of the matrix that summaries are taken from.
-SHARD_DOCS, SHARD_POSTINGS, SHARD_CELLS = 8192, 1 << 20, 1 << 25
+SHARD_DOCS, SHARD_POSTINGS, SHARD_CELLS = 8192, 1 << 19, 1 << 24
 #: Documents of a list that a block should hold at least, and blocks that a long list is cut into.
 BLOCK_DOCS, LIST_BLOCKS = 32, 16
 #: A summary counts in steps of this size, rounded up; values lie below 10**6, so eight bits hold it.
@@ -174,8 +174,11 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def make_shard(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray) -> dict:
-    """Documents in order of similarity, the list of every term cut into blocks, and the blocks' summaries."""
+def make_shard(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray) -> dict[str, bytes]:
+    """Documents in order of similarity, the list of every term cut into blocks, and the blocks' summaries; all compressed.
+
+    Terms are numbered by falling weight. A document belongs to the list of its first term, so a block's summary starts at its own term.
+    """
     starts = np.concatenate([[0], np.cumsum(sizes)])
     order = similar_order(sketches(starts, terms, values * weights[terms], len(weights)))
     kept = spans(starts[order], sizes[order])
@@ -186,42 +189,51 @@ def make_shard(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np
     lists = np.searchsorted(terms[by_term], np.arange(len(weights) + 1))
     matrix = np.zeros((len(ids), len(weights)), np.uint8)
     matrix[owner, terms] = -(-values // STEP)
-    blocks, edges, summary = [0], [], []
+    blocks, edges = [0], []
     for a, b in zip(lists[:-1].tolist(), lists[1:].tolist()):
         if a < b:
             # A node of the tree holds 2**level documents, and of the list its share of them.
             here = max(BLOCK_DOCS, (b - a) // LIST_BLOCKS)
             level = max(0, round(math.log2(here * len(ids) / (b - a))))
             node = listed[a:b] >> level
-            cut = np.flatnonzero(np.diff(node, prepend=-1))
-            edges.append(a + cut)
-            ends = [*(a + cut[1:]).tolist(), b]
-            summary += [matrix[listed[x:y]].max(axis=0) for x, y in zip((a + cut).tolist(), ends)]
+            edges.append(a + np.flatnonzero(np.diff(node, prepend=-1)))
         blocks.append(blocks[-1] + (len(edges[-1]) if a < b else 0))
-    return {
+    edges = np.concatenate([*edges, [len(listed)]])
+    press = zstandard.ZstdCompressor(level=1)
+    # Summaries are compressed block by block: together they are larger than all the rest.
+    first = np.repeat(np.arange(len(weights)), np.diff(blocks))
+    out = press.compressobj(size=int((len(weights) - first).sum()))
+    summary = [
+        out.compress(matrix[listed[a:b], t:].max(axis=0).tobytes())
+        for t, a, b in zip(first.tolist(), edges[:-1].tolist(), edges[1:].tolist())
+    ]
+    summary.append(out.flush())
+    parts = {
         "ids": ids, "starts": np.concatenate([[0], np.cumsum(sizes)]), "terms": terms, "values": values, "lists": lists,
-        "listed": listed, "blocks": np.array(blocks), "edges": np.concatenate([*edges, [len(listed)]]),
-        "summary": np.array(summary),
+        "listed": listed, "blocks": np.array(blocks), "edges": edges,
     }
+    packed = {k: press.compress(np.ascontiguousarray(v, PARTS[k]).tobytes()) for k, v in parts.items()}
+    return packed | {"summary": b"".join(summary)}
 
 
-def shards(rows: DataFrame, weights: np.ndarray, documents: int, total: int, most_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per shard, with its arrays compressed; a shard is a run of documents of one task."""
+def shards(rows: DataFrame, place: np.ndarray, weights: np.ndarray, documents: int, total: int, most_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row per shard, with its arrays compressed; a shard is a run of documents of one task.
+
+    ``place`` numbers the terms anew, by falling weight; ``weights`` are in that order.
+    """
     most = max(1, min(most_docs, SHARD_CELLS // len(weights)))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        press = zstandard.ZstdCompressor(level=1)
 
         def close() -> pa.RecordBatch:
             ids = np.array([NO_ID if r[0] is None else r[0] for r in held], np.int64)
             sizes = np.array([len(r[2]) // 4 for r in held])
-            terms = np.frombuffer(b"".join(r[2] for r in held), "<u4")
+            terms = place[np.frombuffer(b"".join(r[2] for r in held), "<u4")]
             times = np.frombuffer(b"".join(r[3] for r in held), "<u4").astype(np.int64)
             values = values_of(times, np.repeat([r[1] for r in held], sizes), documents, total)
             made = make_shard(ids, sizes, terms, values, weights)
-            packed = [pa.array([press.compress(np.ascontiguousarray(made[k], t).tobytes())], pa.binary()) for k, t in PARTS.items()]
-            return pa.RecordBatch.from_arrays(packed, list(PARTS))
+            return pa.RecordBatch.from_arrays([pa.array([made[k]], pa.binary()) for k in PARTS], list(PARTS))
 
         postings = 0
         for batch in batches(found):
@@ -245,18 +257,19 @@ class Shard:
         arrays = {k: np.frombuffer(opener.decompress(row[k]), t) for k, t in PARTS.items()}
         self.ids, self.starts, self.terms, self.values = (arrays[k] for k in ("ids", "starts", "terms", "values"))
         self.listed, self.blocks, self.edges = (arrays[k] for k in ("listed", "blocks", "edges"))
-        self.summary = arrays["summary"].reshape(len(self.edges) - 1, -1)
+        self.summary, size = arrays["summary"], len(self.blocks) - 1
+        self.own = np.repeat(np.arange(size), np.diff(self.blocks))
+        self.base = np.cumsum(size - self.own) - size  # where coordinate 0 would lie in a block's summary
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks of the terms' lists, and for each a number that no score of its own documents exceeds.
+        """Blocks of the ascending terms' lists, and for each a number that no score of its own documents exceeds.
 
-        A document belongs to the first of the lists that it is in, in the order of ``terms``: a block's own documents hold none of the
-        terms before, so its bound leaves these out.
+        A document belongs to the first of these lists that it is in: it holds none of the terms before, and a bound leaves them out.
         """
         first = self.blocks[terms]
-        sizes = self.blocks[terms + 1] - first
-        found, turn = spans(first, sizes), np.arange(len(terms))
-        highest = self.summary[found[:, None], terms[None, :]] * (np.repeat(turn, sizes)[:, None] <= turn)
+        found = spans(first, self.blocks[terms + 1] - first)
+        after = self.own[found][:, None] <= terms
+        highest = np.where(after, self.summary[np.where(after, self.base[found][:, None] + terms, 0)], 0)
         return found, highest.astype(np.int64) @ (weights[terms] * STEP)
 
     def members(self, blocks: np.ndarray) -> np.ndarray:
@@ -316,11 +329,10 @@ def candidates(index: DataFrame, items: Items, weights: np.ndarray, k: int, floo
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weight, floor = shared.value
         best = [Best(k, f) for f in floor]
-        wanted_terms = [t[np.argsort(-weight[t], kind="stable")] for t in terms]  # rare terms own the documents
         for batch in found:
             for at in range(batch.num_rows):
                 shard = Shard({c: batch.column(c)[at].as_py() for c in PARTS})
-                for wanted, held in zip(wanted_terms, best):
+                for wanted, held in zip(terms, best):
                     search_shard(shard, wanted, weight, held, first_only)
         sizes = [len(b.ids) for b in best]
         yield pa.RecordBatch.from_arrays(
@@ -357,9 +369,12 @@ def _search_group(docs: DataFrame, items: Items, k: int, most_docs: int) -> Data
     heads = rows.agg(F.count(F.when(F.col("n") > 0, 1)), F.sum("n")).first()
     documents, total = heads[0], heads[1] or 0
     weights = weights_of(list_lengths(rows, len(items.numbers) + 1), documents)
+    order = np.argsort(-weights, kind="stable")
+    place = np.argsort(order)  # terms are numbered by falling weight from here on
+    weights, items = weights[order], Items(items.ids, [np.sort(place[t]) for t in items.terms], items.numbers)
     before = few_rows(spark, 512)
     try:
-        index = store(shards(rows, weights, documents, max(total, 1), most_docs), "lexical-index")
+        index = store(shards(rows, place, weights, documents, max(total, 1), most_docs), "lexical-index")
         few_rows(spark, 2)
         seeds = store(candidates(index, items, weights, k, [1] * len(items.ids), True), "lexical-seeds")
         floors = [1] * len(items.ids)
