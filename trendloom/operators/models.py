@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -135,22 +139,67 @@ def score(model: PanelModel, frame: DataFrame, categorical: Sequence[str] = (),
     return scored.drop("features", *code_names(categorical))
 
 
-def tune(
-    blocked: DataFrame, y: str, grid: Sequence[Mapping[str, object]], folds: int, fit: Callable[..., PanelModel],
-    predict: Callable[[PanelModel, DataFrame], DataFrame],
+@dataclass(frozen=True)
+class Choice:
+    """Range of a setting: whole numbers in steps, or numbers spread evenly by value or by logarithm."""
+
+    low: float
+    high: float
+    kind: str = "float"
+    step: int = 1
+
+    def at(self, share: float) -> float | int:
+        """The value at a share of [0, 1) of the range."""
+        if self.kind == "int":
+            return int(self.low) + self.step * int(share * ((int(self.high) - int(self.low)) // self.step + 1))
+        if self.kind == "log":
+            return math.exp(math.log(self.low) + share * (math.log(self.high) - math.log(self.low)))
+        return self.low + share * (self.high - self.low)
+
+
+def settings(space: Mapping[str, Choice], trials: int, seed: int = 91) -> list[dict[str, float | int]]:
+    """Random settings that depend on seed, trial and name alone."""
+
+    def share(trial: int, name: str) -> float:
+        return int(hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()[:13], 16) / 16**13
+
+    return [{name: choice.at(share(t, name)) for name, choice in space.items()} for t in range(trials)]
+
+
+def in_parallel(work: Callable[[object], object], items: Sequence[object], workers: int = 4) -> list:
+    """Independent Spark jobs side by side from driver threads; results in the order of ``items``."""
+    with ThreadPoolExecutor(max(1, min(workers, len(items)))) as pool:
+        return list(pool.map(work, items))
+
+
+def search(
+    blocked: DataFrame, y: str, chosen: Sequence[Mapping[str, object]], folds: int, fit: Callable[..., PanelModel],
+    predict: Callable[[PanelModel, DataFrame], DataFrame], keep: float = 0.5, workers: int = 4,
 ) -> DataFrame:
-    """Mean validation MSE of each setting over expanding time folds; ``blocked`` carries ``block``."""
-    frame = blocked.persist()
-    rows = []
-    for n, setting in enumerate(grid):
-        errors = []
-        for j in range(1, folds + 1):
-            train, valid = sampling.fold(frame, j)
-            gap = F.col("yhat") - F.col(y)
-            errors.append(predict(fit(train, **setting), valid).agg(F.avg(gap * gap)).first()[0])
-        rows.append((n, str(dict(setting)), float(sum(errors) / len(errors))))
-    frame.unpersist()
-    return blocked.sparkSession.createDataFrame(rows, "setting long, params string, mse double")
+    """Validation error of settings over expanding time folds; after each fold only the better share ``keep`` goes on.
+
+    ``blocked`` carries ``block`` and is written once; the fits of a fold are independent jobs side by side, and what goes on is
+    decided when all are in, so results do not depend on their order. One row per setting: its number, the folds it saw, its
+    mean squared error over them, and whether it is the best of those that saw all.
+    """
+    frame = store(blocked, "search")
+    gap = F.col("yhat") - F.col(y)
+    alive, errors = list(range(len(chosen))), {n: [] for n in range(len(chosen))}
+    for j in range(1, folds + 1):
+        train, valid = sampling.fold(frame, j)
+
+        def error(n: int) -> float:
+            return float(predict(fit(train, **chosen[n]), valid).agg(F.avg(gap * gap)).first()[0])
+
+        for n, e in zip(alive, in_parallel(error, alive, workers)):
+            errors[n].append(e)
+        ranked = sorted(alive, key=lambda n: (sum(errors[n]), n))
+        alive = ranked if j == folds else ranked[: max(1, math.ceil(keep * len(ranked)))]
+    rows = [
+        (n, json.dumps(dict(s), sort_keys=True), len(errors[n]), sum(errors[n]) / len(errors[n]), n == alive[0])
+        for n, s in enumerate(chosen)
+    ]
+    return blocked.sparkSession.createDataFrame(rows, "setting long, params string, folds long, mse double, best boolean")
 
 
 def importances(model: PanelModel, spark: SparkSession) -> DataFrame:
@@ -159,23 +208,40 @@ def importances(model: PanelModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(model.inputs, values)], "feature string, importance double")
 
 
-def permuted(df: DataFrame, key: str, col: str, seed: int = 0) -> DataFrame:
-    """One column dealt anew among the rows, in hash order of a unique key."""
-    home = ordering.global_index(df, [key], "_at")
-    dealt = ordering.global_index(
-        df.select(F.col(col).alias("_new"), key, hashing.draw(key, seed).alias("_h")), ["_h", key], "_at"
-    ).select("_at", "_new")
-    return home.join(dealt, "_at").withColumn(col, F.col("_new")).drop("_at", "_new")
+def rotation(name: str, n: int, seed: int = 0) -> int:
+    """How far a column is moved along n rows in hash order: 1 to n - 1, set by seed and name."""
+    return 1 + int(hashlib.md5(f"{name}:{seed}".encode()).hexdigest()[:15], 16) % max(n - 1, 1)
 
 
 def permutation_importance(
     frame: DataFrame, key: str, y: str, cols: Sequence[str], predict: Callable[[DataFrame], DataFrame], seed: int = 0
 ) -> DataFrame:
-    """Rise of the mean squared error when a column is shuffled."""
+    """Rise of the mean squared error when a column is dealt anew among the rows, for all numeric ``cols`` in one job.
+
+    Rows are numbered once, in the hash order of the unique key; a column's values move along that order by a distance of
+    its own. Each row then holds its own and its dealt values, and its copies, one per column and one unchanged, are made,
+    scored and summed in place. Rows without ``y`` are left out of the means.
+    """
+    cols = list(cols)
+    drawn = frame.withColumn("_h", hashing.draw(key, seed))
+    home = store(ordering.global_index(drawn, ["_h", key], "_at").drop("_h"), "numbered")
+    n = home.count()
+    values = [F.struct(F.lit(k).alias("k"), F.pmod(F.col("_at") + rotation(c, n, seed), F.lit(max(n, 1))).alias("to"),
+                       F.col(c).cast("double").alias("v")) for k, c in enumerate(cols)]
+    moved = home.select(F.explode(F.array(*values)).alias("m")).select("m.*")
+    dealt = moved.groupBy(F.col("to").alias("_at")).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_{k}") for k in range(len(cols))])
+    both = home.join(dealt, "_at").withColumns(
+        {"_own": F.array(*[F.col(c).cast("double") for c in cols]), "_new": F.array(*[F.col(f"_{k}") for k in range(len(cols))])}
+    )
+    kept = [c for c in frame.columns if c not in cols]
+    copies = both.select(*kept, "_own", "_new", F.explode(F.sequence(F.lit(-1), F.lit(len(cols) - 1))).alias("_copy"))
+    mixed = F.transform("_own", lambda v, k: F.when(k == F.col("_copy"), F.get("_new", k)).otherwise(v))
+    ready = copies.select(*kept, "_copy", mixed.alias("_x")).select(*kept, "_copy", *[F.col("_x")[k].alias(c) for k, c in enumerate(cols)])
     gap = F.col("yhat") - F.col(y)
-    base = predict(frame).agg(F.avg(gap * gap)).first()[0]
-    rows = [(c, float(predict(permuted(frame, key, c, seed)).agg(F.avg(gap * gap)).first()[0] - base)) for c in cols]
-    return frame.sparkSession.createDataFrame(rows, "feature string, rise double")
+    errors = predict(ready).groupBy("_copy").agg(F.avg(gap * gap).alias("mse"))
+    base = errors.filter("_copy = -1").agg(F.max("mse")).scalar()
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_copy") + 1)
+    return errors.filter("_copy >= 0").select(name.alias("feature"), (F.col("mse") - base).alias("rise"))
 
 
 def _future(test: DataFrame, keys: Sequence[str], ds: str, y: str, horizon: int) -> DataFrame:
@@ -307,13 +373,14 @@ def forecast_with(
 def fit_direct(
     df: DataFrame, key: str, ds: str, y: str, lags: Sequence[int], n: int, categorical: Sequence[str], **params: object
 ) -> list[PanelModel]:
-    """Model i learns from lags shifted by i - 1 days, i = 1..n."""
-    family = []
-    for shift in range(n):
+    """Model i learns from lags shifted by i - 1 days, i = 1..n; the models are fitted side by side."""
+
+    def fit(shift: int) -> PanelModel:
         moved = [k + shift for k in lags]
         frame = training_frame(df, key, ds, y, moved)
-        family.append(fit_global(frame, y, [*CALENDAR, *lag_names(moved)], categorical, **params))
-    return family
+        return fit_global(frame, y, [*CALENDAR, *lag_names(moved)], categorical, **params)
+
+    return in_parallel(fit, range(n))
 
 
 def save_family(family: Sequence[PanelModel], path: str) -> None:

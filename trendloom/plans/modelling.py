@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trendloom.functions.hashing import draw_sql
 from trendloom.operators import backtest, metrics, models, panel, sampling, vectors
 from trendloom.plans import customers, forecasting, interaction_graph
-from trendloom.plans.base import daily, lines, spread
+from trendloom.plans.base import DAILY, daily, lines, spread
 from trendloom.plans.registry import query
 from trendloom.sources import files
 from trendloom.sources.files import table
@@ -63,37 +63,50 @@ def recursive_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.rolling(held, "entity", "y", HORIZON, backtest.origins(80, HORIZON, 5), run)
 
 
+DIRECT = 10
+
+
 @query("hybrid_forecast")
 def hybrid_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten direct models in turn."""
     held = _held(spark, sf)
-    family = models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, 3, CATS, **TREES)
+    family = models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, DIRECT, CATS, **TREES)
     buffer = panel.tail(held.filter("rel = 0"), "entity", "ds", 60)
     return models.forecast(buffer, held.filter("rel > 0"), ["entity"], "ds", "y", family, LAGS, HORIZON, CATS)
 
 
 @query("model_family")
 def model_family(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct models saved, loaded again and scored on the held-out tail."""
+    """Ten direct models saved, loaded again and scored on the held-out tail."""
     held = _held(spark, sf)
     path = work_path(spark, "family")
-    models.save_family(models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, 2, CATS, **TREES), path)
-    runs = []
-    for i, model in enumerate(models.load_family(spark, path, 2)):
+    models.save_family(models.fit_direct(held.filter("rel = 0"), "entity", "ds", "y", LAGS, DIRECT, CATS, **TREES), path)
+
+    def scored(found: tuple[int, models.PanelModel]) -> DataFrame:
+        i, model = found
         frame = models.training_frame(held, "entity", "ds", "y", [k + i for k in LAGS]).filter("is_test")
-        scored = models.score(model, frame, CATS)
-        runs.append(metrics.regression(scored, "y", "yhat").withColumn("model", F.lit(f"model_{i + 1}")))
-    return runs[0].unionByName(runs[1])
+        return metrics.regression(models.score(model, frame, CATS), "y", "yhat").withColumn("model", F.lit(f"model_{i + 1}"))
+
+    return files.stack([scored(x) for x in enumerate(models.load_family(spark, path, DIRECT))])
+
+
+# Ranges of the search; trees are few and shallow beside a gradient library's, since Spark grows them level by level.
+SPACE = {
+    "maxIter": models.Choice(4, 12, "int", 2), "stepSize": models.Choice(0.05, 0.3, "log"), "maxDepth": models.Choice(3, 6, "int"),
+    "minInstancesPerNode": models.Choice(5, 150, "int"), "subsamplingRate": models.Choice(0.6, 1.0),
+}
+TRIALS, FOLDS = 20, 3
 
 
 @query("tuned_gbt")
 def tuned_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty random settings over three expanding folds, the better half going on after each."""
     held = _held(spark, sf)
     frame = models.training_frame(held.filter("rel = 0"), "entity", "ds", "y", LAGS)
-    blocked = sampling.time_folds(frame, "ds", 2)
     numeric = [*models.CALENDAR, *models.lag_names(LAGS)]
     fit = lambda df, **p: models.fit_global(df, "y", numeric, CATS, **p)
-    grid = [{"maxIter": 5, "maxDepth": d} for d in (2, 4)]
-    return models.tune(blocked, "y", grid, 2, fit, partial(_score_with, cats=CATS))
+    blocked = sampling.time_folds(frame, "ds", FOLDS)
+    return models.search(blocked, "y", models.settings(SPACE, TRIALS), FOLDS, fit, partial(_score_with, cats=CATS))
 
 
 def _score_with(model: models.PanelModel, df: DataFrame, cats: list[str]) -> DataFrame:
@@ -105,15 +118,47 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
     return models.importances(_fit(_held(spark, sf)), spark)
 
 
+def _keyed(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("row_key", F.col("entity") * 100000 + F.date_diff("ds", F.lit("1970-01-01").cast("date")))
+
+
 @query("permutation_importance")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """All inputs of the tree model, on the held-out tail."""
     held = _held(spark, sf)
     model = _fit(held)
     frame = models.training_frame(held, "entity", "ds", "y", LAGS).filter("is_test")
-    keyed = frame.withColumn("row_key", F.col("entity") * 100000 + F.date_diff("ds", F.lit("1970-01-01").cast("date")))
-    return models.permutation_importance(
-        keyed, "row_key", "y", ["lag_1", "lag_7", "day_of_week"], lambda df: models.score(model, df, CATS)
-    )
+    coded = _keyed(model.encode(frame, CATS)).select("row_key", "y", *model.inputs)
+    predict = lambda df: model.pipeline.transform(df).withColumnRenamed("prediction", "yhat")
+    return models.permutation_importance(coded, "row_key", "y", model.inputs, predict)
+
+
+_LAG = [f"y_lag_{k}" for k in LAGS]
+_RULED = """coalesce(list_sum(list_transform({x}, lambda v, i: coalesce(v * {w}[i], 0.0))) / nullif(list_sum(list_transform({x},
+  lambda v, i: CASE WHEN v IS NULL THEN 0.0 ELSE {w}[i] END)), 0), 0.0)"""
+
+
+@query(
+    "permutation_importance_rule",
+    sql=f"""WITH {DAILY}, {forecasting._HELD.format(n=50)}, lagged AS (SELECT d.entity, d.ds, d.y, d.is_test,
+      [{", ".join(f"l{k}.y::double" for k in LAGS)}] AS x FROM held d
+      {" ".join(f"LEFT JOIN held l{k} ON l{k}.entity = d.entity AND l{k}.ds = d.ds - {k}" for k in LAGS)}),
+    keyed AS (SELECT *, entity * 100000 + date_diff('day', DATE '1970-01-01', ds) AS key FROM lagged WHERE is_test),
+    placed AS (SELECT y, x, row_number() OVER (ORDER BY {draw_sql("key", 0)}, key) - 1 AS at, count(*) OVER () AS n FROM keyed),
+    cols AS (SELECT unnest(range(1, {len(LAGS) + 1})) AS k, unnest({_LAG}) AS feature),
+    turns AS (SELECT k, feature, 1 + ('0x' || substr(md5(feature || ':0'), 1, 15))::bigint % (SELECT any_value(n) - 1 FROM placed) AS turn FROM cols),
+    copies AS (SELECT t.feature, r.y, r.x, list_transform(r.x, lambda v, i: CASE WHEN i = t.k THEN d.x[t.k] ELSE v END) AS z
+      FROM turns t, placed r JOIN placed d ON (d.at + t.turn) % d.n = r.at)
+    SELECT feature, round(avg(({_RULED.format(x="z", w=forecasting.WEIGHTS)} - y) ** 2) - avg(({_RULED.format(x="x", w=forecasting.WEIGHTS)} - y) ** 2), 6)
+      AS rise FROM copies GROUP BY feature""",
+)
+def permutation_importance_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """All lags of the fixed rule, on the held-out tail."""
+    held = _held(spark, sf)
+    frame = _keyed(panel.add_date_lags(held, "entity", "ds", "y", LAGS).filter("is_test")).select("row_key", "y", *_LAG)
+    rule = forecasting.RULE(lambda k: F.col(f"y_lag_{k}"), F.lit(0))
+    out = models.permutation_importance(frame, "row_key", "y", _LAG, lambda df: df.withColumn("yhat", rule))
+    return out.withColumn("rise", F.round("rise", 6))
 
 
 @query("text_classifier")

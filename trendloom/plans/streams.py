@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.plans.registry import query
@@ -61,6 +61,41 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.replay(events(spark, sf), "ts", lambda s: jobs.sessions(s, "ts", DELAY, "12 hours", ["user_id"]), "sessions")
 
 
+def _closed(build, spark: SparkSession, sf: str, label: str) -> DataFrame:
+    return jobs.replay(events(spark, sf), "ts", build, label, close=True)
+
+
+@query(
+    "stream_tumbling_closed",
+    sql="""SELECT date_trunc('day', ts)::timestamp AS window_start, date_trunc('day', ts)::timestamp + INTERVAL 1 DAY AS window_end,
+    event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
+)
+def stream_tumbling_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily windows of a finished input: every event is in one."""
+    return _closed(lambda s: _daily(s, None, "1 day"), spark, sf, "tumbling-closed").withColumn("total", F.round("total", 4))
+
+
+@query(
+    "stream_hopping_closed",
+    sql="""WITH x AS (SELECT date_trunc('day', ts)::timestamp - to_days(unnest(range(0, 7))::int) AS window_start, event_type, value FROM events)
+    SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM x GROUP BY ALL""",
+)
+def stream_hopping_closed(spark: SparkSession, sf: str) -> DataFrame:
+    return _closed(lambda s: _daily(s, "1 day", "7 days"), spark, sf, "hopping-closed").withColumn("total", F.round("total", 4))
+
+
+@query(
+    "stream_sessions_closed",
+    sql="""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+      <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+    s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def stream_sessions_closed(spark: SparkSession, sf: str) -> DataFrame:
+    return _closed(lambda s: jobs.sessions(s, "ts", DELAY, "12 hours", ["user_id"]), spark, sf, "sessions-closed")
+
+
 @query("stream_dedupe", sql="SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every event arrives twice and leaves once."""
@@ -89,40 +124,50 @@ def stream_time_stats(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
 
-_PIECES = ["2024-01-16", "2024-01-08"]
+_EDGE = "(SELECT date_trunc('day', max(ts)) - INTERVAL 14 DAY FROM events)"
+
+
+def _edge(df: DataFrame) -> Column:
+    """Midnight two weeks before the last day of the data."""
+    return df.agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz") - F.expr("INTERVAL 14 DAY")).scalar()
 
 
 def _out_of_order(spark: SparkSession, sf: str) -> list[DataFrame]:
-    """The events in three pieces, newest piece first."""
-    base, ts = table(spark, sf, "events"), F.col("ts")
-    late, early = (F.lit(d).cast("timestamp_ntz") for d in _PIECES)
-    return [base.filter(p) for p in (ts >= late, (ts < late) & (ts >= early), ts < early)]
+    """The events in two pieces. The first ends at the edge; one in four of its events is held back and comes with the second piece."""
+    base = table(spark, sf, "events")
+    held_back = F.col("event_id") % 4 == 0
+    early = (F.col("ts") < _edge(base)) & ~held_back
+    return [base.filter(early), base.filter(~early)]
+
+
+_LATE = f"""p AS (SELECT *, CASE WHEN ts < {_EDGE} AND event_id % 4 <> 0 THEN 0 ELSE 1 END AS piece FROM events),
+  first AS (SELECT user_id, max(ts) AS upto FROM p WHERE piece = 0 GROUP BY user_id)"""
 
 
 @query(
     "stream_late",
-    sql=f"""WITH p AS (SELECT user_id, ts, CASE WHEN ts >= TIMESTAMP '{_PIECES[0]}' THEN 0 WHEN ts >= TIMESTAMP '{_PIECES[1]}'
-      THEN 1 ELSE 2 END AS piece FROM events),
-    f AS (SELECT user_id, min(piece) AS seen_in FROM p GROUP BY user_id)
-    SELECT user_id, count(*) AS n, count_if(piece > seen_in)::bigint AS n_late FROM p JOIN f USING (user_id) GROUP BY user_id""",
+    sql=f"""WITH {_LATE} SELECT user_id, count(*) AS n, count_if(piece = 1 AND ts < upto)::bigint AS n_late
+    FROM p LEFT JOIN first USING (user_id) GROUP BY user_id""",
 )
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
-    """Late events are counted and do not move a node's state back."""
+    """Events older than the node's newest one of an earlier piece are counted and do not move its state back."""
     marked = jobs.replay(_out_of_order(spark, sf), "ts", lambda s: jobs.node_state(s, "user_id", "event_id", "ts"), "late")
     return marked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
 
 
 @query(
     "stream_late_windows",
-    sql=f"""WITH {_MARK} SELECT date_trunc('day', ts)::timestamp AS window_start,
-    date_trunc('day', ts)::timestamp + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n,
-    round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '{_PIECES[0]}' GROUP BY ALL
+    sql=f"""WITH {_LATE}, {_MARK}, past AS (SELECT max(ts) - INTERVAL 1 HOUR AS m FROM p WHERE piece = 0),
+    kept AS (SELECT * FROM p, past WHERE piece = 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > m)
+    SELECT date_trunc('day', ts)::timestamp AS window_start, date_trunc('day', ts)::timestamp + INTERVAL 1 DAY AS window_end, event_type,
+    count(*) AS n, round(sum(value), 4) AS total FROM kept GROUP BY ALL
     HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT w FROM mark)""",
 )
 def stream_late_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows behind the watermark are dropped from windowed sums.
+    """Rows whose window the watermark has passed are dropped, later rows of the same piece are counted.
 
-    A piece ends with the watermark at its last time less the delay, so the two older pieces come too late as a whole.
+    The second piece is late in part: of the events held back, those of days that the first piece closed are lost, those of its
+    last day and all newer events are not.
     """
     out = jobs.replay(_out_of_order(spark, sf), "ts", lambda s: _daily(s, None, "1 day"), "late-windows", may_drop=True)
     return out.withColumn("total", F.round("total", 4))

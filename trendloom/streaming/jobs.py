@@ -6,6 +6,7 @@ it wrote. Event time is a zoned timestamp, because a watermark does not accept a
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -36,23 +37,37 @@ def read(spark: SparkSession, pattern: str, schema: T.StructType, ts: str) -> Da
 def slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, n: int | None = None) -> list[DataFrame]:
     """The rows cut by time into slices of about ``rows`` rows, oldest first; equal times stay together, null times come first.
 
-    Cuts come from the data, whatever its files are, so a replay of the slices has no late rows at any size.
+    Cuts come from the data, whatever its files are, so a replay of the slices has no late rows at any size. The table is read
+    once to count, once to cut, and once to write all slices, range-partitioned by their number; a slice is then a folder of
+    its own, however many there are.
     """
     n = n or max(1, -(-df.count() // rows))
     if n == 1:
         return [df]
-    us = dates.epoch_micros(ts)
+    spark, us = df.sparkSession, dates.epoch_micros(ts)
     cuts = sorted(set(df.agg(F.percentile_approx(us, [k / n for k in range(1, n)], 10_000)).first()[0] or []))
-    edges = [None, *cuts, None]
-    out = []
-    for low, high in zip(edges[:-1], edges[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(us >= low)
-        if high is not None:
-            part = part.filter((us < high) | us.isNull() if low is None else us < high)
-        out.append(part)
-    return out
+    known = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    number = F.when(us.isNull(), 0).otherwise(F.size(F.filter(known, lambda c: c <= us)))
+    path = work_path(spark, "slices")
+    numbered = df.withColumn("_slice", number)
+    # The time lets a slice be dealt to several tasks; a task meets a few neighbouring slices only.
+    parts = max(len(cuts) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbered.repartitionByRange(parts, "_slice", us).write.partitionBy("_slice").parquet(path)
+    return [spark.read.schema(df.schema).parquet(f"{path}/_slice={k}") for k in range(len(cuts) + 1) if _exists(spark, f"{path}/_slice={k}")]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    spot = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spot.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spot)
+
+
+def closing(df: DataFrame, ts: str, reach: str = "1000 days") -> DataFrame:
+    """One row whose time lies ``reach`` beyond the last one, all else null: as a last piece it moves the watermark past every window.
+
+    ``reach`` must exceed delay and window size. The row's own window stays open, so it never comes out.
+    """
+    last = df.agg((F.max(ts) + F.expr(f"INTERVAL {reach}")).alias(ts)).filter(F.col(ts).isNotNull())
+    return last.select(*[F.col(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 def _wall_clock(instant: str) -> Column:
@@ -87,13 +102,21 @@ def _advance(stream: DataFrame, out: str, progress: str, may_drop: bool) -> None
 
 
 def replay(
-    pieces: Sequence[DataFrame], ts: str, build: Callable[[DataFrame], DataFrame], label: str, may_drop: bool = False
+    pieces: Sequence[DataFrame], ts: str, build: Callable[[DataFrame], DataFrame], label: str, may_drop: bool = False,
+    close: bool = False,
 ) -> DataFrame:
     """Stream pieces of a table one after the other, each as one micro-batch of the same query.
 
     A piece is written to the shared folder whole, in as many files as it needs, and the query goes on from its checkpoint:
-    the batches are the pieces, whatever the number and times of files.
+    the batches are the pieces, whatever the number and times of files. ``close`` says that the input ends with the last piece: a
+    closing batch then brings out the windows and sessions that are still open.
     """
+    if close:
+        last = [p.agg(F.max(ts).alias(ts)) for p in pieces]
+        whole = last[0] if len(last) == 1 else functools.reduce(DataFrame.unionByName, last)
+        end = closing(pieces[0].select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in pieces[0].schema]).limit(0).unionByName(
+            whole, allowMissingColumns=True), ts)
+        pieces = [*pieces, end]
     spark, schema = pieces[0].sparkSession, pieces[0].schema
     source, out, progress = (work_path(spark, f"{label}{x}") for x in ("-input", "", "-progress"))
     for k, piece in enumerate(pieces):
@@ -114,7 +137,7 @@ def tumbling(
 ) -> DataFrame:
     """Aggregates per window and key; a window is emitted once the watermark passes its end and later rows are dropped.
 
-    Windows that end after the last watermark stay open and do not come out, also at the end of a finished input.
+    Windows that end after the last watermark stay open and do not come out, unless the replay closes its input.
     """
     span = F.window(ts, size, slide).alias("w") if slide else F.window(ts, size).alias("w")
     grouped = stream.withWatermark(ts, delay).groupBy(span, *keys).agg(*[c.alias(n) for n, c in aggs])
