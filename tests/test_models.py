@@ -100,3 +100,69 @@ def test_pruning_training_rows_changes_no_forecast(spark):
     whole = backtest.rolling_forecast(held, "entity", 6, [0, 3], run)
     cut = backtest.rolling_forecast(held, "entity", 6, [0, 3], run, lambda t: panel.tail(t, "entity", "ds", 9))
     assert sorted(whole.collect()) == sorted(cut.collect())
+
+
+def test_settings_depend_on_seed_trial_and_name_alone():
+    space = {"a": models.Choice(1, 9, "int", 2), "b": models.Choice(0.01, 1.0, "log"), "c": models.Choice(-1.0, 1.0)}
+    some, more = models.settings(space, 5, 3), models.settings(dict(reversed(space.items())), 300, 3)
+    assert some == more[:5] and some != models.settings(space, 5, 4)
+    assert {s["a"] for s in more} == {1, 3, 5, 7, 9}
+    assert all(0.01 <= s["b"] <= 1 and -1 <= s["c"] <= 1 for s in more)
+    assert abs(sum(s["b"] < 0.1 for s in more) - 150) < 45  # even by logarithm
+
+
+@pytest.mark.parametrize("workers", [1, 5])
+def test_search_finds_the_setting_that_fits_all_folds(spark, workers):
+    """A setting is a constant forecast: the best one is nearest to the validation values; a good start alone does not win."""
+    rows = [(b, float(y)) for b, ys in enumerate(([1, 2], [10, 10], [2, 2], [2, 2])) for y in ys]
+    blocked = spark.createDataFrame(rows, "block long, y double")
+    seen = []
+
+    def fit(train, c):
+        seen.append((c, train.count()))
+        return c
+
+    predict = lambda c, valid: valid.withColumn("yhat", F.lit(float(c)))
+    chosen = [{"c": c} for c in (10.0, 4.0, 9.0, 2.0, 30.0, 40.0, 5.0, 50.0)]
+    got = models.search(blocked, "y", chosen, 3, fit, predict, keep=0.5, workers=workers).orderBy("setting").collect()
+    assert [r["folds"] for r in got] == [2, 3, 2, 1, 1, 1, 3, 1]
+    means = [sum((c["c"] - v) ** 2 for v in (10, 2, 2)[: r["folds"]]) / r["folds"] for c, r in zip(chosen, got)]
+    assert [r["mse"] for r in got] == pytest.approx(means)
+    whole = [r["setting"] for r in got if r["folds"] == 3]
+    assert [r["setting"] for r in got if r["best"]] == [min(whole, key=lambda n: means[n])]
+    assert {n for _, n in seen} == {2, 4, 6}
+
+
+def test_importance_of_all_columns_equals_the_plain_one(spark):
+    import random
+
+    from trendloom.functions import hashing
+
+    rng = random.Random(2)
+    rows = [(k, rng.random(), None if k % 9 == 0 else rng.random(), float(k % 4)) for k in range(150)]
+    rows = [(*r, 3 * r[1] + rng.random()) for r in rows]
+    df = spark.createDataFrame(rows, "key long, a double, b double, c double, y double").repartition(4)
+    rule = F.col("a") * 3 + F.coalesce("b", F.lit(0.5)) + F.col("c") * 0
+    got = models.permutation_importance(df, "key", "y", ["a", "b", "c"], lambda d: d.withColumn("yhat", rule), 5)
+    rise = {r["feature"]: r["rise"] for r in got.collect()}
+    order = [r["key"] for r in df.select("key", hashing.draw("key", 5).alias("h")).orderBy("h", "key").collect()]
+    score = lambda a, b: a * 3 + (0.5 if b is None else b)
+    base = sum((score(r[1], r[2]) - r[4]) ** 2 for r in rows) / 150
+    for name, spot in (("a", 1), ("b", 2), ("c", 3)):
+        turn = models.rotation(name, 150, 5)
+        new = {order[(i + turn) % 150]: rows[order[i]][spot] for i in range(150)}
+        mixed = [[*r[:spot], new[r[0]], *r[spot + 1 :]] for r in rows]
+        assert rise[name] == pytest.approx(sum((score(r[1], r[2]) - r[4]) ** 2 for r in mixed) / 150 - base)
+    assert rise["c"] == 0 and rise["a"] > 0
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("rangepartitioning") == 0  # rows are ordered once, before
+
+
+def test_direct_models_keep_their_order():
+    import time
+
+    def work(k):
+        time.sleep(0.02 * (3 - k))
+        return k
+
+    assert models.in_parallel(work, range(4), 4) == [0, 1, 2, 3] and models.in_parallel(work, [], 4) == []

@@ -67,3 +67,31 @@ def test_dropped_rows_are_an_error_unless_they_are_the_feature(spark):
     with pytest.raises(RuntimeError):
         jobs.replay(parts, "ts", build, "t-drop")
     assert jobs.replay(parts, "ts", build, "t-dropped", may_drop=True).count() >= 1
+
+
+def test_a_finished_input_leaves_no_window_open(spark):
+    rows = [(k % 3, k, at(1 + k % 28, k % 24)) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    build = lambda s: jobs.tumbling(s, "ts", "1 hour", "1 day", ["user_id"], [("n", F.count(F.lit(1)))])
+    left_open = jobs.replay([df], "ts", build, "t-open").agg(F.sum("n")).first()[0]
+    closed = jobs.replay(jobs.slices(df, "ts", n=3), "ts", build, "t-closed", close=True)
+    assert left_open < closed.agg(F.sum("n")).first()[0] == 300
+    assert closed.filter("user_id IS NULL").count() == 0
+    sessions = jobs.replay([df], "ts", lambda s: jobs.sessions(s, "ts", "1 hour", "12 hours", ["user_id"]), "t-all", close=True)
+    assert sessions.agg(F.sum("n")).first()[0] == 300
+
+
+def test_an_empty_input_can_be_closed(spark):
+    build = lambda s: jobs.tumbling(s, "ts", "1 hour", "1 day", ["user_id"], [("n", F.count(F.lit(1)))])
+    assert jobs.replay([spark.createDataFrame([], SCHEMA)], "ts", build, "t-none", close=True).count() == 0
+
+
+def test_slices_are_written_once_and_read_by_folder(spark):
+    rows = [(1, k, at(1 + k % 28)) for k in range(200)] + [(1, 900, None)]
+    parts = jobs.slices(spark.createDataFrame(rows, SCHEMA), "ts", n=5)
+    assert len(parts) > 3 and sum(p.count() for p in parts) == 201
+    spans = [p.agg(F.min("ts"), F.max("ts")).first() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert parts[0].filter("ts IS NULL").count() == 1 and parts[0].columns == ["user_id", "event_id", "ts"]
+    files = {f.rsplit("/", 2)[1] for p in parts for f in p.inputFiles()}
+    assert len(files) == len(parts)  # a slice reads its own folder alone

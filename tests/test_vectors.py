@@ -73,3 +73,37 @@ def test_centroids_are_means(spark, rows):
     by = df.filter("vec IS NOT NULL").withColumn("g", F.col("key") % 3)
     for r in vectors.centroids(by, "vec", "g", 4).collect():
         assert np.allclose(r["centre"], x[np.arange(len(x)) % 3 == r["g"]].mean(axis=0))
+
+
+@pytest.mark.parametrize("block, chunk", [(2048, 4096), (20, 7)])
+def test_nearest_rows_of_many_centres_equal_brute_force(spark, rows, block, chunk):
+    x, df = rows
+    rng = np.random.default_rng(9)
+    centres = np.concatenate([x[::9], rng.normal(scale=5, size=(10, 4)), x[:1]])
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)] + [(999, None)], "c long, at array<double>")
+    got = vectors.nearest_many(df, "key", "vec", table, "c", "at", 7, pivots=6, block=block, chunk=chunk).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["centre"], []).append((r["rank"], r["key"], r["distance"]))
+    assert set(found) == set(range(len(centres)))
+    for c, at in enumerate(centres):
+        far = ((x - at) ** 2).sum(axis=1)
+        want = np.lexsort((np.arange(len(x)), far))[:7]
+        mine = sorted(found[c])
+        assert [m[1] for m in mine] == want.tolist() and np.allclose([m[2] for m in mine], np.sqrt(far[want]))
+
+
+def test_cells_out_of_reach_are_left_out():
+    cells = np.array([(0, 0, 5, 0.0, 1.0), (0, 1, 5, 1.0, 2.0), (1, 0, 5, 0.0, 1.0)], vectors._CELL)
+    assert vectors._reaches(np.array([0.1, 9.0]), cells, 3).tolist() == [0, 1]
+    assert vectors._reaches(np.array([0.1, 9.0]), cells, 12).tolist() == [0, 1, 2]
+    assert vectors._reaches(np.array([0.1, 9.0]), cells, 99).tolist() == [0, 1, 2]
+
+
+def test_few_rows_and_no_rows(spark, rows):
+    x, df = rows
+    table = spark.createDataFrame([(0, [0.0] * 4)], "c long, at array<double>")
+    few = vectors.nearest_many(df.filter("key < 2"), "key", "vec", table, "c", "at", 5).collect()
+    assert sorted(r["key"] for r in few) == [0, 1]
+    assert vectors.nearest_many(df.limit(0), "key", "vec", table, "c", "at", 5).collect() == []
+    assert vectors.nearest_many(df, "key", "vec", table.limit(0), "c", "at", 5).collect() == []

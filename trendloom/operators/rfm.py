@@ -8,6 +8,7 @@ task and day.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def _summary_columns(end: Column, include_first: bool) -> dict[str, Column]:
     }
 
 
-def summary(spend: DataFrame, end: str, include_first: bool = False) -> DataFrame:
+def summary(spend: DataFrame, end: str | date, include_first: bool = False) -> DataFrame:
     """Frequency (active days, less the first unless included), recency (last - first), T (end - first), mean day spend."""
     last = F.lit(end).cast("date")
     per = (
@@ -95,7 +96,7 @@ def summary(spend: DataFrame, end: str, include_first: bool = False) -> DataFram
     return per.select("customer", *[c.alias(n) for n, c in cols.items()])
 
 
-def calibration_holdout(spend: DataFrame, cut: str, end: str, spend_cap: float | None = None) -> DataFrame:
+def calibration_holdout(spend: DataFrame, cut: str | date, end: str | date, spend_cap: float | None = None) -> DataFrame:
     """Summary to the cut plus active days and mean day spend in (cut, end], both halves in one aggregation.
 
     Customers first seen after the cut are left out. ``spend_cap`` keeps customers whose mean spend is at most the cap.
@@ -125,7 +126,7 @@ def calibration_holdout(spend: DataFrame, cut: str, end: str, spend_cap: float |
     return out if spend_cap is None else out.filter(F.col("monetary_value") <= spend_cap)
 
 
-def train_test(spend: DataFrame, cut: str, end: str, spend_cap: float | None = None) -> DataFrame:
+def train_test(spend: DataFrame, cut: str | date, end: str | date, spend_cap: float | None = None) -> DataFrame:
     """The calibration table with the later period named as a test period."""
     return calibration_holdout(spend, cut, end, spend_cap).withColumnsRenamed(
         {"holdout_frequency": "test_frequency", "holdout_monetary_value": "test_monetary_value"}
@@ -137,7 +138,7 @@ def usual_day_part(attributes: DataFrame, customer: str = "customer") -> DataFra
     return attributes.groupBy(customer).agg(F.mode("time_of_day", True).alias("usual_part"))
 
 
-def customer_features(lines: DataFrame, line_order: Sequence[str], end: str) -> DataFrame:
+def customer_features(lines: DataFrame, line_order: Sequence[str], end: str | date) -> DataFrame:
     """Items per order, distinct items, usual part of the day as flags, first country, and the recency table."""
     order_df = orders(lines, line_order, attributes=True)
     per_customer = order_df.groupBy("customer").agg(

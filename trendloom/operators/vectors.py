@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import arrays, hashing
 from trendloom.operators import sampling
+from trendloom.sources.work import store
 
 
 def centroids(df: DataFrame, vec: str, by: str, dim: int) -> DataFrame:
@@ -163,6 +164,115 @@ def costs(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("k").agg(F.sum("distance").alias("cost"))
 
 
+def _unpack(batch: pa.RecordBatch, place: int) -> np.ndarray:
+    return _matrix(batch.column(place)) if batch.num_rows else np.zeros((0, 0))
+
+
+def _reaches(far: np.ndarray, cells: np.ndarray, k: int) -> np.ndarray:
+    """Cells (pivot, ring, n, low, high) that may hold one of the k nearest rows, from a centre's distances to the pivots.
+
+    A row of a cell lies at least |distance - radius| and at most distance + radius from the centre.
+    """
+    d, low, high = far[cells["pivot"]], cells["low"], cells["high"]
+    least, most = np.maximum(np.maximum(d - high, low - d), 0), d + high
+    order = np.argsort(most, kind="stable")
+    enough = np.searchsorted(np.cumsum(cells["n"][order]), k)
+    bound = most[order[min(enough, len(order) - 1)]]
+    return np.flatnonzero(least <= bound * (1 + 1e-9) + 1e-12)
+
+
+_CELL = np.dtype([("pivot", "i8"), ("ring", "i8"), ("n", "i8"), ("low", "f8"), ("high", "f8")])
+
+
+def nearest_many(
+    df: DataFrame, key: str, vec: str, centres: DataFrame, centre: str, centre_vec: str, k: int,
+    pivots: int = 64, block: int = 2048, chunk: int = 4096, seed: int = 91,
+) -> DataFrame:
+    """The k nearest rows to every row of a table of centres: ``centre``, key, ``distance``, ``rank``; exact, ties by key.
+
+    Rows lie in cells: the nearest of a few pivots, and a ring of radii around it. The triangle inequality bounds the distances
+    from a centre to all rows of a cell, so a centre meets only the cells that may hold one of its k nearest, and distances are
+    computed there alone. Cells of more than ``block`` rows (copies have one radius) and tables of more than ``chunk`` centres are
+    dealt to several tasks. What the driver sees is pivots and cells, numbers that the parameters bound. Null vectors
+    are left out on both sides; ``key`` and ``centre`` are unique whole numbers.
+    """
+    spark = df.sparkSession
+    rows = df.filter(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    asked = centres.filter(F.col(centre_vec).isNotNull()).select(
+        F.col(centre).cast("long").alias("centre"), F.col(centre_vec).cast("array<double>").alias("vec")
+    )
+    picked = np.array([r["vec"] for r in sampling.exact(rows, "key", pivots, seed).select("vec").collect()], np.float64)
+    if not len(picked):
+        return asked.limit(0).select("centre", F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank"))
+    shared = spark.sparkContext.broadcast(picked)
+
+    def place(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            if batch.num_rows:
+                far = _squares(_unpack(batch, 1), shared.value)
+                best = far.argmin(axis=1)
+                radius = np.sqrt(far[np.arange(len(best)), best])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int64)), pa.array(radius)], ["key", "vec", "pivot", "radius"])
+
+    placed = store(rows.mapInArrow(place, "key long, vec array<double>, pivot long, radius double"), "placed")
+    rings = min(1000, -(-(placed.groupBy("pivot").count().agg(F.max("count")).first()[0] or 1) // block))
+    ringed = placed.withColumn("ring", F.lit(0).cast("long"))
+    if rings > 1:
+        steps = [i / rings for i in range(1, rings)]
+        edges = placed.groupBy("pivot").agg(F.percentile_approx("radius", steps, 10_000).alias("edges"))  # one row per pivot
+        ring = F.size(F.filter("edges", lambda e: e < F.col("radius"))).cast("long")
+        ringed = placed.join(F.broadcast(edges), "pivot").withColumn("ring", ring).drop("edges")
+    ringed = store(ringed, "ringed")
+    stats = ringed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
+    cells = np.array([tuple(r) for r in stats.orderBy("pivot", "ring").collect()], _CELL)
+    parts = np.maximum(1, -(-cells["n"] // block))
+    known = spark.sparkContext.broadcast((picked, cells, parts))
+    chunks = max(1, -(-asked.count() // chunk))
+
+    def reach(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, cells, parts = known.value
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            far = np.sqrt(_squares(_unpack(batch, 1), points))
+            out, rows = [], batch.to_pylist()
+            for row, d in zip(rows, far):
+                out += [(int(cells["pivot"][c]), int(cells["ring"][c]), part, row["centre"], row["vec"])
+                        for c in _reaches(d, cells, k) for part in range(parts[c])]
+            for at in range(0, len(out), 4096):
+                columns = list(zip(*out[at : at + 4096]))
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["pivot", "ring", "part", "centre", "vec"])
+
+    spot = ["pivot", "ring", "part", "chunk"]
+    wanted = asked.mapInArrow(reach, "pivot long, ring long, part long, centre long, vec array<double>")
+    wanted = wanted.withColumn("chunk", F.pmod(F.xxhash64("centre"), F.lit(chunks)))
+    counts = spark.createDataFrame([(int(c["pivot"]), int(c["ring"]), int(p)) for c, p in zip(cells, parts)], "pivot long, ring long, parts long")
+    dealt = ringed.join(F.broadcast(counts), ["pivot", "ring"]).select(
+        "pivot", "ring", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"),
+        "key", "vec",
+    )
+
+    def measure(spot: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["centre", "key", "distance"]
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        if not left.num_rows or not right.num_rows:
+            return empty
+        ids, keys = left.column("centre").to_numpy(), right.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, points = keys[order], np.array(right.column("vec").to_pylist(), np.float64)[order]
+        out = []
+        for at in range(0, len(ids), 64):
+            far = _squares(points, np.array(left.column("vec").slice(at, 64).to_pylist(), np.float64)).T
+            near = np.argsort(far, axis=1, kind="stable")[:, :k]  # equal distances stay in the order of keys
+            out.append((np.repeat(ids[at : at + 64], near.shape[1]), keys[near].ravel(), np.sqrt(np.take_along_axis(far, near, axis=1)).ravel()))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+
+    found = wanted.groupBy(*spot).cogroup(dealt.groupBy(*spot)).applyInArrow(measure, "centre long, key long, distance double")
+    w = Window.partitionBy("centre").orderBy("distance", "key")  # at most k rows of each cell met
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
 def project(df: DataFrame, vec: str, dim: int) -> DataFrame:
     """Principal-component scores as an array column ``projected``; a component's largest weight is positive."""
     ready = _prepared(df, vec)

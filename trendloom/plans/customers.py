@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import clv, metrics, panel, rfm, samples
-from trendloom.plans.base import LINES, lines, tidy, tidy_sql, with_country, with_description
+from trendloom.plans.base import CLOCK, LINES, lines, orders_at, tidy, tidy_sql, with_country, with_description
 from trendloom.plans.registry import query
 
-CUT, END = "2001-02-01", "2001-08-01"
+#: Months that are held out at the end of the data.
+HELD_OUT = 6
+_LATEST = f"max(o_orderdate + to_seconds((o_orderkey * {CLOCK}) % 86400))::date"
+END = f"(SELECT {_LATEST} FROM orders)"
+CUT = f"(SELECT ({_LATEST} - INTERVAL {HELD_OUT} MONTH)::date FROM orders)"
 LINE_ORDER = ["line", "product", "supplier", "quantity", "price"]
 _PLACE = "{'a': line, 'b': product, 'c': supplier, 'd': quantity, 'e': price}"
 
 
+def period(spark: SparkSession, sf: str) -> tuple[date, date]:
+    """Last day of the calibration and of the data; every later order of a longer table moves both."""
+    end = F.to_date(F.max("ts"))
+    row = orders_at(spark, sf).agg(F.to_date(F.add_months(end, -HELD_OUT)).alias("cut"), end.alias("end")).first()
+    return row["cut"], row["end"]
+
+
+def holdout(spark: SparkSession, sf: str) -> DataFrame:
+    return rfm.calibration_holdout(_spend(spark, sf), *period(spark, sf))
+
+
 def r(name: str, places: int = 4):
     return F.round(name, places).alias(name)
 
@@ -72,19 +89,19 @@ def first_order(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rfm_summary",
     sql=f"""WITH {_ORDERS} SELECT customer, count(*) AS frequency, date_diff('day', min(ds), max(ds)) AS recency,
-    date_diff('day', min(ds), DATE '{END}') AS "T", {tidy_sql('sum(amount) / count(*)', 4)} AS monetary_value
-    FROM spend WHERE ds <= DATE '{END}' GROUP BY customer""",
+    date_diff('day', min(ds), {END}) AS "T", {tidy_sql('sum(amount) / count(*)', 4)} AS monetary_value
+    FROM spend WHERE ds <= {END} GROUP BY customer""",
 )
 def rfm_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = rfm.summary(_spend(spark, sf), END, include_first=True)
+    out = rfm.summary(_spend(spark, sf), period(spark, sf)[1], include_first=True)
     return out.withColumn("monetary_value", tidy("monetary_value", 4))
 
 
 _HOLD = f"""{_ORDERS}, cal AS (SELECT customer, count(*) - 1 AS frequency, date_diff('day', min(ds), max(ds)) AS recency,
-  date_diff('day', min(ds), DATE '{CUT}') AS "T",
+  date_diff('day', min(ds), {CUT}) AS "T",
   CASE WHEN count(*) > 1 THEN (sum(amount) - arg_min(amount, ds)) / (count(*) - 1) ELSE 0.0 END AS monetary_value
-  FROM spend WHERE ds <= DATE '{CUT}' GROUP BY customer),
-  hold AS (SELECT customer, count(*) AS n, avg(amount) AS m FROM spend WHERE ds > DATE '{CUT}' AND ds <= DATE '{END}'
+  FROM spend WHERE ds <= {CUT} GROUP BY customer),
+  hold AS (SELECT customer, count(*) AS n, avg(amount) AS m FROM spend WHERE ds > {CUT} AND ds <= {END}
   GROUP BY customer),
   both_t AS (SELECT cal.*, coalesce(n, 0) AS hf, coalesce(m, 0.0) AS hm FROM cal LEFT JOIN hold USING (customer))"""
 
@@ -95,7 +112,7 @@ _HOLD = f"""{_ORDERS}, cal AS (SELECT customer, count(*) - 1 AS frequency, date_
     hf AS holdout_frequency, {tidy_sql('hm', 4)} AS holdout_monetary_value FROM both_t""",
 )
 def rfm_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    out = rfm.calibration_holdout(_spend(spark, sf), CUT, END)
+    out = holdout(spark, sf)
     return out.withColumns({c: tidy(c, 4) for c in ("monetary_value", "holdout_monetary_value")})
 
 
@@ -105,7 +122,7 @@ def rfm_holdout(spark: SparkSession, sf: str) -> DataFrame:
     hf AS test_frequency, {tidy_sql('hm', 4)} AS test_monetary_value FROM both_t WHERE monetary_value <= 250000""",
 )
 def rfm_train_test(spark: SparkSession, sf: str) -> DataFrame:
-    out = rfm.train_test(_spend(spark, sf), CUT, END, spend_cap=250000.0)
+    out = rfm.train_test(_spend(spark, sf), *period(spark, sf), spend_cap=250000.0)
     return out.withColumns({c: tidy(c, 4) for c in ("monetary_value", "test_monetary_value")})
 
 
@@ -128,7 +145,7 @@ def modal_bucket(spark: SparkSession, sf: str) -> DataFrame:
     sql=f"WITH {_HOLD} SELECT round(corr(monetary_value, frequency), 6) AS corr FROM both_t WHERE frequency > 0",
 )
 def spend_corr(spark: SparkSession, sf: str) -> DataFrame:
-    return rfm.spend_correlation(rfm.calibration_holdout(_spend(spark, sf), CUT, END)).select(r("corr", 6))
+    return rfm.spend_correlation(holdout(spark, sf)).select(r("corr", 6))
 
 
 @query(
@@ -143,7 +160,7 @@ def spend_corr(spark: SparkSession, sf: str) -> DataFrame:
       FROM o GROUP BY customer),
     i AS (SELECT customer, count(DISTINCT product) AS n_unique_items FROM lines GROUP BY customer),
     s AS (SELECT customer, count(*) AS frequency, date_diff('day', min(ds), max(ds)) AS recency,
-      date_diff('day', min(ds), DATE '{END}') AS "T", sum(amount) / count(*) AS m FROM spend GROUP BY customer)
+      date_diff('day', min(ds), {END}) AS "T", sum(amount) / count(*) AS m FROM spend GROUP BY customer)
     SELECT customer, round(unique_per_order, 6) AS unique_per_order, country, n_unique_items, frequency, recency, "T",
       {tidy_sql('m', 4)} AS monetary_value, (part = 'afternoon')::bigint AS in_afternoon, (part = 'evening')::bigint AS in_evening,
       (part = 'morning')::bigint AS in_morning, round(recency / nullif(frequency, 0), 6) AS avg_time_between_orders,
@@ -151,7 +168,7 @@ def spend_corr(spark: SparkSession, sf: str) -> DataFrame:
     FROM g JOIN p USING (customer) JOIN i USING (customer) LEFT JOIN s USING (customer)""",
 )
 def customer_features(spark: SparkSession, sf: str) -> DataFrame:
-    out = rfm.customer_features(_named(spark, sf), LINE_ORDER, END)
+    out = rfm.customer_features(_named(spark, sf), LINE_ORDER, period(spark, sf)[1])
     places = {"unique_per_order": 6, "avg_time_between_orders": 6, "total_spend": 2}
     return out.withColumns({"monetary_value": tidy("monetary_value", 4), **{c: F.round(c, n) for c, n in places.items()}})
 
@@ -251,7 +268,7 @@ _SCORE = f"""{_HOLD}, f AS (SELECT customer, frequency::double AS x, recency::do
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return clv.score(rfm.calibration_holdout(_spend(spark, sf), CUT, END), BG, GG, AHEAD)
+    return clv.score(holdout(spark, sf), BG, GG, AHEAD)
 
 
 @query(
@@ -278,7 +295,7 @@ _PART = f"{_series(f'({_PR + _S} + x)', f'({_S + 1.0})', f'({_PR + _S + 1} + x)'
       * (1 - pow(({_BE} + t) / ({_BE} + t + {AHEAD}), {_S} - 1)), 6) AS expected_purchases FROM al""",
 )
 def pareto_score(spark: SparkSession, sf: str) -> DataFrame:
-    base = rfm.calibration_holdout(_spend(spark, sf), CUT, END)
+    base = holdout(spark, sf)
     x, tx, T = (F.col(c).cast("double") for c in ("frequency", "recency", "T"))
     out = base.select(
         "customer", clv.pareto_alive(x, tx, T, PN).alias("p_alive"),
@@ -334,7 +351,7 @@ def _points_sql(points: list[list[float]], names: str) -> str:
 )
 def bgnbd_likelihood(spark: SparkSession, sf: str) -> DataFrame:
     """Mean log-likelihood and gradient of the purchase model at given parameters: what its fit climbs."""
-    out = clv.likelihood(rfm.calibration_holdout(_spend(spark, sf), CUT, END), "bgnbd", BG_POINTS)
+    out = clv.likelihood(holdout(spark, sf), "bgnbd", BG_POINTS)
     return out.select("point", *[r(c, 6) for c in out.columns[1:]])
 
 
@@ -350,17 +367,17 @@ def bgnbd_likelihood(spark: SparkSession, sf: str) -> DataFrame:
 )
 def gamma_gamma_likelihood(spark: SparkSession, sf: str) -> DataFrame:
     """Mean log-likelihood and gradient of the spend model at given parameters."""
-    out = clv.likelihood(rfm.calibration_holdout(_spend(spark, sf), CUT, END), "gamma_gamma", GG_POINTS)
+    out = clv.likelihood(holdout(spark, sf), "gamma_gamma", GG_POINTS)
     return out.select("point", *[r(c, 6) for c in out.columns[1:]])
 
 
 @query("bgnbd_fit")
 def bgnbd_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Parameters of most likelihood, without a penalty."""
-    return clv.fit_bgnbd(rfm.calibration_holdout(_spend(spark, sf), CUT, END))
+    return clv.fit_bgnbd(holdout(spark, sf))
 
 
 @query("gamma_gamma_fit")
 def gamma_gamma_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Parameters of most likelihood, without a penalty."""
-    return clv.fit_gamma_gamma(rfm.calibration_holdout(_spend(spark, sf), CUT, END))
+    return clv.fit_gamma_gamma(holdout(spark, sf))

@@ -332,6 +332,21 @@ def nearest_to_centre(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "nearest_rows",
+    sql="""WITH pts AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
+    d AS (SELECT a.vec_id AS centre, b.vec_id AS vec_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (b.v[i] - a.v[i]) ** 2))) AS distance
+      FROM pts a, pts b)
+    SELECT centre, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY centre ORDER BY distance, vec_id) AS rank
+    FROM d QUALIFY rank <= 6""",
+)
+def nearest_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a centre: itself and its five nearest others."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = vectors.nearest_many(rows, "vec_id", "embedding", rows, "vec_id", "embedding", 6)
+    return out.select("centre", F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("node_attributes")
 def node_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """Reduced text vector of country or description, then the recency features of customers (0 for products)."""
