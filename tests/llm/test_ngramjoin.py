@@ -108,5 +108,20 @@ def test_empty_table_and_components(spark):
     for a, b in edges:
         x, y = root[a], root[b]
         root = [min(x, y) if r in (x, y) else r for r in root]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {v: root[v] for e in edges for v in e if e[0] != e[1]}
+    links = spark.createDataFrame([*edges, *edges[:5], (None, 3)], "a long, b long")
+    for local in (0, 1_000_000):  # by rounds over all tasks, and by one task
+        got = components(links, local=local).collect()
+        assert len(got) == len({r["node"] for r in got})
+        assert {r["node"]: r["component"] for r in got} == {v: root[v] for e in edges for v in e if e[0] != e[1]}
+        assert components(links.limit(0), local=local).collect() == []
+
+
+def test_memos_of_other_operators_are_freed():
+    from trendloom.llm import linededup, textkit
+
+    textkit.word_hashes([b"a", b"b"])
+    linededup.MASKED[b"c"]
+    list(textkit.batches(iter([]), owner="words"))
+    assert textkit.WORD_HASHES and not linededup.MASKED
+    list(textkit.batches(iter([])))
+    assert not textkit.WORD_HASHES

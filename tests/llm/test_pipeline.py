@@ -74,3 +74,24 @@ def test_nulls_and_repeated_rows_in_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), schema)
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()) == sorted((r[0] or 0, r[1] or "") for r in rows[:4])
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    texts = ["one two three four five six seven", "quite another text with other words in it", "a third one that shares nothing with them"]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[2]), (5, texts[0]), (7, texts[1]), (None, texts[0]), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, FOLDER).collect()))
+    assert got == sorted([(0, texts[0]), (0, texts[0]), (5, texts[0]), (5, texts[1]), (6, texts[2])])
+
+
+def test_clashing_names_in_every_stage(spark):
+    names = ["_score", "_digest", "_cut", "n_lines", "n_dropped", "_key", "_number", "_id", "_n", "component_id", "text_key", "contaminated"]
+    texts = ["first words here and more of them\na line that recurs in all of them", "other words there and less of those\na line that recurs in all of them"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, FOLDER)
+        assert out.schema == docs.schema, name
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}{r['doc_id']}" for c in names], name
+    assert corpus_pipeline.pack(spark, docs, FOLDER).select("doc_id").distinct().count() == 2

@@ -220,7 +220,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, se
             table = [d for d in table if d[1] + d[2] > first]
             return made
 
-        for batch in batches(found):
+        for batch in batches(found, owner="pieces"):
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
                 n = len(raw) // 2 + 1
                 table.append((doc_id, total, n))

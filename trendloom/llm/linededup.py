@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.components import components
-from trendloom.llm.textkit import Memo, batches, mix
+from trendloom.llm.textkit import Memo, batches, fresh, mix
 from trendloom.sources.work import store, work_path
 
 LEADING, SEGMENTS = 3, 8
@@ -35,7 +35,7 @@ NODE_LINES, PART_LINES = 2000, 200_000
 BROADCAST_BYTES = 32 << 20
 _DIGIT = re.compile(rb"[0-9]")
 _FIELD = xxhash.xxh3_64_digest(b"<*>")
-MASKED = Memo(lambda w: _FIELD if _DIGIT.search(w) else xxhash.xxh3_64_digest(w))
+MASKED = Memo(lambda w: _FIELD if _DIGIT.search(w) else xxhash.xxh3_64_digest(w), "lines")
 
 
 def split_lines(text: str) -> list[list[bytes]]:
@@ -83,7 +83,7 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     """A row per text and distinct line of at least ``least_words`` tokens."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
+        for batch in batches(found, owner="lines"):
             split = [split_lines(t) for t in batch.column("text").to_pylist()]
             owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
             counts, prints, leaf, segs = line_keys([x for s in split for x in s])
@@ -168,7 +168,7 @@ def _dealt(full: DataFrame) -> DataFrame:
     """Lines of full leaves with the component of lines that agree in enough segments as ``node``; lines alone are left out."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
+        for batch in batches(found, owner="lines"):
             segs, sizes = _segments(batch)
             leaf, ids = batch.column("leaf").to_numpy().view(np.uint64), batch.column("id").to_numpy()
             for size in np.unique(sizes):
@@ -200,7 +200,7 @@ def templates(lines: DataFrame, node_lines: int) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Nodes come one after the other, each in its order; of a node only its templates are held."""
         last, made = None, None
-        for batch in batches(found):
+        for batch in batches(found, owner="lines"):
             mine, theirs = [], []
             names = batch.column("line").to_pylist()
             for node, name, segs, keys in zip(batch.column("node").to_pylist(), names, *_listed(*_segments(batch))):
@@ -217,8 +217,13 @@ def templates(lines: DataFrame, node_lines: int) -> DataFrame:
     return spread.mapInArrow(run, "line binary, template binary")
 
 
-def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4, node_lines: int = NODE_LINES) -> DataFrame:
-    """All columns of ``docs``, with recurring lines cut from ``text``, and ``n_lines`` and ``n_dropped``.
+def drop_recurring(
+    docs: DataFrame, least_texts: int = 2, least_words: int = 4, node_lines: int = NODE_LINES,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
+) -> DataFrame:
+    """All columns of ``docs``, with recurring lines cut from ``text``, and the ``counts`` of lines and of lines dropped.
+
+    A column of ``docs`` that has the name of a count gives way to it; no other name is taken.
 
     A template recurs when ``least_texts`` different texts hold it; lines of fewer than ``least_words`` tokens never do. The
     text with the smallest doc_id keeps its lines, and so do its exact copies, which count as one text: copies are for the
@@ -227,7 +232,8 @@ def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4,
     column, follows the text.
     """
     spark = docs.sparkSession
-    marked = docs.withColumn("_digest", F.unhex(F.md5("text")))
+    known_as, gone_as = fresh("_digest", docs.columns), fresh("_cut", docs.columns)
+    marked = docs.withColumn(known_as, F.unhex(F.md5("text")))
     path = work_path(spark, "lines")
     _lines(docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest")), least_words).write.parquet(path)
     rows = spark.read.schema("doc_id long, digest binary, line binary, leaf long, segs binary, n_segs int").parquet(path)
@@ -247,29 +253,29 @@ def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4,
     )
     cut = (
         known.join(counted, "template").filter("digest <> keeper")
-        .groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("line").alias("_cut"))
+        .groupBy(F.col("digest").alias(known_as)).agg(F.collect_set("line").alias(gone_as))
     )
     cut = store(cut, "cut-lines")
-    size = cut.agg(F.sum(F.lit(32) + 24 * F.size("_cut"))).first()[0] or 0
+    size = cut.agg(F.sum(F.lit(32) + 24 * F.size(gone_as))).first()[0] or 0
     cut = F.broadcast(cut) if size <= BROADCAST_BYTES else cut  # beyond, texts are shuffled to their lines
     fields = [f for f in docs.schema.fields]
-    extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    fields = [f for f in fields if f.name not in ("n_lines", "n_dropped")]
+    extra = [T.StructField(c, T.LongType()) for c in counts]
+    fields = [f for f in fields if f.name.lower() not in counts]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + extra)
 
     def apply(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
+        for batch in batches(found, owner="lines"):
             texts, sizes, dropped = [], [], []
-            cuts = batch.column("_cut").to_pylist()
+            cuts = batch.column(gone_as).to_pylist()
             split = [text.split("\n") if text is not None else [] for text in batch.column("text").to_pylist()]
-            counts, prints, _, _ = line_keys([p.encode().split() for parts, gone in zip(split, cuts) if gone for p in parts])
-            names, counts, at = _binary(prints).to_pylist(), counts.tolist(), 0
+            words, prints, _, _ = line_keys([p.encode().split() for parts, gone in zip(split, cuts) if gone for p in parts])
+            names, words, at = _binary(prints).to_pylist(), words.tolist(), 0
             for text, parts, gone in zip(batch.column("text").to_pylist(), split, cuts):
                 filled = sum(1 for p in parts if p.strip())
                 n = 0
                 if gone:
                     gone, end = set(gone), at + len(parts)
-                    kept = [p for p, c, k in zip(parts, counts[at:end], names[at:end]) if c < least_words or k not in gone]
+                    kept = [p for p, c, k in zip(parts, words[at:end], names[at:end]) if c < least_words or k not in gone]
                     at = end
                     n = len(parts) - len(kept)
                     text = "\n".join(kept)
@@ -287,6 +293,6 @@ def drop_recurring(docs: DataFrame, least_texts: int = 2, least_words: int = 4,
                 else:
                     columns.append(batch.column(f.name))
             columns += [pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields] + ["n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields] + list(counts))
 
-    return marked.join(cut, "_digest", "left").select(*[f.name for f in fields], "_cut").mapInArrow(apply, schema)
+    return marked.join(cut, known_as, "left").select(*[f.name for f in fields], gone_as).mapInArrow(apply, schema)

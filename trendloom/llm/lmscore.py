@@ -134,7 +134,7 @@ def chunked(docs: DataFrame, parts: int, folds: int, tokens: int = CHUNK_TOKENS)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, numbers, size, shape = TaskContext.get().partitionId() << 24, [], _Numbers(), 0, None
-        for batch in batches(found):
+        for batch in batches(found, owner="words"):
             shape = batch.schema.field("doc_id").type
             for doc_id, out, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")]):
                 words = ascii_words(text)

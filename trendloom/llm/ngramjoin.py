@@ -70,7 +70,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 np.add(counts, np.bincount(slots.astype(np.int64), minlength=len(counts)).astype(np.uint32), out=counts)
                 held.clear()
 
-        for batch in batches(found):
+        for batch in batches(found, owner="words"):
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
+        for batch in batches(found, owner="words"):
             sets = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
             yield _batch([batch.column("doc_id"), sets], ["doc_id", "grams"], [pa.int64(), pa.binary()])
 
@@ -133,7 +133,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     met = pairs.select("a", "b").join(one, "a").join(two, "b")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
+        for batch in batches(found, owner="words"):
             shared = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -151,7 +151,7 @@ def _prefixes(docs: DataFrame, spread, n: int, num: int, den: int) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = spread.value
-        for batch in batches(found):
+        for batch in batches(found, owner="words"):
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
@@ -202,7 +202,7 @@ def _postings(prefixes: DataFrame, spread, parts: int, room: int, gather: int) -
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches(found):
+        for batch in batches(found, owner="words"):
             for raw, cluster, n in zip(*[batch.column(c).to_pylist() for c in ("prefix", "cluster", "n")]):
                 held.append((np.frombuffer(raw, np.uint64), cluster, n))
                 size += len(raw) // 8
@@ -331,7 +331,7 @@ def member_links(docs: DataFrame, still: DataFrame, clusters: DataFrame, n: int,
     tiled = blocks(x, ["rep", "n", "own", "grams"], "xs").join(blocks(y, ["partner", "shared", "rep", "n", "own", "grams"], "ys"), "c")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found, 1):
+        for batch in batches(found, 1, "words"):
             c, out, done = batch.column("c")[0].as_py(), [], set()
             xs = [(r["rep"], r["n"], r["own"], np.frombuffer(r["grams"], np.uint64)) for r in batch.column("xs")[0].as_py()]
             size, own = np.array([r[1] for r in xs]), np.array([r[2] for r in xs])

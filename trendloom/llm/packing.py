@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.sharding import curve_order
-from trendloom.llm.textkit import batches
+from trendloom.llm.textkit import batches, kept_for
 from trendloom.operators.ordering import running_totals
 from trendloom.sources.work import store
 
@@ -108,12 +108,15 @@ class Words:
 
 
 _LOADED: dict[str, Words] = {}
+kept_for("pieces", _LOADED.clear)
 
 
 def words_of(path: str) -> Words:
     if path not in _LOADED:
         _LOADED[path] = Words(path)
     return _LOADED[path]
+
+
 def projection(buckets: int = BUCKETS, dims: int = DIMS, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(buckets, dims)) / np.sqrt(buckets)
 
@@ -130,7 +133,7 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = words_of(vocabulary), projection()
-        for batch in batches(found):
+        for batch in batches(found, owner="pieces"):
             coded = words.encode(batch.column("text").to_pylist())
             spots = np.array([bag(np.frombuffer(c, "<u2")) @ table for c in coded]).reshape(-1, DIMS)
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +197,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, with_ids: bool =
     tail = tail_starts(total, length)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found):
+        for batch in batches(found, owner="pieces"):
             out = []
             for doc, tokens, raw, start in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "coded", "_start")]):
                 ids = np.append(np.frombuffer(raw, "<u2"), END).astype("<u4")

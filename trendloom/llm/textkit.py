@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +13,30 @@ from trendloom.session import prepare
 
 #: Entries a per-process memo may hold before it is emptied; it bounds memory and never changes a result.
 MEMO_ENTRIES = 250_000
+#: What a Python worker keeps between tasks, by the operator that it is kept for.
+_KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def kept_for(owner: str, forget: Callable[[], None]) -> None:
+    """Register what ``forget`` frees as memory that only tasks of ``owner`` need."""
+    _KEPT.setdefault(owner, []).append(forget)
+
+
+def free_others(owner: str) -> None:
+    """Free what this worker kept for other operators: workers serve the stages of one job after the other."""
+    for name, known in _KEPT.items():
+        if name != owner:
+            for forget in known:
+                forget()
 
 
 class Memo(dict):
-    """``key -> value`` computed once per Python worker, emptied whenever it is full."""
+    """``key -> value`` computed once per Python worker, emptied whenever it is full or another operator's task begins."""
 
-    def __init__(self, make: Callable[[bytes], bytes], entries: int = MEMO_ENTRIES):
+    def __init__(self, make: Callable[[bytes], bytes], owner: str, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.make, self.entries = make, entries
+        kept_for(owner, self.clear)
 
     def __missing__(self, key: bytes) -> bytes:
         if len(self) >= self.entries:
@@ -29,7 +45,7 @@ class Memo(dict):
         return value
 
 
-WORD_HASHES = Memo(xxhash.xxh3_64_digest)
+WORD_HASHES = Memo(xxhash.xxh3_64_digest, "words")
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -61,14 +77,23 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Prepare a session for tables of long texts: few rows to an Arrow batch, which lies in memory on both sides."""
     prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark
 
 
-def batches(found: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cut batches to at most ``rows`` rows, so that long texts do not pile up in Python."""
+def batches(found: Iterator[pa.RecordBatch], rows: int = 256, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut batches to at most ``rows`` rows, so that long texts do not pile up in Python; memos of other owners are freed first."""
+    free_others(owner)
     for batch in found:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
