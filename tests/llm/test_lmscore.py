@@ -49,24 +49,21 @@ def test_filter_never_understates_and_rarely_overstates():
     counts = rng.zipf(1.7, len(h)).clip(1, 10**6)
     parts = 3
     where = lmscore.part_of(h, parts)
-    blocks = [lmscore.build_block(lmscore.key_of(h[where == p], True), counts[where == p], 1 << 20) for p in range(parts)]
-    book = lmscore.Filter([len(b) for b in blocks], enumerate(blocks))
-    got, want = book.levels(h, True), lmscore.level_of(counts)
+    blocks = {p: lmscore.build_block(lmscore.key_of(h[where == p], True), counts[where == p]) for p in range(parts)}
+    assert sum(map(len, blocks.values())) * 64 >= 8 * lmscore.level_of(counts).sum()
+    book = lmscore.Filter(blocks, 0, parts - 1)
+    got, want = book.levels(where, lmscore.key_of(h, True)), lmscore.level_of(counts)
     assert (got >= want).all() and (got > want).mean() < 0.12
     absent = lmscore.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64))
-    assert (book.levels(absent, True) > 0).mean() < 0.12
+    assert (book.levels(lmscore.part_of(absent, parts), lmscore.key_of(absent, True)) > 0).mean() < 0.12
+    some = lmscore.Filter({2: blocks[2]}, 1, 2)  # a slice; part 1 without members
+    two = where == 2
+    assert (some.levels(where[two], lmscore.key_of(h[two], True)) == got[two]).all()
+    assert not some.levels(where[where == 1], lmscore.key_of(h[where == 1], True)).any()
     values = lmscore.level_values()
     assert all(values[q] / 1.5 <= c <= values[q] * 1.5 for c in (1, 2, 3, 7, 1000, 123_456) for q in [int(lmscore.level_of(np.array([c]))[0])])
 
 
-def test_a_small_filter_keeps_the_frequent_ones():
-    h = lmscore.mix(np.arange(5000, dtype=np.uint64))
-    counts = np.where(np.arange(5000) < 50, 1000, 1)
-    block = lmscore.build_block(lmscore.key_of(h, True), counts, 400)
-    book = lmscore.Filter([len(block)], [(0, block)])
-    assert len(block) <= 400 and (book.levels(h[:50], True) >= lmscore.level_of(np.array([1000]))[0]).all()
-
-
 def test_numbers_round_trip_and_empty_table(spark):
     x = np.array([0, 1, 255, 256, 2**32 - 1], np.uint32)
     assert (lmscore.expand(lmscore.squeeze(x)) == x).all()
@@ -81,7 +78,8 @@ def test_pairs_are_kept_whatever_the_number_of_parts(spark):
         assert len(got) == 3 and all(r["score"] > r["base_score"] / 2 for r in got)
 
 
-def test_scores_agree_with_a_plain_model(spark):
+@pytest.mark.parametrize("slice_bytes", [lmscore.SLICE_BYTES, 2000])
+def test_scores_agree_with_a_plain_model(spark, slice_bytes):
     docs = _docs()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     words, pairs = Counter(), Counter()
@@ -98,8 +96,25 @@ def test_scores_agree_with_a_plain_model(spark):
         return math.log10(0.8 * single + 0.2 * min(seen / words[a], 1) if words[a] else single)
 
     want = sorted((str(d), sum(chance(a, b) for a, b in zip([None, *_words(t)], _words(t)))) for d, t, *_ in docs)
-    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.score_documents(spark.createDataFrame(docs, SCHEMA), parts=4, chunk_tokens=700).collect())
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.score_documents(spark.createDataFrame(docs, SCHEMA), parts=4, chunk_tokens=700, slice_bytes=slice_bytes).collect())
     assert [d for d, _ in got] == [d for d, _ in want]
     # The filter may overstate a few pairs and never understates one.
     assert all(x >= y - 1e-6 for (_, x), (_, y) in zip(got, want))
     assert abs(sum(x for _, x in got) / sum(y for _, y in want) - 1) < 0.02
+
+
+def test_scores_come_from_the_filter(spark, monkeypatch):
+    """Without its members the model knows words alone."""
+    docs = spark.createDataFrame(_docs(), SCHEMA)
+    full = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lmscore.score_documents(docs, parts=4).collect()}
+    monkeypatch.setattr(lmscore, "build_block", lambda keys, counts: np.zeros(1, np.uint64))
+    for r in lmscore.score_documents(docs, parts=4).collect():
+        single = r["base_score"] + (r["n_tokens"] * math.log10(0.8))
+        assert r["score"] == pytest.approx(single, abs=abs(math.log10(0.8)) * r["n_tokens"]) and r["score"] < full[r["doc_id"], r["n_tokens"]] + 1e-9
+
+
+def test_ids_of_any_type(spark):
+    for kind, ids in (("smallint", [1, 2, None]), ("string", ["a", "b", None]), ("int", [7, 8, None])):
+        docs = spark.createDataFrame([(i, "some words here") for i in ids], f"doc_id {kind}, text string")
+        got = lmscore.score_documents(docs)
+        assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and {r["doc_id"] for r in got.collect()} == set(ids)
