@@ -53,3 +53,19 @@ def test_job_keeps_every_row(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, len(WANT)), (1, len(WANT)), (2, 0), (3, 1_099_999)]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_unmatched_tags_cost_linear_time():
+    import time
+
+    from trendloom.llm.extract import Page
+
+    def seconds(n):
+        pages = ["<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<b>" * n + "<li></li>" * n]
+        start = time.process_time()
+        for html in pages:
+            Page(html + "text")
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(32_000) < 40 * max(seconds(2000), 0.005)  # 16 times the tags; quadratic would be 256 times

@@ -54,3 +54,35 @@ def test_runs_are_narrow_and_files_hold_one_shard(spark, tmp_path):
     write_shards(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1200
     assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("shard=")]) == 24
+
+
+def test_sources_that_begin_alike_are_told_apart(spark):
+    """A reader that wants one source opens few shards, also where all sources share a long beginning."""
+    rows = [(i, "w" * (i % 9), "en", f"https://host.example.org/part-{i * 7 % 12:02d}", 0, "") for i in range(1200)]
+    source, seen = {r[0]: r[3] for r in rows}, defaultdict(set)
+    for r in shard_documents(spark.createDataFrame(rows, SCHEMA), 24).collect():
+        seen[source[r["doc_id"]]].add(r["shard"])
+    assert np.mean([len(s) for s in seen.values()]) < 8
+
+
+def test_shards_are_runs_of_the_plainly_sorted_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "w" * int(rng.integers(0, 300)), ["de", "en", "fr"][i % 3], f"source-{int(rng.integers(0, 40)):03d}", 0, "") for i in range(700)]
+    rank = lambda k: {v: n for n, v in enumerate(sorted({r[k] for r in rows}))}
+    lang, source = rank(2), rank(3)
+    points = np.array([(lang[r[2]], source[r[3]], len(r[1]) + 8) for r in rows], float)
+    cells = []
+    for column in points.T:
+        ordered = np.sort(column)
+        bounds = [ordered[-(-k * len(ordered) // 256) - 1] for k in range(1, 256)]  # least value with k / 256 of the rows up to it
+        cells.append(np.searchsorted(bounds, column, side="right"))
+    curve = hilbert_index(cells, 8)
+    order = sorted(range(len(rows)), key=lambda n: (curve[n], zlib.crc32(rows[n][1].encode()), rows[n][0]))
+    small, spare = divmod(len(rows), 24)
+    want, at = {}, 0
+    for shard in range(24):
+        for slot in range(small + (shard < spare)):
+            want[rows[order[at]][0]] = (shard, slot)
+            at += 1
+    got = shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(5), 24).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want

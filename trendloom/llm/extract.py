@@ -8,6 +8,7 @@ siblings that look like text as well. Menus, adverts, forms, comments and the li
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -94,6 +95,7 @@ class Page:
         self.texts: list[tuple[int, int, str]] = []
         self._article = [False]
         self._open, self._block = [0], 0
+        self._names: Counter[str] = Counter()  # open tags by name, so that no walk looks for one that is not open
         self._read(html)
 
     def _text(self, raw: str) -> None:
@@ -103,19 +105,20 @@ class Page:
     def _close(self, depth: int) -> None:
         if any(self.tags[n] in BLOCKS for n in self._open[depth:]):
             self._block += 1
+        self._names.subtract(self.tags[n] for n in self._open[depth:])
         del self._open[depth:]
 
     def _start(self, tag: str, rest: str) -> None:
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
-            for depth in range(len(self._open) - 1, 0, -1):
+            for depth in range(len(self._open) - 1, 0, -1) if any(self._names[t] for t in ends) else ():
                 if self.tags[self._open[depth]] in bounds:
                     break
                 if self.tags[self._open[depth]] in ends:
                     self._close(depth)
                     break
         elif tag in BLOCKS:
-            for depth in range(len(self._open) - 1, 0, -1):
+            for depth in range(len(self._open) - 1, 0, -1) if self._names["p"] else ():
                 name = self.tags[self._open[depth]]
                 if name == "p":
                     self._close(depth)
@@ -135,6 +138,7 @@ class Page:
         self._article.append(in_article)
         self.dropped.append(self.dropped[parent] or _is_dropped(tag, rest, in_article))
         self._open.append(len(self.tags) - 1)
+        self._names[tag] += 1
 
     def _read(self, html: str) -> None:
         at = 0
@@ -154,7 +158,7 @@ class Page:
                 continue
             tag = tag.lower()
             if ending:
-                for depth in range(len(self._open) - 1, 0, -1):
+                for depth in range(len(self._open) - 1, 0, -1) if self._names[tag] > 0 else ():
                     if self.tags[self._open[depth]] == tag:
                         self._close(depth)
                         break

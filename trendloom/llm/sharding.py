@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.hilbert import hilbert_index
-from trendloom.operators.ordering import range_split
+from trendloom.operators.ordering import global_index, range_split
 from trendloom.sources.work import store
 
 
-def text_rank(c: str | Column) -> Column:
-    """A number that keeps the byte order of a text's first six bytes; null sorts as empty."""
-    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the place of a text among the table's distinct texts in byte order; ``column`` has no nulls.
+
+    The distinct values are sorted on their own and joined back, so any two of them differ, however long they agree.
+    """
+    values = global_index(df.select(column).distinct(), [column], name)
+    return df.join(values, column)
 
 
 def curve_order(df: DataFrame, dims: Mapping[str, Column], bits: int = 8, name: str = "curve") -> DataFrame:
@@ -84,10 +87,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFra
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        text_rank("lang").alias("_lang"),
-        text_rank("source").alias("_source"),
+        F.coalesce("lang", F.lit("")).alias("_lang"),
+        F.coalesce("source", F.lit("")).alias("_source"),
     )
-    dims = {"lang": F.col("_lang"), "source": F.col("_source"), "size": F.col("size")}
+    narrow = store(narrow, "shard-texts")
+    for k in ("lang", "source"):
+        narrow = with_rank(narrow, f"_{k}", f"_{k}_rank").drop(f"_{k}")
+    dims = {"lang": F.col("_lang_rank"), "source": F.col("_source_rank"), "size": F.col("size")}
     cut = cut_runs(curve_order(store(narrow, "shard-keys"), dims, bits), ["curve", "text_crc32", "doc_id"], shards)
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
