@@ -226,3 +226,16 @@ def test_sums_from_running_sums_equal_summed_neighbourhoods(spark, hot, n):
     assert {r["qid"] for r in got} == set(want)
     for r in got:
         assert r["n"] == want[r["qid"]]["n"] and r["vec"] == pytest.approx(want[r["qid"]]["vec"], abs=1e-9)
+
+
+def test_stored_edges_follow_their_input(spark, tmp_path):
+    from trendloom.plans import interaction_graph
+
+    for table in ("orders", "lineitem", "customer", "nation", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").toPandas().to_parquet(
+            tmp_path / f"{table}.parquet", coerce_timestamps="us", index=False)
+    first = interaction_graph.edges(spark, str(tmp_path)).count()
+    assert interaction_graph.edges(spark, str(tmp_path)).count() == first
+    fewer = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500)
+    fewer.toPandas().to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us", index=False)
+    assert interaction_graph.edges(spark, str(tmp_path)).count() == 500 < first

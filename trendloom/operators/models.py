@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, PCA, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -413,10 +413,10 @@ def score_text(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def text_vectors(df: DataFrame, text: str, features: int, dim: int) -> DataFrame:
-    """Hashed word counts of a text reduced to ``dim`` principal components, as an array column ``text_vec``."""
+    """Word counts over a fitted vocabulary of at most ``features`` words, reduced to ``dim`` principal components, as ``text_vec``."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
+        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=features),
         PCA(k=dim, inputCol="_counts", outputCol="_reduced"),
     ]
     out = Pipeline(stages=stages).fit(df).transform(df)

@@ -11,7 +11,7 @@ from trendloom.operators import metrics, tgraph
 from trendloom.plans.base import LINES, lines, spread, spread_sql, tidy_sql, with_country, with_description
 from trendloom.plans.registry import query
 from trendloom.sources.files import table
-from trendloom.sources.work import store
+from trendloom.sources.work import fingerprint, store
 
 ORDER = ["ts", "invoice", "line", "product", "supplier", "quantity", "price"]
 START = "1995-01-01"
@@ -19,8 +19,9 @@ _STORED: dict[tuple[str, str], DataFrame] = {}
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical interaction table (1-based ids, items after users), written once per application and read by every query."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Canonical interaction table (1-based ids, items after users), written once per state of its input files and read by every query."""
+    used = ("orders", "lineitem", "customer", "nation", "part")
+    key = (spark.sparkContext.applicationId, "|".join(fingerprint(spark, f"{sf}/{t}.parquet") for t in used))
     if key not in _STORED:
         base = with_description(with_country(lines(spark, sf), spark, sf), spark, sf)
         keep = ["ts", "amount", "quantity", "price", "customer", "product", "country", "description"]

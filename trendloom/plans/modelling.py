@@ -351,7 +351,7 @@ def nearest_rows(spark: SparkSession, sf: str) -> DataFrame:
 def node_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """Reduced text vector of country or description, then the recency features of customers (0 for products)."""
     nodes = interaction_graph.static_node_features(spark, sf)
-    vectors_ = models.text_vectors(nodes, "name", 32, 4).select("node", "kind", "text_vec")
+    vectors_ = models.text_vectors(nodes, "name", 512, 4).select("node", "kind", "text_vec")
     cols = ["unique_per_order", "n_unique_items", "frequency", "recency", "T", "monetary_value"]
     ids = interaction_graph.edges(spark, sf).groupBy("customer").agg(F.min("u").alias("node"))
     features = customers.customer_features(spark, sf).select("customer", *cols).join(ids, "customer").drop("customer")

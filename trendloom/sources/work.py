@@ -41,3 +41,10 @@ def store(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table: another value once the table was written anew."""
+    spot = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = spot.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spot)
+    return ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
