@@ -26,9 +26,9 @@ from trendloom.llm.textkit import ascii_words, batches, mix, word_hashes
 from trendloom.sources.work import store, work_path
 
 #: Tokens after which a chunk is closed, and bytes of text per part of the hash space.
-CHUNK_TOKENS, PART_BYTES = 3_000_000, 32 << 20
-#: Bytes of the filter that are broadcast at a time.
-SLICE_BYTES = 48 << 20
+CHUNK_TOKENS, PART_BYTES = 1_500_000, 32 << 20
+#: Bytes of the filter that are broadcast at a time, and tokens that are scored at a time (a longer document goes alone).
+SLICE_BYTES, GROUP_TOKENS = 48 << 20, 1 << 17
 BITS_PER_MEMBER, BITS_SET = 8, 4
 BASE, ADDED = 1.5, 0.1
 PAIR_WEIGHT = 0.2
@@ -275,10 +275,11 @@ def _pass(chunks: DataFrame, shared: Broadcast, parts: int, kind: str, total: in
             hashes, exact = np.frombuffer(raw, np.uint64), expand(counts).astype(np.float64)
             single = (exact + ADDED) / divisor
             logs, end = np.log10(single), int(np.flatnonzero(hashes == END_HASH)[0])
-            for at in range(0, len(codes), 256):
-                group = [expand(c).astype(np.int64) for c in codes[at : at + 256]]
-                lengths = np.array([len(c) for c in group])
-                flat, starts = np.concatenate(group), np.cumsum(lengths) - lengths
+            numbers = list(map(expand, codes))
+            turn = np.cumsum([len(c) for c in numbers]) // GROUP_TOKENS
+            for _, at, to in _runs(turn):
+                lengths = np.array([len(c) for c in numbers[at:to]])
+                flat, starts = np.concatenate(numbers[at:to]).astype(np.int64), np.cumsum(lengths) - lengths
                 before = np.concatenate([[end], flat[:-1]])
                 before[starts] = end
                 spots = pair_spots(hashes, before, flat, parts)
@@ -289,10 +290,10 @@ def _pass(chunks: DataFrame, shared: Broadcast, parts: int, kind: str, total: in
                 share = np.where(context > 0, np.minimum(seen / np.maximum(context, 1), 1.0), 0.0)
                 gained = np.zeros(len(flat))
                 gained[here] = np.log10(np.where(context > 0, (1 - weight) * alone + weight * share, alone))
-                n = len(group)
+                n = to - at
                 columns = [
-                    pa.array(np.full(n, chunk)), pa.array(np.arange(at, at + n)), pa.array(ids[at : at + n], batch.schema.field("ids").type.value_type),
-                    pa.array(held[at : at + n], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat(exact[flat] > 0, starts, dtype=np.int64)),
+                    pa.array(np.full(n, chunk)), pa.array(np.arange(at, to)), pa.array(ids[at:to], batch.schema.field("ids").type.value_type),
+                    pa.array(held[at:to], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat(exact[flat] > 0, starts, dtype=np.int64)),
                     pa.array(np.full(n, total, np.int64)), pa.array(np.add.reduceat(logs[flat], starts)), pa.array(np.add.reduceat(gained, starts)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, PASS_FIELDS)
