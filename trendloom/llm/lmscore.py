@@ -329,14 +329,17 @@ def score_documents(
     sums = {r["kind"]: r for r in heads.collect()}
     total, distinct = (sums["total"]["tokens"], sums["total"]["n"]) if "total" in sums else (0, 0)
     slices = max(1, -(-(sums["block"]["n"] if "block" in sums else 0) // slice_bytes))
-    chunks = store(gathered(rows, counted, kind), "lm-gathered")
-    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    chunks = gathered(rows, counted, kind)
+    if slices > 1:
+        chunks = store(chunks, "lm-gathered")  # several passes read it
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
     found = []
     for k in range(slices):
         first, last = k * parts // slices, (k + 1) * parts // slices - 1
         blocks = counted.filter((F.col("kind") == "block") & F.col("part").between(first, last)).select("part", "a").collect()
         shared = spark.sparkContext.broadcast(Filter({r["part"]: np.frombuffer(r["a"], np.uint64) for r in blocks}, first, last))
-        spark.conf.set(name, "2")  # a chunk is one row
+        spark.conf.set(name, "16m")  # a chunk is one row of some megabytes
         try:
             found.append(store(_pass(chunks, shared, parts, kind, total, distinct, weight), "lm-pass"))
         finally:
