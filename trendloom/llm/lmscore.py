@@ -26,7 +26,7 @@ from trendloom.llm.textkit import ascii_words, batches, mix, word_hashes
 from trendloom.sources.work import store, work_path
 
 #: Tokens after which a chunk is closed, and bytes of text per part of the hash space.
-CHUNK_TOKENS, PART_BYTES = 1_500_000, 32 << 20
+CHUNK_TOKENS, PART_BYTES = 2_000_000, 32 << 20
 #: Bytes of the filter that are broadcast at a time, and tokens that are scored at a time (a longer document goes alone).
 SLICE_BYTES, GROUP_TOKENS = 48 << 20, 1 << 17
 BITS_PER_MEMBER, BITS_SET = 8, 4
@@ -329,9 +329,7 @@ def score_documents(
     sums = {r["kind"]: r for r in heads.collect()}
     total, distinct = (sums["total"]["tokens"], sums["total"]["n"]) if "total" in sums else (0, 0)
     slices = max(1, -(-(sums["block"]["n"] if "block" in sums else 0) // slice_bytes))
-    chunks = gathered(rows, counted, kind)
-    if slices > 1:
-        chunks = store(chunks, "lm-gathered")  # several passes read it
+    chunks = store(gathered(rows, counted, kind), "lm-gathered")
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     found = []
