@@ -239,3 +239,46 @@ def test_stored_edges_follow_their_input(spark, tmp_path):
     fewer = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500)
     fewer.toPandas().to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us", index=False)
     assert interaction_graph.edges(spark, str(tmp_path)).count() == 500 < first
+
+
+def test_edges_number_whole_heads_and_take_part_rows_as_a_join_does(spark):
+    """Heads or parts held twice double their lines, an unknown part drops its lines; ids follow the first line."""
+    heads = spark.createDataFrame([(1, 20, "b"), (2, 10, "a"), (2, 10, "c"), (3, 10, None), (4, 30, "z")], "k long, s long, who string")
+    heads = heads.withColumn("ts", F.expr("timestamp_ntz '2000-01-01' + make_dt_interval(0, 0, 0, s)")).drop("s")
+    rows = [(1, 1, "x"), (1, 2, "y"), (2, 1, "y"), (2, 2, "gone"), (3, 1, "w"), (1, 3, None)]
+    items = spark.createDataFrame(rows, "k long, line long, what string")
+    named = spark.createDataFrame([("x", "X"), ("y", "Y"), ("y", "Y"), ("w", "W"), ("unused", "U")], "what string, name string")
+    found = tgraph.interaction_tables(heads, items, "who", "what", ["ts", "k", "line"], ["who", "what", "name"], named)
+    got = sorted(tuple(r) for r in found.edges.collect())
+    # Key 2 comes first, for a and c; a head without a source is counted before it is left out.
+    assert [r[0] for r in got] == [0, 1, 2, 3, 5, 6, 7]
+    assert [r[4] for r in got] == ["a", "a", "c", "c", "b", "b", "b"]
+    assert [r[5] for r in got] == ["y"] * 4 + ["x", "y", "y"]
+    assert [r[3] for r in got] == [0, 0, 0, 0, 10, 10, 10]
+    assert {r[5]: r[2] for r in got} == {"y": 0, "x": 1} and {r[6] for r in got} == {"X", "Y"}
+    assert [r["who"] for r in found.users.orderBy("u").collect()][:1] == ["a"]
+
+
+def test_shuffles_grow_with_the_input(spark, monkeypatch):
+    from trendloom import session
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        monkeypatch.setattr(session, "ROWS", 10)
+        session.widen(spark, 10 * int(before) + 1)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == int(before) + 1
+        session.widen(spark, 1)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == int(before) + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_snapshot_partitions_grow_with_the_grid(spark, monkeypatch):
+    from trendloom import session
+
+    monkeypatch.setattr(session, "ROWS", 100)
+    rows = [(k, c, k, f"1995-0{1 + k % 6}-05 10:00:00", k % 7, 1, 1.0, 2.0, 2.0) for k, c in enumerate(list(range(40)) * 2)]
+    lines = spark.createDataFrame(rows, "invoice long, customer long, line long, ts string, product long, supplier long, quantity double, price double, amount double")
+    lines = lines.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = snapshots.product_nodes(lines, 1995 * 12, 1995 * 12 + 199)
+    assert out.count() == 7 * 200 and out.rdd.getNumPartitions() == 14
