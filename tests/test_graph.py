@@ -282,3 +282,11 @@ def test_snapshot_partitions_grow_with_the_grid(spark, monkeypatch):
     lines = lines.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     out = snapshots.product_nodes(lines, 1995 * 12, 1995 * 12 + 199)
     assert out.count() == 7 * 200 and out.rdd.getNumPartitions() == 14
+
+
+def test_latest_neighbours_move_two_rows_a_query(spark, hot):
+    _, edges = hot
+    asked = spark.createDataFrame([(1, 1, 50), (2, 8, 30)], "qid long, node long, cut long")
+    found = tgraph.temporal_neighbors(tgraph.adjacency(edges), asked, 30)
+    assert "_run" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.groupBy("qid").count().filter("count > 30").isEmpty() and found.count() > 30

@@ -126,7 +126,7 @@ def interaction_tables(
     its = ordering.global_index(its, ["_first", destination], "i").drop("_first")
     its = its if named is None else its.join(named, destination)
     asked = its.select(*both, "i", *[c for c in keep if c in its.columns and c not in numbered.columns])
-    edges = numbered.join(asked.hint("shuffle_hash"), both).select("edge_idx", "u", "i", "seconds", *keep)
+    edges = numbered.join(asked, both).select("edge_idx", "u", "i", "seconds", *keep)
     return Interactions(edges, users, its.drop("_copy"), start)
 
 
@@ -281,22 +281,27 @@ def temporal_neighbors(
 
     ``latest`` takes the last n (fewer if there are fewer), ``uniform`` draws n with replacement. A query turns into the
     places of the events it needs, and those meet the ranked events by equality; event histories are never paired with
-    queries.
+    queries. The latest n lie in one or two runs of n events each, so two rows per query move, whatever n is.
     """
     ranked, before = _ranked(adj, queries)
     asked = queries.join(before, ["node", "cut"]).filter("before > 0")
     if mode == "latest":
-        low = F.greatest(F.col("before") - n + 1, F.lit(1))
-        wanted = asked.withColumn("place", F.explode(F.sequence(low, F.col("before"))))
-    else:
-        draws = F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda k: F.struct(
-                k.cast("long").alias("draw"),
-                (F.pmod(hashing.draw(F.col("qid") * n + k, seed), F.col("before")) + 1).alias("place"),
-            ),
-        )
-        wanted = asked.select("*", F.explode(draws).alias("_d")).select("*", "_d.*").drop("_d")
+        run = lambda place: F.call_function("div", place - 1, F.lit(n).cast("long"))
+        event = [c for c in ranked.columns if c != "node"]
+        runs = ranked.groupBy("node", run(F.col("place")).alias("_run")).agg(F.collect_list(F.struct(*event)).alias("_events"))
+        low = F.greatest(F.col("before") - n + 1, F.lit(1).cast("long"))
+        wanted = asked.withColumn("_low", low).withColumn("_run", F.explode(F.sequence(run(F.col("_low")), run(F.col("before")))))
+        inside = F.filter("_events", lambda e: e["place"].between(F.col("_low"), F.col("before")))
+        met = wanted.join(runs, ["node", "_run"]).select(*queries.columns, F.explode(inside).alias("_e"))
+        return met.select(*queries.columns, "_e.*")
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda k: F.struct(
+            k.cast("long").alias("draw"),
+            (F.pmod(hashing.draw(F.col("qid") * n + k, seed), F.col("before")) + 1).alias("place"),
+        ),
+    )
+    wanted = asked.select("*", F.explode(draws).alias("_d")).select("*", "_d.*").drop("_d")
     found = wanted.join(ranked, ["node", "place"])
     return found.drop("before")
 
