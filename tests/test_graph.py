@@ -228,6 +228,52 @@ def test_sums_from_running_sums_equal_summed_neighbourhoods(spark, hot, n):
         assert r["n"] == want[r["qid"]]["n"] and r["vec"] == pytest.approx(want[r["qid"]]["vec"], abs=1e-9)
 
 
+def _moves(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("what, moves", [
+    ("waits", 2), ("versions", 1), ("messages", 2), ("last", 2), ("mean", 2), ("state", 1), ("loose", 1), ("sums", 1), ("all_sums", 1), ("drawn", 1),
+])
+def test_rows_of_ordinary_nodes_move_once_and_agree_with_blocks(spark, hot, monkeypatch, what, moves):
+    rows, edges = hot
+    bare = [(121, 1, 7, None, 3.0), (122, 2, 7, None, 4.0), (123, 2, 12, None, 5.0)]  # without a time
+    edges = edges.unionByName(spark.createDataFrame(bare, edges.schema))
+    adj = tgraph.adjacency(edges, ["w"])
+    asked = spark.createDataFrame([(q, node, cut, "x") for q, (node, cut) in enumerate((a, c) for a in range(0, 14) for c in (0, 9, 9, 33, 50))],
+                                  "qid long, node long, cut long, w string")
+    size = tgraph.message_size(["w"], 2)
+    job = {
+        "waits": lambda: tgraph.time_stats(edges),
+        "versions": lambda: tgraph.state_versions(edges, ["w"], 7),
+        "messages": lambda: tgraph.messages(edges, ["w"], 2, 7),
+        "last": lambda: tgraph.aggregate_messages(tgraph.messages(edges, ["w"], 2, 7), size, "last"),
+        "mean": lambda: tgraph.aggregate_messages(tgraph.messages(edges, ["w"], 2, 7), size, "mean"),
+        "state": lambda: tgraph.state_at(edges, asked, ["w"]),
+        "loose": lambda: tgraph.state_at(edges, asked, ["w"], False),
+        "sums": lambda: tgraph.neighborhood_sums(adj, asked, ["w"], 3, 4),
+        "all_sums": lambda: tgraph.neighborhood_sums(adj, asked, ["w"], 3),
+        "drawn": lambda: tgraph.temporal_neighbors(tgraph.adjacency(edges), asked, 3, "uniform", 9),
+    }[what]
+
+    def flat(value):
+        for v in value if isinstance(value, list) else [value]:
+            yield round(v + 1.23457e-7, 6) if isinstance(v, float) else v  # off the halves
+
+    def found():
+        df = job()
+        names = sorted(df.columns)
+        return names, sorted(([x for c in names for x in flat(r[c])] for r in df.collect()), key=repr)
+
+    cut_up = found()
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", 30)
+    mixed = found()
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", 1_000_000)
+    whole = found()
+    assert whole == mixed == cut_up and whole[1]
+    assert _moves(job()) == moves  # a plan that has run holds its first form as well
+
+
 def test_stored_edges_follow_their_input(spark, tmp_path):
     from trendloom.plans import interaction_graph
 
