@@ -274,6 +274,17 @@ def test_rows_of_ordinary_nodes_move_once_and_agree_with_blocks(spark, hot, monk
     assert _moves(job()) == moves  # a plan that has run holds its first form as well
 
 
+def test_scored_edges_move_with_numbers_of_vectors(spark):
+    edges = spark.createDataFrame([(k, k % 3, 3 + k % 4, k) for k in range(12)], "edge_idx long, u long, i long, ts long")
+    negatives = edges.withColumn("i", F.lit(4).cast("long"))
+    held = spark.createDataFrame([(v, [v + 0.5, 1.0]) for v in range(4)] + [(2, [9.0, 9.0])], "vec_id long, vec array<double>")
+    named = tgraph.nodes(edges).withColumn("vec_id", F.col("node") % 5)  # vec_id 4 is held by no row, 2 by two rows
+    dealt = named.join(held, "vec_id").select("node", "vec")
+    want = sorted(map(tuple, tgraph.link_scores(edges, negatives, dealt).collect()))
+    found = tgraph.link_scores(edges, negatives, named, held)
+    assert sorted(map(tuple, found.collect())) == want and want
+
+
 def test_stored_edges_follow_their_input(spark, tmp_path):
     from trendloom.plans import interaction_graph
 
