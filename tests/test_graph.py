@@ -274,6 +274,16 @@ def test_rows_of_ordinary_nodes_move_once_and_agree_with_blocks(spark, hot, monk
     assert _moves(job()) == moves  # a plan that has run holds its first form as well
 
 
+def test_events_of_nodes_that_nobody_asks_for_stay(spark, hot, monkeypatch):
+    rows, edges = hot
+    adj = tgraph.adjacency(edges, ["w"])
+    asked = spark.createDataFrame([(1, 8, 30), (2, 9, 31), (3, None, 31)], "qid long, node long, cut long")
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", 30)
+    busy, some = tgraph._busy_and_asked(adj, asked)
+    assert 1 in busy and {r["node"] for r in some.select("node").distinct().collect()} == {8, 9}
+    assert tgraph.neighborhood_sums(adj, asked.limit(0), ["w"], 3, 4).collect() == []
+
+
 def test_scored_edges_move_with_numbers_of_vectors(spark):
     edges = spark.createDataFrame([(k, k % 3, 3 + k % 4, k) for k in range(12)], "edge_idx long, u long, i long, ts long")
     negatives = edges.withColumn("i", F.lit(4).cast("long"))
