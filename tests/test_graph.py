@@ -284,6 +284,21 @@ def test_events_of_nodes_that_nobody_asks_for_stay(spark, hot, monkeypatch):
     assert tgraph.neighborhood_sums(adj, asked.limit(0), ["w"], 3, 4).collect() == []
 
 
+@pytest.mark.parametrize("blocks", [30, 1_000_000])
+@pytest.mark.parametrize("strict", [True, False])
+def test_events_ask_for_their_own_ends(spark, hot, monkeypatch, strict, blocks):
+    rows, edges = hot
+    bare = [(121, 1, 7, None, 3.0), (122, None, 7, 5, 4.0), (123, 2, 12, 4, 2.0), (124, 5, 5, 17, 1.0)]
+    edges = edges.unionByName(spark.createDataFrame(bare, edges.schema))
+    drawn = edges.select("edge_idx", "u", (13 - F.col("i") % 4).alias("i"), "ts")
+    every = tgraph.state_at(edges, tgraph.both_ends(edges, drawn), ["w"], strict)
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", blocks)
+    got = tgraph.state_at(edges, tgraph.both_ends(edges, drawn, own=False), ["w"], strict, ends=True)
+    names = ["qid", "side", "node", "cut", "n", "sum_w", "last_update"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, every.select(names).collect()))
+    assert blocks == 30 or _moves(tgraph.state_at(edges, tgraph.both_ends(edges, drawn, own=False), ["w"], strict, ends=True)) == 1
+
+
 def test_scored_edges_move_with_numbers_of_vectors(spark):
     edges = spark.createDataFrame([(k, k % 3, 3 + k % 4, k) for k in range(12)], "edge_idx long, u long, i long, ts long")
     negatives = edges.withColumn("i", F.lit(4).cast("long"))

@@ -504,12 +504,16 @@ def _ticks(adj: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ordering.keyed_running_totals(per, ["node"], ["ts"], block, totals).select("node", "ts", "n", *_sums(cols))
 
 
-def state_at(edges: DataFrame, asked: DataFrame, cols: Sequence[str], strict: bool = True) -> DataFrame:
+def state_at(edges: DataFrame, asked: DataFrame, cols: Sequence[str], strict: bool = True, ends: bool = False) -> DataFrame:
     """``asked`` (node, cut, ...) with the node's state before the cut (``strict=False``: up to it): n, sums, last_update.
 
-    A node without earlier events has no events, sums of 0 and the last update 0.
+    A node without earlier events has no events, sums of 0 and the last update 0. With ``ends`` every edge asks for its source and
+    its destination as well, as in ``both_ends``; ``asked`` then has the columns qid, side, node and cut, and times are whole
+    numbers. An event is a question too then, so it moves once and not twice.
     """
     values = ["n", *_sums(cols), "last_update"]
+    if ends:
+        return _state_at_ends(edges, asked, cols, strict, values)
     adj = adjacency(edges, cols)
 
     def whole(adj: DataFrame, asked: DataFrame) -> DataFrame:
@@ -528,22 +532,52 @@ def state_at(edges: DataFrame, asked: DataFrame, cols: Sequence[str], strict: bo
         cut = F.col("ts").cast(asked.schema["cut"].dataType).alias("cut")
         return found.select("node", cut, *[F.col(f"_q_{c}").alias(c) for c in rest], *values).fillna(0, values)
 
-    def blocked(adj: DataFrame, asked: DataFrame) -> DataFrame:
-        ticks = _ticks(adj, cols).withColumn("last_update", F.col("ts"))
-        times = asked.select("node", F.col("cut").alias("ts"))
-        block = F.floor(F.col("ts") / BLOCK_SECONDS)
-        found = ordering.as_of(times, ticks, ["node"], "ts", values, block, strict).withColumnRenamed("ts", "cut")
-        return asked.join(found.fillna(0, values), ["node", "cut"])
+    return _by_node([adj, asked], busy_nodes(adj, asked), whole, lambda a, q: _states_blocked(a, q, cols, strict, values))
+
+
+def _states_blocked(adj: DataFrame, asked: DataFrame, cols: Sequence[str], strict: bool, values: Sequence[str]) -> DataFrame:
+    """``state_at`` for nodes of any size."""
+    ticks = _ticks(adj, cols).withColumn("last_update", F.col("ts"))
+    times = asked.select("node", F.col("cut").alias("ts"))
+    block = F.floor(F.col("ts") / BLOCK_SECONDS)
+    found = ordering.as_of(times, ticks, ["node"], "ts", values, block, strict).withColumnRenamed("ts", "cut")
+    return asked.join(found.fillna(0, values), ["node", "cut"])
+
+
+def _state_at_ends(edges: DataFrame, asked: DataFrame, cols: Sequence[str], strict: bool, values: Sequence[str]) -> DataFrame:
+    """``state_at`` for both ends of every edge and ``asked``."""
+    end = lambda c, side: F.struct(F.col(c).alias("node"), F.lit(side).alias("side"))
+    sides = F.explode(F.array(end("u", "source"), end("i", "destination"))).alias("_e")
+    events = edges.select(sides, "ts", F.col("edge_idx").alias("qid"), *cols).select("_e.*", "ts", "qid", *cols)
+
+    def whole(events: DataFrame, asked: DataFrame) -> DataFrame:
+        happened = events.select("node", "ts", "qid", "side", F.lit(True).alias("_event"), *[F.col(c).alias(f"_x_{c}") for c in cols])
+        asks = asked.select("node", F.col("cut").alias("ts"), "qid", "side")
+        both = happened.unionByName(asks, allowMissingColumns=True).repartition("node")
+        run = Window.partitionBy("node").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+        states = {"n": F.count("_event"), **{out: F.sum(f"_x_{c}") for c, out in zip(cols, _sums(cols))}}
+        latest = F.max(F.when(F.col("_event"), F.col("ts"))).over(run)  # events without a time count from the first one that has one
+        states = {c: F.when(latest.isNotNull(), v.over(run)) for c, v in states.items()}
+        found = both.withColumns(states | {"last_update": latest}).filter("node IS NOT NULL AND ts IS NOT NULL")
+        return found.select("node", F.col("ts").alias("cut"), "qid", "side", *values).fillna(0, values)
+
+    def blocked(events: DataFrame, asked: DataFrame) -> DataFrame:
+        every = events.select("node", F.col("ts").alias("cut"), "qid", "side").unionByName(asked)
+        return _states_blocked(events, every, cols, strict, values)
 
-    return _by_node([adj, asked], busy_nodes(adj, asked), whole, blocked)
+    return _by_node([events, asked], busy_nodes(events, asked), whole, blocked)
 
 
-def both_ends(edges: DataFrame, negatives: DataFrame) -> DataFrame:
-    """What a batch asks for: each edge's source, destination and drawn destination at the edge's time (qid, side, node, cut)."""
+def both_ends(edges: DataFrame, negatives: DataFrame, own: bool = True) -> DataFrame:
+    """What a batch asks for: each edge's source, destination and drawn destination at the edge's time (qid, side, node, cut).
+
+    Without ``own`` only the drawn destinations, for callers that read the others from the edges.
+    """
     part = lambda df, end, side: df.select(
         F.col("edge_idx").alias("qid"), F.lit(side).alias("side"), F.col(end).alias("node"), F.col("ts").alias("cut")
     )
-    return part(edges, "u", "source").unionByName(part(edges, "i", "destination")).unionByName(part(negatives, "i", "negative"))
+    drawn = part(negatives, "i", "negative")
+    return part(edges, "u", "source").unionByName(part(edges, "i", "destination")).unionByName(drawn) if own else drawn
 
 
 def messages(edges: DataFrame, cols: Sequence[str], dim: int, batch_rows: int = 200) -> DataFrame:

@@ -215,8 +215,8 @@ _ENDS = f"""qe AS (SELECT edge_idx AS qid, 'source' AS side, u AS node, ts AS cu
   UNION ALL SELECT edge_idx, 'destination', i, ts FROM edges UNION ALL SELECT edge_idx, 'negative', i, ts FROM neg)"""
 
 
-def _ends(e: DataFrame) -> DataFrame:
-    return tgraph.both_ends(e, tgraph.negative_edges(e))
+def _ends(e: DataFrame, own: bool = True) -> DataFrame:
+    return tgraph.both_ends(e, tgraph.negative_edges(e), own)
 
 
 def _by_side(e: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def node_state(spark: SparkSession, sf: str) -> DataFrame:
     """
     e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
     stats = tgraph.time_stats(e).select(F.col("side").alias("end"), "mean", "std")
-    out = tgraph.state_at(e, _ends(e), ["kilo", "quantity"])
+    out = tgraph.state_at(e, _ends(e, own=False), ["kilo", "quantity"], ends=True)
     end = F.when(F.col("side") == "source", "u").otherwise("i")
     waited = (F.col("cut") - F.col("last_update") - F.col("mean")) / F.col("std")
     return out.withColumn("end", end).join(F.broadcast(stats), "end").select(
