@@ -299,6 +299,25 @@ def test_events_ask_for_their_own_ends(spark, hot, monkeypatch, strict, blocks):
     assert blocks == 30 or _moves(tgraph.state_at(edges, tgraph.both_ends(edges, drawn, own=False), ["w"], strict, ends=True)) == 1
 
 
+@pytest.mark.parametrize("blocks", [30, 1_000_000])
+def test_messages_of_apart_sides_move_one_row_an_edge(spark, hot, monkeypatch, blocks):
+    rows, edges = hot
+    bare = [(121, 1, None, 41, 3.0), (122, None, 7, 41, 4.0), (123, 2, 7, None, 5.0)]
+    edges = edges.unionByName(spark.createDataFrame(bare, edges.schema))
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", blocks)
+
+    def found(df):
+        return sorted((r["batch"], r["edge_idx"], r["node"], r["other"], r["ts"], r["dt"], [v and round(v, 9) for v in r["msg"]]) for r in df.collect() if r["ts"] is not None)
+
+    sent = tgraph.messages(edges, ["w"], 2, 7, stay=False)
+    if blocks > 30:
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Window") == 2 and "Generate" not in plan[plan.index("Window"):]
+    assert found(sent) == found(tgraph.messages(edges, ["w"], 2, 7)) and sent.count() == 2 * (len(rows) + 1)
+    mixed = edges.withColumn("i", F.col("i") - 4)  # some nodes are sources and destinations
+    assert found(tgraph.messages(mixed, ["w"], 2, 7, stay=False)) == found(tgraph.messages(mixed, ["w"], 2, 7))
+
+
 def test_scored_edges_move_with_numbers_of_vectors(spark):
     edges = spark.createDataFrame([(k, k % 3, 3 + k % 4, k) for k in range(12)], "edge_idx long, u long, i long, ts long")
     negatives = edges.withColumn("i", F.lit(4).cast("long"))

@@ -580,11 +580,18 @@ def both_ends(edges: DataFrame, negatives: DataFrame, own: bool = True) -> DataF
     return part(edges, "u", "source").unionByName(part(edges, "i", "destination")).unionByName(drawn) if own else drawn
 
 
-def messages(edges: DataFrame, cols: Sequence[str], dim: int, batch_rows: int = 200) -> DataFrame:
+def _apart(edges: DataFrame) -> bool:
+    """Do sources and destinations have ranges of ids of their own, so that no node has events on both sides?"""
+    u0, u1, i0, i1 = edges.agg(F.min("u"), F.max("u"), F.min("i"), F.max("i")).first()
+    return None not in (u0, i0) and (u1 < i0 or i1 < u0)
+
+
+def messages(edges: DataFrame, cols: Sequence[str], dim: int, batch_rows: int = 200, stay: bool = True) -> DataFrame:
     """Two directed messages per edge: own state, other end's state, edge features, encoded time since the own last update.
 
     Both states are those at the start of the edge's batch of ``batch_rows`` edges (events, then sums of features); before a
-    node's first batch they are 0, and so is its last update.
+    node's first batch they are 0, and so is its last update. With ``stay`` the messages lie with their node, so that what sums them
+    up per node moves nothing; without, where sources and destinations are apart, an edge moves as one row for both messages.
     """
     both = adjacency(edges, cols).withColumn("batch", batch_of(batch_rows))
     busy = busy_nodes(both)
@@ -594,7 +601,8 @@ def messages(edges: DataFrame, cols: Sequence[str], dim: int, batch_rows: int =
         past = Window.partitionBy("node").orderBy("batch").rangeBetween(Window.unboundedPreceding, -1)
         sums = {out: F.coalesce(F.sum(c).over(past), F.lit(0)) for c, out in zip(cols, _sums(cols))}
         latest = F.coalesce(F.max(F.struct("batch", "ts")).over(past)["ts"], F.lit(0))
-        return rows.repartition("node").withColumns({"n": F.count(F.lit(1)).over(past), **sums, "last_update": latest})
+        moved = rows.drop("batch").repartition("node").withColumn("batch", batch_of(batch_rows))
+        return moved.withColumns({"n": F.count(F.lit(1)).over(past), **sums, "last_update": latest})
 
     def blocked(rows: DataFrame) -> DataFrame:
         versions = _versions_blocked(both.filter(F.col("node").isin(busy)), cols)
@@ -603,6 +611,25 @@ def messages(edges: DataFrame, cols: Sequence[str], dim: int, batch_rows: int =
         met = rows.join(start, ["node", "batch"])
         return met.select(*rows.columns, *values)
 
+    if not stay and _apart(edges):
+        # All events of a node have it at one end: an edge moves to its source, and with that state to its destination.
+        timed = edges.select("u", "i", "edge_idx", "ts", *cols, batch_of(batch_rows).alias("batch"))
+        for end in ("u", "i"):
+            met = _by_node([timed.withColumnRenamed(end, "node")], busy, whole, blocked)
+            timed = met.withColumnsRenamed({"node": end, **{c: f"_{end}_{c}" for c in values}})
+        timed = timed.filter("u IS NOT NULL AND i IS NOT NULL")
+        state = lambda a: [F.col(f"_{a}_{c}").cast("double") for c in values[:-1]]
+        told = F.array(*[
+            F.struct(
+                F.col(a).alias("node"), F.col(b).alias("other"), (F.col("ts") - F.col(f"_{a}_last_update")).alias("dt"),
+                F.array(*state(a), *state(b), *[F.col(c).cast("double") for c in cols]).alias("state"),
+            )
+            for a, b in (("u", "i"), ("i", "u"))
+        ])
+        sent = timed.select("batch", "edge_idx", "ts", F.explode(told).alias("_m")).select("batch", "edge_idx", "ts", "_m.*")
+        vector = F.concat("state", arrays.time_encode("dt", dim))
+        return sent.select("batch", "edge_idx", "node", "other", "ts", "dt", vector.alias("msg"))
+
     # An event takes the state of its node to the other end, which is its node then: rows move twice, and stay with their node.
     others = [f"_other_{c}" for c in values[:-1]]
     first = _by_node([both], busy, whole, blocked)

@@ -274,9 +274,9 @@ _MSG = f"""adj AS (SELECT u AS node, i AS other, edge_idx, ts, amount / 1000 AS
 MSG_SIZE = tgraph.message_size(["kilo", "quantity"], DIM)
 
 
-def _messages(spark: SparkSession, sf: str) -> DataFrame:
+def _messages(spark: SparkSession, sf: str, stay: bool = True) -> DataFrame:
     e = edges(spark, sf).withColumn("kilo", F.col("amount") / 1000)
-    return tgraph.messages(e, ["kilo", "quantity"], DIM, BATCH)
+    return tgraph.messages(e, ["kilo", "quantity"], DIM, BATCH, stay)
 
 
 _MSG6 = spread_sql("msg", MSG_SIZE, 6)
@@ -285,7 +285,7 @@ _MSG6 = spread_sql("msg", MSG_SIZE, 6)
 @query("messages", sql=f"WITH {EDGES}, {_MSG} SELECT batch, edge_idx, node, other, ts, dt, {_MSG6} FROM msgs")
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Own and other state at the start of the batch, edge features and the encoded time since the last update."""
-    return spread(_messages(spark, sf), "msg", MSG_SIZE, 6)
+    return spread(_messages(spark, sf, stay=False), "msg", MSG_SIZE, 6)
 
 
 @query(
