@@ -274,14 +274,23 @@ def test_rows_of_ordinary_nodes_move_once_and_agree_with_blocks(spark, hot, monk
     assert _moves(job()) == moves  # a plan that has run holds its first form as well
 
 
-def test_events_of_nodes_that_nobody_asks_for_stay(spark, hot, monkeypatch):
+@pytest.mark.parametrize("blocks", [30, 1_000_000])
+def test_messages_of_apart_sides_move_one_row_an_edge(spark, hot, monkeypatch, blocks):
     rows, edges = hot
-    adj = tgraph.adjacency(edges, ["w"])
-    asked = spark.createDataFrame([(1, 8, 30), (2, 9, 31), (3, None, 31)], "qid long, node long, cut long")
-    monkeypatch.setattr(tgraph, "BLOCK_ROWS", 30)
-    busy, some = tgraph._busy_and_asked(adj, asked)
-    assert 1 in busy and {r["node"] for r in some.select("node").distinct().collect()} == {8, 9}
-    assert tgraph.neighborhood_sums(adj, asked.limit(0), ["w"], 3, 4).collect() == []
+    bare = [(121, 1, None, 41, 3.0), (122, None, 7, 41, 4.0), (123, 2, 7, None, 5.0)]
+    edges = edges.unionByName(spark.createDataFrame(bare, edges.schema))
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", blocks)
+
+    def found(df):
+        return sorted((r["batch"], r["edge_idx"], r["node"], r["other"], r["ts"], r["dt"], [v and round(v, 9) for v in r["msg"]]) for r in df.collect() if r["ts"] is not None)
+
+    sent = tgraph.messages(edges, ["w"], 2, 7, stay=False)
+    if blocks > 30:
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Window") == 2 and "Generate" not in plan[plan.index("Window"):]
+    assert found(sent) == found(tgraph.messages(edges, ["w"], 2, 7)) and sent.count() == 2 * (len(rows) + 1)
+    mixed = edges.withColumn("i", F.col("i") - 4)  # some nodes are sources and destinations
+    assert found(tgraph.messages(mixed, ["w"], 2, 7, stay=False)) == found(tgraph.messages(mixed, ["w"], 2, 7))
 
 
 @pytest.mark.parametrize("blocks", [30, 1_000_000])
@@ -299,23 +308,22 @@ def test_events_ask_for_their_own_ends(spark, hot, monkeypatch, strict, blocks):
     assert blocks == 30 or _moves(tgraph.state_at(edges, tgraph.both_ends(edges, drawn, own=False), ["w"], strict, ends=True)) == 1
 
 
-@pytest.mark.parametrize("blocks", [30, 1_000_000])
-def test_messages_of_apart_sides_move_one_row_an_edge(spark, hot, monkeypatch, blocks):
+def test_events_of_nodes_that_nobody_asks_for_stay(spark, hot, monkeypatch):
     rows, edges = hot
-    bare = [(121, 1, None, 41, 3.0), (122, None, 7, 41, 4.0), (123, 2, 7, None, 5.0)]
-    edges = edges.unionByName(spark.createDataFrame(bare, edges.schema))
-    monkeypatch.setattr(tgraph, "BLOCK_ROWS", blocks)
+    adj = tgraph.adjacency(edges, ["w"])
+    asked = spark.createDataFrame([(1, 8, 30), (2, 9, 31), (3, None, 31)], "qid long, node long, cut long")
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", 30)
+    busy, some = tgraph._busy_and_asked(adj, asked)
+    assert 1 in busy and {r["node"] for r in some.select("node").distinct().collect()} == {8, 9}
+    assert tgraph.neighborhood_sums(adj, asked.limit(0), ["w"], 3, 4).collect() == []
 
-    def found(df):
-        return sorted((r["batch"], r["edge_idx"], r["node"], r["other"], r["ts"], r["dt"], [v and round(v, 9) for v in r["msg"]]) for r in df.collect() if r["ts"] is not None)
 
-    sent = tgraph.messages(edges, ["w"], 2, 7, stay=False)
-    if blocks > 30:
-        plan = sent._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") == plan.count("Window") == 2 and "Generate" not in plan[plan.index("Window"):]
-    assert found(sent) == found(tgraph.messages(edges, ["w"], 2, 7)) and sent.count() == 2 * (len(rows) + 1)
-    mixed = edges.withColumn("i", F.col("i") - 4)  # some nodes are sources and destinations
-    assert found(tgraph.messages(mixed, ["w"], 2, 7, stay=False)) == found(tgraph.messages(mixed, ["w"], 2, 7))
+def test_derived_columns_order_lines_without_moving(spark):
+    heads = spark.createDataFrame([(1, "a"), (2, "b")], "k long, who string").withColumn("ts", F.lit("2000-01-01").cast("timestamp_ntz"))
+    items = spark.createDataFrame([(1, "x", 6.0, 1.0), (1, "y", 8.0, 4.0), (2, "z", 9.0, 1.0)], "k long, what string, amount double, pieces double")
+    piece = {"piece": F.col("amount") / F.col("pieces")}
+    got = tgraph.interactions(heads, items.withColumns(piece), "who", "what", ["ts", "k", "piece"], ["what"], derived=piece)
+    assert [(r["edge_idx"], r["what"]) for r in got.orderBy("edge_idx").collect()] == [(0, "y"), (1, "x"), (2, "z")]
 
 
 def test_scored_edges_move_with_numbers_of_vectors(spark):
