@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trendloom.llm import lmscore
@@ -118,3 +120,35 @@ def test_ids_of_any_type(spark):
         docs = spark.createDataFrame([(i, "some words here") for i in ids], f"doc_id {kind}, text string")
         got = lmscore.score_documents(docs)
         assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and {r["doc_id"] for r in got.collect()} == set(ids)
+
+
+def _peak(make):
+    tracemalloc.start()
+    out = make()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_what_a_task_makes_on_the_way_stays_small():
+    """Beside its input and output, a part's block takes some bytes a pair, and a closed chunk some bytes a token."""
+    rng = np.random.default_rng(4)
+    counts = rng.zipf(1.7, 1_000_000).clip(1, 10**6)
+    keys = lmscore.key_of(np.arange(len(counts), dtype=np.uint64), True)
+    assert _peak(lambda: lmscore.build_block(keys, counts))[1] < 20 * len(keys)
+    numbers = lmscore._Numbers({b"w%d" % k if k else lmscore.END: k for k in range(2000)})
+    docs = [(i, False, rng.integers(0, 2000, 1000, np.int32)) for i in range(1000)]
+    list(lmscore._close(0, docs[:1], numbers, 3, pa.int64()))  # imports
+    rows, peak = _peak(lambda: list(lmscore._close(0, docs, numbers, 3, pa.int64())))
+    assert peak - sum(r.nbytes for r in rows) < 40 * 1000 * 1000
+
+
+def test_tallied_sums_counts_by_key():
+    rng = np.random.default_rng(5)
+    found = [(rng.integers(0, 50, n).astype(np.uint64) << np.uint64(32)) | rng.integers(1, 9, n).astype(np.uint64) for n in (0, 40, 300)]
+    want = Counter()
+    for x in np.concatenate(found).tolist():
+        want[x >> 32] += x & 0xFFFFFFFF
+    keys, times = lmscore._tallied(found)
+    assert dict(zip(keys.tolist(), times.tolist())) == want and found == [] and (np.diff(keys.astype(int)) > 0).all()
+    assert [len(x) for x in lmscore._tallied([])] == [0, 0]

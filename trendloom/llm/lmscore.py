@@ -12,17 +12,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.quality import remainder
-from trendloom.llm.textkit import ascii_words, batches, mix, word_hashes
+from trendloom.llm.textkit import ascii_words, batches, give_back, mix
 from trendloom.sources.work import store, work_path
 
 #: Tokens after which a chunk is closed, and bytes of text per part of the hash space.
@@ -38,6 +39,11 @@ SCHEMA = "chunk long, kind string, part int, doc_id {kind}, held_out boolean, n
 FIELDS = ["chunk", "kind", "part", "doc_id", "held_out", "n", "a", "b"]
 
 
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes of distinct words: a chunk asks for each once, so none is kept."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """Compressed 32-bit numbers, byte planes apart, since high bytes are mostly zero."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -89,32 +95,45 @@ class _Numbers(dict):
 
 def _close(chunk: int, docs: list, numbers: _Numbers, parts: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of a finished chunk; words are renumbered by part and hash, so a chunk's words are its parts' words in order."""
-    hashes = mix(word_hashes(list(numbers)) + np.uint64(1))
+    hashes = mix(word_hashes(numbers) + np.uint64(1))
     order = np.lexsort((hashes, part_of(hashes, parts)))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     hashes = hashes[order]
-    counts, pairs, rows = np.zeros(len(order), np.int64), [], []
+    learned = sum(len(codes) for _, held, codes in docs if not held)
+    words, pairs, rows, at = np.empty(learned, np.int32), np.empty(learned, np.uint64), [], 0
     end = place[numbers[END]]
     for doc_id, held, codes in docs:
         codes = place[codes]
         rows.append((chunk, "doc", 0, doc_id, held, len(codes), squeeze(codes), None))
         if not held:
-            counts += np.bincount(codes, minlength=len(order))
-            pairs.append(pair_spots(hashes, np.concatenate([[end], codes[:-1]]), codes, parts))
+            words[at : at + len(codes)] = codes
+            pairs[at : at + len(codes)] = pair_spots(hashes, np.concatenate([[end], codes[:-1]]), codes, parts)
+            at += len(codes)
         if len(rows) >= 512:
             yield _rows(rows, kind)
             rows = []
-    pairs, times = np.unique(np.concatenate(pairs or [np.zeros(0, np.uint64)]), return_counts=True)
+    counts = np.bincount(words, minlength=len(order))
+    del words
+    pairs.sort()
+    starts = _starts(pairs).astype(np.uint32)
+    times, pairs = np.diff(starts, append=np.uint32(len(pairs))), pairs[starts]
+    del starts
     for p, a, b in _runs(part_of(hashes, parts)):
         rows.append((chunk, "uni", p, None, None, b - a, hashes[a:b].tobytes(), squeeze(counts[a:b])))
-    low = low32(pairs)
-    for p, a, b in _runs(pairs >> np.uint64(32)) if len(pairs) else ():
-        steps = np.diff(low[a:b], prepend=np.uint32(0))
+    for p, a, b in _runs((pairs >> np.uint64(32)).astype(np.uint32)) if len(pairs) else ():
+        steps = np.diff(low32(pairs[a:b]), prepend=np.uint32(0))
         rows.append((chunk, "bi", p, None, None, b - a, squeeze(steps), squeeze(times[a:b])))
     yield _rows(rows, kind)
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of a sorted array begin."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _runs(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Part, start and end of the runs of a sorted array."""
     edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
@@ -143,8 +162,11 @@ def chunked(docs: DataFrame, parts: int, folds: int, tokens: int = CHUNK_TOKENS)
                 if size >= tokens:
                     yield from _close(chunk, held, numbers, parts, shape)
                     chunk, held, numbers, size = chunk + 1, [], _Numbers(), 0
+                    give_back()
         if held:
             yield from _close(chunk, held, numbers, parts, shape)
+        del held, numbers
+        give_back()
 
     return base.mapInArrow(run, SCHEMA.format(kind=kind))
 
@@ -167,12 +189,16 @@ def key_of(h: np.ndarray, pair: bool) -> np.ndarray:
 
 def build_block(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Filter words of one part, as many as its members need."""
-    levels = level_of(counts)
-    words = max(1, int(levels.sum() * BITS_PER_MEMBER // 64 + 1))
+    levels = np.empty(len(keys), np.int8)
+    slices = [slice(at, at + GROUP_TOKENS) for at in range(0, len(keys), GROUP_TOKENS)]  # what is made on the way stays small
+    for s in slices:
+        levels[s] = level_of(counts[s])
+    words = max(1, int(levels.sum(dtype=np.int64) * BITS_PER_MEMBER // 64 + 1))
     out = np.zeros(words, np.uint64)
-    for q in range(1, int(levels.max(initial=0)) + 1):
-        spot, mask = _spot(keys[levels >= q], q, words)
-        np.bitwise_or.at(out, spot.astype(np.int64), mask)
+    for s in slices:
+        for q in range(1, int(levels[s].max(initial=0)) + 1):
+            spot, mask = _spot(keys[s][levels[s] >= q], q, words)
+            np.bitwise_or.at(out, spot.astype(np.int64), mask)
     return out
 
 
@@ -209,21 +235,26 @@ def count_parts(rows: DataFrame, parts: int) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, pair = [], []
-        for batch in found:
+        for batch in batches(found, 16, "words"):
             for kind, chunk, a, b in zip(*[batch.column(c).to_pylist() for c in ("kind", "chunk", "a", "b")]):
                 if kind == "uni":
                     uni.append((chunk, np.frombuffer(a, np.uint64), expand(b)))
                 else:
-                    pair.append((chunk, np.cumsum(expand(a), dtype=np.uint32), expand(b)))
+                    keys = np.cumsum(expand(a), dtype=np.uint32).astype(np.uint64)
+                    pair.append((keys << np.uint64(32)) | expand(b))
         out, part = [], key[0].as_py()
         words, inverse, sums = _summed(uni, np.uint64)
         for (chunk, hashes, _), at in zip(uni, inverse):
             out.append((chunk, "count", part, None, None, len(hashes), squeeze(sums[at]), None))
         out.append((int(sums.sum()), "total", part, None, None, int((sums > 0).sum()), None, None))
-        keys, _, times = _summed(pair, np.uint32)
+        del words, inverse, sums, uni
+        keys, times = _tallied(pair)
         if len(keys):
-            block = build_block(key_of(keys.astype(np.uint64), True), times)
+            block = build_block(key_of(keys, True), times)
             out.append((None, "block", part, None, None, block.nbytes, block.tobytes(), None))
+            del block
+        del keys, times
+        give_back()
         for at in range(0, len(out), 512):
             yield _rows(out[at : at + 512], pa.int64())
 
@@ -238,6 +269,21 @@ def _summed(found: list, kind: type) -> tuple[np.ndarray, list[np.ndarray], np.n
     return keys, np.split(inverse, np.cumsum([len(x[1]) for x in found])[:-1]), sums
 
 
+def _tallied(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their total counts, from arrays with keys in the high and counts in the low halves; empties the list."""
+    joined, at = np.empty(sum(map(len, found)), np.uint64), 0
+    while found:
+        some = found.pop()
+        joined[at : at + len(some)] = some
+        at += len(some)
+    joined.sort()
+    keys = joined >> np.uint64(32)
+    joined &= np.uint64(0xFFFFFFFF)
+    starts = _starts(keys)
+    times = np.add.reduceat(joined, starts) if len(starts) else joined
+    return keys[starts], times.astype(np.int64)
+
+
 def gathered(rows: DataFrame, counted: DataFrame, kind: str) -> DataFrame:
     """One row per chunk: its words' hashes and exact counts in the order of parts and hashes, and its documents as numbers."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ def free_others(owner: str) -> None:
                 forget()
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can: a worker serves later stages with what it holds now."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Memo(dict):
     """``key -> value`` computed once per Python worker, emptied whenever it is full or another operator's task begins."""
 
