@@ -3,8 +3,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
-from trendloom.llm.linededup import drop_recurring, join_templates, line_keys, split_lines
+from trendloom.llm.linededup import _lines, drop_recurring, join_templates, line_keys, masked, split_lines
 
 SCHEMA = "doc_id long, text string, n_chars long, n_lines string, template string"
 
@@ -147,3 +149,23 @@ def test_segments_generalise():
 
 def test_empty_table(spark):
     assert _run(spark, []) == []
+
+
+def test_words_with_digits_are_one_field_and_others_their_own_hash():
+    words = "a b7 7 c \xe9t\xe9 0x x-9 d".encode().split() + [b"long" * 50, b"\x30" * 3]
+    want = [xxhash.xxh3_64_digest(b"<*>" if re.search(rb"[0-9]", w) else w) for w in words]
+    assert masked(words).tobytes() == b"".join(want)
+    assert masked([b"a", b"b"]).tobytes() == b"".join(map(xxhash.xxh3_64_digest, [b"a", b"b"]))
+    assert len(masked([])) == 0
+
+
+def test_a_line_knows_all_its_places_in_the_text(spark):
+    again = "one line that comes more than once"
+    rows = [(1, f"{again}\nshort\n{again} 5\nall words of it 3\n\n{again}\nall words of it 4"), (2, f"\n{again}"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.md5("text")))
+    got = [(r["doc_id"], np.frombuffer(r["spots"], "<u4").tolist()) for r in _lines(docs, 4).collect()]
+    assert sorted(got) == [(1, [0, 5]), (1, [2]), (1, [3, 6]), (2, [1])]
+    cut = drop_recurring(docs.drop("digest").union(docs.select((F.col("doc_id") + 10).alias("doc_id"), F.concat(F.lit("x\n"), "text"))))
+    out = {r["doc_id"]: (r["text"], r["n_dropped"], r["n_lines"]) for r in cut.collect()}
+    assert out[1] == (rows[0][1], 0, 6) and out[2] == ("", 1, 1) and out[3] == (None, 0, 0)
+    assert out[11] == ("x\nshort\n", 5, 7) and out[14] == ("x\n", 0, 1)

@@ -9,9 +9,8 @@ text that comes first.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.components import components
-from trendloom.llm.textkit import Memo, batches, fresh, mix
+from trendloom.llm.textkit import batches, fresh, mix
 from trendloom.sources.work import store, work_path
 
 LEADING, SEGMENTS = 3, 8
@@ -33,15 +32,23 @@ LEAST_SEGMENTS = 4
 NODE_LINES, PART_LINES = 2000, 200_000
 #: The lists of lines to cut are broadcast up to this many bytes.
 BROADCAST_BYTES = 32 << 20
-_DIGIT = re.compile(rb"[0-9]")
-_FIELD = xxhash.xxh3_64_digest(b"<*>")
-MASKED = Memo(lambda w: _FIELD if _DIGIT.search(w) else xxhash.xxh3_64_digest(w), "lines")
+_FIELD = np.frombuffer(xxhash.xxh3_64_digest(b"<*>"), np.uint64)[0]
 
 
 def split_lines(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode().split(b"\n")]
 
 
+def masked(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words without white space; all words with digits have that of the one variable field."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).byteswap()
+    text = np.frombuffer(b" ".join(words), np.uint8)
+    digits = np.flatnonzero(text - np.uint8(48) < 10)
+    if len(digits):
+        h[np.searchsorted(np.flatnonzero(text == 32), digits)] = _FIELD
+    return h
+
+
 def line_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token counts, two-word fingerprints, leaves, and segment hashes of lines (none for lines without tokens)."""
     counts = np.array([len(x) for x in lines], np.int64)
@@ -49,7 +56,7 @@ def line_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     prints, leaf, segs = np.zeros((len(lines), 2), np.uint64), np.zeros(len(lines), np.uint64), np.zeros((len(lines), SEGMENTS), np.uint32)
     if not n:
         return counts, prints, leaf, segs
-    h = np.frombuffer(b"".join([MASKED[w] for x in lines for w in x]), np.uint64)
+    h = masked(list(chain.from_iterable(lines)))
     row = np.repeat(np.arange(len(lines)), counts)
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     length = counts[row]
@@ -79,8 +86,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
+LINES = "doc_id long, digest binary, line binary, leaf long, segs binary, n_segs int, spots binary"
+
+
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """A row per text and distinct line of at least ``least_words`` tokens."""
+    """A row per text and distinct line of at least ``least_words`` tokens, with its places among the lines of the text."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found, owner="lines"):
@@ -90,17 +100,23 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
             keep = np.flatnonzero(counts >= least_words)
             order = keep[np.lexsort((prints[keep, 1], prints[keep, 0], owner[keep]))]
             fresh = (np.diff(owner[order]) != 0) | (np.diff(prints[order], axis=0) != 0).any(axis=1)
-            keep = np.sort(order[np.concatenate([[True], fresh])[: len(order)]])
+            starts = np.flatnonzero(np.concatenate([[True], fresh])[: len(order)])
+            first = np.cumsum([0] + [len(s) for s in split])
+            spots = (order - first[owner[order]]).astype("<u4")
+            ends = pa.py_buffer((4 * np.append(starts, len(order))).astype(np.int32).tobytes())
+            spots = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(spots.tobytes())])
+            back = np.argsort(order[starts])  # as the lines stand in the texts
+            keep, spots = order[starts][back], spots.take(pa.array(back))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(owner[keep])), batch.column("digest").take(pa.array(owner[keep])),
                  _binary(prints[keep]), pa.array(leaf[keep].view(np.int64)),
                  _binary(segs[keep]),
-                 pa.array(np.clip(counts[keep] - LEADING, 0, SEGMENTS), pa.int32())],
-                ["doc_id", "digest", "line", "leaf", "segs", "n_segs"],
+                 pa.array(np.clip(counts[keep] - LEADING, 0, SEGMENTS), pa.int32()), spots],
+                ["doc_id", "digest", "line", "leaf", "segs", "n_segs", "spots"],
             )
 
     return docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "digest", "text").mapInArrow(
-        run, "doc_id long, digest binary, line binary, leaf long, segs binary, n_segs int"
+        run, LINES
     )
 
 
@@ -236,14 +252,14 @@ def drop_recurring(
     marked = docs.withColumn(known_as, F.unhex(F.md5("text")))
     path = work_path(spark, "lines")
     _lines(docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest")), least_words).write.parquet(path)
-    rows = spark.read.schema("doc_id long, digest binary, line binary, leaf long, segs binary, n_segs int").parquet(path)
+    rows = spark.read.schema(LINES).parquet(path)
     last = F.lit((1 << 63) - 1)
     held = store(
-        rows.groupBy("line", "leaf", "segs", "n_segs", "digest").agg(F.min(F.coalesce("doc_id", last)).alias("first")), "text-lines"
+        rows.groupBy("line", "leaf", "segs", "n_segs", "digest", "spots").agg(F.min(F.coalesce("doc_id", last)).alias("first")), "text-lines"
     )
     lines = store(held.groupBy("line", "leaf", "segs", "n_segs").agg(F.count(F.lit(1)).alias("texts")), "line-texts")
     merged = store(templates(lines, node_lines), "templates")
-    known = held.select("line", "digest", "first").join(merged, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    known = held.select("line", "digest", "first", "spots").join(merged, "line", "left").withColumn("template", F.coalesce("template", "line"))
     known = store(known, "template-lines")
     counted = (
         known.groupBy("template", "digest").agg(F.min("first").alias("first"))
@@ -253,10 +269,11 @@ def drop_recurring(
     )
     cut = (
         known.join(counted, "template").filter("digest <> keeper")
-        .groupBy(F.col("digest").alias(known_as)).agg(F.collect_set("line").alias(gone_as))
+        .groupBy(F.col("digest").alias(known_as)).agg(F.collect_list("spots").alias(gone_as), F.sum(F.length("spots")).alias("bytes"))
     )
     cut = store(cut, "cut-lines")
-    size = cut.agg(F.sum(F.lit(32) + 24 * F.size(gone_as))).first()[0] or 0
+    size = cut.agg(F.sum(F.lit(32) + 16 * F.size(gone_as) + F.col("bytes"))).first()[0] or 0
+    cut = cut.select(known_as, gone_as)
     cut = F.broadcast(cut) if size <= BROADCAST_BYTES else cut  # beyond, texts are shuffled to their lines
     fields = [f for f in docs.schema.fields]
     extra = [T.StructField(c, T.LongType()) for c in counts]
@@ -267,18 +284,14 @@ def drop_recurring(
         for batch in batches(found, owner="lines"):
             texts, sizes, dropped = [], [], []
             cuts = batch.column(gone_as).to_pylist()
-            split = [text.split("\n") if text is not None else [] for text in batch.column("text").to_pylist()]
-            words, prints, _, _ = line_keys([p.encode().split() for parts, gone in zip(split, cuts) if gone for p in parts])
-            names, words, at = _binary(prints).to_pylist(), words.tolist(), 0
-            for text, parts, gone in zip(batch.column("text").to_pylist(), split, cuts):
+            for text, gone in zip(batch.column("text").to_pylist(), cuts):
+                parts = text.split("\n") if text is not None else []
                 filled = sum(1 for p in parts if p.strip())
                 n = 0
                 if gone:
-                    gone, end = set(gone), at + len(parts)
-                    kept = [p for p, c, k in zip(parts, words[at:end], names[at:end]) if c < least_words or k not in gone]
-                    at = end
-                    n = len(parts) - len(kept)
-                    text = "\n".join(kept)
+                    spots = set(np.frombuffer(b"".join(gone), "<u4").tolist())
+                    n = len(spots)
+                    text = "\n".join([p for k, p in enumerate(parts) if k not in spots])
                 texts.append(text)
                 sizes.append(filled)
                 dropped.append(n)
