@@ -107,3 +107,42 @@ def test_few_rows_and_no_rows(spark, rows):
     assert sorted(r["key"] for r in few) == [0, 1]
     assert vectors.nearest_many(df.limit(0), "key", "vec", table, "c", "at", 5).collect() == []
     assert vectors.nearest_many(df, "key", "vec", table.limit(0), "c", "at", 5).collect() == []
+
+
+def test_cells_share_groups_of_bounded_size():
+    first, parts = vectors._groups(np.array([3, 4, 2, 25, 1, 9, 1]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+@pytest.mark.parametrize("shift", [0, 1e6])
+def test_nearest_in_a_block_equal_brute_force(shift):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(900, 8)) * 8) / 8 + shift
+    x = np.concatenate([x, np.repeat(x[:2], 200, axis=0), x[:50] + 1e-9])  # copies and near copies
+    keys = rng.permutation(len(x))
+    asked = np.concatenate([x[::7], rng.normal(size=(5, 8)) * 100])
+    for k, tile in ((6, 4096), (6, 50), (2000, 300)):
+        got = [np.concatenate(c) for c in zip(*vectors._nearest_in(x, keys, asked, k, tile, 64))]
+        for j, at in enumerate(asked):
+            far = np.sqrt(((x - at) ** 2).sum(axis=1))
+            want = np.lexsort((keys, far))[:k]
+            assert np.array_equal(got[1][got[0] == j], keys[want]) and np.array_equal(got[2][got[0] == j], far[want])
+
+
+def test_nearest_in_a_block_measures_what_is_not_finite():
+    x = np.array([[0.0, 1.0], [np.nan, 0.0], [1e200, 0.0], [2.0, 2.0]])
+    (row, key, far), = vectors._nearest_in(x, np.arange(4), np.array([[0.0, 0.0], [1e200, 0.0]]), 3)
+    assert key[row == 0].tolist() == [0, 3, 2] and key[row == 1][0] == 2 and (row == 1).sum() == 3
+
+
+def test_a_centre_moves_once_to_a_group_of_cells(spark):
+    """No cell can be left out here, and still a centre does not move to each of them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vec array<double>")
+    out = vectors.nearest_many(df, "key", "vec", df, "key", "vec", 3, block=20)
+    assert out.count() == 6000 and {r["key"] for r in out.filter("rank = 1").collect()} == set(range(2000))
+    cells = np.array([(p, r, 20, 0.0, 9.0) for p in range(10) for r in range(10)], vectors._CELL)
+    first, _ = vectors._groups(cells["n"], 250)
+    met = vectors._reaches(np.full(10, 1.0), cells, 3)
+    assert len(met) == 100 and len(np.unique(first[met])) == 9

@@ -164,8 +164,15 @@ def costs(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("k").agg(F.sum("distance").alias("cost"))
 
 
-def _unpack(batch: pa.RecordBatch, place: int) -> np.ndarray:
-    return _matrix(batch.column(place)) if batch.num_rows else np.zeros((0, 0))
+def _unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix, without a Python object per number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not len(column):
+        return np.zeros((0, 0))
+    if not (np.diff(column.offsets.to_numpy()) == len(flat) // len(column)).all():
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(len(column), -1)
 
 
 def _reaches(far: np.ndarray, cells: np.ndarray, k: int) -> np.ndarray:
@@ -184,16 +191,81 @@ def _reaches(far: np.ndarray, cells: np.ndarray, k: int) -> np.ndarray:
 _CELL = np.dtype([("pivot", "i8"), ("ring", "i8"), ("n", "i8"), ("low", "f8"), ("high", "f8")])
 
 
+def _groups(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of every cell: small cells that follow each other share one, large cells have several."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
+    group, filled = 0, 0
+    for c, n in enumerate(sizes):
+        if filled and filled + n > most:
+            group, filled = group + 1, 0
+        first[c] = group
+        filled += n
+        if parts[c] > 1:
+            group, filled = group + int(parts[c]), 0
+    return first, parts
+
+
+def _nearest_in(points: np.ndarray, keys: np.ndarray, asked: np.ndarray, k: int, tile: int = 4096, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``asked``, keys and distances of the k nearest points, exact, ties by key, ``rows`` of ``asked`` at a time.
+
+    Products of matrices leave out what lies farther than the k-th nearest so far by more than their rounding error; the distances of
+    the rest are measured as sums of squares of differences. Of equal points only those with the k smallest keys can be asked for.
+    """
+    alike = np.ascontiguousarray(points + 0.0).view(np.dtype((np.void, 8 * points.shape[1]))).reshape(-1)
+    order = np.lexsort((keys, np.unique(alike, return_inverse=True)[1].reshape(-1)))
+    points, keys = points[order], keys[order]
+    new = np.concatenate([[True], (points[1:] != points[:-1]).any(axis=1)])
+    starts = np.flatnonzero(new)
+    few = np.arange(len(keys)) - np.repeat(starts, np.diff(starts, append=len(keys))) < k
+    points, keys = points[few], keys[few]
+    with np.errstate(all="ignore"):  # what is not finite is measured
+        norms = (points * points).sum(axis=1)
+        wide, sizes = np.column_stack([points, norms]), np.sqrt(norms)
+    slack = (8 * points.shape[1] + 64) * np.finfo(np.float64).eps
+    for at in range(0, len(asked), rows):
+        here = asked[at : at + rows]
+        with np.errstate(all="ignore"):
+            mine = (here * here).sum(axis=1)
+            left = np.column_stack([-2 * here, np.ones(len(here))])
+        row, key, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = np.full(len(here), np.inf)  # of the squared distance
+        for t in range(0, len(keys), tile):
+            with np.errstate(all="ignore"):
+                about = left @ wide[t : t + tile].T  # the squared distance without the centre's square
+                error = slack * (np.sqrt(mine) + sizes[t : t + tile].max()) ** 2
+                if not t and about.shape[1] >= k:
+                    limit = np.partition(about, k - 1, axis=1)[:, k - 1] + mine + error
+                out = about > (limit - mine + error)[:, None]
+            found = np.flatnonzero(~out)
+            r, c = np.divmod(found, about.shape[1])
+            gaps = np.empty(len(found))
+            for s in range(0, len(found), 1 << 15):
+                gap = points[t + c[s : s + (1 << 15)]] - here[r[s : s + (1 << 15)]]
+                with np.errstate(over="ignore"):
+                    gaps[s : s + (1 << 15)] = (gap * gap).sum(axis=1)
+            row, key, far = np.concatenate([row, r]), np.concatenate([key, keys[t + c]]), np.concatenate([far, np.sqrt(gaps)])
+            best = np.lexsort((key, far, row))
+            row, key, far = row[best], key[best], far[best]
+            begin = np.searchsorted(row, np.arange(len(here) + 1))
+            place = np.arange(len(row)) - begin[row]
+            kth = np.flatnonzero(place == k - 1)
+            limit[row[kth]] = far[kth] ** 2
+            row, key, far = row[place < k], key[place < k], far[place < k]
+        yield row + at, key, far
+
+
 def nearest_many(
     df: DataFrame, key: str, vec: str, centres: DataFrame, centre: str, centre_vec: str, k: int,
-    pivots: int = 64, block: int = 2048, chunk: int = 4096, seed: int = 91,
+    pivots: int = 64, block: int = 2048, chunk: int | None = None, seed: int = 91,
 ) -> DataFrame:
     """The k nearest rows to every row of a table of centres: ``centre``, key, ``distance``, ``rank``; exact, ties by key.
 
     Rows lie in cells: the nearest of a few pivots, and a ring of radii around it. The triangle inequality bounds the distances
     from a centre to all rows of a cell, so a centre meets only the cells that may hold one of its k nearest, and distances are
-    computed there alone. Cells of more than ``block`` rows (copies have one radius) and tables of more than ``chunk`` centres are
-    dealt to several tasks. What the driver sees is pivots and cells, numbers that the parameters bound. Null vectors
+    computed there alone. Cells that follow each other form groups of an eighth of the rows, at least ``block`` and at most 16 times as many;
+    larger cells (copies have one radius) are dealt over several. A centre moves once to each group that it reaches, and a group once to each
+    ``chunk`` of centres (by default as many as a group's rows), so a task holds two bounded tables. Where no cell can be left out the work
+    grows with rows times centres. What the driver sees is pivots and cells, numbers that the parameters bound. Null vectors
     are left out on both sides; ``key`` and ``centre`` are unique whole numbers.
     """
     spark = df.sparkSession
@@ -209,13 +281,14 @@ def nearest_many(
     def place(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             if batch.num_rows:
-                far = _squares(_unpack(batch, 1), shared.value)
+                far = _squares(_unpack(batch.column(1)), shared.value)
                 best = far.argmin(axis=1)
                 radius = np.sqrt(far[np.arange(len(best)), best])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int64)), pa.array(radius)], ["key", "vec", "pivot", "radius"])
 
     placed = store(rows.mapInArrow(place, "key long, vec array<double>, pivot long, radius double"), "placed")
-    rings = min(1000, -(-(placed.groupBy("pivot").count().agg(F.max("count")).first()[0] or 1) // block))
+    total, largest = placed.groupBy("pivot").count().agg(F.sum("count"), F.max("count")).first()
+    rings = min(1000, -(-(largest or 1) // block))
     ringed = placed.withColumn("ring", F.lit(0).cast("long"))
     if rings > 1:
         steps = [i / rings for i in range(1, rings)]
@@ -225,51 +298,49 @@ def nearest_many(
     ringed = store(ringed, "ringed")
     stats = ringed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
     cells = np.array([tuple(r) for r in stats.orderBy("pivot", "ring").collect()], _CELL)
-    parts = np.maximum(1, -(-cells["n"] // block))
-    known = spark.sparkContext.broadcast((picked, cells, parts))
-    chunks = max(1, -(-asked.count() // chunk))
+    most = min(max(block, -(-(total or 1) // 8)), 16 * block)
+    first, parts = _groups(cells["n"], most)
+    known = spark.sparkContext.broadcast((picked, cells, first, parts))
+    chunks = max(1, -(-asked.count() // (chunk or most)))
 
     def reach(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, cells, parts = known.value
-        for batch in found:
-            if not batch.num_rows:
-                continue
-            far = np.sqrt(_squares(_unpack(batch, 1), points))
-            out, rows = [], batch.to_pylist()
-            for row, d in zip(rows, far):
-                out += [(int(cells["pivot"][c]), int(cells["ring"][c]), part, row["centre"], row["vec"])
-                        for c in _reaches(d, cells, k) for part in range(parts[c])]
-            for at in range(0, len(out), 4096):
-                columns = list(zip(*out[at : at + 4096]))
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["pivot", "ring", "part", "centre", "vec"])
-
-    spot = ["pivot", "ring", "part", "chunk"]
-    wanted = asked.mapInArrow(reach, "pivot long, ring long, part long, centre long, vec array<double>")
+        points, cells, first, parts = known.value
+        for whole in found:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                far, groups = np.sqrt(_squares(_unpack(batch.column(1)), points)), []
+                for d in far:
+                    met = _reaches(d, cells, k)
+                    one = met[parts[met] == 1]
+                    several = [np.arange(first[c], first[c] + parts[c]) for c in met[parts[met] > 1]]
+                    groups.append(np.unique(np.concatenate([first[one], *several])))
+                owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+                flat = np.concatenate(groups).astype(np.int64)
+                for s in range(0, len(flat), 4096):
+                    some = batch.take(pa.array(owner[s : s + 4096]))
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[s : s + 4096]), *some.columns], ["group", "centre", "vec"])
+
+    spot = ["group", "chunk"]
+    wanted = asked.mapInArrow(reach, "group long, centre long, vec array<double>")
     wanted = wanted.withColumn("chunk", F.pmod(F.xxhash64("centre"), F.lit(chunks)))
-    counts = spark.createDataFrame([(int(c["pivot"]), int(c["ring"]), int(p)) for c, p in zip(cells, parts)], "pivot long, ring long, parts long")
+    counts = spark.createDataFrame(
+        [(int(c["pivot"]), int(c["ring"]), int(g), int(p)) for c, g, p in zip(cells, first, parts)], "pivot long, ring long, first long, parts long"
+    )
     dealt = ringed.join(F.broadcast(counts), ["pivot", "ring"]).select(
-        "pivot", "ring", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"),
-        "key", "vec",
+        (F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).alias("group"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "key", "vec",
     )
 
     def measure(spot: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["centre", "key", "distance"]
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         if not left.num_rows or not right.num_rows:
-            return empty
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         ids, keys = left.column("centre").to_numpy(), right.column("key").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, points = keys[order], np.array(right.column("vec").to_pylist(), np.float64)[order]
-        out = []
-        for at in range(0, len(ids), 64):
-            far = _squares(points, np.array(left.column("vec").slice(at, 64).to_pylist(), np.float64)).T
-            near = np.argsort(far, axis=1, kind="stable")[:, :k]  # equal distances stay in the order of keys
-            out.append((np.repeat(ids[at : at + 64], near.shape[1]), keys[near].ravel(), np.sqrt(np.take_along_axis(far, near, axis=1)).ravel()))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+        found = [(ids[row], near, far) for row, near, far in _nearest_in(_unpack(right.column("vec")), keys, _unpack(left.column("vec")), k)]
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names)
 
     found = wanted.groupBy(*spot).cogroup(dealt.groupBy(*spot)).applyInArrow(measure, "centre long, key long, distance double")
-    w = Window.partitionBy("centre").orderBy("distance", "key")  # at most k rows of each cell met
+    w = Window.partitionBy("centre").orderBy("distance", "key")  # at most k rows of each group met
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
