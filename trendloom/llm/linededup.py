@@ -9,6 +9,7 @@ text that comes first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain, combinations
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.components import components
-from trendloom.llm.textkit import batches, fresh, mix
+from trendloom.llm.textkit import Memo, batches, fresh, mix
 from trendloom.sources.work import store, work_path
 
 LEADING, SEGMENTS = 3, 8
@@ -32,7 +33,10 @@ LEAST_SEGMENTS = 4
 NODE_LINES, PART_LINES = 2000, 200_000
 #: The lists of lines to cut are broadcast up to this many bytes.
 BROADCAST_BYTES = 32 << 20
-_FIELD = np.frombuffer(xxhash.xxh3_64_digest(b"<*>"), np.uint64)[0]
+_DIGIT = re.compile(rb"[0-9]")
+_FIELD = xxhash.xxh3_64_digest(b"<*>")
+#: Hashes of single words; tasks hash all words of a batch at once, by ``masked``.
+MASKED = Memo(lambda w: _FIELD if _DIGIT.search(w) else xxhash.xxh3_64_digest(w), "lines")
 
 
 def split_lines(text: str) -> list[list[bytes]]:
@@ -45,7 +49,7 @@ def masked(words: list[bytes]) -> np.ndarray:
     text = np.frombuffer(b" ".join(words), np.uint8)
     digits = np.flatnonzero(text - np.uint8(48) < 10)
     if len(digits):
-        h[np.searchsorted(np.flatnonzero(text == 32), digits)] = _FIELD
+        h[np.searchsorted(np.flatnonzero(text == 32), digits)] = np.frombuffer(_FIELD, np.uint64)[0]
     return h
 
 
