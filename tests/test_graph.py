@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendloom.functions import arrays
+from trendloom.functions import arrays, hashing
 from trendloom.operators import ordering, snapshots, tgraph
 
 
@@ -399,3 +399,41 @@ def test_latest_neighbours_move_two_rows_a_query(spark, hot):
     found = tgraph.temporal_neighbors(tgraph.adjacency(edges), asked, 30)
     assert "_run" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.groupBy("qid").count().filter("count > 30").isEmpty() and found.count() > 30
+
+
+@pytest.mark.parametrize("blocks", [5, 1_000_000])
+def test_latest_neighbours_of_a_query_come_in_one_row_and_move_once(spark, hot, monkeypatch, blocks):
+    rows, edges = hot
+    monkeypatch.setattr(tgraph, "BLOCK_ROWS", blocks)
+    bare = [(121, 1, 7, None, 3.0), (122, 2, 7, None, 4.0)]  # without a time: they take a place, but are no neighbours
+    adj = tgraph.adjacency(edges.unionByName(spark.createDataFrame(bare, edges.schema)))
+    pairs = [(a, c) for a in [None, *range(0, 14)] for c in (None, 0, 1, 9, 9, 33, 50)]
+    asked = spark.createDataFrame([(q, node, cut) for q, (node, cut) in enumerate(pairs)], "qid long, node long, cut long")
+    found = tgraph.temporal_neighbors(adj, asked, 4, together=True)
+    assert blocks == 5 or _moves(found) == 1
+    got = {r["qid"]: r for r in tgraph.padded_neighbors(found, asked, 4).collect()}
+    loose = tgraph.temporal_neighbors(adj, asked, 4)
+    want = {r["qid"]: r for r in tgraph.padded_neighbors(loose, asked, 4).collect()}
+    assert got == want and len(got) == len(pairs)
+    gaps = {1: 1, 2: 1, 7: 2}
+    for q, (node, cut) in enumerate(pairs):
+        before = [] if node is None or cut is None else past(rows, node, cut)
+        if node in gaps and cut is not None:
+            before = [(0, 0, 0)] * gaps[node] + before
+        last = [e for _, e, _ in before[-4:] if e]
+        assert got[q]["edges"] == [0] * (4 - len(last)) + last
+    places = {(r["qid"], r["edge_idx"]): r["place"] for r in loose.collect()}
+    packed = {(r["qid"], e["edge_idx"]): e["place"] for r in found.collect() for e in r["events"]}
+    assert places == packed
+
+
+@pytest.mark.parametrize("ids", [[7, 8, 9, 10], [7, 9, 10, 40]])
+def test_drawn_destinations_need_no_move_where_ids_have_no_gap(spark, ids):
+    rows = [(k + 1, k % 3, ids[k % 4], k) for k in range(40)]
+    edges = spark.createDataFrame(rows, "edge_idx long, u long, i long, ts long")
+    drawn = tgraph.negative_edges(edges)
+    place = F.pmod(hashing.draw("edge_idx", 0), F.lit(4))
+    want = {r["edge_idx"]: ids[r["p"]] for r in edges.select("edge_idx", place.alias("p")).collect()}
+    assert {r["edge_idx"]: r["i"] for r in drawn.collect()} == want
+    joins = "Join" in drawn._jdf.queryExecution().executedPlan().toString()
+    assert joins == (ids[-1] == 40)

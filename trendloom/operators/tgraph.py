@@ -23,6 +23,7 @@ from trendloom.sources.work import store
 
 BLOCK_ROWS = 1_000_000
 BLOCK_SECONDS = 86_400
+MOST_BACK = 64  # events that a query looks back one by one; more come in runs
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -309,10 +310,13 @@ def neighborhood_sums(adj: DataFrame, queries: DataFrame, cols: Sequence[str], d
     return found.select(*queries.columns, F.col("_n").alias("n"), vec.alias("vec"))
 
 
-def _timeline(adj: DataFrame, queries: DataFrame) -> tuple[DataFrame, WindowSpec, list[Column]]:
-    """Events and queries (``_asks``) of a node side by side, moved once; their order, a query before the events of its second; the queries' columns."""
+def _timeline(adj: DataFrame, queries: DataFrame, every: bool = False) -> tuple[DataFrame, WindowSpec, list[Column]]:
+    """Events and queries (``_asks``) of a node side by side, moved once; their order, a query before the events of its second; the queries' columns.
+
+    Queries without a node or a time are left out but for ``every``.
+    """
     rest = [c for c in queries.columns if c not in ("node", "cut")]
-    asks = queries.filter("node IS NOT NULL AND cut IS NOT NULL").select(
+    asks = (queries if every else queries.filter("node IS NOT NULL AND cut IS NOT NULL")).select(
         "node", F.col("cut").alias("ts"), F.lit(True).alias("_asks"), *[F.col(c).alias(f"_q_{c}") for c in rest]
     )
     rows = adj.withColumn("_asks", F.lit(False)).unionByName(asks, allowMissingColumns=True).repartition("node")
@@ -358,29 +362,78 @@ def _last_sums_blocked(adj: DataFrame, queries: DataFrame, sums: Mapping[str, Co
 
 
 def temporal_neighbors(
-    adj: DataFrame, queries: DataFrame, n: int, mode: str = "latest", seed: int = 0
+    adj: DataFrame, queries: DataFrame, n: int, mode: str = "latest", seed: int = 0, together: bool = False
 ) -> DataFrame:
     """For each query (qid, node, cut): n events of the node strictly before the cut.
 
-    ``latest`` takes the last n (fewer if there are fewer), ``uniform`` draws n with replacement. A query turns into the
-    places of the events it needs, and those meet the ranked events by equality; event histories are never paired with
-    queries. The latest n lie in one or two runs of n events each, so two rows per query move, whatever n is.
+    ``latest`` takes the last n (fewer if there are fewer), ``uniform`` draws n with replacement. Events and queries of a node
+    lie side by side in time, where a query looks back n events; event histories are never paired with queries. With
+    ``together`` (latest only, one row per qid) every query is one row with its ``events``, oldest first; else an event is a row.
     """
     if mode == "latest":
-        ranked, before = _ranked(adj, queries)
-        asked = queries.join(before, ["node", "cut"]).filter("before > 0")
-        run = lambda place: F.call_function("div", place - 1, F.lit(n).cast("long"))
-        event = [c for c in ranked.columns if c != "node"]
-        runs = ranked.groupBy("node", run(F.col("place")).alias("_run")).agg(F.collect_list(F.struct(*event)).alias("_events"))
-        low = F.greatest(F.col("before") - n + 1, F.lit(1).cast("long"))
-        wanted = asked.withColumn("_low", low).withColumn("_run", F.explode(F.sequence(run(F.col("_low")), run(F.col("before")))))
-        inside = F.filter("_events", lambda e: e["place"].between(F.col("_low"), F.col("before")))
-        met = wanted.join(runs, ["node", "_run"]).select(*queries.columns, F.explode(inside).alias("_e"))
-        return met.select(*queries.columns, "_e.*")
+        if n > MOST_BACK:
+            found = _latest_blocked(adj, queries, n)
+            return _gathered(found, queries) if together else found
+        busy, adj = _busy_and_asked(adj, queries)
+
+        def whole(a: DataFrame, q: DataFrame) -> DataFrame:
+            met = _latest(a, q, n)
+            return met if together else met.withColumn("_e", F.explode("events")).select(*queries.columns, "_e.*")
+
+        def blocked(a: DataFrame, q: DataFrame) -> DataFrame:
+            found = _latest_blocked(a, q, n)
+            return _gathered(found, q) if together else found
+
+        return _by_node([adj, queries], busy, whole, blocked)
     busy = busy_nodes(adj, queries)
     return _by_node([adj, queries], busy, lambda a, q: _drawn(a, q, n, seed), lambda a, q: _drawn_blocked(a, q, n, seed))
 
 
+def _latest(adj: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """``queries`` with the last ``n`` events before the cut as ``events``: one sort per node, in which a query looks back over events."""
+    rows, order, asked = _timeline(adj, queries, every=True)
+    event = [c for c in adj.columns if c != "node"]
+    upto = F.count_if(~F.col("_asks")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_event", F.when(~F.col("_asks"), F.struct(*event))).withColumn("_upto", upto)
+    along = "PARTITION BY node ORDER BY ts, _asks DESC, edge_idx, other"
+    back = {f"_b{k}": F.expr(f"lag(_event, {k}) IGNORE NULLS OVER ({along})") for k in range(n, 0, -1)}
+    found = rows.withColumns(back).filter("_asks")
+
+    def placed(k: int) -> Column:
+        fields = [F.col(f"_b{k}")[c].alias(c) for c in event]
+        return F.struct(*fields, (F.col("_upto") - (k - 1)).alias("place"))
+
+    # An event without a time counts for the places after it, but is no neighbour; beyond the first event there is none.
+    met = F.filter(F.array(*[placed(k) for k in range(n, 0, -1)]), lambda e: e["ts"].isNotNull())
+    return found.select(*asked, met.alias("events"))
+
+
+def _latest_blocked(adj: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` events for nodes and ``n`` of any size, an event a row.
+
+    A query turns into the places of the events it needs, and those meet the ranked events by equality. The latest n lie in one or
+    two runs of n events each, so two rows per query move, whatever n is.
+    """
+    ranked, before = _ranked(adj, queries)
+    asked = queries.join(before, ["node", "cut"]).filter("before > 0")
+    run = lambda place: F.call_function("div", place - 1, F.lit(n).cast("long"))
+    event = [c for c in ranked.columns if c != "node"]
+    runs = ranked.groupBy("node", run(F.col("place")).alias("_run")).agg(F.collect_list(F.struct(*event)).alias("_events"))
+    low = F.greatest(F.col("before") - n + 1, F.lit(1).cast("long"))
+    wanted = asked.withColumn("_low", low).withColumn("_run", F.explode(F.sequence(run(F.col("_low")), run(F.col("before")))))
+    inside = F.filter("_events", lambda e: e["place"].between(F.col("_low"), F.col("before")))
+    met = wanted.join(runs, ["node", "_run"]).select(*queries.columns, F.explode(inside).alias("_e"))
+    return met.select(*queries.columns, "_e.*")
+
+
+def _gathered(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """``queries`` with their rows of ``found`` as ``events``, oldest first."""
+    event = [c for c in found.columns if c not in queries.columns]
+    per = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("place", F.struct(*event).alias("e")))).alias("_p"))
+    events = F.coalesce(F.transform("_p", lambda p: p["e"]), F.array())
+    return queries.join(per, "qid", "left").select(*queries.columns, events.alias("events"))
+
+
 def _draws(qid: str, before: str, n: int, seed: int) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
@@ -417,10 +470,16 @@ def _drawn_blocked(adj: DataFrame, queries: DataFrame, n: int, seed: int) -> Dat
 
 
 def padded_neighbors(found: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """n neighbours per query, oldest first, zeros on the left where there are fewer (or none)."""
-    event = F.struct("ts", "edge_idx", "other")
-    per = found.groupBy("qid").agg(F.sort_array(F.collect_list(event)).alias("_e"))
-    joined = queries.join(per, "qid", "left")
+    """n neighbours per query, oldest first, zeros on the left where there are fewer (or none).
+
+    ``found`` has a row per event, or one per query with its ``events``, which then meets nothing.
+    """
+    if "events" in found.columns:
+        joined = found.withColumn("_e", F.transform("events", lambda e: F.struct(e["ts"], e["edge_idx"], e["other"])))
+    else:
+        event = F.struct("ts", "edge_idx", "other")
+        per = found.groupBy("qid").agg(F.sort_array(F.collect_list(event)).alias("_e"))
+        joined = queries.join(per, "qid", "left")
     events = F.coalesce("_e", F.array().cast("array<struct<ts:bigint,edge_idx:bigint,other:bigint>>"))
 
     def column(field: str) -> Column:
@@ -661,11 +720,18 @@ def aggregate_messages(msgs: DataFrame, size: int, how: str = "last") -> DataFra
 
 
 def negative_edges(edges: DataFrame, seed: int = 0, exclude: bool = False) -> DataFrame:
-    """One random destination per edge, drawn evenly from the distinct destinations; ``exclude`` drops true edges."""
-    pool = ordering.global_index(edges.select(F.col("i").alias("neg")).distinct(), ["neg"], "_at")
-    size = edges.agg(F.count_distinct("i")).scalar()
-    drawn = edges.select("edge_idx", "u", "ts", F.pmod(hashing.draw("edge_idx", seed), size).alias("_at"))
-    negatives = drawn.join(pool, "_at").select("edge_idx", "u", F.col("neg").alias("i"), "ts")
+    """One random destination per edge, drawn evenly from the distinct destinations; ``exclude`` drops true edges.
+
+    Where the destinations' ids have no gap, the place of one follows from its id and no edge is moved.
+    """
+    i = F.col("i")
+    size, low, span, holes = edges.agg(F.count_distinct(i), F.min(i), F.max(i) - F.min(i) + 1, F.count_if(i.isNull())).first()
+    drawn = edges.select("edge_idx", "u", "ts", F.pmod(hashing.draw("edge_idx", seed), F.lit(size).cast("long")).alias("_at"))
+    if size == span and not holes:
+        negatives = drawn.select("edge_idx", "u", (F.col("_at") + F.lit(low)).alias("i"), "ts")
+    else:
+        pool = ordering.global_index(edges.select(i.alias("neg")).distinct(), ["neg"], "_at")
+        negatives = drawn.join(pool, "_at").select("edge_idx", "u", F.col("neg").alias("i"), "ts")
     if exclude:
         negatives = negatives.join(edges.select("u", "i").distinct(), ["u", "i"], "left_anti")
     return negatives

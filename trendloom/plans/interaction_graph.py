@@ -175,7 +175,7 @@ _PADDED = f"""SELECT q.qid, q.node, q.cut, array_to_string({_pad_sql("f.other")}
 @query("temporal_neighbors", sql=f"WITH {EDGES}, {_LATEST} {_PADDED}")
 def temporal_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    found = tgraph.temporal_neighbors(tgraph.adjacency(e), _queries(e), N)
+    found = tgraph.temporal_neighbors(tgraph.adjacency(e), _queries(e), N, together=True)
     out = tgraph.padded_neighbors(found, _queries(e), N)
     return out.withColumns({c: F.array_join(c, ",") for c in ("neighbors", "edges", "times")})
 
@@ -247,8 +247,8 @@ def _late(q: str) -> str:
 def temporal_neighbors_ends(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of every edge's destination and of its drawn destination before the edge."""
     e = edges(spark, sf)
-    asked = store(_by_side(e), "ends")
-    found = tgraph.temporal_neighbors(tgraph.adjacency(e), asked, N)
+    asked = _by_side(e)
+    found = tgraph.temporal_neighbors(tgraph.adjacency(e), asked, N, together=True)
     out = tgraph.padded_neighbors(found, asked, N)
     return out.withColumns({c: F.array_join(c, ",") for c in ("neighbors", "edges", "times")})
 
