@@ -437,3 +437,17 @@ def test_drawn_destinations_need_no_move_where_ids_have_no_gap(spark, ids):
     assert {r["edge_idx"]: r["i"] for r in drawn.collect()} == want
     joins = "Join" in drawn._jdf.queryExecution().executedPlan().toString()
     assert joins == (ids[-1] == 40)
+
+
+def test_snapshots_lay_out_months_after_the_move_and_aggregate_orders_once(spark):
+    rows = [(k, k % 9, k, f"1995-0{1 + k % 6}-05 10:00:00", k % 7, 1, 1.0, 2.0, 2.0, "x") for k in range(40)]
+    lines = spark.createDataFrame(rows, "invoice long, customer long, line long, ts string, product long, supplier long, quantity double, price double, amount double, country string")
+    lines = lines.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    customers = snapshots.customer_nodes(lines, ["line", "product", "supplier", "quantity", "price"], 1995 * 12, 1995 * 12 + 5)
+    products = snapshots.product_nodes(lines, 1995 * 12, 1995 * 12 + 5)
+    assert customers.count() == 9 * 6 and products.count() == 7 * 6
+    assert "min_by" not in plan(customers)
+    for made in (customers, products):
+        text = plan(made)
+        assert text.index("Generate explode") < text.index("RepartitionByExpression")
