@@ -451,3 +451,16 @@ def test_snapshots_lay_out_months_after_the_move_and_aggregate_orders_once(spark
     for made in (customers, products):
         text = plan(made)
         assert text.index("Generate explode") < text.index("RepartitionByExpression")
+
+
+def test_no_vector_moves_with_an_edge_where_their_counted_size_allows(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k % 3, 3 + k % 4, k) for k in range(12)], "edge_idx long, u long, i long, ts long")
+    held = spark.createDataFrame([(v, [v + 0.5, 1.0]) for v in range(5)], "vec_id long, vec array<double>")
+    named = tgraph.nodes(edges).withColumn("vec_id", F.col("node") % 5)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = tgraph.link_scores(edges, edges, named, held)
+    assert plan(found).count("rightHint=(strategy=broadcast)") == 2
+    monkeypatch.setattr(tgraph, "VECTOR_BYTES", 5 * (64 + 16) - 1)
+    apart = tgraph.link_scores(edges, edges, named, held)
+    assert "broadcast" not in plan(apart)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, found.collect()))

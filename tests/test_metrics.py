@@ -101,3 +101,13 @@ def test_running_totals_with_a_hot_key(spark):
     for r in prev:
         earlier = [t for k, t, _ in rows if k == r["k"] and t < r["t"]]
         assert r["p"] == (max(earlier) if earlier else None)
+
+
+def test_figures_of_one_curve_order_the_scores_once(spark, monkeypatch):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.8), (1, 0.3), (0, 0.1)]
+    df = scored(spark, rows)
+    want = metrics.auc(df, "label", "score").first()["auc"], metrics.average_precision(df, "label", "score").first()["ap"]
+    curve = metrics.roc(df, "label", "score")
+    monkeypatch.setattr(metrics, "roc", None)
+    got = metrics.auc(df, "label", "score", curve).first()["auc"], metrics.average_precision(df, "label", "score", curve).first()["ap"]
+    assert got == pytest.approx(want) and got[0] == pytest.approx(rank_auc(rows))
